@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dustlens.llm import exact_dedup, packing, simhash, token_counts, url_filters
+from dustlens.llm import exact_dedup, packing, pii, quality, simhash, token_counts, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_simhash": simhash.op4_simhash,
+        "op5_pii": pii.op5_pii,
+        "op6_quality_rules": quality.op6_quality_rules,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_url_filters": url_filters.op9_url_filters,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL, "op9_url_filters": url_filters.SQL}
+    return {"op6_quality_rules": quality.sql(), "op8_exact_dedup": exact_dedup.SQL, "op9_url_filters": url_filters.SQL}
