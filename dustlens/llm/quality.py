@@ -64,13 +64,20 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(words, of))
 
 
-def _distance(parts: list[Column], reference: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, of shares to a reference; both sum to 1."""
-    total = F.lit(0.0)
-    for p, q in zip(parts, reference, strict=True):
+def _distance(parts: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance, base 2, of an array of shares to a reference; both sum to 1."""
+
+    def term(p: Column, q: Column) -> Column:
         m = (p + q) / 2
-        total = total + F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + q * F.log2(F.lit(q) / m)
-    return F.sqrt(F.greatest(F.lit(0.0), total / 2))
+        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + q * F.log2(q / m)
+
+    terms = F.zip_with(parts, F.array(*map(F.lit, reference)), term)
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
+
+
+def _with_rest(shares: Column) -> Column:
+    """Shares, and what they leave of the whole."""
+    return F.concat(shares, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))))
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,26 +106,21 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             lambda w: F.struct(F.size(w).alias("n"), F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x.isin(sorted({y for ys in COMMON_WORDS.values() for y in ys}))), "  "), F.lit(" ")).alias("common")),
         ).alias("c"),
     )
-    # A common word's count is what removing it with its own two spaces takes away.
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    hits = [((F.octet_length("c.common") - F.octet_length(F.replace("c.common", F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).alias(f"h_{w}") for w in every]
-    counted = counted.select("doc_id", "w.*", "n_dup_lines", "n", "bytes", *[f"c_{c}" for c in CLASSES], F.col("c.n").alias("n_cased"), *hits)
+    # A common word's share comes from what removing it with its own two spaces takes away.
+    common, size = F.col("c.common"), F.greatest(F.col("c.n"), F.lit(1))
+
+    def share(word: Column) -> Column:
+        return (F.octet_length(common) - F.octet_length(F.replace(common, F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))) / ((F.octet_length(word) + 2) * size)
+
+    words_of = [F.transform(F.array(*map(F.lit, ws)), share).alias(f"h_{lang}") for lang, ws in COMMON_WORDS.items()]
     all_bytes = F.greatest(F.col("bytes"), F.lit(1))
-    shares = [F.col(f"c_{c}") / all_bytes for c in CLASSES] + [(F.col("bytes") - F.col("n")) / all_bytes]
-    rest = F.lit(1.0)
-    for s in shares:
-        rest = rest - s
-    judged_classes, judged_words = F.col("n") >= LEAST_CHARS, F.col("n_cased") >= LEAST_WORDS
+    classes = F.array(*[F.col(f"c_{c}") / all_bytes for c in CLASSES], (F.col("bytes") - F.col("n")) / all_bytes)
+    counted = counted.select("doc_id", "w.*", "n_dup_lines", "n", "c_space", "c_symbol", F.col("c.n").alias("n_cased"), classes.alias("classes"), *words_of)
     columns, fits = [], F.lit(False)
     for lang, ws in COMMON_WORDS.items():
-        reference = [*CLASS_SHARES[lang], 1 - sum(CLASS_SHARES[lang])]
-        columns.append(F.when(judged_classes, _distance([*shares, F.greatest(rest, F.lit(0.0))], reference)).alias(f"class_{lang}"))
-        parts = [F.col(f"h_{w}") / F.greatest(F.col("n_cased"), F.lit(1)) for w in ws]
-        left = F.lit(1.0)
-        for p in parts:
-            left = left - p
         q = [word_share(k) for k in range(1, len(ws) + 1)]
-        columns.append(F.when(judged_words, _distance([*parts, F.greatest(left, F.lit(0.0))], [*q, 1 - sum(q)])).alias(f"word_{lang}"))
+        columns.append(F.when(F.col("n") >= LEAST_CHARS, _distance(_with_rest(F.col("classes")), [*CLASS_SHARES[lang], 1 - sum(CLASS_SHARES[lang])])).alias(f"class_{lang}"))
+        columns.append(F.when(F.col("n_cased") >= LEAST_WORDS, _distance(_with_rest(F.col(f"h_{lang}")), [*q, 1 - sum(q)])).alias(f"word_{lang}"))
         fits = fits | ((F.coalesce(f"class_{lang}", F.lit(0.0)) <= MOST_CLASS_DISTANCE) & (F.coalesce(f"word_{lang}", F.lit(0.0)) <= MOST_WORD_DISTANCE))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     return counted.select("doc_id", "n_words", (F.col("n") - F.col("c_space")).alias("word_chars"), F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *columns).select(
