@@ -18,7 +18,10 @@ from dustlens.llm.common import table, texts_of
 #: The vocabulary file, by the name under which the installed package of public tokenizers knows it.
 MODEL = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+
+#: Rows that are encoded together.
+ROWS = 4000
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -63,6 +66,41 @@ def read_pieces(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
     return pieces, model_type
 
 
+def _step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of substrings, each longer by a character."""
+    h = (h + points.astype(np.uint64) + np.uint64(1)) * _FACTOR
+    return h ^ (h >> np.uint64(29))
+
+
+class SortedKeys:
+    """Sorted 64-bit hashes with a value each. A key's leading bits give the place from which to look."""
+
+    bits = 18
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.uint64(2**64 - 1)), np.append(values[order], values[:1])
+        self.shift = np.uint64(64 - self.bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << self.shift).astype(np.int64)
+
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and where."""
+        at = self.first[keys >> self.shift]
+        there = self.keys[at]
+        behind = np.flatnonzero(there < keys)
+        while len(behind):
+            at[behind] += 1
+            there[behind] = self.keys[at[behind]]
+            behind = behind[there[behind] < keys[behind]]
+        return there == keys, at
+
+
+def _pair_key(before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """A one-to-one hash of two piece numbers."""
+    h = ((before + 1).astype(np.uint64) << np.uint64(32) | piece.astype(np.uint64)) * _FACTOR
+    return h ^ (h >> np.uint64(31))
+
+
 class Pieces:
     """A vocabulary: sorted substring hashes to probe, scores, and the bytes that each piece stands for."""
 
@@ -78,20 +116,22 @@ class Pieces:
             if k == BYTE:
                 self.byte[int(t[3:5], 16)] = i
         self.longest = max(len(t) for _, t in normal)
-        self.points = np.zeros((self.size, self.longest), np.uint32)
+        prefixes: dict[str, int] = {}
         for i, t in normal:
-            self.points[i, : len(t)] = [ord(c) for c in t]
-        keys = np.array([self._hash(np.array([[ord(c) for c in t]], np.uint32))[0] for _, t in normal])
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array([i for i, _ in normal])[order]
+            for size in range(1, len(t)):
+                prefixes.setdefault(t[:size], -1)
+            prefixes[t] = i
+        keys = np.array([self._hash(t) for t in prefixes], np.uint64)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
+        self.prefixes = SortedKeys(keys, np.array(list(prefixes.values())))
         outs = [bytes([int(t[3:5], 16)]) if k == BYTE else t.replace(MARK, " ").encode() if k == NORMAL else b"" for t, _, k in pieces]
         self.out = np.frombuffer(b"".join(outs), np.uint8)
         self.out_size = np.array([len(x) for x in outs])
         self.out_start = np.cumsum(self.out_size) - self.out_size
         self.texts = [t for t, _, _ in pieces]
-        self.valid: dict[int, bool] = {}
+        # Pairs of pieces of which it is known whether merging leaves them apart; the fresh ones are sorted in later.
+        self.pairs, self.fresh = SortedKeys(np.zeros(1, np.uint64), np.zeros(1, bool)), {}
         self._forget()
 
     def _forget(self) -> None:
@@ -100,13 +140,11 @@ class Pieces:
         self.flat, self.row_start, self.row_size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
-    def _hash(points: np.ndarray) -> np.ndarray:
-        """Hashes of rows of code points, as a substring of a longer row would give them."""
-        h = np.zeros(len(points), np.uint64)
-        for j in range(points.shape[1]):
-            h = (h + points[:, j].astype(np.uint64) + np.uint64(1)) * _FACTOR
-            h ^= h >> np.uint64(29)
-        return h
+    def _hash(text: str) -> int:
+        h = np.zeros(1, np.uint64)
+        for c in text:
+            h = _step(h, np.array([ord(c)], np.uint32))
+        return int(h[0])
 
     def _merged(self, text: str) -> list[int]:
         """Ids of a short text by merging, the best-scored neighbours first."""
@@ -123,79 +161,89 @@ class Pieces:
 
     def _follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether merging leaves two pieces apart that stand side by side (before -1: a piece alone whole)."""
-        keys, back = np.unique((before + 1) * self.size + piece, return_inverse=True)
-        known, out = self.valid, np.zeros(len(keys), bool)
-        for i, key in enumerate(keys.tolist()):
-            ok = known.get(key)
-            if ok is None:
-                a, b = key // self.size - 1, key % self.size
-                ok = self._merged(("" if a < 0 else self.texts[a]) + self.texts[b]) == ([b] if a < 0 else [a, b])
-                known[key] = ok
-            out[i] = ok
-        return out[back]
-
-    def _viterbi(self, words: np.ndarray) -> list[np.ndarray]:
-        """Ids of words of one length, a row of code points each: all advance together, one character at a step.
-
-        A unigram model's value is the sum of scores. A merge model's is 0 where each piece may
-        follow the one before it and minus infinity elsewhere: what merging gives is the one
-        path on which every two neighbours stay apart when merged by themselves. A character
-        that is no piece takes a path of its own, later spelled in bytes, and its neighbours on
-        either side know nothing of each other.
+        known, at = self.pairs.probe(_pair_key(before, piece))
+        out = self.pairs.values[at]
+        new = np.flatnonzero(~known)
+        if len(new):
+            some, back = np.unique((before[new] + 1) << 32 | piece[new], return_inverse=True)
+            valid = np.zeros(len(some), bool)
+            for i, key in enumerate(some.tolist()):
+                ok = self.fresh.get(key)
+                if ok is None:
+                    a, b = (key >> 32) - 1, key & 0xFFFFFFFF
+                    ok = self._merged(("" if a < 0 else self.texts[a]) + self.texts[b]) == ([b] if a < 0 else [a, b])
+                    self.fresh[key] = ok
+                valid[i] = ok
+            out[new] = valid[back]
+        return out
+
+    def _viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, end to end, of words of one length, a row of code points each, and how many each has.
+
+        All words advance together, one character at a step. A unigram model's value is the sum
+        of scores. A merge model's is 0 where each piece may follow the one before it and minus
+        infinity elsewhere: what merging gives is the one path on which every two neighbours
+        stay apart when merged by themselves. A character that is no piece is later spelled in
+        bytes, and its neighbours on either side know nothing of each other.
         """
         n, length = words.shape
         value = np.full((length + 1, n), -np.inf)
         value[0] = 0
         last = np.full((length + 1, n), -1, np.int64)  # the piece that ends there; -1: none, or an unknown character
         start = np.zeros((length + 1, n), np.int32)
-        for end in range(1, length + 1):
-            rows, ids, starts = [], [], []
-            for size in range(1, min(self.longest, end) + 1):
-                piece_points = words[:, end - size : end]
-                at = np.searchsorted(self.keys, self._hash(piece_points))
-                at[at == len(self.keys)] = 0
-                own = self.key_ids[at]
-                hit = np.flatnonzero((self.points[own, :size] == piece_points).all(axis=1) & (size == self.longest or self.points[own, min(size, self.longest - 1)] == 0) & (value[end - size] > -np.inf))
-                rows.append(hit)
-                ids.append(own[hit])
-                starts.append(np.full(len(hit), end - size))
-                if size == 1:
-                    alone = np.ones(n, bool)
-                    alone[hit] = False
-            row, piece, begin = np.concatenate(rows), np.concatenate(ids), np.concatenate(starts)
-            before = last[begin, row]
-            gain = np.where(self._follow(before, piece), 0.0, -np.inf) if self.merges else self.score[piece]
-            total = value[begin, row] + gain
-            # The best of each word: the first among equals is the longest piece.
-            order = np.lexsort((begin, -total, row))
-            row, piece, begin, total = row[order], piece[order], begin[order], total[order]
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-            value[end, row[first]], last[end, row[first]], start[end, row[first]] = total[first], piece[first], begin[first]
-            unknown = np.flatnonzero(alone & np.isneginf(value[end]))
-            value[end, unknown], last[end, unknown], start[end, unknown] = value[end - 1, unknown] + (0.0 if self.merges else self.score.min() - 10), -1, end - 1
-        out = []
-        for i in range(n):
-            path, end = [], length
-            while end:
-                piece, begin = int(last[end, i]), int(start[end, i])
-                path.append(self.byte[list(chr(words[i, begin]).encode())] if piece < 0 else np.array([piece]))
-                end = begin
-            out.append(np.concatenate(path[::-1]).astype(np.int32))
-        return out
+        for s in range(length):
+            rows, h = np.arange(n), np.zeros(n, np.uint64)
+            for end in range(s + 1, min(length, s + self.longest) + 1):
+                h = _step(h, words[rows, end - 1])
+                known, at = self.prefixes.probe(h)  # unknown: no piece begins so
+                rows, h, ids = rows[known], h[known], self.prefixes.values[at[known]]
+                if not len(rows):
+                    break
+                row, piece = rows[ids >= 0], ids[ids >= 0]
+                gain = np.where(self._follow(last[s, row], piece), 0.0, -np.inf) if self.merges else self.score[piece]
+                total = value[s, row] + gain
+                better = total > value[end, row]  # of equals the longest piece stays
+                row = row[better]
+                value[end, row], last[end, row], start[end, row] = total[better], piece[better], s
+            unknown = np.flatnonzero(np.isneginf(value[s + 1]))
+            value[s + 1, unknown], last[s + 1, unknown], start[s + 1, unknown] = value[s, unknown] + (0.0 if self.merges else self.score.min() - 10), -1, s
+        found = np.full((n, length), -1, np.int64)
+        at, end = np.full(n, length), np.full(n, length)
+        row = np.arange(n)
+        while len(row):
+            piece, begin = last[end[row], row], start[end[row], row]
+            at[row] -= 1
+            found[row, at[row]] = np.where(piece < 0, -2 - words[row, begin].astype(np.int64), piece)
+            end[row] = begin
+            row = row[begin > 0]
+        used = np.arange(length) >= at[:, None]
+        ids, owner = found[used], np.repeat(row_of := np.arange(n), length - at)
+        if (ids < 0).any():
+            spelled = [self.byte[list(chr(-2 - i).encode())] if i < 0 else np.array([i]) for i in ids.tolist()]
+            owner = np.repeat(owner, [len(x) for x in spelled])
+            ids = np.concatenate(spelled)
+        return ids.astype(np.int32), np.bincount(owner, minlength=len(row_of))
 
     def _learn(self, words: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
             by_length.setdefault(len(w), []).append(w)
-        ids = [self.flat]
-        sizes = [self.row_size]
-        for own in by_length.values():
-            points = np.array([[ord(c) for c in w] for w in own], np.uint32).reshape(len(own), -1)
-            ids += (found := self._viterbi(points))
-            sizes.append(np.array([len(x) for x in found]))
-            self.words.update(zip(own, range(len(self.words), len(self.words) + len(own)), strict=True))
+        ids, sizes = [self.flat], [self.row_size]
+        for length, own in by_length.items():
+            for i in range(0, len(own), most := max(1, (1 << 20) // length)):
+                part = own[i : i + most]
+                points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
+                found, size = self._viterbi(points)
+                ids.append(found)
+                sizes.append(size)
+                self.words.update(zip(part, range(len(self.words), len(self.words) + len(part)), strict=True))
         self.flat, self.row_size = np.concatenate(ids), np.concatenate(sizes)
         self.row_start = np.cumsum(self.row_size) - self.row_size
+        if self.fresh:
+            some = np.fromiter(self.fresh.keys(), np.int64)
+            keys = np.concatenate([self.pairs.keys[:-1], _pair_key((some >> 32) - 1, some & 0xFFFFFFFF)])
+            self.pairs = SortedKeys(keys, np.concatenate([self.pairs.values[:-1], np.fromiter(self.fresh.values(), bool)]))
+            self.fresh = {}
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, end to end, and where each text's begin and end. Without ids of begin and end.
@@ -251,7 +299,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 ids, ends = pieces(model).encode_flat(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "text", "ids"])
 
@@ -264,7 +312,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 own = part.column(place)
                 texts = pieces(model).decode([np.zeros(0, np.int64) if x is None else x for x in own.to_numpy(zero_copy_only=False)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t if ok else None for t, ok in zip(texts, own.is_valid().to_pylist(), strict=True)], pa.string())], names=[*part.schema.names, "decoded"])
