@@ -16,6 +16,8 @@ BLOCK_BITS = 10
 #: Up to so many repeated fingerprints (8 bytes each) are sent to every task; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+FINGERPRINT, DIGEST = F.xxhash64("text"), F.sha2(F.col("text").cast("binary"), 256)
+
 
 class QuotientFilter:
     """A counting quotient filter over 64-bit fingerprints of one block.
@@ -113,14 +115,8 @@ def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
     return filters.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "fp long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``docs``.
-
-    Texts are equal when their bytes are; a null counts as the empty text, and empty texts are
-    equal to one another. The row with the largest id of a group stays; ids that are null never
-    win over others. Rows that repeat an id and a text are the same document: each counts in
-    group_size and carries the same answer. Other columns are not read, whatever their names;
-    an empty table gives an empty result.
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(fp, text_sha256, keep_id, group_size) of every text that comes more than once, written out, and how many there are.
 
     Every partition's 64-bit fingerprints go into counting quotient filters, one for each block
     of quotients; only the filters are shuffled. Rows whose fingerprint counts one are done.
@@ -129,18 +125,43 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession, "exact")
     base = texts_of(docs, id_col, text_col)
-    stamp = F.xxhash64("text").alias("fp")
-    repeats = scratch.save(repeated_fingerprints(base.select(stamp)), "repeats")
+    repeats = scratch.save(repeated_fingerprints(base.select(FINGERPRINT.alias("fp"))), "repeats")
     side = F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats
-    suspects = base.select("doc_id", "text", stamp).join(side, "fp", "left_semi")
-    groups = suspects.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = scratch.save(groups.select("fp", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
+    suspects = base.select("doc_id", "text", FINGERPRINT.alias("fp")).join(side, "fp", "left_semi")
+    groups = suspects.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = scratch.save(groups.select("fp", DIGEST.alias("text_sha256"), "keep_id", "group_size"), "groups")
     scratch.drop("repeats")
-    rows = base.select("doc_id", stamp, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return groups, groups.count()
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), a row for each row of ``docs``.
+
+    Texts are equal when their bytes are; a null counts as the empty text, and empty texts are
+    equal to one another. The row with the largest id of a group stays; ids that are null never
+    win over others. Rows that repeat an id and a text are the same document: each counts in
+    group_size and carries the same answer. Other columns are not read, whatever their names;
+    an empty table gives an empty result. See ``copy_groups`` for the method.
+    """
+    groups, _ = copy_groups(docs, id_col, text_col)
+    rows = texts_of(docs, id_col, text_col).select("doc_id", FINGERPRINT.alias("fp"), DIGEST.alias("text_sha256"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.join(groups, ["fp", "text_sha256"], "left").select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, for each text: that with the largest id; of rows that repeat an id and a text, any one."""
+    groups, n = copy_groups(docs, id_col, text_col)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("fp"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    side = groups.select(F.struct(F.col("fp"), F.col("text_sha256").alias("sha")).alias("_group"), F.col("keep_id").cast("long").alias("_keep"))
+    side = F.broadcast(side) if n <= BROADCAST_ROWS else side
+    keyed = docs.withColumn("_key", key)
+    single = keyed.join(side, F.col("_key") == F.col("_group"), "left_anti").drop("_key")
+    winners = keyed.join(side, F.col("_key") == F.col("_group")).where(keyed[id_col].cast("long").eqNullSafe(F.col("_keep"))).drop("_group", "_keep")
+    return single.unionByName(winners.dropDuplicates(["_key"]).drop("_key"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -18,6 +18,8 @@ MOST_BITS = 4
 HEAVY = 10_000
 #: Up to so many heavy buckets are sent to every task; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: The same for ids of rows to leave out, 8 bytes each.
+BROADCAST_IDS = 500_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -183,5 +185,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stamped.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest id of their group. Rows with a null id stay."""
+    scratch = Scratch(docs.sparkSession, "near")
+    gone = near_groups(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
+    gone = scratch.save(gone.distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[id_col].cast("long") == side["_gone"], "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
