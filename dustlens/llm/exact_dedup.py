@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustlens.llm.common import Scratch, gathered, table, texts_of
@@ -16,7 +16,14 @@ BLOCK_BITS = 10
 #: Up to so many repeated fingerprints (8 bytes each) are sent to every task; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
-FINGERPRINT, DIGEST = F.xxhash64("text"), F.sha2(F.col("text").cast("binary"), 256)
+
+
+def _fingerprint() -> Column:
+    return F.xxhash64("text")
+
+
+def _digest() -> Column:
+    return F.sha2(F.col("text").cast("binary"), 256)
 
 
 class QuotientFilter:
@@ -125,11 +132,11 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     scratch = Scratch(docs.sparkSession, "exact")
     base = texts_of(docs, id_col, text_col)
-    repeats = scratch.save(repeated_fingerprints(base.select(FINGERPRINT.alias("fp"))), "repeats")
+    repeats = scratch.save(repeated_fingerprints(base.select(_fingerprint().alias("fp"))), "repeats")
     side = F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats
-    suspects = base.select("doc_id", "text", FINGERPRINT.alias("fp")).join(side, "fp", "left_semi")
+    suspects = base.select("doc_id", "text", _fingerprint().alias("fp")).join(side, "fp", "left_semi")
     groups = suspects.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = scratch.save(groups.select("fp", DIGEST.alias("text_sha256"), "keep_id", "group_size"), "groups")
+    groups = scratch.save(groups.select("fp", _digest().alias("text_sha256"), "keep_id", "group_size"), "groups")
     scratch.drop("repeats")
     return groups, groups.count()
 
@@ -144,7 +151,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     an empty table gives an empty result. See ``copy_groups`` for the method.
     """
     groups, _ = copy_groups(docs, id_col, text_col)
-    rows = texts_of(docs, id_col, text_col).select("doc_id", FINGERPRINT.alias("fp"), DIGEST.alias("text_sha256"))
+    rows = texts_of(docs, id_col, text_col).select("doc_id", _fingerprint().alias("fp"), _digest().alias("text_sha256"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.join(groups, ["fp", "text_sha256"], "left").select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 

@@ -18,10 +18,10 @@ from dustlens.llm.common import table, texts_of
 #: The vocabulary file, by the name under which the installed package of public tokenizers knows it.
 MODEL = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers, at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 #: Rows that are encoded together.
-ROWS = 4000
+ROWS = 1000
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -109,7 +109,7 @@ class Pieces:
         self.merges = model_type == 2
         self.size = len(pieces)
         normal = [(i, t) for i, (t, _, k) in enumerate(pieces) if k == NORMAL]
-        self.of = {t: i for i, t in normal}
+        of = {t: i for i, t in normal}
         self.score = np.array([s for _, s, _ in pieces])
         self.byte = np.zeros(256, np.int64)
         for i, (t, _, k) in enumerate(pieces):
@@ -129,7 +129,14 @@ class Pieces:
         self.out = np.frombuffer(b"".join(outs), np.uint8)
         self.out_size = np.array([len(x) for x in outs])
         self.out_start = np.cumsum(self.out_size) - self.out_size
-        self.texts = [t for t, _, _ in pieces]
+        self.n_chars = np.array([len(t) if k == NORMAL else 0 for t, _, k in pieces])
+        self.chars = np.full((self.size, self.longest), -2, np.int64)
+        joins = []
+        for i, t in normal:
+            self.chars[i, : len(t)] = [of.get(c, -2) for c in t]
+            joins += [(of[t[:j]], of[t[j:]], i) for j in range(1, len(t)) if t[:j] in of and t[j:] in of]
+        left, right, whole = np.array(joins, np.int64).reshape(-1, 3).T
+        self.joins = SortedKeys(_pair_key(left, right), whole)
         # Pairs of pieces of which it is known whether merging leaves them apart; the fresh ones are sorted in later.
         self.pairs, self.fresh = SortedKeys(np.zeros(1, np.uint64), np.zeros(1, bool)), {}
         self._forget()
@@ -146,18 +153,36 @@ class Pieces:
             h = _step(h, np.array([ord(c)], np.uint32))
         return int(h[0])
 
-    def _merged(self, text: str) -> list[int]:
-        """Ids of a short text by merging, the best-scored neighbours first."""
-        parts = list(text)
-        while True:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                piece = self.of.get(parts[i] + parts[i + 1])
-                if piece is not None and self.score[piece] > best:
-                    best, at = self.score[piece], i
-            if at < 0:
-                return [self.of.get(p, -1) for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def _apart(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Merges the characters of each two pieces, best-scored neighbours first, and sees whether just these two are left."""
+        width = int(self.n_chars[before].max(initial=0) + self.n_chars[piece].max())
+        ids = np.full((len(piece), width + 1), -1, np.int64)
+        n_before = np.where(before < 0, 0, self.n_chars[before])
+        columns = np.arange(width + 1)
+        for part, own, shift in ((before, n_before, 0), (piece, self.n_chars[piece], n_before)):
+            at = columns - np.reshape(shift, (-1, 1)) if np.ndim(shift) else np.broadcast_to(columns, ids.shape)
+            inside = (at >= 0) & (at < own[:, None])
+            ids[inside] = self.chars[np.broadcast_to(part[:, None], ids.shape)[inside], at[inside]]
+        out, row = np.zeros(len(piece), bool), np.arange(len(piece))
+        while len(row):
+            left, right = ids[:, :-1], ids[:, 1:]
+            known, at = self.joins.probe(_pair_key(left, right).ravel())
+            known = known.reshape(left.shape) & (left >= 0) & (right >= 0)
+            joined = self.joins.values[at].reshape(left.shape)
+            best = np.where(known, self.score[joined], -np.inf)
+            col = best.argmax(axis=1)
+            done = ~known.any(axis=1)
+            alone = before[row] < 0
+            out[row[done]] = (np.where(alone, (ids[:, 0] == piece[row]) & (ids[:, 1] == -1), (ids[:, 0] == before[row]) & (ids[:, 1] == piece[row]) & (ids[:, min(2, ids.shape[1] - 1)] == -1)))[done]
+            if done.all():
+                break
+            more = ~done
+            ids, row, col, joined = ids[more], row[more], col[more], joined[more]
+            ids[np.arange(len(row)), col] = joined[np.arange(len(row)), col]
+            take = np.minimum(columns[: ids.shape[1] - 1] + (columns[: ids.shape[1] - 1] > col[:, None]), ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, take, axis=1)
+            ids = np.concatenate([ids, np.full((len(row), 1), -1)], axis=1) if ids.shape[1] < 3 else ids
+        return out
 
     def _follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether merging leaves two pieces apart that stand side by side (before -1: a piece alone whole)."""
@@ -166,15 +191,12 @@ class Pieces:
         new = np.flatnonzero(~known)
         if len(new):
             some, back = np.unique((before[new] + 1) << 32 | piece[new], return_inverse=True)
-            valid = np.zeros(len(some), bool)
-            for i, key in enumerate(some.tolist()):
-                ok = self.fresh.get(key)
-                if ok is None:
-                    a, b = (key >> 32) - 1, key & 0xFFFFFFFF
-                    ok = self._merged(("" if a < 0 else self.texts[a]) + self.texts[b]) == ([b] if a < 0 else [a, b])
-                    self.fresh[key] = ok
-                valid[i] = ok
-            out[new] = valid[back]
+            fresh = self.fresh
+            valid = np.array([fresh.get(key, 2) for key in some.tolist()], np.int8)
+            if len(unseen := np.flatnonzero(valid == 2)):
+                valid[unseen] = self._apart((some[unseen] >> 32) - 1, some[unseen] & 0xFFFFFFFF)
+                fresh.update(zip(some[unseen].tolist(), valid[unseen].tolist(), strict=True))
+            out[new] = valid[back] == 1
         return out
 
     def _viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +246,17 @@ class Pieces:
             ids = np.concatenate(spelled)
         return ids.astype(np.int32), np.bincount(owner, minlength=len(row_of))
 
+    def _keep(self, need: set[str]) -> None:
+        """Forgets all words but these."""
+        words = [w for w in need if w in self.words]
+        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        size, start, flat = self.row_size[rows], self.row_start[rows], self.flat
+        end = np.cumsum(size)
+        self._forget()
+        self.words = dict(zip(words, range(len(words)), strict=True))
+        self.flat = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)]
+        self.row_size, self.row_start = size, end - size
+
     def _learn(self, words: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
@@ -242,7 +275,7 @@ class Pieces:
         if self.fresh:
             some = np.fromiter(self.fresh.keys(), np.int64)
             keys = np.concatenate([self.pairs.keys[:-1], _pair_key((some >> 32) - 1, some & 0xFFFFFFFF)])
-            self.pairs = SortedKeys(keys, np.concatenate([self.pairs.values[:-1], np.fromiter(self.fresh.values(), bool)]))
+            self.pairs = SortedKeys(keys, np.concatenate([self.pairs.values[:-1], np.fromiter(self.fresh.values(), np.int8) == 1]))
             self.fresh = {}
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +288,7 @@ class Pieces:
         units = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         need = {u for own in units for u in own}
         if len(need) + len(self.words) > REMEMBERED:
-            self._forget()
+            self._keep(need)
         if need := need.difference(self.words):
             self._learn(need)
         rows = np.fromiter(map(self.words.__getitem__, chain.from_iterable(units)), np.int64)
