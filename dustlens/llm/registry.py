@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dustlens.llm import exact_dedup, packing, pii, quality, sentence_pieces, simhash, token_counts, toxicity, url_filters
+from dustlens.llm import exact_dedup, packing, pii, quality, repeats, sentence_pieces, simhash, token_counts, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": repeats.op1_suffix_dedup,
         "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_toxicity": toxicity.op3_toxicity,
