@@ -1,0 +1 @@
+"""Inspecting, querying and extracting the contents of old binary files with Spark."""
