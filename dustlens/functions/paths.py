@@ -11,7 +11,7 @@ DEVICE_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)),
 
 def segments(path: Column) -> Column:
     """The parts of a path that begins with a slash."""
-    return F.split(F.ltrim(F.lit("/"), path), "/")
+    return F.split(F.ltrim(path, F.lit("/")), "/")
 
 
 def matches(path: Column, pattern: str) -> Column:
