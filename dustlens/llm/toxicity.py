@@ -15,7 +15,7 @@ from dustlens.llm.common import as_bytes, held_out, table, texts_of
 #: The bounded sample that the models are fitted on: so many labelled documents of each class, none longer than so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 15
 #: Standard deviations by which counts are discounted; held-back parts of the sample choose among them.
-DISCOUNTS = (5.0, 8.0)
+DISCOUNTS = (2.5, 3.5)
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -38,7 +38,8 @@ class KneserNey:
 
     Each level counts distinct contexts, as Kneser-Ney's lower levels do: words and their
     beginnings by the words that they follow, pairs by the words before them, so that a passage
-    copied often counts once. A level's probability, given the level below, is that of both
+    copied often counts once. A word or beginning counts no more than the texts that have it, as
+    its places in one text are not independent. A level's probability, given the level below, is that of both
     classes together, plus what the class's count has in excess of (or short of) it beyond
     ``discount`` standard deviations of a count of that size. A rare expression, whose excess
     the discount uses up, takes the shared probability in both classes and so says nothing
@@ -57,20 +58,24 @@ class KneserNey:
         single = [np.unique(np.concatenate([np.zeros(0, np.int64)] + [x[1:-1] * n + x[2:] for x, y in zip(coded, labels, strict=True) if y == c])) for c in (0, 1)]
         triple = [np.unique(np.concatenate([np.zeros((0, 2), np.int64)] + [np.stack([x[:-2], x[1:-1] * n + x[2:]], 1) for x, y in zip(coded, labels, strict=True) if y == c]), axis=0)[:, 1] for c in (0, 1)]
         count = np.stack([np.bincount(s % n, minlength=n) for s in single]).astype(float)
-        parent, above, odds = np.zeros(n, np.int64), count.sum(axis=1, keepdims=True), np.zeros(1)
+        seen_in = [np.unique(np.concatenate([np.zeros(0, np.int64)] + [i * n + np.unique(x[2:]) for i, (x, y) in enumerate(zip(coded, labels, strict=True)) if y == c])) for c in (0, 1)]
+        parent, odds = np.zeros(n, np.int64), np.zeros(1)
         self.odds: list[dict[bytes, float]] = []  # of beginnings, then of words
         for size in (*self.beginnings, None):
             kinds: dict[bytes, int] = {}
             of = np.array([kinds.setdefault(w[:size], len(kinds)) for w in names], np.int64)
             up = np.zeros(len(kinds), np.int64)
             up[of] = parent
-            own = np.stack([np.bincount(of, weights=count[c], minlength=len(kinds)) for c in (0, 1)])
+            contexts = np.stack([np.bincount(of, weights=count[c], minlength=len(kinds)) for c in (0, 1)])
+            texts_with = np.stack([np.bincount(np.unique(s // n * len(kinds) + of[s % n]) % len(kinds), minlength=len(kinds)) for s in seen_in])
+            own = np.minimum(contexts, texts_with)
+            above = np.stack([np.bincount(up, weights=own[c], minlength=len(odds)) for c in (0, 1)])
             share = own.sum(axis=0) / np.maximum(above.sum(axis=0)[up], 1e-12)
             kept = _excess(own, above[:, up] * share, self.discount)
             ratio = np.where(above[:, up] > 0, kept / np.maximum(above[:, up], 1e-12), share)
             odds = odds[up] + np.log(np.maximum(ratio[1], 1e-12) / np.maximum(ratio[0], 1e-12))
             self.odds.append(dict(zip(kinds, odds.tolist(), strict=True)))
-            parent, above = of, own
+            parent = of
         # Pairs that keep an excess in a class.
         pairs = np.unique(np.concatenate(triple))
         seen = np.zeros((2, len(pairs)))
