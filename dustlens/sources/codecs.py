@@ -144,3 +144,117 @@ def unfilter_sub(row: bytes, step: int) -> bytes:
     for i in range(step, len(out)):
         out[i] = (out[i] + out[i - step]) & 255
     return bytes(out)
+
+
+class _Bits:
+    """Bits of a stream, the highest of each byte first; 0 past the end, as encoders leave the last bits out."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def peek(self, n: int) -> int:
+        while self.n < n:
+            if self.at > len(self.data) + 8:
+                raise ValueError("packed data ends early")
+            self.held = (self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 0)) & 0xFFFFFFFFFF
+            self.at += 1
+            self.n += 8
+        return self.held >> self.n - n & (1 << n) - 1
+
+    def take(self, n: int) -> int:
+        out = self.peek(n)
+        self.n -= n
+        return out
+
+
+def _prefix_codes(lengths: list[int]) -> dict[tuple[int, int], int]:
+    """(bits, code) -> symbol of a canonical prefix code; it must be complete."""
+    out, code = {}, 0
+    for size in range(1, 17):
+        for symbol, own in enumerate(lengths):
+            if own == size:
+                out[size, code] = symbol
+                code += 1
+        code <<= 1
+    if code != 1 << 17:
+        raise ValueError("a prefix code is not complete")
+    return out
+
+
+class _Symbols:
+    """Reads symbols of one prefix code, or the only symbol there is."""
+
+    def __init__(self, lengths: list[int] | None, only: int = 0):
+        self.only, self.codes = only, _prefix_codes(lengths) if lengths is not None else None
+
+    def read(self, bits: _Bits) -> int:
+        if self.codes is None:
+            return self.only
+        code = 0
+        for size in range(1, 17):
+            code = code << 1 | bits.take(1)
+            symbol = self.codes.get((size, code))
+            if symbol is not None:
+                return symbol
+        raise ValueError("no such code")
+
+
+def _short_lengths(bits: _Bits, most: int, count_bits: int, gap: int) -> _Symbols:
+    """Lengths of 3 bits, 7 and more in unary; after the third of ``gap`` lengths a count of zeros."""
+    n = bits.take(count_bits)
+    if n == 0:
+        return _Symbols(None, bits.take(count_bits))
+    lengths: list[int] = []
+    while len(lengths) < n:
+        size = bits.take(3)
+        if size == 7:
+            while bits.take(1):
+                size += 1
+        lengths.append(size)
+        if len(lengths) == gap:
+            lengths += [0] * bits.take(2)
+    if len(lengths) > most or max(lengths) > 16:
+        raise ValueError("bad code lengths")
+    return _Symbols(lengths)
+
+
+def _long_lengths(bits: _Bits, short: _Symbols) -> _Symbols:
+    n = bits.take(9)
+    if n == 0:
+        return _Symbols(None, bits.take(9))
+    lengths: list[int] = []
+    while len(lengths) < n:
+        s = short.read(bits)
+        lengths += [s - 2] if s > 2 else [0] * (1 if s == 0 else bits.take(4) + 3 if s == 1 else bits.take(9) + 20)
+    if len(lengths) > 510:
+        raise ValueError("bad code lengths")
+    return _Symbols(lengths)
+
+
+def unpack_lh5(data: bytes, size: int) -> bytes:
+    """Blocks of prefix-coded literals and copies out of the last 8,192 bytes, which begin as spaces."""
+    if size > 1 << 28:
+        raise ValueError("a member is too large")
+    bits, out, left = _Bits(data), bytearray(b" " * 8192), 0
+    literal = place = _Symbols(None)
+    while len(out) < size + 8192:
+        if not left:
+            left = bits.take(16)
+            literal = _long_lengths(bits, _short_lengths(bits, 19, 5, 3))
+            place = _short_lengths(bits, 14, 4, -1)
+            if not left:
+                raise ValueError("a block is empty")
+        left -= 1
+        symbol = literal.read(bits)
+        if symbol < 256:
+            out.append(symbol)
+            continue
+        p = place.read(bits)
+        back = (1 << p - 1 | bits.take(p - 1) if p > 1 else p) + 1
+        if back > 8192:
+            raise ValueError("a copy reaches too far back")
+        for _ in range(symbol - 253):
+            out.append(out[-back])
+    if len(out) != size + 8192:
+        raise ValueError("a copy crosses the end")
+    return bytes(out[8192:])

@@ -6,7 +6,7 @@ import json
 import struct
 import zlib
 
-from dustlens.sources.codecs import inflate
+from dustlens.sources.codecs import inflate, unpack_lh5
 from dustlens.sources.images import bmp, iff_chunks, png
 from dustlens.sources.model import Audio, Node, Reader, need, safe_name
 
@@ -455,7 +455,7 @@ def _crc16(data: bytes) -> int:
 
 
 def lha(data: bytes, name: str) -> list[Node]:
-    """Levels 0 and 1; stored members are read, packed ones are listed."""
+    """Levels 0 and 1; stored members and those of method 5 are read, others are listed."""
     r, at, files = Reader(data), 0, []
     while at < len(data) and data[at]:
         size, total, method, packed, unpacked, _, _, level, n = r.unpack("<BB5sIIIBBB", at)
@@ -470,11 +470,16 @@ def lha(data: bytes, name: str) -> list[Node]:
                 (extra,) = r.unpack("<H", body_at + skip - 2)
         body = r.take(body_at + skip, packed - skip)
         own = [("compression", method.decode("latin-1")), ("data.length", unpacked)]
-        if method == b"-lh0-":
-            need(_crc16(body) == crc and len(body) == unpacked, "the checksum is wrong")
-        else:
+        content = None if method == b"-lhd-" else b""
+        if method in (b"-lh0-", b"-lh5-"):
+            try:
+                content = body if method == b"-lh0-" else unpack_lh5(body, unpacked)
+                need(_crc16(content) == crc and len(content) == unpacked, "the checksum is wrong")
+            except ValueError as e:  # one bad member does not spoil the others
+                own, content = [*own, ("failure", str(e))], b""
+        elif method != b"-lhd-":
             own.append(("failure", "unsupported method"))
-        files.append((safe_name(label), own, None if method == b"-lhd-" else body if method == b"-lh0-" else b""))
+        files.append((safe_name(label), own, content))
         at = body_at + packed
     need(bool(files), "no members")
     return _tree("/archive", "archive.lha", [("entries", len(files))], files)

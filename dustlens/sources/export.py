@@ -11,13 +11,16 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dustlens.sources.codecs import lzw_encode
+
 #: Formats for each kind, the default one first.
-FORMATS = {"raster": ("png", "palette-swatch"), "audio": ("wav",), "palette": ("gpl", "palette-swatch"), "text": ("txt", "md"), "document": ("md", "txt"), "tracker": ("txt",), "opaque": ("bin",)}
-MEDIA = {"png": "image/png", "palette-swatch": "image/png", "wav": "audio/wav", "gpl": "text/plain", "txt": "text/plain", "md": "text/markdown", "bin": "application/octet-stream", "metadata-json": "application/json", "html-report": "text/html"}
-ENDINGS = {"palette-swatch": "png", "metadata-json": "json", "html-report": "html"}
+FORMATS = {"raster": ("png", "apng", "gif", "palette-swatch"), "font": ("bmfont", "png"), "audio": ("wav",), "palette": ("gpl", "palette-swatch"), "text": ("txt", "md"), "document": ("md", "txt"), "tracker": ("tracker-json",), "opaque": ("bin",)}
+MEDIA = {"png": "image/png", "palette-swatch": "image/png", "apng": "image/apng", "gif": "image/gif", "bmfont": "text/plain", "tracker-json": "application/json", "wav": "audio/wav", "gpl": "text/plain", "txt": "text/plain", "md": "text/markdown", "bin": "application/octet-stream", "metadata-json": "application/json", "html-report": "text/html"}
+ENDINGS = {"palette-swatch": "png", "apng": "png", "bmfont": "fnt", "tracker-json": "json", "metadata-json": "json", "html-report": "html"}
 
 
 def png(width: int, height: int, rgba: bytes) -> bytes:
@@ -28,10 +31,60 @@ def png(width: int, height: int, rgba: bytes) -> bytes:
         row = rgba[y * width * 4 : (y + 1) * width * 4]
         rows.append(b"\0" + (row if alpha else b"".join(row[i : i + 3] for i in range(0, len(row), 4))))
 
-    def chunk(kind: bytes, body: bytes) -> bytes:
-        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6 if alpha else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6 if alpha else 2, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(b"".join(rows))) + _chunk(b"IEND", b"")
+
+
+def _chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def apng(width: int, height: int, frames: list[tuple[int, bytes]]) -> bytes:
+    """Whole RGBA frames that repeat for ever; the first one is also the still picture."""
+    out = [b"\x89PNG\r\n\x1a\n", _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)), _chunk(b"acTL", struct.pack(">II", len(frames), 0))]
+    number = 0
+    for i, (ms, rgba) in enumerate(frames):
+        out.append(_chunk(b"fcTL", struct.pack(">IIIIIHHBB", number, width, height, 0, 0, min(ms, 65535), 1000, 0, 0)))
+        lines = b"".join(b"\0" + rgba[y * width * 4 : (y + 1) * width * 4] for y in range(height))
+        number += 1
+        if i:
+            out.append(_chunk(b"fdAT", struct.pack(">I", number) + zlib.compress(lines)))
+            number += 1
+        else:
+            out.append(_chunk(b"IDAT", zlib.compress(lines)))
+    return b"".join([*out, _chunk(b"IEND", b"")])
+
+
+def gif(width: int, height: int, frames: list[tuple[int, bytes]]) -> bytes | None:
+    """Frames with a table each; None where one has half-transparent pixels or over 256 colours, as nothing is quantized."""
+    loop = b"\x21\xff\x0bNETSCAPE2.0\3\1\0\0\0" if len(frames) > 1 else b""
+    out = [struct.pack("<6sHHBBB", b"GIF89a", width, height, 0, 0, 0), loop]
+    for ms, rgba in frames:
+        pixels = np.frombuffer(rgba, np.uint8).reshape(-1, 4)
+        if ((pixels[:, 3] > 0) & (pixels[:, 3] < 255)).any():
+            return None
+        colours, index = np.unique(np.where(pixels[:, 3:] > 0, pixels, 0).astype(np.uint8).view(np.uint32).reshape(-1), return_inverse=True)
+        if len(colours) > 256:
+            return None
+        rows = colours.view(np.uint8).reshape(-1, 4)
+        bits = max(1, (len(rows) - 1).bit_length())
+        clear = np.flatnonzero(rows[:, 3] == 0)
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 8 | int(clear.size > 0), min(round(ms / 10), 65535), int(clear[0]) if clear.size else 0, 0))
+        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, width, height, 0x80 | bits - 1) + rows[:, :3].tobytes() + bytes(3 * ((1 << bits) - len(rows))))
+        depth = max(2, bits)
+        packed = lzw_encode(index.astype(np.uint8).tobytes(), depth)
+        out.append(bytes([depth]) + b"".join(bytes([len(packed[i : i + 255])]) + packed[i : i + 255] for i in range(0, len(packed), 255)) + b"\0")
+    return b"".join([*out, b";"])
+
+
+def bmfont(name: str, width: int, height: int, metadata: list[dict]) -> bytes:
+    """A text descriptor of a strip of glyphs; the page is the resource's PNG. Glyphs carry offset and width, or follow each other by 16 pixels."""
+    own = {m["key"]: m["value"] for m in metadata}
+    glyphs = [(k[6:], [int(x) for x in v.split(",")]) for k, v in own.items() if k.startswith("glyph.") and k[6:].isdigit()]
+    lines = [f'info face="{name}" size={height} unicode=0', f"common lineHeight={height} base={own.get('baseline', height)} scaleW={width} scaleH={height} pages=1 packed=0", f'page id=0 file="{file_name(name, "png")}"', f"chars count={len(glyphs)}"]
+    for i, (code, v) in enumerate(glyphs):
+        x, w, step = (v[0], v[1], v[2] + v[3]) if len(v) == 4 else (16 * i, v[2], v[2] - v[0] + int(own.get("tracking", 0)))
+        lines.append(f"char id={code} x={x} y=0 width={w} height={height} xoffset={v[3] if len(v) == 4 else -v[0]} yoffset=0 xadvance={step} page=0 chnl=15")
+    return ("\n".join(lines) + "\n").encode()
 
 
 def wav(rate: int, bits: int, channels: list[list[int]]) -> bytes:
@@ -72,6 +125,13 @@ def markdown(text: str) -> bytes:
 def _encode(row: dict, form: str) -> bytes | None:
     if form == "png" and row["rgba"] is not None:
         return png(row["width"], row["height"], row["rgba"])
+    if form in ("apng", "gif") and row["rgba"] is not None:
+        frames = [(f["ms"], f["rgba"]) for f in row.get("frames") or [{"ms": 0, "rgba": row["rgba"]}]]
+        return apng(row["width"], row["height"], frames) if form == "apng" else gif(row["width"], row["height"], frames)
+    if form == "bmfont" and row["kind"] == "font" and row["rgba"] is not None:
+        return bmfont(row["path"], row["width"], row["height"], row["metadata"])
+    if form == "tracker-json" and row["kind"] == "tracker":
+        return json.dumps({"schema": 1, "type": row["type_id"], "path": row["path"], "text": row["text"], "metadata": {m["key"]: m["value"] for m in row["metadata"]}}, ensure_ascii=False).encode()
     if form == "wav" and row["pcm"] is not None:
         return wav(row["rate"], row["bits"], row["pcm"])
     if form in ("gpl", "palette-swatch") and row["colours"]:

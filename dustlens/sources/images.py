@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from dustlens.sources.codecs import lzw_decode, unpack_runs
+from dustlens.sources.codecs import unpack_runs
 from dustlens.sources.model import Node, Raster, Reader, need
 
 
@@ -259,51 +259,6 @@ def tga(data: bytes, name: str) -> list[Node]:
     return [Node("/", "tga", "raster", [("image-type", kind), ("bits-per-pixel", bits), ("attribute-bits", flags & 15), ("position.x", x), ("position.y", y)], raster=Raster(width, height, np.ascontiguousarray(pixels).tobytes()))]
 
 
-def gif(data: bytes, name: str) -> list[Node]:
-    """The first frame, on a transparent canvas; the frames are counted."""
-    r = Reader(data)
-    version, width, height, flags, back, aspect = r.unpack("<6sHHBBB", 0)
-    need(version in (b"GIF87a", b"GIF89a"), "no GIF")
-    size = 3 << (flags & 7) + 1 if flags & 128 else 0
-    table, at, frames, extensions, transparent, first = r.take(13, size), 13 + size, 0, 0, None, None
-    while True:
-        kind = r.take(at, 1)[0]
-        if kind == 0x3B:
-            break
-        if kind == 0x21:
-            if r.take(at + 1, 2) == b"\xf9\x04" and not frames:
-                f = r.take(at + 3, 4)
-                transparent = f[3] if f[0] & 1 else None
-            extensions += 1
-            at += 2
-        else:
-            need(kind == 0x2C, "unknown block")
-            x, y, w, h, own = r.unpack("<HHHHB", at + 1)
-            at += 10
-            local = 3 << (own & 7) + 1 if own & 128 else 0
-            colours = r.take(at, local) or table
-            bits = r.take(at + local, 1)[0]
-            at += local + 1
-            frames += 1
-        blocks = b""
-        while n := r.take(at, 1)[0]:
-            blocks += r.take(at + 1, n)
-            at += 1 + n
-        at += 1
-        if kind == 0x2C and frames == 1:
-            pixels = np.frombuffer(lzw_decode(blocks, bits), np.uint8)
-            need(len(pixels) == w * h and x + w <= width and y + h <= height and bool(colours), "pixels do not cover the frame")
-            rows = pixels.reshape(h, w)
-            if own & 64:
-                order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-                rows = rows[np.argsort(order)]
-            canvas = np.zeros((height, width, 4), np.uint8)
-            canvas[y : y + h, x : x + w] = np.frombuffer(_indexed(rows, np.frombuffer(colours, np.uint8).reshape(-1, 3), transparent), np.uint8).reshape(h, w, 4)
-            first = canvas.tobytes()
-    need(first is not None, "no frame")
-    return [Node("/", "gif", "raster", [("gif.version", version.decode()), ("frames", frames), ("background-index", back), ("pixel-aspect-ratio", aspect), ("extensions", extensions)], raster=Raster(width, height, first))]
-
-
 #: The display's colours: bit 0 blue, bit 1 red, bit 2 green, at 215 or, bright, 255 (fixed values).
 ZX = np.array([[(255 if i & 8 else 215) * (i >> b & 1) for b in (1, 2, 0)] for i in range(16)], np.uint8)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustlens.operators.detection import PROBES
-from dustlens.sources import containers, images, palettes_audio
+from dustlens.sources import amiga, animations, containers, images, palettes_audio
 from dustlens.sources.model import Node
 
 Parser = Callable[[bytes, str], list[Node]]
 
 #: Parsers by type. Those behind a signature are tried by ``PROBES``; the others by name and size, see ``GATED``.
 PARSERS: dict[str, Parser] = {
-    "adobe.pdf": containers.pdf, "database.sqlite3": containers.sqlite, "doom.wad": containers.wad, "gif": images.gif, "png": images.png, "qoi": images.qoi,
+    "adobe.pdf": containers.pdf, "database.sqlite3": containers.sqlite, "doom.wad": containers.wad, "gif": animations.gif, "jpeg": animations.jpeg, "png": images.png, "qoi": images.qoi,
     "netpbm": images.netpbm, "windows.bmp": images.bmp, "pcx": images.pcx, "wav": palettes_audio.wav, "paint-net.palette": palettes_audio.paint_net,
     "gimp.palette": palettes_audio.gimp, "jasc.palette": palettes_audio.jasc, "adobe.swatch-exchange": palettes_audio.swatches, "archive.zip": containers.zip_archive,
     "image.openraster": containers.openraster, "archive.lha": containers.lha, "archive.powerpacker": containers.powerpacker, "amiga.16sv": palettes_audio.svx,
@@ -29,8 +30,22 @@ PARSERS: dict[str, Parser] = {
     "zx-spectrum.tap": containers.tap, "zx-spectrum.tzx": containers.tzx, "zx-spectrum.screen": images.zx_screen, "zx-spectrum.snapshot": images.zx_snapshot,
     "commodore64.koala-painter": images.koala, "tga": images.tga, "rgba8.palette": palettes_audio.rgba8, "zx-spectrum-next.palette": palettes_audio.next_palette,
     "windows.dib": lambda data, name: images.bmp(data, name, 0),
+    "amiga.adf": amiga.adf, "amiga.hunk-executable": amiga.hunk, "amiga.lha-sfx": amiga.lha_sfx, "amiga.workbench-icon": amiga.workbench_icon, "amiga.bitmap-diskfont-index": amiga.font_index,
+    "amiga.bitmap-diskfont": amiga.font, "amiga.acbm": amiga.acbm, "amiga.pbm": amiga.pbm, "amiga.deep": amiga.deep, "amos.sprite-bank": amiga.picture_bank, "amos.icon-bank": amiga.picture_bank,
+    "flic": animations.flic, "aseprite.sprite": animations.aseprite, "zx-spectrum.gigascreen": animations.gigascreen, "zx-spectrum-next.layer2-image": animations.layer2,
+    "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
 }
 
+#: Types that are tried before the registry's, as they refine one of its signatures.
+REFINED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
+    ("amiga.acbm", lambda d, e: d[:4] == b"FORM" and d[8:12] == b"ACBM"),
+    ("amiga.pbm", lambda d, e: d[:4] == b"FORM" and d[8:12] == b"PBM "),
+    ("amiga.deep", lambda d, e: d[:4] == b"FORM" and d[8:12] == b"DEEP"),
+    ("amiga.bitmap-diskfont", lambda d, e: d[:4] == b"\0\0\3\xf3" and d[50:52] == b"\x0f\x80"),
+    ("amiga.lha-sfx", lambda d, e: d[:4] == b"\0\0\3\xf3" and b"-lh" in d),
+    ("amiga.hunk-executable", lambda d, e: d[:4] == b"\0\0\3\xf3"),
+)
+
 #: Types without a signature in the first bytes: when to try them.
 GATED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
     ("filesystem.iso9660", lambda d, e: d[32769:32774] == b"CD001"),
@@ -43,6 +58,18 @@ GATED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
     ("amos.bank-set", lambda d, e: d[:4] == b"AmBs"),
     ("archive.electron-asar", lambda d, e: d[:4] == b"\4\0\0\0"),
     ("zx-spectrum.tzx", lambda d, e: d[:7] == b"ZXTape!"),
+    ("amiga.adf", lambda d, e: d[:3] == b"DOS" and len(d) in (901120, 1802240)),
+    ("amiga.workbench-icon", lambda d, e: d[:2] == b"\xe3\x10"),
+    ("amiga.bitmap-diskfont-index", lambda d, e: d[:2] == b"\x0f\0" or d[:2] == b"\x0f\2"),
+    ("amos.sprite-bank", lambda d, e: d[:4] == b"AmSp"),
+    ("amos.icon-bank", lambda d, e: d[:4] == b"AmIc"),
+    ("flic", lambda d, e: d[4:6] in (b"\x11\xaf", b"\x12\xaf")),
+    ("aseprite.sprite", lambda d, e: d[4:6] == b"\xe0\xa5"),
+    ("windows.write", lambda d, e: d[:4] in (b"\x31\xbe\0\0", b"\x32\xbe\0\0")),
+    ("wordstar.document", lambda d, e: d[:3] == b"\x1d\x7d\0"),
+    ("zx-spectrum.gigascreen", lambda d, e: len(d) == 7680 and e == "scr"),
+    ("zx-spectrum-next.layer2-image", lambda d, e: len(d) in (49152, 49664, 81920) and e == "nxi" or len(d) in (49152, 49280) and e == "sl2"),
+    ("zx-spectrum.fzx-font", lambda d, e: e == "fzx"),
     ("zx-spectrum.screen", lambda d, e: len(d) == 6912),
     ("zx-spectrum.snapshot", lambda d, e: len(d) in (49179, 131103, 147487) and e == "sna"),
     ("commodore64.koala-painter", lambda d, e: len(d) == 10003 or len(d) > 10003 and e == "koala"),
@@ -57,14 +84,14 @@ _HEADS = [(p, re.compile(p.head.encode("latin-1"), re.S)) for p in PROBES if not
 
 SCHEMA = (
     "source_id long, ordinal int, path string, depth int, type_id string, kind string, failure string, metadata array<struct<key:string,value:string>>, "
-    "data binary, width int, height int, rgba binary, rate int, bits int, pcm array<array<int>>, colours array<struct<r:int,g:int,b:int,a:int>>, text string"
+    "data binary, width int, height int, rgba binary, rate int, bits int, pcm array<array<int>>, colours array<struct<r:int,g:int,b:int,a:int>>, text string, frames array<struct<ms:int,rgba:binary>>"
 )
 
 
 def candidate_types(data: bytes, name: str) -> list[str]:
     """Types to try, strongest evidence first by place in the registry, refiners before what they refine."""
     ending = name.rpartition(".")[2].lower() if "." in name else ""
-    out: list[str] = []
+    out = [t for t, fits in REFINED if fits(data, ending)]
     for p, head in _HEADS:
         if (not p.head or head.match(data[:64])) and (not p.extension or re.fullmatch(p.extension.strip("^$"), ending)):
             out += [q.type_id for q in PROBES if q.carrier == p.type_id and re.match(q.head.encode("latin-1"), data[:64], re.S)] + [p.type_id]
@@ -80,7 +107,7 @@ def inspect_bytes(data: bytes, name: str, type_id: str | None = None) -> tuple[l
         if t in PARSERS:
             try:
                 return PARSERS[t](data, name), None
-            except (ValueError, struct.error, IndexError, KeyError, TypeError, OverflowError) as e:
+            except (ValueError, struct.error, zlib.error, IndexError, KeyError, TypeError, OverflowError) as e:
                 failure = failure or f"{t}: {e}"
     return [], failure
 
@@ -121,7 +148,7 @@ def inspect(sources: DataFrame, type_id: str | None = None, most_depth: int = 8,
                         "metadata": [{"key": k, "value": str(v)} for k, v in n.metadata], "data": n.data,
                         "width": n.raster and n.raster.width, "height": n.raster and n.raster.height, "rgba": n.raster and n.raster.rgba,
                         "rate": n.audio and n.audio.rate, "bits": n.audio and n.audio.bits, "pcm": n.audio and n.audio.channels,
-                        "colours": n.palette and [dict(zip("rgba", c, strict=True)) for c in n.palette], "text": n.text,
+                        "colours": n.palette and [dict(zip("rgba", c, strict=True)) for c in n.palette], "text": n.text, "frames": n.frames and [{"ms": ms, "rgba": v} for ms, v in n.frames],
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -133,7 +160,7 @@ def arrow_schema() -> pa.Schema:
     return pa.schema([
         ("source_id", pa.int64()), ("ordinal", number), ("path", text), ("depth", number), ("type_id", text), ("kind", text), ("failure", text),
         ("metadata", pa.list_(pa.struct([("key", text), ("value", text)]))), ("data", pa.binary()), ("width", number), ("height", number), ("rgba", pa.binary()),
-        ("rate", number), ("bits", number), ("pcm", pa.list_(pa.list_(number))), ("colours", pa.list_(pa.struct([(c, number) for c in "rgba"]))), ("text", text),
+        ("rate", number), ("bits", number), ("pcm", pa.list_(pa.list_(number))), ("colours", pa.list_(pa.struct([(c, number) for c in "rgba"]))), ("text", text), ("frames", pa.list_(pa.struct([("ms", number), ("rgba", pa.binary())]))),
     ])
 
 

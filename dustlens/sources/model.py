@@ -30,6 +30,7 @@ class Node(NamedTuple):
     audio: Audio | None = None
     palette: list[tuple[int, int, int, int]] | None = None
     text: str | None = None
+    frames: list[tuple[int, bytes]] | None = None  # milliseconds and pixels, where there is more than one
 
 
 class Reader:
