@@ -6,7 +6,7 @@ import numpy as np
 
 from dustlens.sources import containers
 from dustlens.sources.codecs import unpack_runs
-from dustlens.sources.images import _indexed, iff_chunks
+from dustlens.sources.images import _indexed, iff_chunks, ilbm, line_rows, plane_pixels, shades
 from dustlens.sources.model import Node, Raster, Reader, need, safe_name
 
 BLOCK = 512
@@ -311,3 +311,100 @@ def picture_bank(data: bytes, name: str) -> list[Node]:
     need(at + 64 == len(data), "bytes after the colours")
     out = [Node(f"/{word}", f"amos.{word}-bank", "group", [("images", count)])]
     return out + [Node(f"/{word}/{i}", f"amos.{word}-bank", "raster", [("planes", depth), ("hotspot.x", x), ("hotspot.y", y)], raster=Raster(w, h, _indexed(pixels, colours, 0))) for i, w, h, depth, x, y, pixels in found]
+
+
+def _bytes_down(delta: bytes, rows: np.ndarray) -> None:
+    """The vertical byte delta: for each plane and column, counts of lines to skip, to copy and to fill."""
+    r, (height, planes, line) = Reader(delta), rows.shape
+    for plane in range(planes):
+        (at,) = r.unpack(">I", 4 * plane)
+        if not at:
+            continue
+        for column in range(line):
+            (n,) = r.unpack("B", at)
+            at, y = at + 1, 0
+            for _ in range(n):
+                (op,) = r.unpack("B", at)
+                size = op & 127 if op else r.unpack("B", at + 1)[0]
+                if op & 128 or not op:
+                    need(y + size <= height, "a run leaves the picture")
+                    rows[y : y + size, plane, column] = np.frombuffer(r.take(at + 1, size), np.uint8) if op else r.unpack("B", at + 2)[0]
+                at += 1 + (size if op & 128 else 0 if op else 2)
+                y += size
+
+
+def anim(data: bytes, name: str) -> list[Node]:
+    """A first picture, and vertical byte deltas against the frame two, or as many as it says, before."""
+    kind, forms = iff_chunks(data)
+    need(kind == "ANIM" and bool(forms) and all(n == "FORM" and v[:4] == b"ILBM" for n, v in forms) and len(forms) <= 10_000, "no animation of bitmaps")
+    parts = [dict(reversed(iff_chunks(b"FORM" + len(v).to_bytes(4, "big") + v)[1])) for _, v in forms]
+    first = b"FORM" + len(forms[0][1]).to_bytes(4, "big") + forms[0][1]
+    still, head = ilbm(first, name)[0], _bitmap_head(parts[0])
+    width, height, _, _, planes, masking, packing, *_ = head
+    mode = Reader(parts[0]["CAMG"]).unpack(">I", 0)[0] if "CAMG" in parts[0] else 0
+    need(still.raster is not None and masking != 1 and not mode & 0x800 and width * height * len(parts) <= 1 << 26, "unsupported mode")
+    kept, frames = [line_rows(parts[0]["BODY"], width, height, planes, packing)], [(0, still.raster.rgba)]
+    colours = _colours(parts[0])
+    for own in parts[1:]:
+        op, _, _, _, _, _, _, jiffies, back = Reader(own.get("ANHD", b"")).unpack(">BBHHhhIIB", 0)
+        need(op == 5, f"unsupported method {op}")
+        rows = kept[max(0, len(kept) - (back or 2))].copy()
+        if "DLTA" in own:
+            _bytes_down(own["DLTA"], rows)
+        colours = _colours(own) if "CMAP" in own else colours
+        kept.append(rows)
+        kept = kept[-256:]
+        frames.append((round(jiffies * 1000 / 60), _indexed(plane_pixels(rows, width), shades(colours, mode))))
+    shown = [(frames[min(i + 1, len(frames) - 1)][0], v) for i, (_, v) in enumerate(frames)]  # a delta's time is that before it
+    return [Node("/animation", "amiga.anim", "raster", [("frames", len(frames)), ("stored-frames", len(parts)), ("planes", planes), ("camg", mode)], raster=still.raster, frames=shown if len(shown) > 1 else None)]
+
+
+def _unpack_marked_runs(data: bytes, size: int) -> bytes:
+    """0x90 marks a run: a count and a byte, or 0xFF, a byte and a long count; a count of 0 is the mark itself."""
+    r, out, at = Reader(data), bytearray(), 0
+    while len(out) < size:
+        b = r.take(at, 1)
+        at += 1
+        if b != b"\x90":
+            out += b
+            continue
+        n = r.take(at, 1)[0]
+        at += 1
+        if not n:
+            out += b
+            continue
+        value = r.take(at, 1)
+        at += 1
+        if n == 255:
+            (n,) = r.unpack(">H", at)
+            at += 2
+        out += value * n
+    need(len(out) == size, "a run crosses the end")
+    return bytes(out)
+
+
+def dms(data: bytes, name: str) -> list[Node]:
+    """A disk in tracks, stored or packed by runs; where all tracks can be read they are joined to a disk, else listed."""
+    r = Reader(data)
+    need(data[:4] == b"DMS!" and containers._crc16(r.take(4, 50)) == r.unpack(">H", 54)[0], "no disk archive")
+    info, _, low, high, packed, unpacked = r.unpack(">IIHHII", 8)
+    (method,) = r.unpack(">H", 52)
+    at, tracks = 56, []
+    while at + 20 <= len(data) and data[at : at + 2] == b"TR":
+        number, _, stored, _, size, flags, how, total, crc, head = r.unpack(">HHHHHBBHHH", at + 2)
+        need(containers._crc16(r.take(at, 18)) == head, "a track's header is damaged")
+        body = r.take(at + 20, stored)
+        need(containers._crc16(body) == crc, "a track is damaged")
+        plain = body if how == 0 else _unpack_marked_runs(body, size) if how == 1 else None
+        need(plain is None or sum(plain) & 0xFFFF == total, "a track's checksum is wrong")
+        tracks.append((number, how, size, body, plain if not info & 2 else None))
+        at += 20 + stored
+    need(bool(tracks), "no tracks")
+    metadata = [("dms.info-flags", info), ("dms.low-track", low), ("dms.high-track", high), ("dms.tracks", len(tracks)), ("dms.packed-length", packed), ("dms.unpacked-length", unpacked), ("dms.compression", method)]
+    disk = [plain for number, *_, plain in tracks if number < 80]
+    if all(p is not None for p in disk):
+        joined = b"".join(disk)
+        if joined[:3] == b"DOS" and len(joined) in (901120, 1802240):
+            files = adf(joined, name)
+            return [files[0]._replace(type_id="amiga.dms", metadata=metadata + files[0].metadata), *files[1:]]
+    return [Node("/tracks", "amiga.dms", "group", metadata), *[Node(f"/tracks/{i}", "amiga.dms-track", "opaque", [("track.number", n), ("compression", how), ("unpacked.length", size), ("packed.length", len(body))], data=plain if plain is not None else body) for i, (n, how, size, body, plain) in enumerate(tracks)]]

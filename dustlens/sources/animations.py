@@ -347,3 +347,42 @@ def jpeg(data: bytes, name: str) -> list[Node]:
     if jfif:
         metadata += [("jfif.version", f"{jfif[0]}.{jfif[1]:02d}"), ("jfif.density-units", jfif[2]), ("jfif.density.x", jfif[3]), ("jfif.density.y", jfif[4])]
     return [Node("/image", "jpeg", "opaque", [*metadata, ("decode.warning", "pixels are not decoded")], data=data)]
+
+
+def bmfont(data: bytes, name: str) -> list[Node]:
+    """A descriptor as text, XML or binary: its glyphs are metadata (x, y, width, height, offsets, advance, page); its page files are named."""
+    head, pages, glyphs, kernings = {}, {}, [], 0
+    if data[:4] == b"BMF\3":
+        r, at = Reader(data), 4
+        while at < len(data):
+            kind, size = r.unpack("<BI", at)
+            body = Reader(r.take(at + 5, size))
+            if kind == 1:
+                head["size"], head["face"] = abs(body.unpack("<h", 0)[0]), body.data[14:].split(b"\0")[0].decode("utf-8", "replace")
+            elif kind == 2:
+                head["lineHeight"], head["base"], head["scaleW"], head["scaleH"], count = body.unpack("<HHHHH", 0)
+                head["pages"] = count
+            elif kind == 3:
+                pages = dict(enumerate(body.data.rstrip(b"\0").decode("utf-8", "replace").split("\0")))
+            elif kind == 4:
+                glyphs = [body.unpack("<IHHHHhhhB", i) for i in range(0, size - size % 20, 20)]
+            elif kind == 5:
+                kernings = size // 10
+            at += 5 + size
+    else:
+        for kind, rest in re.findall(r"(?m)^\s*<?(info|common|page|char|kerning)\s+(.*)$", data.decode("utf-8", "replace")):
+            own = {k: a or b for k, a, b in re.findall(r'(\w+)=(?:"([^"]*)"|(\S+?)(?=\s|/|$))', rest)}
+            if kind in ("info", "common"):
+                head |= own
+            elif kind == "page":
+                pages[int(own["id"])] = own["file"]
+            elif kind == "char":
+                glyphs.append(tuple(int(own[k]) for k in ("id", "x", "y", "width", "height", "xoffset", "yoffset", "xadvance", "page")))
+            else:
+                kernings += 1
+    need(int(head.get("lineHeight", 0)) > 0 and bool(pages) and all(g[8] in pages for g in glyphs), "no font, or a page is missing")
+    wide, high = int(head.get("scaleW", 0)), int(head.get("scaleH", 0))
+    need(all(g[1] + g[3] <= wide and g[2] + g[4] <= high for g in glyphs), "a glyph is outside of its page")
+    metadata = [("font.face", head.get("face", "")), ("font.size", head.get("size", 0)), ("font.declared-line-height", head["lineHeight"]), ("font.declared-baseline", head.get("base", 0)), ("pages", len(pages)), ("characters", len(glyphs)), ("kernings", kernings), ("atlas.width", wide), ("atlas.height", high)]
+    metadata += [(f"page.{i}", f) for i, f in sorted(pages.items())] + [(f"glyph.{g[0]}", ",".join(map(str, g[1:]))) for g in glyphs]
+    return [Node("/font", "bitmap-font.bmfont", "font", metadata)]

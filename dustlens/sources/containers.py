@@ -619,3 +619,108 @@ def powerpacker(data: bytes, name: str) -> list[Node]:
             place -= 1
             out[place] = out[place + offset + 1] if place + offset + 1 < size else 0
     return [Node("/content", "archive.powerpacker", "opaque", [("powerpacker.version", "PP20"), ("powerpacker.compressed-length", len(data)), ("powerpacker.uncompressed-length", size)], data=bytes(out))]
+
+
+def appimage(data: bytes, name: str) -> list[Node]:
+    """The first kind: a program that is a disc image as well."""
+    need(data[:4] == b"\x7fELF" and data[8:11] == b"AI\x01", "no program of this kind")
+    disc, *files = iso9660(data, name)
+    return [n._replace(path="/appimage" + n.path.removeprefix("/disc"), type_id="executable.appimage-type1" if n is disc else n.type_id) for n in (disc, *files)]
+
+
+def _unzip(data: bytes, most: int) -> bytes:
+    """A zlib stream of less than ``most`` bytes."""
+    try:
+        out = zlib.decompressobj().decompress(data, most)
+    except zlib.error as e:
+        raise ValueError(str(e)) from e
+    need(len(out) < most, "a block is too large")
+    return out
+
+
+class _Squash:
+    """Inodes, folders and blocks of a SquashFS 4 image with deflated or plain blocks."""
+
+    def __init__(self, data: bytes):
+        self.r = Reader(data)
+        magic, _, _, self.block, self.fragments, packing, _, flags, _, major, _, self.root, used, _, _, self.inodes, self.folders, self.fragment_table, _ = self.r.unpack("<IIIIIHHHHHHQQQQQQQQ", 0)
+        need(magic == 0x73717368 and major == 4 and packing == 1 and 4096 <= self.block <= 1 << 20 and used <= len(data), "no image, or packed otherwise")
+        self.cache: dict[int, tuple[bytes, int]] = {}
+
+    def meta(self, at: int) -> tuple[bytes, int]:
+        """A metadata block and where the next one begins."""
+        if at not in self.cache:
+            (head,) = self.r.unpack("<H", at)
+            raw = self.r.take(at + 2, head & 0x7FFF)
+            self.cache[at] = (raw if head & 0x8000 else _unzip(raw, 8193), at + 2 + (head & 0x7FFF))
+        return self.cache[at]
+
+    def span(self, start: int, offset: int, size: int) -> bytes:
+        out = b""
+        while len(out) < offset + size:
+            part, start = self.meta(start)
+            need(bool(part), "an empty block")
+            out += part
+        return out[offset : offset + size]
+
+    def content(self, start: int, sizes: list[int], total: int, fragment: int, offset: int) -> bytes:
+        out = []
+        for i, size in enumerate(sizes):
+            raw = self.r.take(start, size & 0xFFFFFF)
+            start += size & 0xFFFFFF
+            plain = min(self.block, total - i * self.block)
+            out.append(bytes(plain) if not size else raw if size & 1 << 24 else _unzip(raw, plain + 1))
+        if fragment != 0xFFFFFFFF:
+            need(fragment < self.fragments, "no such fragment")
+            (index,) = self.r.unpack("<Q", self.fragment_table + fragment // 512 * 8)
+            at, size, _ = struct.unpack("<QII", self.span(index, fragment % 512 * 16, 16))
+            raw = self.r.take(at, size & 0xFFFFFF)
+            out.append((raw if size & 1 << 24 else _unzip(raw, self.block + 1))[offset : offset + total % self.block])
+        body = b"".join(out)
+        need(len(body) == total, "a file ends early")
+        return body
+
+    def walk(self, ref: int, prefix: str, depth: int) -> list[tuple[str, list, bytes | None]]:
+        need(depth <= 64, "folders form a loop")
+        at, offset = self.inodes + (ref >> 16), ref & 0xFFFF
+        kind, mode = struct.unpack("<HH", self.span(at, offset, 4))
+        own = [("mode", oct(mode))]
+        if kind in (1, 8):
+            if kind == 1:
+                start, _, size, place, _ = struct.unpack("<IIHHI", self.span(at, offset + 16, 16))
+            else:
+                _, size, start, _, _, place, _ = struct.unpack("<IIIIHHI", self.span(at, offset + 16, 24))
+            out: list[tuple[str, list, bytes | None]] = [(prefix[:-1], own, None)] if prefix else []
+            raw, here = self.span(self.folders + start, place, max(0, size - 3)), 0
+            while here < len(raw):
+                count, block, _ = struct.unpack_from("<III", raw, here)
+                here += 12
+                for _ in range(count + 1):
+                    inside, _, _, n = struct.unpack_from("<HhHH", raw, here)
+                    label = safe_name(raw[here + 8 : here + 9 + n].decode("utf-8"))
+                    out += self.walk(block << 16 | inside, f"{prefix}{label}/", depth + 1)
+                    here += 9 + n
+            return out
+        if kind in (2, 9):
+            if kind == 2:
+                start, fragment, place, total = struct.unpack("<IIII", self.span(at, offset + 16, 16))
+                after = 32
+            else:
+                start, total, _, _, fragment, place, _ = struct.unpack("<QQQIIII", self.span(at, offset + 16, 40))
+                after = 56
+            need(total <= 1 << 31, "a file is too large")
+            count = total // self.block if fragment != 0xFFFFFFFF else -(-total // self.block)
+            sizes = list(struct.unpack(f"<{count}I", self.span(at, offset + after, 4 * count)))
+            return [(prefix[:-1], [*own, ("data.length", total)], self.content(start, sizes, total, fragment, place))]
+        return [(prefix[:-1], [*own, ("inode", kind)], b"")]  # links and devices are listed
+
+
+def appimage2(data: bytes, name: str) -> list[Node]:
+    """The second kind: a program with a SquashFS image after its sections."""
+    r = Reader(data)
+    need(data[:4] == b"\x7fELF" and data[8:11] == b"AI\x02" and data[4] in (1, 2) and data[5] == 1, "no program of this kind")
+    table = r.unpack("<Q", 40)[0] if data[4] == 2 else r.unpack("<I", 32)[0]
+    size, count = r.unpack("<HH", 58 if data[4] == 2 else 46)
+    image = _Squash(data[table + size * count :])
+    files = image.walk(image.root, "", 0)
+    return _tree("/appimage", "executable.appimage-type2", [("entries", len(files)), ("image.offset", table + size * count)], files)

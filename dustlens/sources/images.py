@@ -270,8 +270,10 @@ def zx_screen(data: bytes, name: str) -> list[Node]:
     rows = raw[:6144].reshape(192, 32)[(y & 0xC0) | (y & 7) << 3 | (y & 0x38) >> 3]
     cells = raw[6144:].reshape(24, 32).repeat(8, axis=0).repeat(8, axis=1).astype(int)
     bright = cells >> 3 & 8
-    pixels = np.where(np.unpackbits(rows, axis=1), cells & 7 | bright, cells >> 3 & 7 | bright)
-    return [Node("/", "zx-spectrum.screen", "raster", [("flash", int((cells >> 7).any()))], raster=Raster(256, 192, _rgba(ZX[pixels])))]
+    ink, flash, front, back = np.unpackbits(rows, axis=1), cells >> 7, cells & 7 | bright, cells >> 3 & 7 | bright
+    shown = [_rgba(ZX[np.where(ink ^ flash & turn, front, back)]) for turn in (0, 1)]
+    frames = [(320, v) for v in shown] if flash.any() else None  # flashing cells swap their colours every 16 fields
+    return [Node("/", "zx-spectrum.screen", "raster", [("flash", int(flash.any()))], raster=Raster(256, 192, shown[0]), frames=frames)]
 
 
 def zx_snapshot(data: bytes, name: str) -> list[Node]:
@@ -320,9 +322,19 @@ def ilbm(data: bytes, name: str) -> list[Node]:
     palette = [(*map(int, c), 255) for c in cmap]
     if "BODY" not in own:
         return [Node("/palette", "amiga.ilbm", "palette", metadata, palette=palette)]
-    need(not mode & 0x800 and 1 <= planes <= 8, "unsupported mode")
-    line, total = (width + 15) // 16 * 2, planes + (masking == 1)
-    body, rows, at = own["BODY"], [], 0
+    need(1 <= planes <= 8, "unsupported mode")
+    rows = line_rows(own["BODY"], width, height, planes + (masking == 1), packing)
+    pixels = plane_pixels(rows[:, :planes], width)
+    if mode & 0x800 and planes >= 5:
+        rgba = _rgba(held_colours(pixels, 4 if planes < 7 else 6, cmap))
+    else:
+        rgba = _indexed(pixels, shades(cmap, mode), transparent if masking == 2 else None)
+    return [Node("/", "amiga.ilbm", "raster", metadata, raster=Raster(width, height, rgba), palette=palette)]
+
+
+def line_rows(body: bytes, width: int, height: int, total: int, packing: int) -> np.ndarray:
+    """(line, plane, byte) of interleaved lines; a packed line ends where its bytes do."""
+    line, rows, at = (width + 15) // 16 * 2, [], 0
     for _ in range(height * total):
         if packing:
             row = bytearray()
@@ -336,8 +348,29 @@ def ilbm(data: bytes, name: str) -> list[Node]:
             row = Reader(body).take(at, line)
             at += line
         rows.append(np.frombuffer(bytes(row), np.uint8))
-    bits = np.unpackbits(np.stack(rows).reshape(height, total, line), axis=2)[:, :, :width]
-    pixels = (bits[:, :planes].astype(int) << np.arange(planes)[None, :, None]).sum(axis=1)
-    colours = np.concatenate([cmap, cmap // 2]) if mode & 0x80 and len(cmap) == 32 else cmap
-    rgba = _indexed(pixels, colours, transparent if masking == 2 else None)
-    return [Node("/", "amiga.ilbm", "raster", metadata, raster=Raster(width, height, rgba), palette=palette)]
+    return np.stack(rows).reshape(height, total, line)
+
+
+def plane_pixels(rows: np.ndarray, width: int) -> np.ndarray:
+    bits = np.unpackbits(rows, axis=2)[:, :, :width]
+    return (bits.astype(int) << np.arange(rows.shape[1])[None, :, None]).sum(axis=1)
+
+
+def shades(cmap: np.ndarray, mode: int) -> np.ndarray:
+    """The colours, and in the half-bright mode their darker halves."""
+    return np.concatenate([cmap, cmap // 2]) if mode & 0x80 and len(cmap) == 32 else cmap
+
+
+def held_colours(pixels: np.ndarray, low: int, cmap: np.ndarray) -> np.ndarray:
+    """Hold and modify: a pixel names a colour, or changes blue, red or green of the one on its left; lines begin with the first colour."""
+    need(len(cmap) > 0, "no colours")
+    value, what = pixels & (1 << low) - 1, pixels >> low
+    need(int(value[what == 0].max(initial=0)) < len(cmap), "an index is outside of the palette")
+    wide = (value << 8 - low | value >> max(0, 2 * low - 8)) if low < 8 else value
+    out, held = np.zeros((*pixels.shape, 3), np.uint8), np.tile(cmap[0], (pixels.shape[0], 1))
+    for x in range(pixels.shape[1]):
+        held = np.where(what[:, x, None] == 0, cmap[np.where(what[:, x] == 0, value[:, x], 0)], held)
+        for code, channel in ((1, 2), (2, 0), (3, 1)):
+            held[:, channel] = np.where(what[:, x] == code, wide[:, x], held[:, channel])
+        out[:, x] = held
+    return out

@@ -32,6 +32,7 @@ PARSERS: dict[str, Parser] = {
     "windows.dib": lambda data, name: images.bmp(data, name, 0),
     "amiga.adf": amiga.adf, "amiga.hunk-executable": amiga.hunk, "amiga.lha-sfx": amiga.lha_sfx, "amiga.workbench-icon": amiga.workbench_icon, "amiga.bitmap-diskfont-index": amiga.font_index,
     "amiga.bitmap-diskfont": amiga.font, "amiga.acbm": amiga.acbm, "amiga.pbm": amiga.pbm, "amiga.deep": amiga.deep, "amos.sprite-bank": amiga.picture_bank, "amos.icon-bank": amiga.picture_bank,
+    "amiga.anim": amiga.anim, "amiga.dms": amiga.dms, "executable.appimage-type1": containers.appimage, "executable.appimage-type2": containers.appimage2, "bitmap-font.bmfont": animations.bmfont,
     "flic": animations.flic, "aseprite.sprite": animations.aseprite, "zx-spectrum.gigascreen": animations.gigascreen, "zx-spectrum-next.layer2-image": animations.layer2,
     "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
 }
@@ -44,6 +45,10 @@ REFINED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
     ("amiga.bitmap-diskfont", lambda d, e: d[:4] == b"\0\0\3\xf3" and d[50:52] == b"\x0f\x80"),
     ("amiga.lha-sfx", lambda d, e: d[:4] == b"\0\0\3\xf3" and b"-lh" in d),
     ("amiga.hunk-executable", lambda d, e: d[:4] == b"\0\0\3\xf3"),
+    ("executable.appimage-type1", lambda d, e: d[:4] == b"\x7fELF" and d[8:11] == b"AI\1"),
+    ("executable.appimage-type2", lambda d, e: d[:4] == b"\x7fELF" and d[8:11] == b"AI\2"),
+    ("amiga.dms", lambda d, e: d[:4] == b"DMS!"),
+    ("bitmap-font.bmfont", lambda d, e: d[:4] == b"BMF\3" or d[:5] in (b"info ", b"<?xml", b"<font") and e in ("fnt", "xml")),
 )
 
 #: Types without a signature in the first bytes: when to try them.

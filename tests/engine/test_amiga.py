@@ -1,6 +1,7 @@
 """Parsers and exporters of disks, programs, animations and fonts, on files that the tests build."""
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -219,3 +220,71 @@ def test_documents_and_photographs():
     jpeg = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\2\0\0\1\0\1\0\0" + b"\xff\xc2\0\x0b\x08\0\x05\0\x07\1\0\0\0"
     found = dict(nodes_of(jpeg)[0].metadata)
     assert (found["image.width"], found["image.height"], found["jpeg.progressive"]) == (7, 5, 1)
+
+
+def test_animation_of_byte_deltas():
+    head = struct.pack(">HHhhBBBBHBB", 8, 2, 0, 0, 1, 0, 0, 0, 0, 1, 1)
+    first = chunks(b"ILBM", (b"BMHD", head), (b"CMAP", bytes([0, 0, 0, 255, 255, 255])), (b"BODY", b"\xf0\0\x0f\0"))
+    moved = lambda ops: chunks(b"ILBM", (b"ANHD", struct.pack(">BBHHhhIIB", 5, 0, 8, 2, 0, 0, 0, 6, 0).ljust(40, b"\0")), (b"DLTA", struct.pack(">16I", 64, *[0] * 15) + ops))
+    body = first + moved(b"\2\1\x81\xff\0") + moved(b"\1\0\2\xaa\0")
+    node = nodes_of(b"FORM" + struct.pack(">I", len(body) + 4) + b"ANIM" + body)[0]
+    lines = [[int("".join(str(v & 1) for v in rgba[y * 32 : y * 32 + 32 : 4]), 2) for y in (0, 1)] for _, rgba in node.frames]
+    assert lines == [[0xF0, 0x0F], [0xF0, 0xFF], [0xAA, 0xAA]] and node.frames[0][0] == 100
+
+
+def test_hold_and_modify():
+    head = struct.pack(">HHhhBBBBHBB", 3, 1, 0, 0, 6, 0, 0, 0, 0, 1, 1)
+    pixels = [1, 0x2F, 0x10]  # the second colour; red to 15; blue to 0
+    planes = b"".join(bytes([int("".join(str(v >> p & 1) for v in pixels).ljust(8, "0"), 2), 0]) for p in range(6))
+    data = chunks(b"ILBM", (b"BMHD", head), (b"CAMG", struct.pack(">I", 0x800)), (b"CMAP", bytes([0, 0, 0, 16, 32, 48] + [0] * 42)), (b"BODY", planes))
+    assert nodes_of(data)[0].raster.rgba == bytes([16, 32, 48, 255, 255, 32, 48, 255, 255, 32, 0, 255])
+
+
+def test_flashing_screen_has_two_frames():
+    node = nodes_of(bytes(6144) + bytes([0x82]) + bytes(767))[0]
+    assert [v[:3] for _, v in node.frames] == [bytes(3), bytes([215, 0, 0])]
+
+
+def packed_disk(content, how):
+    out, image = [], disk(0, content)
+    for n in range(80):
+        plain = image[n * 11264 : (n + 1) * 11264]
+        body = plain if how == 0 else b"".join(b"\x90\0" if v == 0x90 else bytes([v]) for v in plain.rstrip(b"\0")) + (b"\x90\xff\0" + struct.pack(">H", 11264 - len(plain.rstrip(b"\0"))) if plain[-1:] == b"\0" else b"")
+        head = b"TR" + struct.pack(">HHHHHBBHH", n, 0, len(body), len(plain), len(plain), 0, how, sum(plain) & 0xFFFF, _crc16(body))
+        out.append(head + struct.pack(">H", _crc16(head)) + body)
+    head = b" PRO" + struct.pack(">IIHHII", 0, 0, 0, 79, 0, 901120) + bytes(24) + struct.pack(">H", how)
+    return b"DMS!" + head.ljust(50, b"\0") + struct.pack(">H", _crc16(head.ljust(50, b"\0"))) + b"".join(out)
+
+
+@pytest.mark.parametrize("how", [0, 1])
+def test_packed_disk(how):
+    found = {n.path: n for n in nodes_of(packed_disk(b"content \x90" * 90, how))}
+    assert found["/disk/sub/a.txt"].data == b"content \x90" * 90 and found["/disk"].type_id == "amiga.dms"
+
+
+def test_program_with_squashed_image():
+    body = b"hello " * 1000
+    parts = zlib.compress(body[:4096])
+    rest = zlib.compress(body[4096:])
+    meta = lambda raw: struct.pack("<H", 0x8000 | len(raw)) + raw
+    file = struct.pack("<HHHHIIIIIII", 2, 0o644, 0, 0, 0, 2, 96, 0, 0, len(body), len(parts))
+    root = struct.pack("<HHHHII", 1, 0o755, 0, 0, 0, 1) + struct.pack("<IIHHI", 0, 2, 3 + 12 + 8 + 5, 0, 0)
+    names = struct.pack("<III", 0, 0, 2) + struct.pack("<HhHH", 0, 0, 2, 4) + b"a.txt"
+    at = 96 + len(parts) + len(rest)
+    inodes, folders = meta(file + root), meta(names)
+    entry = meta(struct.pack("<QII", 96 + len(parts), len(rest), 0))
+    table = at + len(inodes) + len(folders) + len(entry)
+    image = struct.pack("<IIIIIHHHHHHQQQQQQQQ", 0x73717368, 2, 0, 4096, 1, 1, 12, 0, 1, 4, 0, len(file), table + 8, 0, 0, at, at + len(inodes), table, 0)
+    image += parts + rest + inodes + folders + entry + struct.pack("<Q", at + len(inodes) + len(folders))
+    elf = b"\x7fELF\2\1\1\0AI\2".ljust(40, b"\0") + struct.pack("<Q", 64) + bytes(10) + struct.pack("<HH", 0, 0)
+    found = {n.path: n for n in nodes_of(elf.ljust(64, b"\0") + image)}
+    assert found["/appimage/a.txt"].data == body
+
+
+def test_font_descriptors():
+    text = b'info face="F" size=8\ncommon lineHeight=9 base=7 scaleW=16 scaleH=16 pages=1\npage id=0 file="f.png"\nchars count=1\nchar id=65 x=1 y=2 width=3 height=4 xoffset=0 yoffset=-1 xadvance=5 page=0 chnl=15\n'
+    xml = b'<font>\n<info face="F" size="8"/>\n<common lineHeight="9" base="7" scaleW="16" scaleH="16"/>\n<pages>\n<page id="0" file="f.png"/>\n</pages>\n<char id="65" x="1" y="2" width="3" height="4" xoffset="0" yoffset="-1" xadvance="5" page="0"/>\n</font>'
+    part = lambda kind, body: struct.pack("<BI", kind, len(body)) + body
+    binary = b"BMF\3" + part(1, struct.pack("<h", 8) + bytes(12) + b"F\0") + part(2, struct.pack("<HHHHH", 9, 7, 16, 16, 1)) + part(3, b"f.png\0") + part(4, struct.pack("<IHHHHhhhBB", 65, 1, 2, 3, 4, 0, -1, 5, 0, 15))
+    found = [dict(nodes_of(d, "f.fnt")[0].metadata) for d in (text, xml, binary)]
+    assert all(f["glyph.65"] == "1,2,3,4,0,-1,5,0" and f["page.0"] == "f.png" and f["font.face"] == "F" for f in found)
