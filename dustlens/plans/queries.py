@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from dustlens.functions import binary, paths
 from dustlens.operators import detection, lookups
 from dustlens.sources import codecs, export
-from dustlens.sources.inspect import database_rows, inspect, pixels
+from dustlens.sources.inspect import animation_frames, database_rows, inspect, pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,6 +342,7 @@ for _name, _pack, _unpack in (
     ("codec_deflate", _deflate, lambda d, n: codecs.inflate(d)),
     ("codec_lzma", lambda d: lzma.compress(d, lzma.FORMAT_RAW, filters=_LZMA), lambda d, n: codecs.unlzma(d)),
     ("codec_byterun1", codecs.pack_runs, codecs.unpack_runs),
+    ("codec_lh5", codecs.pack_lh5, codecs.unpack_lh5),
     ("codec_lzw", lambda d: codecs.lzw_encode(d, 8), lambda d, n: codecs.lzw_decode(d, 8)),
 ):
     query(_name, "SELECT item_id, text FROM benchmark")(_codec(_pack, _unpack))
@@ -463,6 +464,98 @@ def scan_tga(spark, sf_dir):
     return _pixel_sources(spark, sf_dir, "part.tga", lambda rgb, n: struct.pack("<BBBHHBHHHHBB", 0, 0, 2, 0, 0, 0, 0, 0, n, 1, 24, 32) + b"".join(rgb[i : i + 3][::-1] for i in range(0, len(rgb), 3)))
 
 
+def _opaque(rgb: bytes) -> bytes:
+    return b"".join(rgb[i : i + 3] + b"\xff" for i in range(0, len(rgb), 3))
+
+
+@query("scan_apng", _PIXELS)
+def scan_apng(spark, sf_dir):
+    return _pixel_sources(spark, sf_dir, "part.png", lambda rgb, n: export.apng(n, 1, [(10, _opaque(rgb))]))
+
+
+@query("scan_deep", _PIXELS)
+def scan_deep(spark, sf_dir):
+    def pack(rgb: bytes, n: int) -> bytes:
+        parts = ((b"DGBL", struct.pack(">HHHBB", n, 1, 0, 1, 1)), (b"DPEL", struct.pack(">I6H", 3, 1, 8, 2, 8, 3, 8)), (b"DBOD", rgb))
+        body = b"DEEP" + b"".join(k + struct.pack(">I", len(v)) + v + b"\0" * (len(v) & 1) for k, v in parts)
+        return b"FORM" + struct.pack(">I", len(body)) + body
+
+    return _pixel_sources(spark, sf_dir, "part.iff", pack)
+
+
+@query("scan_aseprite", _PIXELS)
+def scan_aseprite(spark, sf_dir):
+    def pack(rgb: bytes, n: int) -> bytes:
+        chunk = lambda kind, body: struct.pack("<IH", len(body) + 6, kind) + body
+        parts = chunk(0x2004, struct.pack("<HHHHHHB3xH", 1, 0, 0, 0, 0, 0, 255, 0)) + chunk(0x2005, struct.pack("<HhhBHh5xHH", 0, 0, 0, 255, 2, 0, n, 1) + zlib.compress(_opaque(rgb)))
+        frame = struct.pack("<IHHH2xI", 16 + len(parts), 0xF1FA, 2, 100, 2) + parts
+        return struct.pack("<IHHHHHIH", 128 + len(frame), 0xA5E0, 1, n, 1, 32, 1, 100).ljust(128, b"\0") + frame
+
+    return _pixel_sources(spark, sf_dir, "part.aseprite", pack)
+
+
+@query(
+    "scan_gif",
+    """
+    SELECT source_id, frame, ms, coalesce(sum(ms) OVER (PARTITION BY source_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms, r, g, b
+    FROM (SELECT p_size AS source_id, p_partkey, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS frame, (p_partkey % 90 * 10)::INT AS ms,
+                 (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b, count(*) OVER (PARTITION BY p_size) AS n FROM part)
+    WHERE n > 1
+    """,
+)
+def scan_gif(spark, sf_dir):
+    pack = lambda rows: export.gif(1, 1, [(k % 90 * 10, bytes([k % 256, k // 256 % 256, k % 251, 255])) for (k,) in rows])
+    frames = animation_frames(inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "part.gif", pack)))
+    channel = lambda i: F.conv(F.hex(F.substr("rgba", F.lit(i), F.lit(1))), 16, 10).cast("int")
+    return frames.select("source_id", "frame", "ms", "start_ms", channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
+
+
+def _lha(rows: list[tuple]) -> bytes:
+    out = b""
+    for k, text in rows:
+        plain, label = text.encode(), b"n%d.txt" % k
+        body = codecs.pack_lh5(plain)
+        head = b"-lh5-" + struct.pack("<IIIBBB", len(body), len(plain), 0, 0, 0, len(label)) + label + struct.pack("<H", codecs.crc16(plain))
+        out += bytes([len(head), sum(head) & 255]) + head + body
+    return out + b"\0"
+
+
+@query("scan_lha", "SELECT n_regionkey AS source_id, '/archive/n' || n_nationkey || '.txt' AS path, n_name AS text FROM nation")
+def scan_lha(spark, sf_dir):
+    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.lha", _lha)
+    return inspect(sources).where("type_id = 'file'").select("source_id", "path", F.decode("data", "UTF-8").alias("text"))
+
+
+def _adf(rows: list[tuple]) -> bytes:
+    """An old file system with a file of one block for each row."""
+    out = bytearray(901120)
+    out[:4] = b"DOS\0"
+
+    def put(at: int, words: list[int]) -> None:
+        words[5] = -sum(words) & 0xFFFFFFFF
+        out[at * 512 : at * 512 + 512] = struct.pack(">128I", *words)
+
+    def named(name: bytes) -> tuple[int, ...]:
+        return struct.unpack(">8I", (bytes([len(name)]) + name).ljust(32, b"\0"))
+
+    root = [0] * 128
+    root[0], root[127], root[108:116] = 2, 1, named(b"Nations")
+    for i, (k, text) in enumerate(rows):
+        body, file = text.encode(), [0] * 128
+        file[0], file[2], file[77], file[81], file[108:116], file[127] = 2, 1, 1000 + i, len(body), named(b"n%d" % k), 0xFFFFFFFD
+        file[124], root[6 + i % 72] = root[6 + i % 72], 900 + i
+        put(900 + i, file)
+        put(1000 + i, [8, 900 + i, 1, len(body), 0, 0, *struct.unpack(">122I", body.ljust(488, b"\0"))])
+    put(880, root)
+    return bytes(out)
+
+
+@query("scan_adf", "SELECT n_regionkey AS source_id, '/disk/n' || n_nationkey AS path, n_name AS text FROM nation")
+def scan_adf(spark, sf_dir):
+    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.adf", _adf)
+    return inspect(sources).where("type_id = 'file'").select("source_id", "path", F.decode("data", "UTF-8").alias("text"))
+
+
 _COLOURS = "SELECT p_size AS source_id, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM part"
 
 

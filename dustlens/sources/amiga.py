@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from dustlens.sources import containers
-from dustlens.sources.codecs import unpack_runs
+from dustlens.sources.codecs import crc16, unpack_runs
 from dustlens.sources.images import _indexed, iff_chunks, ilbm, line_rows, plane_pixels, shades
 from dustlens.sources.model import Node, Raster, Reader, need, safe_name
 
@@ -386,15 +386,15 @@ def _unpack_marked_runs(data: bytes, size: int) -> bytes:
 def dms(data: bytes, name: str) -> list[Node]:
     """A disk in tracks, stored or packed by runs; where all tracks can be read they are joined to a disk, else listed."""
     r = Reader(data)
-    need(data[:4] == b"DMS!" and containers._crc16(r.take(4, 50)) == r.unpack(">H", 54)[0], "no disk archive")
+    need(data[:4] == b"DMS!" and crc16(r.take(4, 50)) == r.unpack(">H", 54)[0], "no disk archive")
     info, _, low, high, packed, unpacked = r.unpack(">IIHHII", 8)
     (method,) = r.unpack(">H", 52)
     at, tracks = 56, []
     while at + 20 <= len(data) and data[at : at + 2] == b"TR":
         number, _, stored, _, size, flags, how, total, crc, head = r.unpack(">HHHHHBBHHH", at + 2)
-        need(containers._crc16(r.take(at, 18)) == head, "a track's header is damaged")
+        need(crc16(r.take(at, 18)) == head, "a track's header is damaged")
         body = r.take(at + 20, stored)
-        need(containers._crc16(body) == crc, "a track is damaged")
+        need(crc16(body) == crc, "a track is damaged")
         plain = body if how == 0 else _unpack_marked_runs(body, size) if how == 1 else None
         need(plain is None or sum(plain) & 0xFFFF == total, "a track's checksum is wrong")
         tracks.append((number, how, size, body, plain if not info & 2 else None))

@@ -258,3 +258,23 @@ def unpack_lh5(data: bytes, size: int) -> bytes:
     if len(out) != size + 8192:
         raise ValueError("a copy crosses the end")
     return bytes(out[8192:])
+
+
+def pack_lh5(data: bytes) -> bytes:
+    """The same format with literals only, 8 bits each: each block behind a header of 43 bits."""
+    bits = []
+    for at in range(0, len(data), 65535):
+        part = data[at : at + 65535]
+        bits.append(f"{len(part):016b}" + f"{0:05b}{10:05b}" + f"{256:09b}" + f"{0:04b}{0:04b}" + "".join(f"{b:08b}" for b in part))
+    out = "".join(bits)
+    out += "0" * (-len(out) % 8)
+    return int(out or "0", 2).to_bytes(len(out) // 8, "big")
+
+
+def crc16(data: bytes) -> int:
+    crc = 0
+    for b in data:
+        crc ^= b
+        for _ in range(8):
+            crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
+    return crc

@@ -6,7 +6,7 @@ import json
 import struct
 import zlib
 
-from dustlens.sources.codecs import inflate, unpack_lh5
+from dustlens.sources.codecs import crc16, inflate, unpack_lh5
 from dustlens.sources.images import bmp, iff_chunks, png
 from dustlens.sources.model import Audio, Node, Reader, need, safe_name
 
@@ -445,15 +445,6 @@ def iso9660(data: bytes, name: str) -> list[Node]:
     return _tree("/disc", "filesystem.iso9660", [("layout", "2048"), ("volume.identifier", text(40, 72)), ("system.identifier", text(8, 40)), ("logical-block-size", block), ("volume.blocks", struct.unpack_from("<I", primary, 80)[0]), ("entries", len(files))], files)
 
 
-def _crc16(data: bytes) -> int:
-    crc = 0
-    for b in data:
-        crc ^= b
-        for _ in range(8):
-            crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
-    return crc
-
-
 def lha(data: bytes, name: str) -> list[Node]:
     """Levels 0 and 1; stored members and those of method 5 are read, others are listed."""
     r, at, files = Reader(data), 0, []
@@ -474,7 +465,7 @@ def lha(data: bytes, name: str) -> list[Node]:
         if method in (b"-lh0-", b"-lh5-"):
             try:
                 content = body if method == b"-lh0-" else unpack_lh5(body, unpacked)
-                need(_crc16(content) == crc and len(content) == unpacked, "the checksum is wrong")
+                need(crc16(content) == crc and len(content) == unpacked, "the checksum is wrong")
             except ValueError as e:  # one bad member does not spoil the others
                 own, content = [*own, ("failure", str(e))], b""
         elif method != b"-lhd-":

@@ -193,3 +193,10 @@ def pixels(resources: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), source)), pa.array([path] * len(v)), pa.array(at % width), pa.array(at // width), *[pa.array(v[:, c]) for c in range(4)]], names=["source_id", "path", "x", "y", "r", "g", "b", "a"])
 
     return resources.where("rgba IS NOT NULL").select("source_id", "path", "width", "rgba").mapInArrow(run, "source_id long, path string, x int, y int, r int, g int, b int, a int")
+
+
+def animation_frames(resources: DataFrame) -> DataFrame:
+    """(source_id, path, frame, ms, start_ms, width, height, rgba): the frames of animations in order, from 0; a still picture has none."""
+    starts = F.aggregate("frames", F.array(F.lit(0).cast("long")), lambda t, f: F.concat(t, F.array(F.element_at(t, -1) + f["ms"])))
+    rows = resources.where("frames IS NOT NULL").select("source_id", "path", "width", "height", F.posexplode(F.zip_with("frames", F.slice(starts, F.lit(1), F.size("frames")), lambda f, t: F.struct(f["ms"].alias("ms"), t.alias("start_ms"), f["rgba"].alias("rgba")))).alias("frame", "own"))
+    return rows.select("source_id", "path", "frame", "own.ms", "own.start_ms", "width", "height", "own.rgba")

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from dustlens.sources import codecs, export
-from dustlens.sources.containers import _crc16
 from dustlens.sources.inspect import inspect_bytes
 
 
@@ -70,7 +69,7 @@ def program(body=b"\x70\0\x4e\x75"):
 
 def member(label, body, method=b"-lh0-", plain=None):
     plain = body if plain is None else plain
-    head = method + struct.pack("<IIIBBB", len(body), len(plain), 0, 0, 0, len(label)) + label + struct.pack("<H", _crc16(plain))
+    head = method + struct.pack("<IIIBBB", len(body), len(plain), 0, 0, 0, len(label)) + label + struct.pack("<H", codecs.crc16(plain))
     return bytes([len(head), sum(head) & 255]) + head + body
 
 
@@ -250,10 +249,10 @@ def packed_disk(content, how):
     for n in range(80):
         plain = image[n * 11264 : (n + 1) * 11264]
         body = plain if how == 0 else b"".join(b"\x90\0" if v == 0x90 else bytes([v]) for v in plain.rstrip(b"\0")) + (b"\x90\xff\0" + struct.pack(">H", 11264 - len(plain.rstrip(b"\0"))) if plain[-1:] == b"\0" else b"")
-        head = b"TR" + struct.pack(">HHHHHBBHH", n, 0, len(body), len(plain), len(plain), 0, how, sum(plain) & 0xFFFF, _crc16(body))
-        out.append(head + struct.pack(">H", _crc16(head)) + body)
+        head = b"TR" + struct.pack(">HHHHHBBHH", n, 0, len(body), len(plain), len(plain), 0, how, sum(plain) & 0xFFFF, codecs.crc16(body))
+        out.append(head + struct.pack(">H", codecs.crc16(head)) + body)
     head = b" PRO" + struct.pack(">IIHHII", 0, 0, 0, 79, 0, 901120) + bytes(24) + struct.pack(">H", how)
-    return b"DMS!" + head.ljust(50, b"\0") + struct.pack(">H", _crc16(head.ljust(50, b"\0"))) + b"".join(out)
+    return b"DMS!" + head.ljust(50, b"\0") + struct.pack(">H", codecs.crc16(head.ljust(50, b"\0"))) + b"".join(out)
 
 
 @pytest.mark.parametrize("how", [0, 1])
