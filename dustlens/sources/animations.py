@@ -8,7 +8,8 @@ import zlib
 import numpy as np
 
 from dustlens.sources.codecs import lzw_decode
-from dustlens.sources.images import _indexed, zx_screen
+from dustlens.sources.images import _indexed, _over, zx_screen
+from dustlens.sources.jpeg import decode as decode_jpeg
 from dustlens.sources.model import Node, Raster, Reader, need
 from dustlens.sources.palettes_audio import next_palette
 
@@ -166,14 +167,6 @@ def flic(data: bytes, name: str) -> list[Node]:
     return [_animation("flic", metadata, width, height, frames)]
 
 
-def _over(below: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Straight alpha, above over below."""
-    a, b = above[..., 3:] / 255.0, below[..., 3:] / 255.0
-    alpha = a + b * (1 - a)
-    rgb = (above[..., :3] * a + below[..., :3] * b * (1 - a)) / np.maximum(alpha, 1e-9)
-    return np.rint(np.concatenate([rgb, alpha * 255], axis=2)).astype(np.uint8)
-
-
 def aseprite(data: bytes, name: str) -> list[Node]:
     """The sprite's palette and its frames; layers of other than the normal mode are drawn in it and counted."""
     r = Reader(data)
@@ -327,7 +320,7 @@ def wordstar(data: bytes, name: str) -> list[Node]:
 
 
 def jpeg(data: bytes, name: str) -> list[Node]:
-    """Size and process from the markers; pixels are not decoded, the file stays as it is."""
+    """Size and process from the markers; the pixels of baseline pictures, others stay as they are, with a warning."""
     r, at, found, jfif, exif = Reader(data), 2, None, None, 0
     need(data[:2] == b"\xff\xd8", "no JPEG")
     while found is None:
@@ -346,7 +339,11 @@ def jpeg(data: bytes, name: str) -> list[Node]:
     metadata = [("image.width", width), ("image.height", height), ("jpeg.precision", precision), ("jpeg.frame-marker", f"{kind:02x}"), ("jpeg.coding", "arithmetic" if kind >= 0xC9 else "huffman"), ("jpeg.progressive", int(kind in (0xC2, 0xCA))), ("jpeg.components", parts), ("exif.present", exif), ("jfif.present", int(jfif is not None))]
     if jfif:
         metadata += [("jfif.version", f"{jfif[0]}.{jfif[1]:02d}"), ("jfif.density-units", jfif[2]), ("jfif.density.x", jfif[3]), ("jfif.density.y", jfif[4])]
-    return [Node("/image", "jpeg", "opaque", [*metadata, ("decode.warning", "pixels are not decoded")], data=data)]
+    try:
+        picture = Raster(*decode_jpeg(data))
+    except (ValueError, KeyError, IndexError) as e:
+        return [Node("/image", "jpeg", "opaque", [*metadata, ("decode.warning", str(e))], data=data)]
+    return [Node("/image", "jpeg", "raster", metadata, raster=picture)]
 
 
 def bmfont(data: bytes, name: str) -> list[Node]:

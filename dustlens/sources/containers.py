@@ -7,6 +7,7 @@ import struct
 import zlib
 
 from dustlens.sources.codecs import crc16, inflate, unpack_lh5
+from dustlens.sources.doom import scenery
 from dustlens.sources.images import bmp, iff_chunks, png
 from dustlens.sources.model import Audio, Node, Reader, need, safe_name
 
@@ -195,11 +196,12 @@ def wad(data: bytes, name: str) -> list[Node]:
     kind, count, start = r.unpack("<4sII", 0)
     need(kind in (b"IWAD", b"PWAD") and start + 16 * count <= len(data), "no WAD")
     out = [Node("/wad", "doom.wad", "group", [("wad.kind", kind.decode()), ("wad.entries", count), ("wad.directory-offset", start)]), Node("/wad/lumps", "folder", "group", [])]
-    sounds = []
+    sounds, lumps = [], []
     for i in range(count):
         at, size, raw = r.unpack("<II8s", start + 16 * i)
         label = raw.split(b"\0")[0].decode("latin-1")
         body = r.take(at, size) if size else b""
+        lumps.append((label, body))
         metadata = [("wad.index", i), ("wad.name", label), ("wad.offset", at), ("wad.size", size)]
         if label == "PLAYPAL" and size and size % 768 == 0:
             for p in range(size // 768):
@@ -211,7 +213,7 @@ def wad(data: bytes, name: str) -> list[Node]:
             form, rate, samples = struct.unpack_from("<HHI", body)
             if form == 3 and samples + 8 <= size:
                 sounds.append(Node(f"/wad/sounds/{i}-{label}", "doom.sound", "audio", [("sound.format", 3), ("sound.sample-rate", rate), ("sound.samples", samples)], audio=Audio(rate, 8, [[b - 128 for b in body[8 : 8 + samples]]])))
-    return out + ([Node("/wad/sounds", "folder", "group", []), *sounds] if sounds else [])
+    return out + ([Node("/wad/sounds", "folder", "group", []), *sounds] if sounds else []) + scenery(lumps)
 
 
 def iff(data: bytes, name: str) -> list[Node]:

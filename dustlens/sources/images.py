@@ -25,7 +25,7 @@ def _indexed(pixels: np.ndarray, palette: np.ndarray, transparent: int | None =
 def png(data: bytes, name: str) -> list[Node]:
     r = Reader(data)
     need(len(data) >= 33 and r.take(0, 8) == b"\x89PNG\r\n\x1a\n", "no PNG")
-    at, chunks, idat, palette, trns, ended = 8, [], b"", None, b"", False
+    at, chunks, idat, palette, trns, ended, parts = 8, [], b"", None, b"", False, []
     while at < len(data):
         need(not ended, "data after IEND")
         (size,), kind = r.unpack(">I", at), r.take(at + 4, 4)
@@ -41,13 +41,48 @@ def png(data: bytes, name: str) -> list[Node]:
             trns = body
         elif kind == b"IHDR":
             width, height, depth, colour, _, _, interlace = Reader(body).unpack(">IIBBBBB", 0)
+        elif kind == b"fcTL":
+            parts.append((Reader(body).unpack(">IIIIIHHBB", 0), not idat, []))
+        elif kind == b"fdAT":
+            need(bool(parts), "a frame without its control")
+            parts[-1][2].append(body[4:])
         ended = kind == b"IEND"
         chunks.append(kind.decode())
         at += 12 + size
     need(ended, "no IEND")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour, 0)
     need(width > 0 and height > 0 and channels > 0 and depth in {0: (1, 2, 4, 8, 16), 3: (1, 2, 4, 8)}.get(colour, (8, 16)), "bad header")
-    raw = zlib.decompress(idat)
+
+    def decode(packed: bytes, w: int, h: int) -> np.ndarray:
+        rgba = _png_pixels(zlib.decompress(packed), w, h, depth, colour, channels, interlace, palette, trns)
+        return np.frombuffer(rgba, np.uint8).reshape(h, w, 4)
+
+    still = decode(idat, width, height)
+    frames, canvas = [], np.zeros((height, width, 4), np.uint8)
+    for (_, w, h, x, y, top, below, disposal, blend), first, own in parts:
+        need(x + w <= width and y + h <= height and (len(frames) + 1) * width * height <= 1 << 26, "a frame leaves the picture, or too many")
+        drawn = still if first and not own else decode(b"".join(own), w, h)
+        need(drawn.shape[:2] == (h, w), "a frame of another size")
+        before, part = canvas.copy(), canvas[y : y + h, x : x + w]
+        part[:] = _over(part, drawn) if blend else drawn
+        frames.append((round(top * 1000 / (below or 100)), canvas.tobytes()))
+        if disposal == 1:
+            part[:] = 0
+        elif disposal == 2:
+            canvas = before
+    rgba = frames[0][1] if frames else still.tobytes()
+    return [Node("/", "png", "raster", [("bit-depth", depth), ("colour-type", colour), ("interlace-method", interlace), ("chunks", len(chunks)), *[(f"chunk.{i}", c) for i, c in enumerate(chunks)]], raster=Raster(width, height, rgba), frames=frames if len(frames) > 1 else None)]
+
+
+def _over(below: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Straight alpha, above over below."""
+    a, b = above[..., 3:] / 255.0, below[..., 3:] / 255.0
+    alpha = a + b * (1 - a)
+    rgb = (above[..., :3] * a + below[..., :3] * b * (1 - a)) / np.maximum(alpha, 1e-9)
+    return np.rint(np.concatenate([rgb, alpha * 255], axis=2)).astype(np.uint8)
+
+
+def _png_pixels(raw: bytes, width: int, height: int, depth: int, colour: int, channels: int, interlace: int, palette: np.ndarray | None, trns: bytes) -> bytes:
     step = max(1, channels * depth // 8)
     samples = np.zeros((height, width, channels), np.uint16)
     passes = [(0, 0, 1, 1)] if not interlace else [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
@@ -81,14 +116,13 @@ def png(data: bytes, name: str) -> list[Node]:
         need(palette is not None and int(samples.max()) < len(palette), "an index is outside of the palette")
         alpha = np.full(len(palette), 255, np.uint8)
         alpha[: len(trns)] = np.frombuffer(trns[: len(palette)], np.uint8)
-        rgba = _rgba(palette[samples[..., 0]], alpha[samples[..., 0]])
+        return _rgba(palette[samples[..., 0]], alpha[samples[..., 0]])
     else:
         rgb = np.repeat(eight[..., :1], 3, axis=2) if channels < 3 else eight[..., :3]
         alpha = eight[..., -1] if channels in (2, 4) else 255
         if trns and channels in (1, 3):
             alpha = np.where((samples == np.frombuffer(trns, ">u2")[:channels]).all(axis=2), 0, 255)
-        rgba = _rgba(rgb, alpha)
-    return [Node("/", "png", "raster", [("bit-depth", depth), ("colour-type", colour), ("interlace-method", interlace), ("chunks", len(chunks)), *[(f"chunk.{i}", c) for i, c in enumerate(chunks)]], raster=Raster(width, height, rgba))]
+        return _rgba(rgb, alpha)
 
 
 def qoi(data: bytes, name: str) -> list[Node]:

@@ -287,3 +287,70 @@ def test_font_descriptors():
     binary = b"BMF\3" + part(1, struct.pack("<h", 8) + bytes(12) + b"F\0") + part(2, struct.pack("<HHHHH", 9, 7, 16, 16, 1)) + part(3, b"f.png\0") + part(4, struct.pack("<IHHHHhhhBB", 65, 1, 2, 3, 4, 0, -1, 5, 0, 15))
     found = [dict(nodes_of(d, "f.fnt")[0].metadata) for d in (text, xml, binary)]
     assert all(f["glyph.65"] == "1,2,3,4,0,-1,5,0" and f["page.0"] == "f.png" and f["font.face"] == "F" for f in found)
+
+
+def wad(lumps):
+    at, body, directory = 12, b"", b""
+    for name, data in lumps:
+        directory += struct.pack("<II8s", at + len(body), len(data), name.encode())
+        body += data
+    return struct.pack("<4sII", b"IWAD", len(lumps), at + len(body)) + body + directory
+
+
+def test_scenery_of_a_wad():
+    post = lambda y, v: bytes([y, len(v), 0]) + v + b"\0\xff"
+    columns = [post(0, b"\1"), post(1, b"\2")]
+    picture = struct.pack("<HHhhII", 2, 2, 5, 6, 16, 16 + len(columns[0])) + b"".join(columns)
+    texture = struct.pack("<II", 1, 8) + struct.pack("<8sIHHIH", b"WALL", 0, 4, 2, 0, 2) + struct.pack("<hhHHH", 0, 0, 0, 1, 0) + struct.pack("<hhHHH", 2, 0, 0, 1, 0)
+    lines = struct.pack("<HHHHHHH", 0, 1, 0, 0, 0, 0, 0) + struct.pack("<HHHHHHH", 1, 2, 128, 0, 0, 0, 0)
+    lumps = [("PLAYPAL", bytes(range(256)) * 3), ("PNAMES", struct.pack("<I8s", 1, b"p1")), ("P1", b""), ("P1", picture), ("TEXTURE1", texture), ("S_START", b""), ("TROO", picture), ("S_END", b"")]
+    lumps += [("E1M1", b""), ("THINGS", b""), ("LINEDEFS", lines), ("SIDEDEFS", b""), ("VERTEXES", struct.pack("<6h", 0, 0, 9, 0, 9, 5)), ("BAD", b"")]
+    found = {n.path: n for n in nodes_of(wad(lumps))}
+    wall = found["/wad/textures/TEXTURE1-0-WALL"].raster
+    assert (wall.width, wall.height) == (4, 2) and wall.rgba[:8] == bytes([3, 4, 5, 255, 0, 0, 0, 0]) and wall.rgba[8:12] == wall.rgba[:4]
+    assert ("position.left-offset", 5) in found["/wad/sprites/6-TROO"].metadata
+    area = found["/wad/maps/E1M1/automap"].raster
+    assert (area.width, area.height) == (10, 6) and area.rgba[5 * 40 : 5 * 40 + 4] == b"\xff" * 4 and area.rgba[:3] == b"\0\0\0"
+    assert dict(found["/wad/maps/E1M1"].metadata)["map.hidden-linedefs"] == 1
+
+
+def baseline(values, width, height, restart=0):
+    """A grey picture whose blocks are flat, with one code of 8 bits for the differences and one for the end of a block."""
+    sizes = bytes([0, 0, 0, 0, 16]) + bytes(11)
+    w, last, out = Writer(), 0, b""
+    for i, v in enumerate(values):
+        if restart and i and i % restart == 0:
+            w.bits += "1" * (-len(w.bits) % 8)
+            out, last = out + w.done().replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + (i // restart - 1) % 8]), 0
+            w = Writer()
+        d, last = v - last, v
+        n = abs(d).bit_length()
+        w.put(n, 5)
+        w.put(d if d >= 0 else d + (1 << n) - 1, n)
+        w.put(0, 1)
+    w.bits += "1" * (-len(w.bits) % 8)
+    out += w.done().replace(b"\xff", b"\xff\0")
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    head = part(0xDB, b"\0" + bytes([8] * 64)) + part(0xC0, struct.pack(">BHHB", 8, height, width, 1) + bytes([1, 0x11, 0]))
+    head += part(0xC4, b"\0" + sizes + bytes(range(16))) + part(0xC4, b"\x10" + bytes([1]) + bytes(15) + b"\0") + (part(0xDD, struct.pack(">H", restart)) if restart else b"")
+    return b"\xff\xd8" + head + part(0xDA, bytes([1, 1, 0, 0, 63, 0])) + out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("restart", [0, 2])
+def test_baseline_photograph(restart):
+    values = [-128, 127, 0, 60, -5, 100]
+    got = nodes_of(baseline(values, 20, 13, restart))[0].raster
+    pixels = np.frombuffer(got.rgba, np.uint8).reshape(13, 20, 4)
+    assert [int(pixels[y, x, 0]) for y in (3, 12) for x in (2, 10, 18)] == [v + 128 for v in values]
+
+
+def test_order_and_transform_of_coefficients():
+    from dustlens.sources import jpeg
+
+    assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and jpeg.ZIGZAG[-3:].tolist() == [55, 62, 63]
+    assert np.allclose(jpeg.COSINES @ jpeg.COSINES.T, np.eye(8))
+
+
+def test_moving_picture_comes_back():
+    frames = [(100, bytes([1, 2, 3, 255] * 6)), (50, bytes([9, 8, 7, 128] * 6))]
+    assert nodes_of(export.apng(3, 2, frames))[0].frames == frames
