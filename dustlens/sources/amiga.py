@@ -295,10 +295,17 @@ def deep(data: bytes, name: str) -> list[Node]:
 
 def picture_bank(data: bytes, name: str) -> list[Node]:
     """Sprites or icons with hot spots, and the 32 colours that they share."""
+    nodes, end = _pictures(data, 0)
+    need(end == len(data), "bytes after the colours")
+    return nodes
+
+
+def _pictures(data: bytes, start: int) -> tuple[list[Node], int]:
+    """The pictures of the bank at ``start``, and where it ends."""
     r = Reader(data)
-    tag, count = r.unpack(">4sH", 0)
+    tag, count = r.unpack(">4sH", start)
     need(tag in (b"AmSp", b"AmIc"), "no bank of pictures")
-    word, at, found = ("sprite" if tag == b"AmSp" else "icon"), 6, []
+    word, at, found = ("sprite" if tag == b"AmSp" else "icon"), start + 6, []
     for i in range(count):
         words, height, depth, x, y = r.unpack(">HHHhh", at)
         at += 10
@@ -308,9 +315,36 @@ def picture_bank(data: bytes, name: str) -> list[Node]:
             found.append((i, words * 16, height, depth, x, y, planar(r.take(at, size), words * 16, height, depth)))
             at += size
     colours = np.array([[(v >> s & 15) * 17 for s in (8, 4, 0)] for v in r.unpack(">32H", at)], np.uint8)
-    need(at + 64 == len(data), "bytes after the colours")
     out = [Node(f"/{word}", f"amos.{word}-bank", "group", [("images", count)])]
-    return out + [Node(f"/{word}/{i}", f"amos.{word}-bank", "raster", [("planes", depth), ("hotspot.x", x), ("hotspot.y", y)], raster=Raster(w, h, _indexed(pixels, colours, 0))) for i, w, h, depth, x, y, pixels in found]
+    return out + [Node(f"/{word}/{i}", f"amos.{word}-bank", "raster", [("planes", depth), ("hotspot.x", x), ("hotspot.y", y)], raster=Raster(w, h, _indexed(pixels, colours, 0))) for i, w, h, depth, x, y, pixels in found], at + 64
+
+
+def bank_set(data: bytes, name: str) -> list[Node]:
+    """Banks one after the other, numbered from 0; pictures lie below their bank's number."""
+    r = Reader(data)
+    tag, count = r.unpack(">4sH", 0)
+    need(tag == b"AmBs", "no set of banks")
+    at, out = 6, [Node("/banks", "amos.bank-set", "group", [("banks", count)])]
+    for i in range(count):
+        if r.take(at, 4) == b"AmBk":
+            size = (r.unpack(">I", at + 8)[0] & 0x0FFFFFFF) + 12
+            nodes, at = containers.bank(r.take(at, size), name), at + size
+        else:
+            nodes, at = _pictures(data, at)
+        out += [n._replace(path=f"/banks/{i}{n.path.removeprefix('/bank')}") for n in nodes]
+    need(at == len(data), "data behind the banks")
+    return out
+
+
+def program(data: bytes, name: str) -> list[Node]:
+    """Tokens, which are not listed as text, and the banks behind them."""
+    r = Reader(data)
+    need(data[:11] == b"AMOS Basic " or data[:8] == b"AMOS Pro", "no program")
+    (size,) = r.unpack(">I", 16)
+    tokens = r.take(20, size)
+    banks = bank_set(data[20 + size :], name)
+    header = data[:16].rstrip(b"\0 ").decode("latin-1")
+    return [Node("/", "amos.program", "group", [("amos.header", header), ("data.length", size)]), Node("/listing", "amos.tokens", "opaque", [("data.length", size), ("decode.warning", "tokens are not listed as text")], data=tokens), *banks]
 
 
 def _bytes_down(delta: bytes, rows: np.ndarray) -> None:

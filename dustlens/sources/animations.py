@@ -383,3 +383,57 @@ def bmfont(data: bytes, name: str) -> list[Node]:
     metadata = [("font.face", head.get("face", "")), ("font.size", head.get("size", 0)), ("font.declared-line-height", head["lineHeight"]), ("font.declared-baseline", head.get("base", 0)), ("pages", len(pages)), ("characters", len(glyphs)), ("kernings", kernings), ("atlas.width", wide), ("atlas.height", high)]
     metadata += [(f"page.{i}", f) for i, f in sorted(pages.items())] + [(f"glyph.{g[0]}", ",".join(map(str, g[1:]))) for g in glyphs]
     return [Node("/font", "bitmap-font.bmfont", "font", metadata)]
+
+
+#: Lines that a terminal's picture may have.
+MOST_LINES = 10_000
+
+
+def ansi(data: bytes, name: str) -> list[Node]:
+    """The characters that stand on the terminal in the end, as text; colours and glyph shapes are not drawn."""
+    sauce = data[-128:] if len(data) >= 128 and data[-128:-123] == b"SAUCE" else b""
+    body = data[: len(data) - len(sauce)].split(b"\x1a")[0]
+    need(b"\x1b[" in body, "no control sequences")
+    width = int.from_bytes(sauce[96:98], "little") if sauce and sauce[94] == 1 else 0
+    width = width if 0 < width <= 1024 else 80
+    cells: dict[tuple[int, int], str] = {}
+    x = y = controls = 0
+    kept = (0, 0)
+    for args, final, char in re.findall(rb"\x1b\[([0-9;?=]*)([@-~])|(.)", body, re.S):
+        if final:
+            controls += 1
+            n = [int(v) if v.isdigit() else 0 for v in args.split(b";")]
+            step = max(1, n[0])
+            if final in b"ABCD":
+                x = min(max(x + {67: step, 68: -step}.get(final[0], 0), 0), width - 1)
+                y = max(y + {65: -step, 66: step}.get(final[0], 0), 0)
+            elif final in b"Hf":
+                y, x = max(n[0], 1) - 1, min(max(n[1] if len(n) > 1 else 1, 1), width) - 1
+            elif final == b"J" and n[0] == 2:
+                cells, x, y = {}, 0, 0
+            elif final == b"K":
+                for c in range(x, width):
+                    cells.pop((y, c), None)
+            elif final == b"s":
+                kept = (x, y)
+            elif final == b"u":
+                x, y = kept
+        elif char == b"\r":
+            x = 0
+        elif char == b"\n":
+            y += 1
+        elif char == b"\t":
+            x = min(x // 8 * 8 + 8, width - 1)
+        elif char >= b" ":
+            if x == width:
+                x, y = 0, y + 1
+            cells[y, x] = char.decode("cp437")
+            x += 1
+        need(y < MOST_LINES, "too many lines")
+    last = max((r for r, _ in cells), default=-1)
+    lines = ["".join(cells.get((r, c), " ") for c in range(width)).rstrip() for r in range(last + 1)]
+    metadata = [("ansi.columns", width), ("ansi.control-sequences", controls), ("sauce.present", int(bool(sauce)))]
+    for key, a, b in (("title", 7, 42), ("author", 42, 62), ("group", 62, 82), ("date", 82, 90), ("font", 106, 128)):
+        value = sauce[a:b].rstrip(b"\0 ").decode("cp437")
+        metadata += [(f"sauce.{key}", value)] if value else []
+    return [Node("/image", "ansi.art", "text", metadata, text="\n".join(lines))]

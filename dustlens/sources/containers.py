@@ -545,19 +545,6 @@ def bank(data: bytes, name: str) -> list[Node]:
     return [Node("/bank", f"amos.bank.{title.lower() or 'data'}", "opaque", [("bank.number", number), ("bank.label", title), ("data.length", len(data) - 20)], data=data[20:])]
 
 
-def bank_set(data: bytes, name: str) -> list[Node]:
-    r = Reader(data)
-    tag, count = r.unpack(">4sH", 0)
-    need(tag == b"AmBs" and count > 0, "no set of banks")
-    at, out = 6, [Node("/", "amos.bank-set", "group", [("banks", count)])]
-    for i in range(count):
-        size = (r.unpack(">I", at + 8)[0] & 0x0FFFFFFF) + 12
-        out.append(bank(r.take(at, size), name)[0]._replace(path=f"/bank/{i + 1}"))
-        at += size
-    need(at == len(data), "data behind the banks")
-    return out
-
-
 def pdf(data: bytes, name: str) -> list[Node]:
     return [Node("/", "adobe.pdf", "opaque", [("pdf.version", data[5:8].decode("latin-1"))], data=data)]
 

@@ -25,7 +25,7 @@ PARSERS: dict[str, Parser] = {
     "gimp.palette": palettes_audio.gimp, "jasc.palette": palettes_audio.jasc, "adobe.swatch-exchange": palettes_audio.swatches, "archive.zip": containers.zip_archive,
     "image.openraster": containers.openraster, "archive.lha": containers.lha, "archive.powerpacker": containers.powerpacker, "amiga.16sv": palettes_audio.svx,
     "amiga.8svx": palettes_audio.svx, "amiga.ilbm": images.ilbm, "amiga.iff": containers.iff, "amos.bank": containers.bank, "adobe.color-table": palettes_audio.adobe_table,
-    "windows.ico": containers.icon, "windows.cur": containers.icon, "creative.voice": palettes_audio.voice, "protracker.mod": containers.module, "amos.bank-set": containers.bank_set,
+    "windows.ico": containers.icon, "windows.cur": containers.icon, "creative.voice": palettes_audio.voice, "protracker.mod": containers.module, "amos.bank-set": amiga.bank_set,
     "commodore.d64": containers.d64, "filesystem.fat-disk-image": containers.fat, "filesystem.iso9660": containers.iso9660, "archive.electron-asar": containers.asar,
     "zx-spectrum.tap": containers.tap, "zx-spectrum.tzx": containers.tzx, "zx-spectrum.screen": images.zx_screen, "zx-spectrum.snapshot": images.zx_snapshot,
     "commodore64.koala-painter": images.koala, "tga": images.tga, "rgba8.palette": palettes_audio.rgba8, "zx-spectrum-next.palette": palettes_audio.next_palette,
@@ -33,6 +33,7 @@ PARSERS: dict[str, Parser] = {
     "amiga.adf": amiga.adf, "amiga.hunk-executable": amiga.hunk, "amiga.lha-sfx": amiga.lha_sfx, "amiga.workbench-icon": amiga.workbench_icon, "amiga.bitmap-diskfont-index": amiga.font_index,
     "amiga.bitmap-diskfont": amiga.font, "amiga.acbm": amiga.acbm, "amiga.pbm": amiga.pbm, "amiga.deep": amiga.deep, "amos.sprite-bank": amiga.picture_bank, "amos.icon-bank": amiga.picture_bank,
     "amiga.anim": amiga.anim, "amiga.dms": amiga.dms, "executable.appimage-type1": containers.appimage, "executable.appimage-type2": containers.appimage2, "bitmap-font.bmfont": animations.bmfont,
+    "ansi.art": animations.ansi, "amos.program": amiga.program,
     "flic": animations.flic, "aseprite.sprite": animations.aseprite, "zx-spectrum.gigascreen": animations.gigascreen, "zx-spectrum-next.layer2-image": animations.layer2,
     "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
 }
@@ -72,6 +73,8 @@ GATED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
     ("aseprite.sprite", lambda d, e: d[4:6] == b"\xe0\xa5"),
     ("windows.write", lambda d, e: d[:4] in (b"\x31\xbe\0\0", b"\x32\xbe\0\0")),
     ("wordstar.document", lambda d, e: d[:3] == b"\x1d\x7d\0"),
+    ("amos.program", lambda d, e: d[:11] == b"AMOS Basic " or d[:8] == b"AMOS Pro"),
+    ("ansi.art", lambda d, e: b"\x1b[" in d and (e in ("ans", "ansi") or d[-128:-123] == b"SAUCE")),
     ("zx-spectrum.gigascreen", lambda d, e: len(d) == 7680 and e == "scr"),
     ("zx-spectrum-next.layer2-image", lambda d, e: len(d) in (49152, 49664, 81920) and e == "nxi" or len(d) in (49152, 49280) and e == "sl2"),
     ("zx-spectrum.fzx-font", lambda d, e: e == "fzx"),

@@ -143,6 +143,7 @@ def test_icon_and_picture_bank():
     assert dict(group.metadata)["default-tool"] == "tool" and dict(group.metadata)["tool-type.0"] == "A=1"
     assert raster.raster.rgba[:12] == bytes([102, 136, 187, 255, 255, 255, 255, 255, 170, 170, 170, 255])
     bank = b"AmSp" + struct.pack(">H", 1) + struct.pack(">HHHhh", 1, 1, 1, 2, 3) + b"\x80\0" + struct.pack(">32H", 0, 0xF00, *[0] * 30)
+    assert [n.path for n in nodes_of(b"AmBs\0\1" + bank)] == ["/banks", "/banks/0/sprite", "/banks/0/sprite/0"]
     sprite = nodes_of(bank)[1]
     assert sprite.raster.rgba[:8] == bytes([255, 0, 0, 255, 0, 0, 0, 0]) and ("hotspot.x", 2) in sprite.metadata
 
@@ -354,3 +355,16 @@ def test_order_and_transform_of_coefficients():
 def test_moving_picture_comes_back():
     frames = [(100, bytes([1, 2, 3, 255] * 6)), (50, bytes([9, 8, 7, 128] * 6))]
     assert nodes_of(export.apng(3, 2, frames))[0].frames == frames
+
+
+def test_terminal_picture():
+    sauce = b"SAUCE00" + b"Title".ljust(35) + b"Me".ljust(20) + bytes(20) + b"20200101" + bytes(4) + bytes([1, 1]) + struct.pack("<H", 10) + bytes(30)
+    node = nodes_of(b"\x1b[2J\x1b[1;31mabc\x1b[2;3Hx\x1b[1A\xdb\x1b[2Dd\r\n0123456789-\x1a" + sauce, "a.ans")[0]
+    assert node.text == "abd█\n0123456789\n-" and dict(node.metadata)["sauce.title"] == "Title" and dict(node.metadata)["ansi.columns"] == 10
+
+
+def test_program_with_banks():
+    bank = b"AmBk" + struct.pack(">HHI", 1, 0, 8 + 4) + b"Data    " + b"abcd"
+    data = b"AMOS Basic V134 " + struct.pack(">I", 6) + b"tokens" + b"AmBs" + struct.pack(">H", 1) + bank
+    found = {n.path: n for n in nodes_of(data)}
+    assert found["/listing"].data == b"tokens" and "/banks/0" in found

@@ -153,7 +153,7 @@ def test_other_containers():
     assert inspect_bytes(tzx, "x.tzx")[0][1].data == b"abcd"
     bank = struct.pack(">4sHHI8s", b"AmBk", 1, 0, 8 + 4, b"Data    ") + b"abcd"
     assert inspect_bytes(bank, "x.abk")[0][0].data == b"abcd"
-    assert [n.path for n in inspect_bytes(b"AmBs\0\2" + bank * 2, "x.abk")[0]] == ["/", "/bank/1", "/bank/2"]
+    assert [n.path for n in inspect_bytes(b"AmBs\0\2" + bank * 2, "x.abk")[0]] == ["/banks", "/banks/0", "/banks/1"]
     module = b"song".ljust(20, b"\0") + b"".join(struct.pack(">22sHBBHH", b"s", 2 if i == 0 else 0, 0, 64, 0, 1) for i in range(31)) + bytes([1, 127]) + bytes(128) + b"M.K." + bytes(1024) + b"\1\2\xff\0"
     nodes = inspect_bytes(module, "x.mod")[0]
     assert nodes[-1].audio.channels == [[1, 2, -1, 0]] and nodes[1].kind == "tracker"
