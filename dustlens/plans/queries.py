@@ -106,6 +106,11 @@ def path_percent_encode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", paths.percent_encode(F.substring("text", 1, 40)).alias("encoded"))
 
 
+@query("path_percent_encode_whole", "SELECT doc_id, sha256(CASE WHEN text = '' THEN '%00' ELSE replace(url_encode(text), '~', '%7E') END) AS encoded_sha256 FROM documents")
+def path_percent_encode_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(paths.percent_encode(F.col("text")).cast("binary"), 256).alias("encoded_sha256"))
+
+
 _NAME = f"regexp_replace(regexp_replace(replace(ltrim({_PATH}, '/'), '/', '_'), '[\\x00-\\x1f<>:\"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
 
 

@@ -1,5 +1,8 @@
 """Registered queries against SQL, and plans that must not shuffle."""
 
+import hashlib
+from urllib.parse import quote
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +58,13 @@ def test_names(spark):
     assert tuple(row) == ("_con.txt", "a_b_c", "a%20%7E%2A%C3%BC", "%00")
 
 
+def test_percent_encode_reads_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").collect()
+    want = {r["doc_id"]: hashlib.sha256((quote(r["text"], safe="").replace("~", "%7E") or "%00").encode()).hexdigest() for r in docs}
+    got = {r["doc_id"]: r["encoded_sha256"] for r in queries.QUERIES["path_percent_encode_whole"](spark, SF).where("encoded_sha256 IS NOT NULL").collect()}
+    assert got == want
+
+
 def test_inspecting_does_not_shuffle(spark):
     sources = spark.createDataFrame([(1, "x", bytearray(b"qoif")), (2, None, None)], "source_id long, filename string, content binary")
     out = inspect(sources)
