@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dustlens.llm import exact_dedup, graph, packing, pii, quality, repeats, sentence_pieces, simhash, token_counts, toxicity, url_filters
-from dustlens.llm.common import Scratch
+from dustlens.llm.common import Scratch, held_out
 
 SF = "/root/testdata/sf0.001"
 rng = random.Random(3)
@@ -128,6 +128,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r["predicted"] and not r["toxic"] for r in got) < 0.02 * len(got)
 
 
+def test_quality_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where(held_out(F.col("doc_id")))
+    rows = quality.judge_quality(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).where("NOT base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    bad, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(bad) > 50 and sum(bad) < 0.05 * len(bad)
+    assert len(good) > 500 and sum(good) > 0.99 * len(good)
+
+
 def near_brute(rows):
     fp = {i: simhash_brute(t or "") for i, t in rows}
     parent = {i: i for i in fp}
