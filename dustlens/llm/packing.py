@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,37 +19,70 @@ FIXED_COST = 64
 SHARD_PIECES = 20_000
 
 
-def pack(size: np.ndarray, lengths: tuple[int, ...] = LENGTHS, fixed: int = FIXED_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset, capacity) of each piece; sizes are 0 to the largest length.
+def _fill(falling: np.ndarray, i: int, capacity: int) -> int:
+    """What a bin opened for piece ``i`` can hold of it and the pieces after it, each taken where it fits; ``falling`` holds sizes negated, so that they rise."""
+    room, at = capacity + int(falling[i]), i + 1
+    while room > 0 and (at := max(at, int(np.searchsorted(falling, -room)))) < len(falling):
+        room += int(falling[at])
+        at += 1
+    return capacity - room
 
-    Pieces go by falling size, ties in the given order, into the open bin with the least room
-    that holds them. Where none does, a bin is opened whose capacity costs least for each unit
-    that what is still to be packed can fill: capacity plus fixed cost, over the part of the
-    capacity that the piece and its equals in size, or smaller pieces yet to come, can use. At
-    the end each bin is cut down to the smallest length that holds its contents.
-    """
-    lengths = tuple(sorted(lengths))
-    order = np.argsort(-size, kind="stable")
-    bin_of, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-    rest = int(size.sum())
+
+def _best_fit(falling: np.ndarray, lengths: tuple[int, ...], choose: Callable[[int, int, tuple[int, ...]], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece in falling order, and the contents of each bin; ``choose`` gives the capacity to open for piece ``i`` of size ``n`` out of the lengths that hold it."""
+    bin_of, offset = np.zeros(len(falling), np.int64), np.zeros(len(falling), np.int64)
     used: list[int] = []
     rooms: list[tuple[int, int]] = []  # (room, bin), sorted
-    for i in order.tolist():
-        n = int(size[i])
+    for i, n in enumerate((-falling).tolist()):
         at = bisect_left(rooms, (n, -1))
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            best = min((c for c in lengths if c >= n), key=lambda c: ((c + fixed) / max(1, min(c // max(n, 1) * n + min(c % max(n, 1), max(0, rest - n)), rest)), -c))
-            room, b = best, len(used)
+            room, b = choose(i, n, lengths[bisect_left(lengths, n) :]), len(used)
             used.append(0)
         bin_of[i], offset[i] = b, used[b]
         used[b] += n
-        rest -= n
         if room > n or n == 0:
             insort(rooms, (room - n, b))
-    fill = np.array(used, np.int64)
-    return bin_of, offset, np.array(lengths)[np.searchsorted(lengths, fill)][bin_of] if len(size) else fill
+    return bin_of, offset, np.array(used, np.int64)
+
+
+def pack(size: np.ndarray, lengths: tuple[int, ...] = LENGTHS, fixed: int = FIXED_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, capacity) of each piece; sizes are 0 to the largest length.
+
+    Pieces go by falling size, ties in the given order, into the open bin with the least room
+    that holds them. Where none does, a bin is opened, in several mixes of lengths: at the
+    capacity that costs least for each unit that the pieces really left can fill; likewise, but
+    taking the units left as if they filled any room; and, for each permitted length, at that
+    length or the least that holds the piece. At the end each bin is cut down to the smallest
+    length that holds its contents, and the mix is taken whose bins cost least together,
+    capacities plus fixed costs.
+    """
+    lengths = tuple(sorted(lengths))
+    if not len(size):
+        return (np.zeros(0, np.int64),) * 3
+    order = np.argsort(-size, kind="stable")
+    falling = -size[order].astype(np.int64)
+    rest = -np.cumsum(falling[::-1])[::-1]
+
+    def by_pieces(i: int, n: int, holding: tuple[int, ...]) -> int:
+        fills = {c: _fill(falling, i, c) for c in holding}
+        return min(holding, key=lambda c: ((lengths[bisect_left(lengths, fills[c])] + fixed) / max(1, fills[c]), -c))
+
+    def by_units(i: int, n: int, holding: tuple[int, ...]) -> int:
+        left = int(rest[i])
+        return min(holding, key=lambda c: ((c + fixed) / max(1, min(c // max(n, 1) * n + min(c % max(n, 1), max(0, left - n)), left)), -c))
+
+    least = None
+    for choose in (by_units, by_pieces, *(lambda i, n, holding, c=c: max(c, holding[0]) for c in reversed(lengths))):
+        b, at, used = _best_fit(falling, lengths, choose)
+        capacity = np.array(lengths)[np.searchsorted(lengths, used)]
+        cost = int(capacity.sum()) + fixed * len(used)
+        if least is None or cost < least[0]:
+            least = cost, b, at, capacity
+    bin_of, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    bin_of[order], offset[order] = least[1], least[2]
+    return bin_of, offset, least[3][bin_of]
 
 
 def pieces(docs: DataFrame, length: Column, most: int, id_col: str = "doc_id") -> DataFrame:

@@ -232,6 +232,14 @@ def test_packing_bounds_and_whole_texts():
     assert size.sum() / used > 0.95
 
 
+def test_packing_opens_smaller_lengths_where_they_cost_less():
+    size = np.random.default_rng(2).integers(5000, 14000, 3000)
+    b, _, capacity = packing.pack(size)
+    first = np.unique(b, return_index=True)[1]
+    assert set(capacity[first].tolist()) >= {16384, 32768}
+    assert (capacity[first] + packing.FIXED_COST).sum() < 29_417_472  # with the largest length opened for all
+
+
 def test_packing_pieces_cover_documents(awkward):
     rows = packing.pack_documents(awkward, F.octet_length("text"), (16, 64)).collect()
     total = {}
