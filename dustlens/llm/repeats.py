@@ -172,7 +172,10 @@ def _sort_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         doc, at = np.repeat(np.array([r[1] for r in rows]), size), np.repeat(np.array([r[2] for r in rows]), size) + inside
         order = np.lexsort((at, doc, klass))
         klass, doc, at = klass[order], doc[order], at[order]
-        again = np.append(False, klass[1:] == klass[:-1])
+        # A repeated row brings the same places again: what is at its class's first place is no copy.
+        new = np.append(True, klass[1:] != klass[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(klass)), 0))
+        again = (doc != doc[first]) | (at != at[first])
         doc, at = doc[again], at[again]
         order = np.lexsort((at, doc))
         return _spans(doc[order], at[order])

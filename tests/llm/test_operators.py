@@ -77,6 +77,17 @@ def test_repeats_against_brute_force(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.cut_repeats(docs).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [4000, 0])  # by suffix arrays, and by digests
+def test_repeated_rows_are_not_copies_of_each_other(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    words = random.Random(5)
+    text = lambda n: "".join(words.choice("abcdefgh ") for _ in range(n))
+    shared = text(400)
+    one, two = text(300) + shared + text(300), text(300) + shared + text(300)
+    rows = repeats.cut_repeats(spark.createDataFrame([(1, one), (1, one), (2, two)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (1, 0), (2, 400)]
+
+
 def test_repeats_across_blocks(monkeypatch):
     data = (PASSAGE + "".join(rng.choice("xyz") for _ in range(500)) + PASSAGE).encode()
     trigger, start, end, _ = repeats.phrases(data, np.array([0]), np.array([len(data)]))
