@@ -1,9 +1,11 @@
-"""Toxicity by two class-conditional Kneser-Ney models."""
+"""Toxicity by two class-conditional Kneser-Ney models that back off to shared counts."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,13 @@ from pyspark.sql import functions as F
 
 from dustlens.llm.common import as_bytes, held_out, table, texts_of
 
-#: The bounded sample that the models are fitted on: so many labelled documents of each class, none longer than so many bytes.
+#: The bounded sample that the class counts are taken from: so many labelled documents of each class, none longer than so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 15
-#: Standard deviations by which counts are discounted; held-back parts of the sample choose among them.
-DISCOUNTS = (2.5, 3.5)
+#: Absolute discounts, and what the orders below weigh besides; folds of the training sample choose among them.
+DISCOUNTS, STRENGTHS = (2.0, 3.0, 4.0), (2.0, 8.0, 32.0)
+FOLDS = 3
+#: Bits of a sketch's register number: 256 registers count distinct contexts within some 7 percent.
+REGISTER_BITS = 8
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -27,93 +32,179 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
-def _excess(count: np.ndarray, expected: np.ndarray, discount: float) -> np.ndarray:
-    """Counts after the discount of what parts them from the expected."""
-    over = count - expected
-    return expected + np.sign(over) * np.maximum(np.abs(over) - discount * np.sqrt(expected + 1), 0)
+class Kinds:
+    """Kinds of texts, such as languages, by the shares that the corpus's commonest words have in them."""
 
+    def __init__(self, texts: list[list[bytes]], shared: dict[bytes, float], most: int = 8, words: int = 64, steps: int = 15):
+        self.common = {w: i for i, w in enumerate(sorted(shared, key=lambda w: (-shared[w], w))[:words])}
+        x = self._shares(texts)
+        # Clusters begin as the texts that have one of these words most often.
+        first = x.argmax(axis=1) if len(self.common) else np.zeros(len(texts), np.int64)
+        names, sizes = np.unique(first, return_counts=True)
+        self.centres = np.stack([x[first == k].mean(axis=0) for k in names[np.argsort(-sizes, kind="stable")][:most]]) if len(x) else np.zeros((1, len(self.common)))
+        for _ in range(steps):
+            of = self._nearest(x)
+            self.centres = np.stack([x[of == k].mean(axis=0) if (of == k).any() else c for k, c in enumerate(self.centres)])
 
-class KneserNey:
-    """Models of two classes: pairs of words back off to words, these to their first bytes, and all to counts which both classes share.
-
-    Each level counts distinct contexts, as Kneser-Ney's lower levels do: words and their
-    beginnings by the words that they follow, pairs by the words before them, so that a passage
-    copied often counts once. A word or beginning counts no more than the texts that have it, as
-    its places in one text are not independent. A level's probability, given the level below, is that of both
-    classes together, plus what the class's count has in excess of (or short of) it beyond
-    ``discount`` standard deviations of a count of that size. A rare expression, whose excess
-    the discount uses up, takes the shared probability in both classes and so says nothing
-    beyond what its beginning says.
+    def _shares(self, texts: list[list[bytes]]) -> np.ndarray:
+        get, n = self.common.get, len(self.common)
+        x = np.zeros((len(texts), n + 1))
+        for i, text in enumerate(texts):
+            if text:
+                x[i] = np.bincount(np.fromiter((get(w, n) for w in text), np.int64, len(text)), minlength=n + 1) / len(text)
+        return np.sqrt(x[:, :-1])
+
+    def _nearest(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centres**2).sum(axis=1) - 2 * x @ self.centres.T).argmin(axis=1)
+
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The kind of each text, the nearest centre's number."""
+        return self._nearest(self._shares(texts))
+
+
+class Counts:
+    """Distinct contexts by class, from lists of words and their classes: all that the models need, whatever their discount.
+
+    Every order counts distinct contexts, as Kneser-Ney's lower orders do, so that a copied or
+    repeated passage counts once. ``shared`` is a number
+    of distinct contexts for each word of the vocabulary in the whole corpus, ``others`` that for
+    all other words together, which are one further entry of the vocabulary.
     """
 
-    #: Bytes of a word's beginnings, the coarsest first.
+    #: Bytes of a word's beginnings, the shortest first.
     beginnings = (4, 6)
 
-    def __init__(self, texts: list[list[bytes]], labels: list[int], discount: float):
-        self.discount = discount
-        ids: dict[bytes, int] = {b"": 0}
-        coded = [np.array([0, 0] + [ids.setdefault(w, len(ids)) for w in words], np.int64) for words in texts]
-        n, names = len(ids), list(ids)
-        # Distinct (before, word) and (two before, before, word), by class.
-        single = [np.unique(np.concatenate([np.zeros(0, np.int64)] + [x[1:-1] * n + x[2:] for x, y in zip(coded, labels, strict=True) if y == c])) for c in (0, 1)]
-        triple = [np.unique(np.concatenate([np.zeros((0, 2), np.int64)] + [np.stack([x[:-2], x[1:-1] * n + x[2:]], 1) for x, y in zip(coded, labels, strict=True) if y == c]), axis=0)[:, 1] for c in (0, 1)]
-        count = np.stack([np.bincount(s % n, minlength=n) for s in single]).astype(float)
-        seen_in = [np.unique(np.concatenate([np.zeros(0, np.int64)] + [i * n + np.unique(x[2:]) for i, (x, y) in enumerate(zip(coded, labels, strict=True)) if y == c])) for c in (0, 1)]
-        parent, odds = np.zeros(n, np.int64), np.zeros(1)
-        self.odds: list[dict[bytes, float]] = []  # of beginnings, then of words
-        for size in (*self.beginnings, None):
-            kinds: dict[bytes, int] = {}
-            of = np.array([kinds.setdefault(w[:size], len(kinds)) for w in names], np.int64)
-            up = np.zeros(len(kinds), np.int64)
-            up[of] = parent
-            contexts = np.stack([np.bincount(of, weights=count[c], minlength=len(kinds)) for c in (0, 1)])
-            texts_with = np.stack([np.bincount(np.unique(s // n * len(kinds) + of[s % n]) % len(kinds), minlength=len(kinds)) for s in seen_in])
-            own = np.minimum(contexts, texts_with)
-            above = np.stack([np.bincount(up, weights=own[c], minlength=len(odds)) for c in (0, 1)])
-            share = own.sum(axis=0) / np.maximum(above.sum(axis=0)[up], 1e-12)
-            kept = _excess(own, above[:, up] * share, self.discount)
-            ratio = np.where(above[:, up] > 0, kept / np.maximum(above[:, up], 1e-12), share)
-            odds = odds[up] + np.log(np.maximum(ratio[1], 1e-12) / np.maximum(ratio[0], 1e-12))
-            self.odds.append(dict(zip(kinds, odds.tolist(), strict=True)))
-            parent = of
-        # Pairs that keep an excess in a class.
-        pairs = np.unique(np.concatenate(triple))
-        seen = np.zeros((2, len(pairs)))
-        for c in (0, 1):
-            own, times = np.unique(triple[c], return_counts=True)
-            seen[c, np.searchsorted(pairs, own)] = times
-        v, w = pairs // n, pairs % n
-        follows = np.stack([np.bincount(v, weights=seen[c], minlength=n)[v] for c in (0, 1)])
-        expected = follows * seen.sum(axis=0) / np.maximum(follows.sum(axis=0), 1e-12)
-        kept = _excess(seen, expected, self.discount)
-        changed = (np.abs(kept - expected) > 1e-9 * (expected + 1)).any(axis=0) & (follows > 0).all(axis=0)
-        ratio = kept / np.maximum(follows, 1e-12)
-        self.pairs: dict[bytes, dict[bytes, float]] = {}
-        for a, b, x in zip(v[changed].tolist(), w[changed].tolist(), np.log(np.maximum(ratio[1], 1e-12) / np.maximum(ratio[0], 1e-12))[changed].tolist(), strict=True):
-            self.pairs.setdefault(names[a], {})[names[b]] = x
-        self.cache: dict[bytes, float] = {}
-
-    def _word(self, w: bytes) -> float:
-        """The log odds of a word by itself; of an unknown one, those of its longest known beginning."""
-        x = self.odds[-1].get(w)
-        for size, level in zip(reversed(self.beginnings), reversed(self.odds[:-1]), strict=True):
-            x = level.get(w[:size]) if x is None else x
-        if len(self.cache) > 500_000:
-            self.cache.clear()
-        self.cache[w] = x = x or 0.0
-        return x
-
-    def mean_odds(self, words: list[bytes]) -> float:
-        """The difference of the two log likelihoods, by word; 0 without words. What is unknown is equally likely in both classes."""
-        get, word, pairs = self.cache.get, self._word, self.pairs
+    def __init__(self, texts: list[list[bytes]], labels: list[int], shared: dict[bytes, float], others: float):
+        self.names = names = [*shared, None]  # None: all other words
+        ids = {w: i for i, w in enumerate(shared)}
+        self.unknown = unknown = len(ids)
+        below = np.append(np.fromiter(shared.values(), float, unknown), max(1.0, others))
+        self.below = below / below.sum()
+        # Words outside of the vocabulary are told apart as contexts, by further numbers; 0 is a text's beginning.
+        every: dict[bytes, int] = {b"": 0}
+        coded = [np.array([0, 0] + [every.setdefault(w, len(every)) for w in words], np.int64) for words in texts]
+        coded = [(y, x) for x, y in zip(coded, labels, strict=True) if len(x) > 2]
+        n, spelled = len(every), list(every)
+        self.entry = np.array([ids.get(w, unknown) for w in spelled])
+        join = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+        klass = np.repeat([y for y, _ in coded], [len(x) - 2 for _, x in coded]).astype(np.int64)
+        earlier, before, word = (join([x[k : len(x) - 2 + k] for _, x in coded]) for k in range(3))
+        pair = before * n + word
+        numbers, number = np.unique(pair, return_inverse=True)
+
+        def counted(size: int, context: np.ndarray, item: np.ndarray) -> np.ndarray:
+            """By class, the distinct contexts of each item."""
+            return np.bincount(np.unique(context * (2 * size) + klass * size + item) % (2 * size), minlength=2 * size).reshape(2, size).astype(float)
+
+        self.words = counted(n, before, word)
+        self.orders = []  # of each length of beginnings: counts, the beginning of each entry, its probability in the corpus
+        for length in self.beginnings:
+            known: dict[bytes | None, int] = {None: 0}
+            of = np.array([known.setdefault(w and w[:length], len(known)) for w in names])
+            whole = np.array([known.get(w[:length], 0) for w in spelled])
+            self.orders.append((counted(len(known), number, whole[word]), of, np.bincount(of, weights=self.below, minlength=len(known))))
+        k = counted(len(numbers), earlier, number)
+        v, w = numbers // n, self.entry[numbers % n]
+        inside = (self.entry[v] < unknown) | (v == 0)
+        self.pair_v, self.pair_w, self.pair_k = np.where(v == 0, unknown, self.entry[v])[inside], w[inside], k[:, inside]
+
+
+class KneserNey:
+    """Interpolated models of words after words, one for each class, over the vocabulary and one entry for all other words.
+
+    As in modified Kneser-Ney the absolute discount D(k) grows with the count: min(k, ``discount``
+    standard deviations of it, which is its square root). S is the strength of the orders below;
+    of an order with counts k that sum to K, R = sum(D(k)) + S * K goes to the order below. (With
+    S = 0 that is interpolated Kneser-Ney; S is the further share that a Pitman-Yor process gives
+    to its base.)
+
+    - P(w) of the corpus is proportional to shared contexts; both classes have it in common.
+    - P_c(b) of the beginnings b of words is (k - D(k) + R P_c(a) P(b | a)) / ((1 + S) K),
+      where a is the next shorter beginning, at last none, and P(b | a) the corpus's.
+    - P_c(w) of words likewise, below which their longest beginnings are.
+    - Q_c(w | v) likewise from the pairs with v of both classes together, with P_c(w) below.
+    - P_c(w | v) likewise from the pairs with v of class c, with Q_c(w | v) below. Where there is
+      no pair with v it is what is below.
+
+    An expression whose count the discount uses up has, but for R / K, what its beginning has in
+    the class and, if that is rare too, the shared probability, and so says nothing.
+    """
+
+    def __init__(self, counts: Counts, discount: float, strength: float):
+        self.unknown, one = counts.unknown, 1 + strength
+        gone = lambda k: np.minimum(k, discount * np.sqrt(k))
+
+        def share(k: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+            total = k.sum(axis=1, keepdims=True)
+            kept = np.stack([np.bincount(of, weights=x, minlength=size) for x in k - gone(k)]) / np.maximum(total, 1) / one
+            return kept, np.where(total > 0, (gone(k).sum(axis=1, keepdims=True) / np.maximum(total, 1) + strength) / one, 1.0)
+
+        lower, parents, up = np.ones((2, 1)), np.ones(1), np.zeros(self.unknown + 1, np.int64)
+        for k, of, p in counts.orders:
+            above = np.zeros(len(p), np.int64)
+            above[of] = up
+            kept, rest = share(k, np.arange(len(p)), len(p))
+            lower, parents, up = kept + rest * lower[:, above] * p / parents[above], p, of
+        kept, rest = share(counts.words, counts.entry, self.unknown + 1)
+        #: P_c of each word of the vocabulary, and of all others together.
+        self.single = kept + rest * lower[:, up] * counts.below / parents[up]
+        # Rows of pairs: the ordinary and the toxic class's, and both together.
+        every = np.concatenate([counts.pair_k, counts.pair_k.sum(axis=0, keepdims=True)])
+        totals = [np.stack([np.bincount(counts.pair_v, weights=x, minlength=self.unknown + 1) for x in y]) for y in (every, gone(every))]
+        self.pair_total = totals[0] * one
+        #: What a pair with v that is not kept has of the order below.
+        self.pair_rest = np.where(totals[0] > 0, (totals[1] + totals[0] * strength) / np.maximum(self.pair_total, 1e-12), 1.0)
+        some = (gone(every) < every).any(axis=0)
+        self.pairs, at = np.unique(counts.pair_v[some] * (self.unknown + 1) + counts.pair_w[some], return_inverse=True)
+        kept = np.stack([np.bincount(at, weights=x, minlength=len(self.pairs)) for x in (every - gone(every))[:, some]])
+        self.pair_kept = kept / np.maximum(self.pair_total[:, self.pairs // (self.unknown + 1)], 1e-12)
+
+    def _paired(self, c: int, v: np.ndarray, kept: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """P_c(w | v) from what is kept of pairs (a row for each class and one for both) and P_c(w)."""
+        return kept[c] + self.pair_rest[c, v] * (kept[2] + self.pair_rest[2, v] * below)
+
+    def following(self, c: int, v: int) -> np.ndarray:
+        """P_c(. | v) over the vocabulary and all others together; v is a place in the vocabulary, or its length at a text's beginning."""
+        kept = np.zeros((3, self.unknown + 1))
+        own = self.pairs // (self.unknown + 1) == v
+        kept[:, self.pairs[own] % (self.unknown + 1)] = self.pair_kept[:, own]
+        return self._paired(c, np.array(v), kept, self.single[c])
+
+    def odds(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log P_toxic(w | v) / P_ordinary(w | v) of pairs of places in the vocabulary. What the corpus alone decides, such as which of all other words it is, cancels out."""
+        kept = np.zeros((3, len(v)))
+        at = np.searchsorted(self.pairs, v * (self.unknown + 1) + w)
+        here = np.flatnonzero(at < len(self.pairs))
+        here = here[self.pairs[at[here]] == (v * (self.unknown + 1) + w)[here]]
+        kept[:, here] = self.pair_kept[:, at[here]]
+        p = [self._paired(c, v, kept, self.single[c, w]) for c in (0, 1)]
+        return np.log(p[1]) - np.log(p[0])
+
+
+class Odds:
+    """Log ratios of the toxic to the ordinary models, the mean of several models', so that scoring a word is a few look-ups."""
+
+    def __init__(self, models: list[KneserNey], names: list[bytes | None]):
+        word = np.mean([np.log(m.single[1]) - np.log(m.single[0]) for m in models], axis=0)
+        shift = np.mean([np.log(m.pair_rest[1]) - np.log(m.pair_rest[0]) for m in models], axis=0)
+        self.word, self.other = dict(zip(names[:-1], word[:-1].tolist(), strict=True)), float(word[-1])
+        label = [*names[:-1], b""]
+        self.context = {label[v]: float(shift[v]) for v in np.flatnonzero(shift).tolist()}
+        self.pair: dict[bytes, dict[bytes | None, float]] = {}
+        v, w = np.divmod(np.unique(np.concatenate([m.pairs for m in models])), len(names))
+        for a, b, x in zip(v.tolist(), w.tolist(), np.mean([m.odds(v, w) for m in models], axis=0).tolist(), strict=True):
+            self.pair.setdefault(label[a], {})[names[b]] = x
+
+    def mean(self, words: list[bytes]) -> float:
+        """The difference of the two log-likelihoods, divided by the number of words; 0 without words."""
+        word, other, context, pair = self.word, self.other, self.context, self.pair
         total, last = 0.0, b""
         for w in words:
-            x = get(w)
-            if x is None:
-                x = word(w)
-            if last in pairs:
-                x = pairs[last].get(w, x)
-            total += x
+            x = word.get(w)
+            if last in pair and (y := pair[last].get(w if x is not None else None)) is not None:
+                total += y
+            else:
+                total += (other if x is None else x) + context.get(last, 0.0)
             last = w
         return total / max(1, len(words))
 
@@ -137,44 +228,145 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 
 
 class ToxicityModel:
-    """The two language models and the line that turns mean log odds into a score."""
+    """Language models of the two classes, and the line that turns the mean difference of log-likelihoods into a score.
 
-    def __init__(self, texts: list[bytes], labels: list[int]):
+    Each fold of the sample is left out of a pair of models in turn, which the final odds are
+    the mean of. A class learns from about as many words of each kind of text as the other does,
+    and the difference is taken from the median of left-out ordinary texts of the text's own kind,
+    in units of their median distance to it: otherwise the classes' shares of languages would
+    speak in every word.
+    """
+
+    def __init__(self, texts: list[bytes], labels: list[int], shared: dict[bytes, float], others: float):
+        words = [words_of(t) for t in texts]
+        y = np.array(labels, np.int64)
+        self.kinds = Kinds(words, shared)
+        kind = self.kinds.of(words)
+        fold = np.zeros(len(y), np.int64)
+        for c in (0, 1):
+            fold[y == c] = np.arange(int((y == c).sum())) % FOLDS
+        grid = list(product(DISCOUNTS, STRENGTHS))
+        models: dict[tuple[float, float], list[KneserNey]] = {p: [] for p in grid}
+        usual, odds = {p: [] for p in grid}, {p: np.zeros(len(y)) for p in grid}
+        names: list[bytes | None] = [*shared, None]
+        for k in range(FOLDS):
+            own, out = self._balanced(np.flatnonzero(fold != k), words, y, kind), np.flatnonzero(fold == k)
+            seen = Counts([words[i] for i in own], y[own].tolist(), shared, others)
+            for p in grid:
+                models[p].append(KneserNey(seen, *p))
+                one = Odds(models[p][-1:], names)
+                x = np.array([one.mean(words[i]) for i in out.tolist()], float)
+                usual[p].append(self._usual(x, y[out], kind[out]))
+                odds[p][out] = (x - usual[p][-1][0][kind[out]]) / usual[p][-1][1][kind[out]]
+        self.slope, self.intercept, chosen = 1.0, 0.0, grid[0]
+        if FOLDS <= y.sum() <= len(y) - FOLDS:
+            self.tried = sorted((*_logistic(x, y), p) for p, x in odds.items())
+            _, self.slope, self.intercept, chosen = self.tried[0]
+        self.usual, self.odds = np.mean(usual[chosen], axis=0), Odds(models[chosen], names)
+
+    @staticmethod
+    def _balanced(texts: np.ndarray, words: list[list[bytes]], y: np.ndarray, kind: np.ndarray) -> list[int]:
+        """Texts, in order, until a class has about as many words of a kind as the other class has at all."""
+        size = np.zeros((2, int(kind.max(initial=0)) + 1))
+        for i in texts.tolist():
+            size[y[i], kind[i]] += len(words[i])
+        out, used = [], np.zeros_like(size)
+        for i in texts.tolist():
+            if used[y[i], kind[i]] < size[1 - y[i], kind[i]] or not size[1 - y[i], kind[i]]:
+                out.append(i)
+                used[y[i], kind[i]] += len(words[i])
+        return out
+
+    def _usual(self, odds: np.ndarray, y: np.ndarray, kind: np.ndarray, fewest: int = 10) -> np.ndarray:
+        """The median of ordinary texts by kind, and the median distance to it; those of all where a kind has few."""
+
+        def middle(x: np.ndarray) -> tuple[float, float]:
+            centre = float(np.median(x)) if len(x) else 0.0
+            return centre, max(1e-9, float(np.median(np.abs(x - centre)))) if len(x) else 1.0
+
+        own = [odds[(y == 0) & (kind == k)] for k in range(len(self.kinds.centres))]
+        return np.array([middle(x if len(x) >= fewest else odds[y == 0]) for x in own]).T
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
         words = [words_of(t) for t in texts]
-        y = np.array(labels, float)
-        self.slope, self.intercept, discount = 1.0, 0.0, DISCOUNTS[0]
-        if 1 < y.sum() < len(y) - 1:
-            fold = np.arange(len(y)) % 2
-            tried = []
-            for d in DISCOUNTS:
-                odds = np.zeros(len(y))
-                for k in (0, 1):  # odds of texts that the model has not seen
-                    lm = KneserNey([w for w, f in zip(words, fold, strict=True) if f != k], [c for c, f in zip(labels, fold, strict=True) if f != k], d)
-                    for i in np.flatnonzero(fold == k):
-                        odds[i] = lm.mean_odds(words[i])
-                tried.append((*_logistic(odds, y), d))
-            _, self.slope, self.intercept, discount = min(tried)
-        self.lm = KneserNey(words, labels, discount)
-
-    def score(self, text: bytes) -> float:
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * self.lm.mean_odds(words_of(text)) + self.intercept))))
+        centre, spread = self.usual[:, self.kinds.of(words)]
+        x = (np.array([self.odds.mean(w) for w in words], float) - centre) / spread
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
+
+
+def shared_contexts(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[bytes, float], float]:
+    """The number of distinct words before each word of ``vocabulary`` in all of ``docs``, and that before all other words.
+
+    Sketches of ``1 << REGISTER_BITS`` registers for each word (and for sixteen classes of the
+    others) are filled within tasks and merged by their greatest ranks; a task returns them
+    sparsely, and what comes to the driver is bounded by the vocabulary.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds, registers = 16, 1 << REGISTER_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        ids = {w: i for i, w in enumerate(sent.value)}
+        n = len(ids)
+        ranks = np.zeros((n + kinds, registers), np.uint8)
+        hashes: dict[bytes, int] = {}
+        for batch in batches:
+            for text in as_bytes(batch.column(1)):
+                words = words_of(text)
+                if len(words) < 2:
+                    continue
+                if len(hashes) > 300_000:
+                    hashes.clear()
+                for w in words:
+                    if w not in hashes:
+                        hashes[w] = xxh3_64_intdigest(w)
+                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                at = np.fromiter((ids.get(w, -1) for w in words[1:]), np.int64, len(words) - 1)
+                other = at < 0
+                at[other] = n + (h[1:][other] >> np.uint64(60)).astype(np.int64)
+                # The hash of the context, of the whole pair for words outside of the vocabulary.
+                key = (h[:-1] ^ np.where(other, h[1:], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(32)
+                key *= np.uint64(0xD6E8FEB86659FD93)
+                low = (key >> np.uint64(REGISTER_BITS)).astype(np.float64) + 1  # the leading zeros of 56 bits
+                rank = (64 - REGISTER_BITS + 1 - np.floor(np.log2(low))).astype(np.uint8)
+                np.maximum.at(ranks, (at, (key & np.uint64(registers - 1)).astype(np.int64)), rank)
+        at, register = np.nonzero(ranks)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(register.astype(np.int32)), pa.array(ranks[at, register].astype(np.int32))], names=["word", "register", "rank"])
+
+    rows = texts_of(docs, id_col, text_col).mapInArrow(run, "word int, register int, rank int").groupBy("word", "register").agg(F.max("rank").alias("rank"))
+    sums = {r[0]: (r[1], r[2]) for r in rows.groupBy("word").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.count("*")).collect()}
+
+    def estimate(word: int) -> float:
+        total, filled = sums.get(word, (0.0, 0))
+        empty = registers - filled
+        raw = 0.7213 / (1 + 1.079 / registers) * registers**2 / (total + empty)
+        return registers * math.log(registers / empty) if empty and raw <= 2.5 * registers else raw
+
+    return {w: max(1.0, estimate(i)) for i, w in enumerate(vocabulary)}, sum(estimate(len(vocabulary) + k) for k in range(kinds))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Learns from at most ``sample`` labelled documents of each class, chosen by a hash of the id, that the held-out fold does not hold.
+    """Learns class counts from at most ``sample`` labelled documents of each class, chosen by a hash of the id, that the held-out fold does not hold.
 
-    What comes to the driver is bounded by 2 * sample * most_bytes, whatever the corpus. Labels
+    What comes to the driver is bounded by 2 * sample * most_bytes, whatever the corpus; the
+    counts that both classes back off to are taken over all of ``docs``, without labels. Labels
     that are null, or of documents with no text, are passed over; of several labels of one
     document the highest counts.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for c in (0, 1)]
-    ids = picked[0].union(picked[1])
-    rows = texts_of(docs).where(F.octet_length("text").between(1, most_bytes)).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
-    rows = [r for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+    fitting = texts_of(docs).where(F.octet_length("text").between(1, most_bytes))
+    # Ids first, so that texts of the sample alone are sorted out.
+    ids = known.join(fitting.select("doc_id").distinct(), "doc_id", "left_semi")
+    picked = [ids.where((F.col("toxic") > 0) == (c > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
+    rows = fitting.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return ToxicityModel([r["text"].encode() for r in rows], [int(r["toxic"] > 0) for r in rows])
+    texts, classes = [r["text"].encode() for r in rows], [int(r["toxic"] > 0) for r in rows]
+    seen = Counter(w for t in texts for w in set(words_of(t)))
+    vocabulary = sorted(w for w, n in seen.items() if n > 1)  # the discount uses up what one text has
+    return ToxicityModel(texts, classes, *shared_contexts(docs, vocabulary))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -188,9 +380,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = sent.value.score
         for batch in batches:
-            s = np.array([score(t) for t in as_bytes(batch.column(1))], float)
+            s = sent.value.scores(as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = texts_of(docs, id_col, text_col)
@@ -202,13 +393,13 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
     sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = sent.value.score
         for batch in batches:
-            yield batch.filter(pa.array([score(t or b"") < threshold for t in as_bytes(batch.column(place))], pa.bool_()))
+            yield batch.filter(pa.array(sent.value.scores([t or b"" for t in as_bytes(batch.column(place))]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_toxicity`` of all ``documents`` by a model fitted on ``labels`` outside of the held-out fold; see there for nulls, ties and empty texts."""
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
