@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), one is made."""
+    """The folder that driver and executors share. Only a local session that names none, as in tests, gets one made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="dustlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -31,12 +33,21 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive any executor.
 
-    ``drop`` removes those that no later step reads; ``path`` of a table that the result
-    itself reads stays until the folder's owner clears it.
+    ``drop`` removes those that no later step reads. Tables that a lazy result reads stay until
+    ``sweep`` removes them, once the result is written.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.base = spark, f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        Scratch.opened.append(self)
+
+    @staticmethod
+    def sweep(since: int) -> None:
+        """Removes the folders of all that were opened after the first ``since``."""
+        while len(Scratch.opened) > since:
+            Scratch.opened.pop().drop("")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -61,6 +72,11 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for each row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustlens.llm.common import SPACE_CLASS, table, texts_of
+from dustlens.llm.common import SPACE_CLASS, let, table, texts_of
 
 #: The commonest words of each language, the most frequent first; the k-th is taken to make up WORD_SHARE / k ** WORD_FALL of all words.
 COMMON_WORDS = {
@@ -36,11 +34,6 @@ FEWEST_WORDS, MOST_REPEAT_PERCENT = 50, 50
 _CASED = "[^a-zß-ÿ]+"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once for each row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def word_share(rank: int) -> float:
     return WORD_SHARE / rank**WORD_FALL
 
@@ -51,18 +44,18 @@ def repeat_words(words: Column) -> Column:
     def of(w: Column) -> Column:
         last = F.size(w) - 2
         hashes = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
-        return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def count(s: Column) -> Column:
             twice = F.filter(F.transform(s, lambda x, j: F.when((F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), x["i"])), lambda i: i.isNotNull())
-            return _let(twice, lambda t: F.size(F.array_distinct(F.concat(t, F.transform(t, lambda i: i + 1), F.transform(t, lambda i: i + 2)))))
+            return let(twice, lambda t: F.size(F.array_distinct(F.concat(t, F.transform(t, lambda i: i + 1), F.transform(t, lambda i: i + 2)))))
 
-        return _let(placed, count)
+        return let(placed, count)
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(_let(words, of))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, of))
 
 
 def _distance(parts: Column, reference: list[float]) -> Column:
@@ -97,12 +90,12 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = base.select(
         "doc_id",
-        _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.char_length("text").cast("long").alias("n"),
         F.octet_length("text").cast("long").alias("bytes"),
         *[F.regexp_count("text", F.lit(p)).cast("long").alias(f"c_{c}") for c, p in CLASSES.items()],
-        _let(
+        let(
             F.filter(F.split(F.lower("text"), _CASED), lambda w: w != ""),
             lambda w: F.struct(F.size(w).alias("n"), F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x.isin(sorted({y for ys in COMMON_WORDS.values() for y in ys}))), "  "), F.lit(" ")).alias("common")),
         ).alias("c"),
@@ -131,6 +124,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge_quality`` of all ``documents``; see there for nulls, empty texts and repeated rows."""
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judge_quality(table(spark, sf_dir, "documents")).select(*columns)
 
