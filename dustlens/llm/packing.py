@@ -7,16 +7,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustlens.llm.common import table, texts_of
+from dustlens.llm.common import Scratch, as_bytes, table, texts_of
 
 #: Permitted sequence lengths, in bytes of UTF-8 (the units of a byte-level model), and what a sequence costs besides its length.
 LENGTHS = (2048, 4096, 8192, 16384, 32768)
 FIXED_COST = 64
-#: Pieces that are packed together; enough that bins fill, and what one task holds.
-SHARD_PIECES = 20_000
+#: Pieces, and bytes of text, that are packed together; enough that bins fill, and what one task holds.
+SHARD_PIECES, SHARD_BYTES = 20_000, 1 << 25
 
 
 def _fill(falling: np.ndarray, i: int, capacity: int) -> int:
@@ -85,40 +85,70 @@ def pack(size: np.ndarray, lengths: tuple[int, ...] = LENGTHS, fixed: int = FIXE
     return bin_of, offset, least[3][bin_of]
 
 
-def pieces(docs: DataFrame, length: Column, most: int, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, start, length): documents longer than ``most`` are cut into pieces of that length and a rest."""
-    sized = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
-    count = F.greatest(F.lit(1), F.ceil(F.col("n") / most).cast("int"))
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
-    start = F.col("piece").cast("long") * most
-    return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - start).alias("length"))
-
-
-def pack_documents(docs: DataFrame, length: Column, lengths: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """(shard, bin, capacity, used, offset, doc_id, piece, start, length), a row for each piece.
-
-    ``length`` is a column of ``docs``; null is 0. A document longer than the largest permitted
-    length becomes several pieces, so that nothing is cut off. A piece of length 0 takes its
-    place at the end of a bin. Pieces are dealt over shards by a hash of id and piece, some
-    ``shard_pieces`` to a shard, whatever their source or length, and every shard is packed in
-    one task that holds ids and lengths only. The same rows give the same bins; repeated rows are
-    packed each, and rows with a null id like others. An empty table gives an empty result.
+def cuts(text: bytes, most: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a text, of at most ``most`` bytes, cut between characters; one of length 0 for an empty text."""
+    out, start = [], 0
+    while len(text) - start > most:
+        end = start + most
+        while end > start and text[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((start, end - start))
+        start = end
+    return [*out, (start, len(text) - start)]
+
+
+def pieces(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, piece, start, length, text): each row's text, cut into pieces; row is a number of its own for each row."""
+    if most < 4:
+        raise ValueError("a character may take 4 bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(2))
+            own = [cuts(t, most) for t in texts]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            start, length = np.array([x for y in own for x in y], np.int64).reshape(-1, 2).T
+            piece = np.arange(len(at)) - np.searchsorted(at, at)
+            parts = [texts[i][a : a + n] for i, a, n in zip(at.tolist(), start.tolist(), length.tolist(), strict=True)]
+            index = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(parts, pa.binary()).cast(pa.string())], names=["row", "doc_id", "piece", "start", "length", "text"])
+
+    rows = texts_of(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length long, text string")
+
+
+def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, shard_pieces: int = SHARD_PIECES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, bin, capacity, used, offset, doc_id, piece, start, length, text), a row for each piece, in order of bins and offsets within a shard.
+
+    Joining a bin's texts in order of offsets gives its sequence, joining a document's texts in
+    order of pieces the document. Lengths are bytes of UTF-8; a document longer than the largest
+    permitted length becomes several pieces, cut between characters, so that nothing is lost. A
+    null text is empty; a piece of length 0 takes its place at the end of a bin. Pieces are
+    numbered by row, written out, and dealt over shards by a hash of row and piece, so that
+    neither one id nor equal rows fill a shard: some ``shard_pieces`` pieces or ``shard_bytes``
+    bytes of text go to a shard, which one task packs. Repeated rows are packed each, and rows
+    with a null id like others. Other columns are not read; an empty table gives an empty
+    result. Without ``with_text`` no texts are moved and that column is left out.
     """
-    most = max(lengths)
-    items = pieces(docs, length, most, id_col)
-    shards = max(1, -(-items.count() // shard_pieces))
+    scratch = Scratch(docs.sparkSession, "packing")
+    items = pieces(docs, max(lengths), id_col, text_col)
+    items = scratch.save(items if with_text else items.drop("text"), "pieces")
+    n, held = items.agg(F.count("*"), F.sum("length")).first()
+    shards = max(1, -(-n // shard_pieces), -(-(held or 0) // shard_bytes) if with_text else 1)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
+        rows = rows.sort_by([("row", "ascending"), ("piece", "ascending")])
         size = rows.column("length").to_numpy()
         b, offset, capacity = pack(size, lengths)
         used = np.bincount(b, weights=size).astype(np.int64)[b] if len(size) else size
-        return pa.table({"shard": rows.column("shard"), "bin": b, "capacity": capacity, "used": used, "offset": offset, "doc_id": rows.column("doc_id"), "piece": rows.column("piece"), "start": rows.column("start"), "length": rows.column("length")})
+        out = {"shard": rows.column("shard"), "bin": b, "capacity": capacity, "used": used, "offset": offset} | {c: rows.column(c) for c in ("doc_id", "piece", "start", "length", *(["text"] if with_text else []))}
+        # Of one offset a piece of length 0 comes first.
+        return pa.table(out).take(pa.array(np.lexsort((size, offset, b))))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")
-    return items.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "shard int, bin long, capacity long, used long, offset long, doc_id long, piece int, start long, length long")
+    shard = F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int")
+    return items.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "shard int, bin long, capacity long, used long, offset long, doc_id long, piece int, start long, length long" + (", text string" if with_text else ""))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts_of(table(spark, sf_dir, "documents"))
-    return pack_documents(docs, F.octet_length("text"))
+    """(shard, bin, capacity, used, offset, doc_id, piece, start, length) for each piece of ``documents``; see ``pack_documents`` for nulls, ties and repeated rows."""
+    return pack_documents(table(spark, sf_dir, "documents"), with_text=False)
