@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 
 from dustlens.llm.common import Scratch, gathered, table, texts_of
 
-#: Leading bits of a fingerprint that name the block of quotients a filter covers.
-BLOCK_BITS = 10
+#: Entries of a block of quotients, the unit that one step merges, and the fewest blocks there are (as a power of two).
+BLOCK_ENTRIES, LEAST_BLOCK_BITS = 1 << 22, 6
+#: Bits of a remainder: with as many more than there are rows, two in 2 ** 32 texts share a fingerprint by chance, which bytes then tell apart.
+REMAINDER_BITS = 32
 #: Up to so many repeated fingerprints (8 bytes each) are sent to every task; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
-
 def _fingerprint() -> Column:
     return F.xxhash64("text")
 
@@ -26,115 +28,152 @@ def _digest() -> Column:
     return F.sha2(F.col("text").cast("binary"), 256)
 
 
+class Layout(NamedTuple):
+    """How the leading bits of a 64-bit hash are split: the block's number, the quotient within the block, the remainder."""
+
+    block_bits: int
+    quotient_bits: int
+    remainder_bits: int
+
+    @staticmethod
+    def of(rows: int) -> Layout:
+        """For a table of so many rows: blocks of at most some ``BLOCK_ENTRIES``, half as many entries as quotients."""
+        bits = max(LEAST_BLOCK_BITS, int(rows).bit_length() + 1)
+        blocks = max(LEAST_BLOCK_BITS, bits - 1 - (BLOCK_ENTRIES.bit_length() - 1))
+        return Layout(blocks, bits - blocks, min(REMAINDER_BITS, 64 - bits))
+
+    @property
+    def spare(self) -> np.uint64:
+        return np.uint64(64 - self.block_bits - self.quotient_bits - self.remainder_bits)
+
+
 class QuotientFilter:
-    """A counting quotient filter over 64-bit fingerprints of one block.
+    """A counting quotient filter over one block of fingerprints, all filters of a run having one ``Layout``.
 
-    A fingerprint is its block (leading ``BLOCK_BITS``), its quotient (the next ``q_bits``) and
-    its remainder. ``occupied`` has a bit for each quotient in use and ``run_end`` one for each
-    slot that ends a quotient's run; slots hold sorted remainders with their counts, so that
-    two filters of the same block merge without loss by merging sorted remainders.
+    Slots hold sorted remainders; a bit for each slot tells whether it ends its quotient's run,
+    and quotients in use are a bit each or, where that is shorter, a list. A bit for each slot
+    tells whether it counts more than one; such counts are listed. Filters of a block merge
+    without loss by merging sorted remainders, and take some 4.5 bytes an entry.
     """
 
-    def __init__(self, block: int, q_bits: int, occupied: np.ndarray, run_end: np.ndarray, remainder: np.ndarray, count: np.ndarray):
-        self.block, self.q_bits, self.occupied, self.run_end, self.remainder, self.count = block, q_bits, occupied, run_end, remainder, count
+    def __init__(self, fingerprint: np.ndarray, count: np.ndarray):
+        self.fingerprint, self.count = fingerprint, count  # sorted, within the block: quotient, then remainder
 
     @staticmethod
-    def of(block: int, fingerprint: np.ndarray, count: np.ndarray) -> QuotientFilter:
-        """fingerprint: sorted and distinct, uint64."""
-        q_bits = max(1, int(len(fingerprint)).bit_length())
-        r_bits = np.uint64(64 - BLOCK_BITS - q_bits)
-        low = fingerprint & np.uint64((1 << (64 - BLOCK_BITS)) - 1)
-        quotient = (low >> r_bits).astype(np.int64)
-        occupied = np.zeros(1 << q_bits, bool)
-        occupied[quotient] = True
-        run_end = np.append(quotient[1:] != quotient[:-1], True) if len(quotient) else np.zeros(0, bool)
-        return QuotientFilter(block, q_bits, occupied, run_end, low & ((np.uint64(1) << r_bits) - np.uint64(1)), count)
-
-    def fingerprints(self) -> np.ndarray:
-        """Sorted."""
-        run = np.concatenate(([0], np.cumsum(self.run_end)[:-1])) if len(self.run_end) else np.zeros(0, np.int64)
-        quotient = np.flatnonzero(self.occupied)[run].astype(np.uint64)
-        r_bits = np.uint64(64 - BLOCK_BITS - self.q_bits)
-        return (np.uint64(self.block) << np.uint64(64 - BLOCK_BITS)) | (quotient << r_bits) | self.remainder
-
-    def merge(self, other: QuotientFilter) -> QuotientFilter:
-        both = np.concatenate([self.fingerprints(), other.fingerprints()])
-        order = np.argsort(both, kind="stable")  # merges two sorted runs
-        both, count = both[order], np.concatenate([self.count, other.count])[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-        return QuotientFilter.of(self.block, both[first], np.add.reduceat(count, first) if len(first) else count)
-
-    def to_bytes(self) -> bytes:
-        head = np.array([self.block, self.q_bits, len(self.remainder)], np.uint64).tobytes()
-        return head + np.packbits(self.occupied).tobytes() + np.packbits(self.run_end).tobytes() + self.remainder.tobytes() + self.count.astype(np.uint64).tobytes()
+    def merge(filters: list[QuotientFilter]) -> QuotientFilter:
+        """Sums counts over sorted fingerprints: one step for any number of filters."""
+        every = np.concatenate([np.zeros(0, np.uint64), *(f.fingerprint for f in filters)])
+        order = np.argsort(every, kind="stable")  # merges sorted runs
+        every, count = every[order], np.concatenate([np.zeros(0, np.uint64), *(f.count for f in filters)])[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        return QuotientFilter(every[first], np.add.reduceat(count, first) if len(first) else count)
+
+    def to_bytes(self, layout: Layout) -> bytes:
+        quotient = self.fingerprint >> np.uint64(layout.remainder_bits)
+        remainder = (self.fingerprint & np.uint64((1 << layout.remainder_bits) - 1)).astype(np.uint32)
+        run_end = np.append(quotient[1:] != quotient[:-1], True)[: len(quotient)]
+        used = quotient[run_end]
+        dense = (1 << layout.quotient_bits) // 8 <= 4 * len(used)
+        if dense:
+            bits = np.zeros(1 << layout.quotient_bits, bool)
+            bits[used] = True
+            occupied = np.packbits(bits)
+        else:
+            occupied = used.astype(np.uint32)
+        many = self.count > 1
+        head = np.array([len(remainder), len(used) * 2 + dense], np.uint32)
+        return b"".join(x.tobytes() for x in (head, occupied, np.packbits(run_end), remainder, np.packbits(many), self.count[many]))
 
     @staticmethod
-    def from_bytes(data: bytes) -> QuotientFilter:
-        block, q_bits, n = (int(x) for x in np.frombuffer(data, np.uint64, 3))
-        a = 24
-        b = a + ((1 << q_bits) + 7) // 8
-        c = b + (n + 7) // 8
-        return QuotientFilter(
-            block,
-            q_bits,
-            np.unpackbits(np.frombuffer(data, np.uint8, b - a, a), count=1 << q_bits).astype(bool),
-            np.unpackbits(np.frombuffer(data, np.uint8, c - b, b), count=n).astype(bool),
-            np.frombuffer(data[c : c + 8 * n], np.uint64),
-            np.frombuffer(data[c + 8 * n :], np.uint64),
-        )
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition's filters, a row for each block."""
-    for part in gathered(batches):
-        fingerprint, count = np.unique(part.column(0).to_numpy().view(np.uint64), return_counts=True)
-        block = (fingerprint >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
-        names, starts = np.unique(block, return_index=True)
-        ends = np.append(starts[1:], len(block))
-        filters = [QuotientFilter.of(int(b), fingerprint[s:e], count[s:e].astype(np.uint64)).to_bytes() for b, s, e in zip(names, starts, ends, strict=True)]
-        if filters:
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(filters, pa.binary())], names=["block", "filter"])
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the filters of each block, which come in order of blocks; returns what counts more than one."""
-    now: QuotientFilter | None = None
-
-    def repeated(f: QuotientFilter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(f.fingerprints()[f.count > 1].view(np.int64))], names=["fp"])
-
-    for batch in batches:
-        for data in batch.column(1).to_pylist():
-            own = QuotientFilter.from_bytes(data)
-            if now is not None and now.block == own.block:
-                now = now.merge(own)
-            else:
-                if now is not None:
-                    yield repeated(now)
-                now = own
-    if now is not None:
-        yield repeated(now)
-
-
-def repeated_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """(fp) of every value that the one long column of ``fingerprints`` holds more than once."""
-    filters = fingerprints.mapInArrow(_build, "block int, filter binary")
-    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "fp long")
+    def from_bytes(data: bytes, layout: Layout) -> QuotientFilter:
+        n, used = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+        used, dense, at = used >> 1, used & 1, 8
+
+        def take(dtype: type, size: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, dtype, size, at)
+            at += out.nbytes
+            return out
+
+        bits = lambda size: np.unpackbits(take(np.uint8, (size + 7) // 8), count=size).astype(bool)
+        occupied = np.flatnonzero(bits(1 << layout.quotient_bits)) if dense else take(np.uint32, used)
+        run_end = bits(n)
+        run = np.cumsum(run_end) - run_end
+        remainder = take(np.uint32, n)
+        many = bits(n)
+        count = np.ones(n, np.uint64)
+        count[many] = np.frombuffer(data[at:], np.uint64)
+        return QuotientFilter(occupied[run].astype(np.uint64) << np.uint64(layout.remainder_bits) | remainder, count)
+
+
+def _builder(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One partition's filters, a row for each block."""
+        inside = layout.quotient_bits + layout.remainder_bits
+        for part in gathered(batches):
+            fingerprint, count = np.unique(part.column(0).to_numpy().view(np.uint64) >> layout.spare, return_counts=True)
+            block = (fingerprint >> np.uint64(inside)).astype(np.int64)
+            fingerprint, count = fingerprint & np.uint64((1 << inside) - 1), count.astype(np.uint64)
+            names, starts = np.unique(block, return_index=True)
+            ends = np.append(starts[1:], len(block))
+            filters = [QuotientFilter(fingerprint[s:e], count[s:e]).to_bytes(layout) for s, e in zip(starts, ends, strict=True)]
+            if filters:
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(filters, pa.binary())], names=["block", "filter"])
+
+    return run
+
+
+def _merger(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Merges the filters of each block, which come in order of blocks; returns the leading hash bits of what counts more than one."""
+        inside = np.uint64(layout.quotient_bits + layout.remainder_bits)
+        held: list[QuotientFilter] = []
+        now, entries = -1, 0
+
+        def repeated() -> pa.RecordBatch:
+            whole = QuotientFilter.merge(held)
+            prefix = np.uint64(now) << inside | whole.fingerprint[whole.count > 1]
+            return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64))], names=["prefix"])
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != now:
+                    if held:
+                        yield repeated()
+                    held, now, entries = [], block, 0
+                held.append(QuotientFilter.from_bytes(data, layout))
+                entries += len(held[-1].count)
+                if entries > 2 * BLOCK_ENTRIES:  # what was merged shrinks to its distinct entries
+                    held = [QuotientFilter.merge(held)]
+                    entries = len(held[0].count)
+        if held:
+            yield repeated()
+
+    return run
+
+
+def repeated_prefixes(fingerprints: DataFrame, layout: Layout) -> DataFrame:
+    """(prefix) of every value that the one long column of ``fingerprints`` holds more than once: the value's leading bits, as many as the layout has."""
+    filters = fingerprints.mapInArrow(_builder(layout), "block int, filter binary")
+    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(_merger(layout), "prefix long")
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """(fp, text_sha256, keep_id, group_size) of every text that comes more than once, written out, and how many there are.
 
-    Every partition's 64-bit fingerprints go into counting quotient filters, one for each block
-    of quotients; only the filters are shuffled. Rows whose fingerprint counts one are done.
+    Every partition's fingerprints go into counting quotient filters, one for each block of
+    quotients, as many blocks as the number of rows asks for; only the filters are shuffled.
+    Rows whose fingerprint counts one are done.
     The rest are grouped by their whole text, with partial aggregation, so that a group of any
     size sends one row for each task.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     base = texts_of(docs, id_col, text_col)
-    repeats = scratch.save(repeated_fingerprints(base.select(_fingerprint().alias("fp"))), "repeats")
+    layout = Layout.of(docs.count())
+    repeats = scratch.save(repeated_prefixes(base.select(_fingerprint().alias("fp")), layout), "repeats")
     side = F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats
-    suspects = base.select("doc_id", "text", _fingerprint().alias("fp")).join(side, "fp", "left_semi")
+    prefix = F.shiftrightunsigned("fp", int(layout.spare)).alias("prefix")
+    suspects = base.select("doc_id", "text", _fingerprint().alias("fp")).withColumn("prefix", prefix).join(side, "prefix", "left_semi")
     groups = suspects.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = scratch.save(groups.select("fp", _digest().alias("text_sha256"), "keep_id", "group_size"), "groups")
     scratch.drop("repeats")
@@ -170,6 +209,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``exact_dedup`` of all ``documents``, which says what nulls, ties and repeated rows give."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
