@@ -16,6 +16,8 @@ SHINGLE_WORDS = 4
 MOST_BITS = 4
 #: So many distinct fingerprints with one value of a segment make it heavy: its buckets are cut again over the other bits.
 HEAVY = 10_000
+#: Rows that are linked at a time.
+LINKED_ROWS = 1 << 18
 #: Up to so many heavy buckets are sent to every task; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: The same for ids of rows to leave out, 8 bytes each.
@@ -79,9 +81,11 @@ def _variants(fp: Column, over: list[range]) -> Column:
 
 
 def _grouped_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links between fingerprints with equal keys: all in small groups, a spanning forest in large ones."""
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
+    """Pairs that connect what verified links connect among fingerprints with equal keys, which lie together.
+
+    In small groups these are the links themselves, in large ones a tree for each component in
+    which nobody has more than three neighbours.
+    """
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
     small = np.repeat(size, size) <= 16
@@ -97,27 +101,38 @@ def _grouped_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarr
     for s, n in zip(first[size > 16], size[size > 16], strict=True):
         left = np.unique(fp[s : s + n])
         while len(left):
-            root, left = left[0], left[1:]
-            queue = [root]
-            while queue and len(left):
-                near = np.bitwise_count(left ^ queue.pop()) <= most
-                found, left = left[near], left[~near]
-                queue.extend(found)
-                a.append(np.full(len(found), root))
-                b.append(found)
+            own, left, done = [left[0]], left[1:], 0
+            while done < len(own) and len(left):
+                near = np.bitwise_count(left ^ own[done]) <= most
+                own.extend(left[near])
+                left, done = left[~near], done + 1
+            tree = np.array(own, np.uint64)
+            a.append(tree[(np.arange(1, len(tree)) - 1) // 2])
+            b.append(tree[1:])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64),) * 2
 
 
 def _linker(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition holds whole buckets, as hashes of their keys; 16 bytes for each row are held."""
-        keys, fps = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        """Rows come in order of keys; what is held is a batch and the bucket that goes on into it."""
+
+        def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            a, b = _grouped_links(key, fp, most)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], names=["u", "v"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
         for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            fps.append(batch.column(1).to_numpy().view(np.uint64))
-        a, b = _grouped_links(np.concatenate(keys), np.concatenate(fps), most)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], names=["u", "v"])
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+            rows += batch.num_rows
+            if rows >= LINKED_ROWS and held[-1][0][-1] != held[0][0][0]:
+                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = int(np.searchsorted(key, key[-1]))
+                yield linked(key[:cut], fp[:cut])
+                held, rows = [(key[cut:], fp[cut:])], len(key) - cut
+        if held:
+            yield linked(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -127,9 +142,10 @@ def links(distinct: DataFrame, scratch: Scratch, most: int = MOST_BITS) -> DataF
 
     With three segments for four bits, some segment of a pair differs in one bit at most, so
     the two share that segment's value without that bit: an equality join on the bit's place and
-    the rest of the segment, then a check of all 64 bits. A bucket with heavy values is cut again
-    in the same way over the bits outside its segment, so that no task gets a bucket that holds a
-    share of all fingerprints unless these truly agree in most of their bits.
+    the rest of the segment, then a check of all 64 bits. A bucket with a value that over
+    ``HEAVY`` fingerprints have is cut again in the same way over the bits outside its segment, so
+    that no task gets a bucket that holds a share of all fingerprints unless these truly agree in
+    most of their bits. Both ways find the same links; the second writes 43 rows for one.
     """
     over = segments(range(64), most)
     values = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("value")) for i, s in enumerate(over)])).alias("s")).select("s.segment", "s.value")
@@ -161,7 +177,7 @@ def links(distinct: DataFrame, scratch: Scratch, most: int = MOST_BITS) -> DataF
         rows = light.union(cut)
     else:
         rows = rows.select(F.xxhash64("slot", "part").alias("key"), "fp")
-    return rows.repartition("key").mapInArrow(_linker(most), "u long, v long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_linker(most), "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
@@ -195,4 +211,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_groups`` of all ``documents``, which says what nulls, ties and repeated rows give."""
     return near_groups(table(spark, sf_dir, "documents"))
