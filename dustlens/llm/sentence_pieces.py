@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,12 @@ from dustlens.llm.common import table, texts_of
 
 #: The vocabulary file, by the name under which the installed package of public tokenizers knows it.
 MODEL = "piece_bpe_32k.model"
-#: Words whose ids a worker remembers, at most.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and pairs of pieces of which it remembers whether they stay apart, at most.
+REMEMBERED, REMEMBERED_PAIRS = 400_000, 2_000_000
+#: Words from this length on are walked through one by one.
+LONG = 256
+#: Places of a long word whose pieces are looked up at once.
+STRETCH = 1 << 15
 
 #: Rows that are encoded together.
 ROWS = 1000
@@ -29,8 +34,21 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, BYTE = 1, 6
 
 
-def read_pieces(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
-    """(text, score, kind) of each piece of a model file, and the model's type: 1 unigram, 2 merges."""
+class ModelFile(NamedTuple):
+    """What a model file says: (text, score, kind) of each piece, whether it merges (else it is a unigram model), and how texts are normalised."""
+
+    pieces: list[tuple[str, float, int]]
+    merges: bool
+    plain: bool  # texts are taken as they are, spaces become marks and one mark goes before a text
+
+    @property
+    def inner_marks(self) -> bool:
+        """Whether some piece has a mark behind another character, so that a merge could cross words."""
+        return any(MARK in t.lstrip(MARK) for t, _, k in self.pieces if k == NORMAL)
+
+
+def read_model(data: bytes) -> ModelFile:
+    """A model file in the library's protocol-buffer format."""
 
     def fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
         at = 0
@@ -56,14 +74,18 @@ def read_pieces(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
                 yield tag >> 3, buf[at : at + n]
                 at += n
 
-    pieces, model_type = [], 1
+    pieces, model_type, normal = [], 1, {}
     for number, value in fields(data):
         if number == 1:
             own = dict(fields(value))
             pieces.append((own[1].decode(), struct.unpack("<f", own[2])[0] if 2 in own else 0.0, own.get(3, NORMAL)))
         elif number == 2:
             model_type = dict(fields(value)).get(3, 1)
-    return pieces, model_type
+        elif number == 3:
+            normal = dict(fields(value))
+    # Fields of the normaliser: 2 a table of characters, 3 a mark before a text, 4 no repeated spaces, 5 spaces become marks.
+    plain = not normal.get(2) and normal.get(3, 1) == 1 and normal.get(4, 1) == 0 and normal.get(5, 1) == 1
+    return ModelFile(pieces, model_type == 2, plain)
 
 
 def _step(h: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -105,8 +127,10 @@ class Pieces:
     """A vocabulary: sorted substring hashes to probe, scores, and the bytes that each piece stands for."""
 
     def __init__(self, data: bytes):
-        pieces, model_type = read_pieces(data)
-        self.merges = model_type == 2
+        model = read_model(data)
+        if not model.plain or model.inner_marks:
+            raise ValueError("only models that take texts as they are, and whose pieces do not cross words, are encoded")
+        pieces, self.merges = model.pieces, model.merges
         self.size = len(pieces)
         normal = [(i, t) for i, (t, _, k) in enumerate(pieces) if k == NORMAL]
         of = {t: i for i, t in normal}
@@ -137,8 +161,10 @@ class Pieces:
             joins += [(of[t[:j]], of[t[j:]], i) for j in range(1, len(t)) if t[:j] in of and t[j:] in of]
         left, right, whole = np.array(joins, np.int64).reshape(-1, 3).T
         self.joins = SortedKeys(_pair_key(left, right), whole)
+        self.join_of = {(a, b): i for a, b, i in joins}
         # Pairs of pieces of which it is known whether merging leaves them apart; the fresh ones are sorted in later.
         self.pairs, self.fresh = SortedKeys(np.zeros(1, np.uint64), np.zeros(1, bool)), {}
+        self.single: dict[int, bool] = {}  # the same for long words, by both numbers
         self._forget()
 
     def _forget(self) -> None:
@@ -246,6 +272,86 @@ class Pieces:
             ids = np.concatenate(spelled)
         return ids.astype(np.int32), np.bincount(owner, minlength=len(row_of))
 
+    def _pair_apart(self, before: int, piece: int) -> bool:
+        """``_apart`` of two pieces, remembered."""
+        key = (before + 1) << 32 | piece
+        known = self.single.get(key)
+        if known is None:
+            if len(self.single) >= REMEMBERED_PAIRS // 4:
+                self.single.clear()
+            ids = [*(self.chars[before, : self.n_chars[before]].tolist() if before >= 0 else []), *self.chars[piece, : self.n_chars[piece]].tolist()]
+            while len(ids) > 1:
+                best, at = -np.inf, -1
+                for i in range(len(ids) - 1):
+                    whole = self._joined(ids[i], ids[i + 1])
+                    if whole >= 0 and self.score[whole] > best:
+                        best, at = self.score[whole], i
+                if at < 0:
+                    break
+                ids[at : at + 2] = [self._joined(ids[at], ids[at + 1])]
+            self.single[key] = known = ids == ([before, piece] if before >= 0 else [piece])
+        return known
+
+    def _joined(self, left: int, right: int) -> int:
+        """The piece that two neighbours merge to; -1 if none."""
+        return self.join_of.get((left, right), -1) if left >= 0 and right >= 0 else -1
+
+    def _walk(self, word: np.ndarray) -> np.ndarray:
+        """Ids of one long word, in time and memory linear in its length: the same search as ``_viterbi``, place by place.
+
+        The pieces that end at each place of a stretch are looked up together; then the one best
+        path goes on from place to place, and only backpointers are kept.
+        """
+        n, width = len(word), self.longest
+        last, size = np.full(n + 1, -1, np.int32), np.ones(n + 1, np.int16)
+        value = [0.0] * (n + 1) if not self.merges else None
+        floor = self.score.min() - 10
+        for low in range(0, n, STRETCH):
+            high = min(n, low + STRETCH)
+            begin = max(0, low - width + 1)
+            span = high - begin
+            found = np.full((span + 1, width + 1), -1, np.int32)  # by end and length
+            rows, h = np.arange(span), np.zeros(span, np.uint64)
+            for length in range(1, width + 1):
+                inside = rows + length <= span
+                rows, h = rows[inside], h[inside]
+                if not len(rows):
+                    break
+                h = _step(h, word[begin + rows + length - 1])
+                known, at = self.prefixes.probe(h)
+                rows, h, ids = rows[known], h[known], self.prefixes.values[at[known]]
+                whole = ids >= 0
+                found[rows[whole] + length, length] = ids[whole]
+            found[: low - begin + 1] = -1
+            places, lengths = np.nonzero(found >= 0)
+            cuts = np.searchsorted(places, np.arange(low - begin + 1, span + 2))
+            lengths, ids = lengths.tolist(), found[places, lengths].tolist() if len(places) else []
+            for end in range(low + 1, high + 1):
+                a, b = cuts[end - low - 1], cuts[end - low]
+                if self.merges:
+                    # The longest piece that may follow what is before it.
+                    for k in range(b - 1, a - 1, -1):
+                        start = end - lengths[k]
+                        if self._pair_apart(int(last[start]) if start else -1, ids[k]):
+                            last[end], size[end] = ids[k], lengths[k]
+                            break
+                else:
+                    best = -np.inf
+                    for k in range(b - 1, a - 1, -1):
+                        total = value[end - lengths[k]] + self.score[ids[k]]
+                        if total > best:
+                            best, last[end], size[end] = total, ids[k], lengths[k]
+                    value[end] = best if best > -np.inf else value[end - 1] + floor
+        out: list[int] = []
+        end = n
+        while end:
+            if last[end] >= 0:
+                out.append(int(last[end]))
+            else:
+                out += self.byte[list(chr(int(word[end - 1])).encode())][::-1].tolist()
+            end -= int(size[end])
+        return np.array(out[::-1], np.int32)
+
     def _keep(self, need: set[str]) -> None:
         """Forgets all words but these."""
         words = [w for w in need if w in self.words]
@@ -263,6 +369,13 @@ class Pieces:
             by_length.setdefault(len(w), []).append(w)
         ids, sizes = [self.flat], [self.row_size]
         for length, own in by_length.items():
+            if length >= LONG:
+                for w in own:
+                    found = self._walk(np.frombuffer(w.encode("utf-32-le"), np.uint32))
+                    ids.append(found)
+                    sizes.append(np.array([len(found)]))
+                    self.words[w] = len(self.words)
+                continue
             for i in range(0, len(own), most := max(1, (1 << 20) // length)):
                 part = own[i : i + most]
                 points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
@@ -272,6 +385,8 @@ class Pieces:
                 self.words.update(zip(part, range(len(self.words), len(self.words) + len(part)), strict=True))
         self.flat, self.row_size = np.concatenate(ids), np.concatenate(sizes)
         self.row_start = np.cumsum(self.row_size) - self.row_size
+        if len(self.pairs.keys) + len(self.fresh) > REMEMBERED_PAIRS:
+            self.pairs, self.fresh = SortedKeys(np.zeros(1, np.uint64), np.zeros(1, bool)), {}
         if self.fresh:
             some = np.fromiter(self.fresh.keys(), np.int64)
             keys = np.concatenate([self.pairs.keys[:-1], _pair_key((some >> 32) - 1, some & 0xFFFFFFFF)])
@@ -356,6 +471,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, round_trip) of all ``documents``; see ``encode_documents`` for nulls, empty texts and repeated rows."""
     both = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))

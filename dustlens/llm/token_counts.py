@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustlens.llm.common import as_bytes, table, texts_of
+from dustlens.llm.sentence_pieces import read_model
 
 #: The vocabulary file, by the name under which the installed package of public tokenizers knows it.
 MODEL = "piece_bpe_32k.model"
@@ -18,6 +19,21 @@ BATCH_BYTES, CUT_BYTES = 1 << 21, 1 << 14
 TOKEN_LIMIT = 4096
 
 _encoders: dict[str, Callable[[list[bytes]], list[int]]] = {}
+_safe: dict[str, bool] = {}
+
+
+def safe_to_cut(model: str) -> bool:
+    """Whether ``cut`` holds for a model: it is a library file that takes texts as they are, and no piece of it crosses words."""
+    if model not in _safe:
+        import public_tokenizers
+
+        own = model.endswith(".model")
+        if own:
+            with open(public_tokenizers.path(model), "rb") as f:
+                rules = read_model(f.read())
+            own = rules.plain and not rules.inner_marks
+        _safe[model] = own
+    return _safe[model]
 
 
 def _encoder(model: str) -> Callable[[list[bytes]], list[int]]:
@@ -61,7 +77,7 @@ def cut(text: bytes, most: int = CUT_BYTES) -> list[bytes]:
 
 def counts_of(texts: list[bytes], model: str = MODEL) -> np.ndarray:
     """Tokens of each text; what goes to the encoder at once is balanced by bytes."""
-    encode, safe = _encoder(model), model.endswith(".model")
+    encode, safe = _encoder(model), safe_to_cut(model)
     total = np.zeros(len(texts), np.int64)
     parts: list[bytes] = []
     owner: list[int] = []
@@ -91,7 +107,8 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = TOKEN_LIMIT,
 
     Counts equal those of the library on the whole text, without begin, end or added tokens;
     a null is the empty text and has none. Very long texts are cut at places that no merge
-    crosses (see ``cut``). Repeated rows are counted each; other columns are not read.
+    crosses (see ``cut``), if the model has such places. Repeated rows are counted each; other
+    columns are not read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,4 +121,5 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = TOKEN_LIMIT,
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``count_tokens`` of all ``documents``, and their bytes a token; see there for nulls and empty texts."""
     return count_tokens(table(spark, sf_dir, "documents")).select("*", (F.col("n_bytes") / F.greatest("n_tokens", F.lit(1))).alias("bytes_per_token"))
