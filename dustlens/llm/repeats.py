@@ -2,7 +2,8 @@
 
 A rolling hash over ``TRIGGER`` bytes is taken at every place; the least hash in the look-ahead of
 ``PASSAGE`` bytes is a place's trigger, and a phrase is a run of places with one trigger, together with
-its look-ahead. As the look-ahead bounds the gap between triggers, every passage of that length lies in
+its look-ahead. (With triggers that are 0 modulo p a phrase, and so a task, has no bound: a long
+passage may hold none.) As the look-ahead bounds the gap between triggers, every passage of that length lies in
 just one phrase, and equal passages lie in phrases with equal triggers, wherever they come. So
 
 - the parse, the sequence of phrases, tells by the first place of each distinct phrase which phrases are
@@ -13,11 +14,12 @@ just one phrase, and equal passages lie in phrases with equal triggers, wherever
   holds all that is compared, so the parse needs no suffix order beyond the first places.
 
 Phrases whose trigger and content come once are dropped early, so that only repeated text is sorted.
+Triggers whose phrases are too much for one task have their suffixes dealt out by content instead: a
+range sort over all tasks, which is the same suffix array cut at other places.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,10 @@ PASSAGE = 100
 TRIGGER = 32
 #: Places that are parsed at once, and bytes whose suffixes are sorted at once.
 BLOCK, SORTED_BYTES = 1 << 19, 1 << 20
-#: Distinct phrases with one trigger up to which they are sorted in one task; the passages of the rest are dealt out by digest.
-HOT = 4000
+#: Bytes of distinct phrases with one trigger up to which one task sorts them; the suffixes of the rest are sorted by all tasks together.
+HOT_BYTES = 1 << 20
+#: Up to so many ids (8 bytes each) that name several texts are sent to every task.
+BROADCAST_IDS = 500_000
 
 _MIX = np.random.default_rng(11).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -193,40 +197,84 @@ def _sort_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield repeated(rows)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each passage of hot triggers' phrases: 128 bits of digest, and its place."""
-    from xxhash import xxh3_128_digest
-
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each place of hot triggers' phrases: its passage, and where it is."""
     for batch in batches:
         for doc, start, size, content in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "start", "size", "content")), strict=True):
-            view = memoryview(content)
-            digest = np.frombuffer(b"".join([xxh3_128_digest(view[i : i + PASSAGE]) for i in range(size)]), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.full(size, doc, np.int64)), pa.array(np.arange(start, start + size))], names=["a", "b", "doc_id", "at"])
+            for at in range(0, size, 4096):
+                n = min(4096, size - at)
+                passages = np.lib.stride_tricks.sliding_window_view(np.frombuffer(content, np.uint8, n + PASSAGE - 1, at), PASSAGE)
+                column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PASSAGE), n, [None, pa.py_buffer(passages.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([column, pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(start + at, start + at + n))], names=["passage", "doc_id", "at"])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places in order of passage, document and place: those that are not their passage's first in this partition, as spans, and the partition's first and last passage.
+
+    Spans come with null ``edge``; a first row has edge 0, the last one 1, with its passage.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edge", pa.int32()), ("passage", pa.binary())])
+    last, last_place, first = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        passages = batch.column("passage")
+        # Passages are 100 bytes each, end to end.
+        rows = np.frombuffer(passages.buffers()[2], np.uint8, batch.num_rows * PASSAGE, passages.offset * PASSAGE).reshape(-1, PASSAGE)
+        doc, at = batch.column("doc_id").to_numpy(), batch.column("at").to_numpy()
+        same = np.append(last is not None and rows[0].tobytes() == last, (rows[1:] == rows[:-1]).all(axis=1))
+        # A repeated row brings the same places again: what is at its class's first place is no copy.
+        begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(rows))))
+        where = [np.where(begin < 0, last_place[k] if last_place else 0, x[np.maximum(begin, 0)]) for k, x in enumerate((doc, at))]
+        again = same & ((doc != where[0]) | (at != where[1]))
+        if first is None:
+            first = (int(doc[0]), int(at[0]), rows[0].tobytes())
+            yield pa.RecordBatch.from_pylist([{"doc_id": first[0], "start": first[1], "stop": first[1] + PASSAGE, "edge": 0, "passage": first[2]}], schema=schema)
+        last, last_place = rows[-1].tobytes(), (int(where[0][-1]) if same[-1] else int(doc[-1]), int(where[1][-1]) if same[-1] else int(at[-1]))
+        n = int(again.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(at[again]), pa.array(at[again] + PASSAGE), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+    if last is not None:
+        yield pa.RecordBatch.from_pylist([{"doc_id": last_place[0], "start": last_place[1], "stop": last_place[1] + PASSAGE, "edge": 1, "passage": last}], schema=schema)
+
+
+def _hot_spans(cut: DataFrame, scratch: Scratch) -> DataFrame:
+    """Repeated passages among the phrases of hot triggers, by a range sort of their suffixes over all tasks.
+
+    The sort is by passage, document and place, so that even one passage's places are dealt over
+    many tasks. Where a passage goes on into the next task, that task's first place, which it
+    took for the passage's first, is added: only the edges of partitions are compared for it.
+    """
+    order = ["passage", "doc_id", "at"]
+    places = cut.where("hot").mapInArrow(_suffixes, "passage binary, doc_id long, at long").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = scratch.save(places.mapInArrow(_again, "doc_id long, start long, stop long, edge int, passage binary"), "sorted")
+    # A partition's first place is repeated if its passage has a smaller place: the last passage of an earlier partition.
+    first, last = (found.where(f"edge = {k}") for k in (0, 1))
+    earliest = last.groupBy("passage").agg(F.min(F.struct("doc_id", "start")).alias("earliest"))
+    over = first.join(earliest, "passage").where("struct(doc_id, start) > earliest")
+    return found.where("edge IS NULL").select("doc_id", "start", "stop").union(over.select("doc_id", "start", "stop"))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, stop): spans, in bytes, whose every ``PASSAGE`` bytes also begin earlier. They overlap, and cover all there are."""
-    runs = parse(docs)
+    runs = scratch.save(parse(docs), "parse")
     live = runs.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select("trigger")
-    live = scratch.save(live, "triggers")
     found = scratch.save(runs.join(live, "trigger", "left_semi"), "phrases")
-    scratch.drop("triggers")
+    scratch.drop("parse")
     entries = found.groupBy("trigger", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("size").alias("size"), F.max("own").alias("own"), F.count("*").alias("n"))
     entries = scratch.save(entries, "dictionary")
     # The parse: all but a phrase's first place are repeated whole.
     again = entries.where("n > 1").select("trigger", "phrase", "first")
     whole = found.join(again, ["trigger", "phrase"]).where("struct(doc_id, start) != first").select("doc_id", "start", (F.col("start") + F.col("size") + (PASSAGE - 1)).alias("stop"))
     # The dictionary: triggers with several phrases, or phrases that hold their trigger twice.
-    several = entries.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select("trigger", (F.col("n") > HOT).alias("hot"))
+    weight = F.sum(F.col("size") + (PASSAGE - 1))
+    several = entries.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own"), weight.alias("bytes")).where("n > 1 OR own").select("trigger", (F.col("bytes") > HOT_BYTES).alias("hot"))
     several = scratch.save(entries.drop("own", "n").join(several, "trigger").select("trigger", "hot", "first.doc_id", "first.start", "size"), "several")
     by_doc = several.groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "hot", "start", "size")).alias("entries"))
     cut = scratch.save(docs.join(by_doc, "doc_id").select("doc_id", "text", "entries").mapInArrow(_slices, "trigger long, hot boolean, doc_id long, start long, size int, content binary"), "contents")
     scratch.drop("several")
     sorted_spans = cut.where("NOT hot").drop("hot").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sort_dictionary, "doc_id long, start long, stop long")
-    digests = cut.where("hot").mapInArrow(_digests, "a long, b long, doc_id long, at long")
-    first = digests.groupBy("a", "b").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hot_spans = digests.join(first, ["a", "b"]).where("struct(doc_id, at) != first").select("doc_id", F.col("at").alias("start"), (F.col("at") + PASSAGE).alias("stop"))
-    return scratch.save(whole.union(sorted_spans).union(hot_spans), "spans")
+    return scratch.save(whole.union(sorted_spans).union(_hot_spans(cut, scratch)), "spans")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,13 +285,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cross documents. spans are the maximal removed runs (start, stop in bytes), kept the remaining
     bytes. A null text is empty; texts shorter than a passage stay whole. An id names one
     document: rows that repeat an id and its text get the same answer and do not count as
-    each other's copies. Rows without an id cannot be ordered and stay whole. Other columns are
-    not read; an empty table gives an empty result.
+    each other's copies. Rows without an id, and rows whose id comes with several texts, cannot
+    be ordered: they stay whole, and nothing counts as their copy. Other columns are not read;
+    an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     base = texts_of(docs, id_col, text_col)
-    spans = repeated_spans(base, scratch)
-    scratch.drop("phrases", "dictionary", "contents")
+    named = base.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    unclear = scratch.save(named.where("a != b AND doc_id IS NOT NULL").select("doc_id"), "unclear")
+    n = unclear.count()
+    ordered = base.join(F.broadcast(unclear) if n <= BROADCAST_IDS else unclear, "doc_id", "left_anti") if n else base
+    spans = repeated_spans(ordered, scratch)
+    scratch.drop("phrases", "dictionary", "contents", "sorted")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,4 +325,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cut_repeats`` of all ``documents``, with a digest of what is left; see there for nulls, ties and repeated rows."""
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
