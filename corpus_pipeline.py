@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dustlens.llm import exact_dedup, packing, pii, simhash, toxicity
 from dustlens.llm.common import Scratch, table
@@ -32,8 +31,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document: the sequence that it goes to, and where."""
-    return packing.pack_documents(docs, F.octet_length("text"))
+    """A row for each piece of a document, with its text, and the sequence that it goes to: a bin's texts, in order of offsets, are its sequence."""
+    return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,10 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written to the shared folder and read by the next."""
+    """All stages over ``documents``, each one's result written to the shared folder and read by the next.
+
+    What is returned is the packed corpus: (shard, bin, capacity, used, offset, doc_id, piece,
+    start, length, text), its table in the shared folder under a name that begins with
+    ``pipeline``. Nulls, ties, repeated rows and empty tables are as the stages' operators say;
+    tables of theirs and of earlier stages are removed.
+    """
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    opened = len(Scratch.opened)
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        Scratch.sweep(opened)
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs
