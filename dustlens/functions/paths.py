@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +40,41 @@ def percent_encode(text: Column) -> Column:
     return F.when(text == "", "%00").otherwise(encoded)
 
 
-def export_name(path: Column) -> Column:
-    """A portable file name from a path: joined by underscores, unsafe characters replaced, trimmed, device names prefixed."""
-    name = F.regexp_replace(F.array_join(segments(path), "_"), r'[\x00-\x1f<>:"/\\|?*]', "_")
-    name = F.regexp_replace(name, r"^[ .]+|[ .]+$", "")
-    stem = F.upper(F.regexp_extract(name, r"^([^.]*)", 1))
+def export_segment(segment: Column) -> Column:
+    """A portable file name: unsafe characters become underscores, spaces and dots at the end go, device names get an underscore in front."""
+    name = F.regexp_replace(F.regexp_replace(segment, r'[\x00-\x1f<>:"/\\|?*]', "_"), r"[ .]+$", "")
+    stem = F.upper(F.regexp_extract(name, r"(?s)^([^.]*)", 1))
     return F.when(name == "", "_").when(stem.isin(*DEVICE_NAMES), F.concat(F.lit("_"), name)).otherwise(name)
+
+
+def export_name(path: Column) -> Column:
+    """A portable relative path: each segment by itself, empty ones left out."""
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), export_segment), "/")
+
+
+_UNSAFE = re.compile(r'[\x00-\x1f<>:"/\\|?*]')
+
+
+def portable_segment(segment: str) -> str:
+    """``export_segment`` of a string."""
+    name = _UNSAFE.sub("_", segment).rstrip(" .") or "_"
+    return f"_{name}" if name.split(".")[0].upper() in DEVICE_NAMES else name
+
+
+def portable_path(path: str) -> str:
+    """``export_name`` of a string."""
+    return "/".join(portable_segment(x) for x in path.split("/") if x)
+
+
+#: What Markdown reads as markup within a line (fixed values); other signs are markup only in places where a paragraph's text cannot put them.
+MARKDOWN_SIGNS = "\\`*_[]<>|"
+
+
+def markdown_escaped(text: Column) -> Column:
+    """Text with a backslash before each of ``MARKDOWN_SIGNS``."""
+    return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")
+
+
+def segment_encoded(value: str) -> str:
+    """``percent_encode`` of a string."""
+    return quote(value, safe="").replace("~", "%7E") if value else "%00"

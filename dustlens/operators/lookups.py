@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def unambiguous(rows: DataFrame, collection: str, path: str, value: str) -> DataFrame:
@@ -47,10 +49,62 @@ def ordinal_paths(rows: DataFrame, group: str, order: str, path: Column) -> Data
     return rows.withColumn("path", F.when(F.count("*").over(window) == 1, path).otherwise(F.concat(path, F.lit("/"), number)))
 
 
+def suffixed(name: str, number: int) -> str:
+    """A later name: -2, -3 and so on before the ending of the last segment."""
+    folder, slash, last = name.rpartition("/")
+    stem, dot, ending = last.rpartition(".") if "." in last.lstrip(".") else (last, "", "")
+    return f"{folder}{slash}{stem}-{number}{dot}{ending}"
+
+
+def subtree_totals(rows: DataFrame, group: str, path: str, size: Column) -> DataFrame:
+    """(group, root, bytes, resources) of each resource's tree, itself included: every resource counts for all folders above it, in one aggregation."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    up = rows.select(group, F.coalesce(size, F.lit(0)).cast("long").alias("bytes"), F.explode(above).alias("root"))
+    return up.groupBy(group, "root").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("resources"))
+
+
+def free_names(names: list[str]) -> list[str]:
+    """Each name, or its first suffixed form that no name before it has taken, whatever the case."""
+    used: set[str] = set()
+    last: dict[str, int] = {}  # the last number tried, so that many equal names do not start over
+    out = []
+    for name in names:
+        number = last.get(name.lower(), 1)
+        own = name if number == 1 else suffixed(name, number)
+        while own.lower() in used:
+            number += 1
+            own = suffixed(name, number)
+        last[name.lower()] = number
+        used.add(own.lower())
+        out.append(own)
+    return out
+
+
 def deduped_names(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """``rows`` and unique_name: later names that are equal but for case get -2, -3 and so on."""
-    number = F.row_number().over(Window.partitionBy(group, F.lower(name)).orderBy(order))
-    return rows.withColumn("unique_name", F.when(number == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), number)))
+    """``rows`` and unique_name: within a group, in order, a name that is taken (but for case) gets -2, -3 and so on until it is free.
+
+    A group is one source's resources, whose number the scan bounds; only the names decide, so
+    only groups with equal names go through Arrow.
+    """
+    keyed = rows.withColumn("unique_name", F.col(name))
+    clash = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(F.lower(name)).alias("d")).where("n > d").select(group)
+    free = keyed.join(clash, group, "left_anti")
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([(order, "ascending")])
+        return part.append_column("unique_name", pa.array(free_names(part.column(name).to_pylist()), pa.string()))
+
+    schema = StructType([*rows.schema.fields, StructField("unique_name", StringType())])
+    return free.unionByName(rows.join(clash, group, "left_semi").groupBy(group).applyInArrow(run, schema))
+
+
+def within_limit(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
+    """``rows``; a group whose sizes sum to more than ``most`` is an error, as limits never cut results short."""
+    window = Window.partitionBy(group)
+    over = F.sum(size).over(window) > most
+    told = F.concat(F.lit(f"more than {most} in "), F.col(group).cast("string"))
+    return rows.withColumn("_over", F.when(over, F.raise_error(told).cast("string"))).where("_over IS NULL").drop("_over")
 
 
 def implicit_export(rows: DataFrame, group: str, priority: str) -> DataFrame:
