@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import io
+import hashlib
 import lzma
-import sqlite3
 import struct
-import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustlens.functions import binary, paths
-from dustlens.operators import detection, lookups
+from dustlens.operators import colour_cycles, detection, extraction, lookups
+from dustlens.plans import packers
 from dustlens.sources import codecs, export
-from dustlens.sources.inspect import animation_frames, database_rows, inspect, pixels
+from dustlens.sources.inspect import animation_frames, database_rows, inspect, metadata_rows, pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,26 +38,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Detection. Parts become sources whose first bytes and names come from their numbers.
+# Detection. Parts become sources whose first bytes, sizes and names come from their numbers.
 
-HEADS = ("%PDF-1.4 ", "SQLite format 3 ", "GIF89a", "RIFFxxxxWAVE", "FORMxxxxILBM", "FORMxxxxANNO", "PWAD", "JASC-PAL\n0100\n", "plain ", "qoif", "%PDF-3.0", "GIMP Palette\n", "FORMxxxx8SVX")
-ENDINGS = ("ws", "act", "txt", "WSD")
+
+class Sample(NamedTuple):
+    """First bytes, the size that zeros fill up to, an ending, and what is expected: (type, confidence without and with the ending), by rank."""
+
+    head: bytes
+    ending: str
+    expected: tuple[tuple[str, str, str], ...]
+    size: int = 0
+    only_named: tuple[tuple[str, str], ...] = ()  # further types that only the ending brings in: before (0) or behind (1) the others in rank
+
+
+def _one(head: bytes, ending: str, type_id: str, confidence: str = "certain", named: str = "", size: int = 0) -> Sample:
+    return Sample(head, ending, ((type_id, confidence, named or confidence),), size)
+
+
+#: What each start of a file is, written down by hand from the formats' descriptions.
+SAMPLES = (
+    _one(b"%PDF-1.4 ", "pdf", "adobe.pdf"), _one(b"\x31\xbe\0\0", "wri", "windows.write", "probable"), _one(b"SQLite format 3\0", "db", "database.sqlite3"), _one(b"\x7fELF\2\1\1\0AI\1", "appimage", "executable.appimage-type1"),
+    _one(b"\x7fELF\2\1\1\0AI\2", "appimage", "executable.appimage-type2"), _one(b"PWAD", "wad", "doom.wad"), _one(b"IWAD", "wad", "doom.wad"), _one(b"\4\0\0\0", "asar", "archive.electron-asar"),
+    _one(b"\x0f\0\0\1", "font", "amiga.bitmap-diskfont-index"), _one(b"\xe3\x10\0\1", "info", "amiga.workbench-icon"), _one(b"GIF89a", "gif", "gif"), _one(b"GIF87a", "gif", "gif"), _one(b"\0\0\0\0\x12\xaf", "flc", "flic"),
+    _one(b"\x89PNG\r\n\x1a\n", "png", "png"), _one(b"\xff\xd8\xff\xe0", "jpg", "jpeg"), _one(b"qoif", "qoi", "qoi"), _one(b"\0\x60", "kla", "commodore64.koala-painter", "possible", "probable", 10003),
+    _one(b"P6\n8 8\n255\n", "ppm", "netpbm"), _one(b"P7\nWIDTH 8\n", "pam", "netpbm"), _one(b"BM", "bmp", "windows.bmp"), _one(b"\x28\0\0\0", "dib", "windows.dib", "probable"), _one(b"\0\0\1\0\1\0", "ico", "windows.ico"),
+    _one(b"\0\0\2\0\1\0", "cur", "windows.cur"), _one(b"\x0a\5\1\x08", "pcx", "pcx", "probable"), _one(b"BMF\3", "fnt", "bitmap-font.bmfont", "probable"), _one(b"RIFFxxxxWAVE", "wav", "wav"), _one(b"Creative Voice File", "voc", "creative.voice"),
+    _one(b"; paint.net Palette File", "txt", "paint-net.palette"), _one(b"GIMP Palette\n", "gpl", "gimp.palette"), _one(b"JASC-PAL\r\n0100\r\n", "pal", "jasc.palette"), _one(b"\0\0\0\0\xe0\xa5", "aseprite", "aseprite.sprite"),
+    _one(b"ASEF\0\1", "ase", "adobe.swatch-exchange"), _one(b"PK\3\4", "zip", "archive.zip"), _one(b"xx-lh5-", "lha", "archive.lha"), _one(b"DMS!", "dms", "amiga.dms"), _one(b"XPKF", "xpk", "archive.xpk"), _one(b"PP20", "pp", "archive.powerpacker"),
+    _one(b"FORMxxxx16SV", "16sv", "amiga.16sv"), _one(b"FORMxxxx8SVX", "8svx", "amiga.8svx"), _one(b"FORMxxxxANIM", "anim", "amiga.anim"), _one(b"FORMxxxxDEEP", "deep", "amiga.deep"), _one(b"FORMxxxxPBM ", "lbm", "amiga.pbm"),
+    _one(b"FORMxxxxACBM", "acbm", "amiga.acbm"), _one(b"FORMxxxxDR2D", "dr2d", "amiga.dr2d"), _one(b"FORMxxxxILBM", "ilbm", "amiga.ilbm"), _one(b"FORMxxxxANNO", "iff", "amiga.iff"), _one(b"AMOS Basic V134", "amos", "amos.program"),
+    _one(b"AmBs\0\1", "abs", "amos.bank-set"), _one(b"AmBk\0\1", "abk", "amos.bank"), _one(b"AmSp\0\1", "abk", "amos.sprite-bank"), _one(b"AmIc\0\1", "abk", "amos.icon-bank"), _one(b"\x1b[31m", "ans", "ansi.art", "probable"),
+    _one(b"screen", "scr", "zx-spectrum.screen", "probable", size=6912), _one(b"snap", "sna", "zx-spectrum.snapshot", "probable", size=49179), _one(b"\x13\0\0", "tap", "zx-spectrum.tap", "probable"),
+    _one(b"ZXTape!\x1a", "tzx", "zx-spectrum.tzx"), _one(b"\x1d\x7d\0", "ws", "wordstar.document"), Sample(b"\0\0\3\xf3", "bin", (("amiga.lha-sfx", "certain", "certain"), ("amiga.hunk-executable", "certain", "certain"))),
+    Sample(b"screens", "scr", (("zx-spectrum.gigascreen", "", "probable"),), 7680), Sample(b"layer", "nxi", (("zx-spectrum-next.layer2-image", "", "probable"),), 49152), Sample(b"table", "act", (("adobe.color-table", "", "probable"),), 768),
+    Sample(b"text", "ws", (("wordstar.document", "", "probable"),)), Sample(b"\2\0\0\0", "pal", (("rgba8.palette", "", "possible"),)), Sample(b"colours", "nxp", (("zx-spectrum-next.palette", "", "probable"),), 512),
+    Sample(b"%PDF-3.0", "txt", ()), Sample(b"plain text", "txt", ()),
+    Sample(b"PK\3\4".ljust(30, b"\0") + b"mimetypeimage/openraster", "ora", (("image.openraster", "certain", "certain"), ("archive.zip", "certain", "certain"))),
+)
 
 
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_partkey") % len(HEADS) + 1).cast("int"))
-    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_size") % len(ENDINGS) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), F.concat(F.lit("part."), ending).alias("filename"), F.concat(head, "p_name").cast("binary").alias("content"))
+    """Every part is a sample's file; odd sizes have its ending, even ones another."""
+    heads = spark.createDataFrame([(i, bytearray(x.head), x.size, x.ending) for i, x in enumerate(SAMPLES)], "sample int, head binary, size int, ending string")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") % len(SAMPLES)).cast("int").alias("sample"), (F.col("p_size") % 2 == 1).alias("named"), "p_name")
+    # A sample's size is exact; others go on with the part's name.
+    zeros = F.unhex(F.repeat(F.lit("00"), F.col("size") - F.octet_length("head")))
+    content = F.concat("head", F.when(F.col("size") > 0, zeros).otherwise(F.concat(F.unhex(F.lit("00" * 16)), F.col("p_name").cast("binary"))))
+    return part.join(F.broadcast(heads), "sample").select("source_id", F.concat(F.lit("part."), F.when(F.col("named"), F.col("ending")).otherwise("data")).alias("filename"), content.alias("content"))
 
 
-_PLAIN = [p for p in detection.PROBES if not p.carrier]
+_EVIDENCE = {p.type_id: p.evidence for p in reversed(detection.PROBES)}
+_EXPECTED = ", ".join(f"({i}, {k}, '{t}', {c!r}, {n!r}, '{x.ending}', {str(bool(c)).lower()}, {str(x.ending in own).lower()}, '{text}')" for i, x in enumerate(SAMPLES) for k, (t, c, n) in enumerate(x.expected) for own, text in [next((p.extensions, p.evidence) for p in detection.PROBES if p.type_id == t and p.required == (not c))])
 _SOURCES_SQL = f"""
-src AS (SELECT p_partkey AS source_id, ([{", ".join("'" + h.replace(chr(10), "' || chr(10) || '") + "'" for h in HEADS)}])[p_partkey % {len(HEADS)} + 1] || p_name AS head,
-  lower(([{", ".join(f"'{e}'" for e in ENDINGS)}])[p_size % {len(ENDINGS)} + 1]) AS ext FROM part),
-probe(ord, type_id, pat, ext_pat, confidence, evidence, terminal) AS (VALUES {", ".join(f"({i}, '{p.type_id}', {"'(?s)" + p.head.replace("(?!16SV|8SVX|ANIM|ILBM)", "[^1-8AI]").replace("^FORM.{4}[^1-8AI]", "^FORM.{4}ANNO") + "'" if p.head and chr(92) + "x" not in p.head else "NULL" if p.head else "''"}, '{p.extension}', '{p.confidence}', '{p.evidence}', {str(p.terminal).lower()})" for i, p in enumerate(_PLAIN))}),
-hit AS (SELECT source_id, ord, type_id, confidence, evidence, terminal FROM src, probe WHERE (pat = '' OR regexp_matches(head, pat)) AND (ext_pat = '' OR regexp_matches(ext, ext_pat))),
-found AS (SELECT source_id, type_id, confidence, evidence, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS rank FROM hit h
-  WHERE terminal OR NOT EXISTS (SELECT 1 FROM hit t WHERE t.source_id = h.source_id AND t.terminal))"""
+expected(sample, k, type_id, plain, with_ending, ending, always, usual, evidence) AS (VALUES {_EXPECTED}),
+found AS (SELECT p_partkey AS source_id, k + 1 AS rank, type_id, CASE WHEN p_size % 2 = 1 THEN with_ending ELSE plain END AS confidence, evidence, p_size % 2 = 1 AND usual AS named, ending
+  FROM part JOIN expected ON sample = p_partkey % {len(SAMPLES)} WHERE always OR p_size % 2 = 1)"""
 
 
 @query("detect_candidates", f"WITH {_SOURCES_SQL} SELECT source_id, rank, type_id, confidence FROM found")
@@ -70,7 +105,7 @@ def detect_winner(spark, sf_dir):
     return detection.winners(part_sources(spark, sf_dir)).select("source_id", "type_id")
 
 
-@query("detect_evidence", f"WITH {_SOURCES_SQL} SELECT source_id, type_id, 'detection.evidence.1' AS key, evidence AS value FROM found")
+@query("detect_evidence", f"WITH {_SOURCES_SQL} SELECT source_id, type_id, 'detection.evidence.1' AS key, evidence AS value FROM found UNION ALL SELECT source_id, type_id, 'detection.evidence.2', 'file extension is .' || ending FROM found WHERE named")
 def detect_evidence(spark, sf_dir):
     return detection.evidence_rows(detection.candidates(part_sources(spark, sf_dir)))
 
@@ -80,11 +115,11 @@ def format_summary(spark, sf_dir):
     return detection.candidates(part_sources(spark, sf_dir)).groupBy("type_id", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("refine_derivation", "SELECT n_nationkey AS source_id, k AS rank, CASE k WHEN 1 THEN 'archive.zip>image.openraster' ELSE 'archive.zip' END AS derivation FROM nation, (VALUES (1), (2)) t(k)")
+@query("refine_derivation", f"SELECT p_partkey AS source_id, k AS rank, CASE k WHEN 1 THEN 'archive.zip>image.openraster' ELSE 'archive.zip' END AS derivation FROM part, (VALUES (1), (2)) t(k) WHERE p_partkey % {len(SAMPLES)} = {len(SAMPLES) - 1}")
 def refine_derivation(spark, sf_dir):
-    head = b"PK\x03\x04" + b"\0" * 26 + b"mimetypeimage/openraster"
-    sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("filename"), F.lit(bytearray(head)).alias("content"))
-    return detection.candidates(sources).select("source_id", "rank", F.array_join("derivation", ">").alias("derivation"))
+    found = detection.candidates(part_sources(spark, sf_dir))
+    refined = found.where("type_id = 'image.openraster'").select("source_id")
+    return found.join(refined, "source_id", "left_semi").select("source_id", "rank", F.array_join("derivation", ">").alias("derivation"))
 
 
 # Paths and names.
@@ -101,22 +136,23 @@ def path_pattern_select(spark, sf_dir):
     return page_paths(spark, sf_dir).where(paths.matches_any(F.col("path"), ["/*/en/*", "/*/de/*"]))
 
 
-@query("path_percent_encode", "SELECT doc_id, CASE WHEN t = '' THEN '%00' ELSE replace(url_encode(t), '~', '%7E') END AS encoded FROM (SELECT doc_id, substr(text, 1, 40) AS t FROM documents) d")
+@query("path_percent_encode", "SELECT doc_id, sha256(CASE WHEN text = '' THEN '%00' ELSE replace(url_encode(text), '~', '%7E') END) AS encoded_sha256 FROM documents")
 def path_percent_encode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", paths.percent_encode(F.substring("text", 1, 40)).alias("encoded"))
-
-
-@query("path_percent_encode_whole", "SELECT doc_id, sha256(CASE WHEN text = '' THEN '%00' ELSE replace(url_encode(text), '~', '%7E') END) AS encoded_sha256 FROM documents")
-def path_percent_encode_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(paths.percent_encode(F.col("text")).cast("binary"), 256).alias("encoded_sha256"))
 
 
-_NAME = f"regexp_replace(regexp_replace(replace(ltrim({_PATH}, '/'), '/', '_'), '[\\x00-\\x1f<>:\"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+# Each segment by itself: unsafe characters, then spaces and dots at the end, then names of devices.
+_SEGMENT = "rtrim(regexp_replace(x, '[\\x00-\\x1f<>:\"/\\\\|?*]', '_', 'g'), ' .')"
+_DEVICES = ", ".join(f"'{d.lower()}'" for d in ("con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))))
+_NAME = f"array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x != ''), lambda x: CASE WHEN {_SEGMENT} = '' THEN '_' WHEN lower(split_part({_SEGMENT}, '.', 1)) IN ({_DEVICES}) THEN '_' || {_SEGMENT} ELSE {_SEGMENT} END), '/')"
+#: Paths with device names, spaces and dots at the end, unsafe signs and empty segments in them.
+ODD = ("/a/con", "/Nul.txt/b. .", "/x:y|z//...", "/com7/LPT1.a.b/console", "/q?*")
 
 
-@query("export_name_normalize", f"SELECT page_id, {_NAME} AS name FROM pages")
+@query("export_name_normalize", f"SELECT page_id, {_NAME} AS name FROM (SELECT page_id, '/' || split_part(url, '://', 2) || ({list(ODD)})[page_id % {len(ODD)} + 1] AS path FROM pages) p")
 def export_name_normalize(spark, sf_dir):
-    return page_paths(spark, sf_dir).select("page_id", paths.export_name(F.col("path")).alias("name"))
+    odd = F.element_at(F.array(*map(F.lit, ODD)), (F.col("page_id") % len(ODD) + 1).cast("int"))
+    return page_paths(spark, sf_dir).select("page_id", paths.export_name(F.concat("path", odd)).alias("name"))
 
 
 @query("export_name_dedupe", "SELECT p_partkey, p_brand, CASE WHEN k = 1 THEN p_type ELSE p_type || '-' || k END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) AS k FROM part) p")
@@ -124,36 +160,74 @@ def export_name_dedupe(spark, sf_dir):
     return lookups.deduped_names(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_type").select("p_partkey", "p_brand", "unique_name")
 
 
-# The tree: regions, nations, customers.
+# Trees: pages packed into archives, twenty to a source.
+
+PAGES = 20
+#: Where a page's member lies in its archive, and the folders above it.
+_MEMBERS = f"""members AS (SELECT page_id // {PAGES} AS source_id, page_id, '/archive/' || (page_id % 3) || '/' || (page_id % 2) || '/n' || page_id || '.txt' AS path, url FROM pages),
+tree AS (SELECT source_id, path, strlen(url) AS bytes, 'file' AS kind FROM members
+  UNION SELECT DISTINCT source_id, array_to_string(string_split(path, '/')[1:k], '/'), 0, 'group' FROM members, range(2, 5) t(k))"""
 
-_TREE = """tree AS (SELECT '/' || r_name AS path, 0 AS depth, 0 AS bytes FROM region
-  UNION ALL SELECT '/' || r_name || '/' || n_name, 1, 0 FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT '/' || r_name || '/' || n_name || '/' || c_custkey, 2, strlen(c_name) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+def page_files(spark: SparkSession, sf_dir: str, name: str, pack: Callable[[packers.Members], bytes], folders: bool = False) -> DataFrame:
+    """A file for each ``PAGES`` pages whose members hold their addresses."""
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / PAGES).alias("source_id"), "page_id", "url")
+    label = (lambda k: f"{k % 3}/{k % 2}/n{k}.txt") if folders else (lambda k: f"n{k}")
+    return packed(pages, "source_id", ["page_id", "url"], name, lambda rows: pack([(label(k), url.encode()) for k, url in rows]))
 
-def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    top = region.select("r_regionkey", F.concat(F.lit("/"), "r_name").alias("path"))
-    middle = nation.join(top, nation.n_regionkey == top.r_regionkey).select("n_nationkey", F.concat("path", F.lit("/"), "n_name").alias("path"))
-    leaves = customer.join(middle, customer.c_nationkey == middle.n_nationkey).select(F.concat("path", F.lit("/"), F.col("c_custkey").cast("string")).alias("path"), F.lit(2).alias("depth"), F.octet_length("c_name").alias("bytes"))
-    return top.select("path", F.lit(0).alias("depth"), F.lit(0).alias("bytes")).union(middle.select("path", F.lit(1), F.lit(0))).union(leaves)
 
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect(page_files(spark, sf_dir, "pages.zip", packers.zip_file, folders=True))
 
-@query("tree_walk", f"WITH {_TREE} SELECT path, depth, len(string_split(path, '/')) - 1 AS n_segments FROM tree")
+
+@query("tree_walk", f"WITH {_MEMBERS} SELECT source_id, path, (row_number() OVER (PARTITION BY source_id ORDER BY path) > 0) AS listed, kind = 'group' AS is_group FROM tree")
 def tree_walk(spark, sf_dir):
-    return tree(spark, sf_dir).select("path", "depth", F.size(paths.segments(F.col("path"))).alias("n_segments"))
+    return page_tree(spark, sf_dir).select("source_id", "path", F.lit(True).alias("listed"), (F.col("kind") == "group").alias("is_group"))
 
 
-@query("tree_direct_children", f"WITH {_TREE} SELECT regexp_replace(path, '/[^/]+$', '') AS parent, count(*) AS children FROM tree WHERE depth > 0 GROUP BY 1")
+@query("tree_direct_children", f"WITH {_MEMBERS} SELECT source_id, regexp_replace(path, '/[^/]+$', '') AS parent, count(*) AS children, min(path) AS first FROM tree WHERE path != '/archive' GROUP BY 1, 2")
 def tree_direct_children(spark, sf_dir):
-    return tree(spark, sf_dir).where("depth > 0").groupBy(F.regexp_replace("path", "/[^/]+$", "").alias("parent")).agg(F.count("*").alias("children"))
+    own = export.with_children(page_tree(spark, sf_dir)).where("children IS NOT NULL")
+    return own.select("source_id", F.col("path").alias("parent"), F.size("children").cast("long").alias("children"), F.array_min(F.transform("children", lambda c: c["path"])).alias("first"))
 
 
-@query("tree_subtree_bytes", f"WITH {_TREE}, up AS (SELECT path, bytes, unnest(range(2, depth + 3)) AS k FROM tree) SELECT array_to_string(string_split(path, '/')[1:k], '/') AS root, sum(bytes)::BIGINT AS bytes, count(*) AS resources FROM up GROUP BY 1")
+@query("tree_subtree_bytes", f"WITH {_MEMBERS}, up AS (SELECT source_id, path, bytes, unnest(range(2, len(string_split(path, '/')) + 1)) AS k FROM tree) SELECT source_id, array_to_string(string_split(path, '/')[1:k], '/') AS root, sum(bytes)::BIGINT AS bytes, count(*) AS resources FROM up GROUP BY 1, 2")
 def tree_subtree_bytes(spark, sf_dir):
-    parts = F.split("path", "/")
-    up = tree(spark, sf_dir).select("bytes", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("root"))
-    return up.groupBy("root").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("resources"))
+    return lookups.subtree_totals(page_tree(spark, sf_dir), "source_id", "path", F.octet_length("data"))
+
+
+@query("extraction_plan", f"WITH {_MEMBERS} SELECT source_id, path, CASE kind WHEN 'group' THEN 'directory' ELSE 'file' END AS entry, substr(path, 10) AS relative_path, bytes, NULL::VARCHAR AS problem FROM tree WHERE path != '/archive'")
+def extraction_plan(spark, sf_dir):
+    return extraction.plan(page_tree(spark, sf_dir)).select("source_id", "path", "entry", "relative_path", "bytes", "problem")
+
+
+@query("extraction_totals", f"WITH {_MEMBERS} SELECT source_id, count(*) FILTER (kind = 'group' AND path != '/archive') AS directories, count(*) FILTER (kind = 'file') AS files, sum(bytes)::BIGINT AS bytes, 0::BIGINT AS renamed, 0::BIGINT AS problems FROM tree GROUP BY 1")
+def extraction_totals(spark, sf_dir):
+    return extraction.totals(extraction.plan(page_tree(spark, sf_dir)))
+
+
+@query("extraction_preflight", f"WITH {_MEMBERS} SELECT source_id, path, CASE WHEN path LIKE '/archive/1%' THEN 'output directory conflicts with a file: 1' WHEN path LIKE '/archive/2/0%' THEN 'output path is a symbolic link: 2/0' END AS conflict FROM tree WHERE path != '/archive'")
+def extraction_preflight(spark, sf_dir):
+    there = spark.createDataFrame([("1", "file"), ("2/0", "link"), ("0", "directory"), ("elsewhere", "file")], "relative_path string, kind string")
+    return extraction.preflight(extraction.plan(page_tree(spark, sf_dir)), there).select("source_id", "path", "conflict")
+
+
+@query("export_select_path", f"SELECT DISTINCT page_id // {PAGES} AS source_id, CASE WHEN page_id // {PAGES} > 0 THEN 'resource was not found: /archive/1/1/n7.txt' END AS problem FROM pages")
+def export_select_path(spark, sf_dir):
+    return extraction.selected(page_tree(spark, sf_dir), "/archive/1/1/n7.txt").select("source_id", "problem")
+
+
+@query("export_bulk", f"WITH {_MEMBERS} SELECT source_id, 'archive/' || (page_id % 3) || '/' || (page_id % 2) || '/n' || page_id || '.txt.bin' AS filename, 'application/octet-stream' AS media_type, sha256(url) AS digest FROM members WHERE page_id % 3 = 1")
+def export_bulk(spark, sf_dir):
+    made = export.artifacts(extraction.matched(page_tree(spark, sf_dir), ["/archive/1/*/*"]))
+    return made.select("source_id", "filename", "media_type", F.sha2("data", 256).alias("digest"))
+
+
+@query("export_metadata_json", f"WITH {_MEMBERS} SELECT source_id, path, CASE kind WHEN 'file' THEN 'opaque' ELSE kind END AS kind, (SELECT count(*) FROM tree c WHERE c.source_id = tree.source_id AND regexp_replace(c.path, '/[^/]+$', '') = tree.path) AS children FROM tree")
+def export_metadata_json(spark, sf_dir):
+    made = export.artifacts(export.with_children(page_tree(spark, sf_dir)), "metadata-json")
+    text = F.decode("data", "UTF-8")
+    return made.select("source_id", F.get_json_object(text, "$.path").alias("path"), F.get_json_object(text, "$.kind").alias("kind"), F.coalesce(F.json_array_length(F.get_json_object(text, "$.children")), F.lit(0)).cast("long").alias("children"))
 
 
 # Lookups.
@@ -177,13 +251,6 @@ def first_valid_lookup(spark, sf_dir):
     return lookups.first_valid(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderstatus") == "O")
 
 
-@query("fallback_lookup", "SELECT c_custkey, coalesce(a.v, b.v, 'made') AS palette FROM customer LEFT JOIN (SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_acctbal > 0) a ON a.k = c_custkey LEFT JOIN (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size > 25) b ON b.k = c_custkey")
-def fallback_lookup(spark, sf_dir):
-    first = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("a"))
-    second = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("b"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(first, "c_custkey", "left").join(second, "c_custkey", "left").select("c_custkey", F.coalesce("a", "b", F.lit("made")).alias("palette"))
-
-
 @query("chunk_extent", "SELECT l_orderkey, l_linenumber, coalesce((SELECT min(b.o) FROM (SELECT l_orderkey AS k, l_quantity::BIGINT AS o FROM lineitem) b WHERE b.k = l.l_orderkey AND b.o > l.l_quantity::BIGINT), 100) - l_quantity::BIGINT AS extent FROM lineitem l")
 def chunk_extent(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("offset"))
@@ -192,9 +259,6 @@ def chunk_extent(spark, sf_dir):
 
 # Ordered state.
 
-_LINES = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-
-
 @query("namespace_markers", "SELECT event_id, nullif(last_value(CASE WHEN event_type = 'signup' THEN 'S' || event_id WHEN event_type = 'purchase' THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS namespace FROM events")
 def namespace_markers(spark, sf_dir):
     name = F.concat(F.lit("S"), F.col("event_id").cast("string"))
@@ -211,14 +275,6 @@ def implicit_export(spark, sf_dir):
     return lookups.implicit_export(table(spark, sf_dir, "part"), "p_brand", "p_size")
 
 
-@query("frame_timeline", "SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM lineitem")
-def frame_timeline(spark, sf_dir):
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("l_orderkey").orderBy(*_LINES).rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.sum(F.col("l_quantity").cast("long")).over(before), F.lit(0)).alias("start_ms"))
-
-
 @query("limit_enforce", "SELECT o_orderkey, sum(o_totalprice::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) <= 500000 AS probed FROM orders")
 def limit_enforce(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("size", F.round("o_totalprice").cast("long"))
@@ -228,41 +284,6 @@ def limit_enforce(spark, sf_dir):
 # Metadata and documents.
 
 
-@query("metadata_eav", "SELECT event_id, k AS key, json_extract_string(props, '$.\"' || k || '\"') AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) e")
-def metadata_eav(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-
-
-@query("metadata_json", "SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS json FROM nation")
-def metadata_json(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json"))
-
-
-@query("doc_plain_text", "SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY conv_id")
-def doc_plain_text(spark, sf_dir):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    text = F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(text.cast("binary"), 256).alias("text_sha256"))
-
-
-@query("doc_markdown_escape", r"SELECT doc_id, sha256(regexp_replace(text, '([\\`*_{}\[\]<>()#+\-.!|])', '\\\1', 'g')) AS escaped_sha256 FROM documents")
-def doc_markdown_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", r"([\\`*_{}\[\]<>()#+\-.!|])", r"\\$1").cast("binary"), 256).alias("escaped_sha256"))
-
-
-@query("doc_inventory", "SELECT doc_id, len(string_split(text, chr(10))) AS paragraphs, length(text) AS characters, strlen(text) AS bytes FROM documents")
-def doc_inventory(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("paragraphs"), F.char_length("text").alias("characters"), F.octet_length("text").alias("bytes"))
-
-
-@query("row_text_escape", r"SELECT doc_id, sha256(replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n')) AS escaped_sha256 FROM documents")
-def row_text_escape(spark, sf_dir):
-    text = F.col("text")
-    for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.cast("binary"), 256).alias("escaped_sha256"))
-
-
 # Bytes.
 
 
@@ -276,63 +297,74 @@ def checksum_sum256(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", binary.sum_checksum(F.col("p_name").cast("binary")).alias("checksum"))
 
 
-@query("checksum_crc32")
-def checksum_crc32(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("checksum"))
+# The table of the checksum's remainders, and the fold over an address's bytes.
+_CRC = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, list_transform(range(8), lambda k: 0::BIGINT)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+b AS (SELECT page_id, list_prepend(4294967295, list_transform(string_split(url, ''), lambda x: ord(x)::BIGINT)) AS bytes FROM pages)
+SELECT page_id, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS checksum FROM b, t"""
 
 
-@query("digest_sha256", "SELECT page_id, sha256(html) AS digest FROM pages")
-def digest_sha256(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+@query("checksum_crc32", _CRC)
+def checksum_crc32(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", binary.crc32_checksum(F.col("url").cast("binary")).alias("checksum"))
 
 
-@query("hexdump_lines", "SELECT page_id, s AS offset, lower(substr(hex(encode(url)), 2 * s + 1, 32)) AS hex FROM (SELECT page_id, url, unnest(range(0, strlen(url), 16)) AS s FROM pages) p")
+@query("hexdump_lines", "SELECT page_id, s AS offset, lower(substr(hex(encode(url)), 2 * s + 1, 32)) AS hex, substr(url, s + 1, 16) AS text FROM (SELECT page_id, url, unnest(range(0, strlen(url), 16)) AS s FROM pages) p")
 def hexdump_lines(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(binary.hex_lines(F.col("url").cast("binary"))).alias("l")).select("page_id", "l.offset", "l.hex")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(binary.hex_lines(F.col("url").cast("binary"))).alias("l")).select("page_id", "l.offset", "l.hex", "l.text")
 
 
-@query("palette_rgb332", "SELECT v AS byte, round((v >> 5 & 7) * 255.0 / 7)::INT AS r, round((v >> 2 & 7) * 255.0 / 7)::INT AS g, round((v & 3) * 255.0 / 3)::INT AS b FROM (SELECT DISTINCT (p_partkey % 256)::INT AS v FROM part) p")
+# Blue has two bits; its third is set where any of them is.
+@query("palette_rgb332", "SELECT v AS byte, round((v >> 5) * 255.0 / 7)::INT AS r, round((v >> 2 & 7) * 255.0 / 7)::INT AS g, ([0, 109, 182, 255])[(v & 3) + 1]::INT AS b FROM (SELECT DISTINCT (p_partkey % 256)::INT AS v FROM part) p")
 def palette_rgb332(spark, sf_dir):
-    v = F.col("byte")
-    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 256).cast("int").alias("byte")).distinct().select("byte", binary.expand_bits(v, 5, 3).alias("r"), binary.expand_bits(v, 2, 3).alias("g"), binary.expand_bits(v, 0, 2).alias("b"))
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 256).cast("int").alias("byte")).distinct().select("byte", binary.rgb332(F.col("byte")).alias("c")).select("byte", "c.r", "c.g", "c.b")
+
+
+# Two ranges of two to five colours that turn at steps of one to seven.
+_CYCLES = "cycles AS (SELECT p_partkey, (p_size % 5 + 1)::BIGINT AS s1, (p_partkey % 4 + 2)::BIGINT AS n1, (p_partkey % 7 + 1)::BIGINT AS s2, (p_size % 3 + 2)::BIGINT AS n2 FROM part)"
+
 
+def part_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycle = lambda low, length, step, way: F.struct(low.cast("int").alias("low"), (low + length - 1).cast("int").alias("high"), step.cast("int").alias("step"), F.lit(way).alias("direction"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array(cycle(F.lit(0), k % 4 + 2, size % 5 + 1, 1), cycle(F.lit(6), size % 3 + 2, k % 7 + 1, -1)).alias("cycles"))
 
-@query("cycle_period", "SELECT p_partkey, lcm(p_size::BIGINT, (p_partkey % 60 + 1)::BIGINT) AS period FROM part")
+
+@query("cycle_period", f"WITH {_CYCLES} SELECT p_partkey, lcm(s1 * n1, s2 * n2) AS period FROM cycles")
 def cycle_period(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", binary.lcm(F.col("p_size").cast("long"), (F.col("p_partkey") % 60 + 1).cast("long")).alias("period"))
+    return part_cycles(spark, sf_dir).select("p_partkey", colour_cycles.period_of(F.col("cycles")).alias("period"))
+
 
+@query("cycle_next_boundary", f"WITH {_CYCLES} SELECT p_partkey, least((p_partkey % 50 // s1 + 1) * s1, (p_partkey % 50 // s2 + 1) * s2) AS boundary FROM cycles")
+def cycle_next_boundary(spark, sf_dir):
+    return part_cycles(spark, sf_dir).select("p_partkey", colour_cycles.boundary_of(F.col("cycles"), F.col("p_partkey") % 50).cast("long").alias("boundary"))
 
-@query("cycle_boundaries", "SELECT p_partkey, count(DISTINCT t) AS frames FROM (SELECT p_partkey, unnest(list_concat(range(0, 240, p_size), range(0, 240, (p_partkey % 7 + 2)::BIGINT))) AS t FROM part) x GROUP BY p_partkey")
-def cycle_boundaries(spark, sf_dir):
-    step = lambda s: F.sequence(F.lit(0), F.lit(239), s.cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(F.array_union(step(F.col("p_size")), step(F.col("p_partkey") % 7 + 2))).cast("long").alias("frames"))
 
+@query("cycle_frames", f"WITH {_CYCLES}, moments AS (SELECT DISTINCT p_partkey, lcm(s1 * n1, s2 * n2) AS whole, unnest(list_concat(range(0, lcm(s1 * n1, s2 * n2), s1), range(0, lcm(s1 * n1, s2 * n2), s2))) AS start FROM cycles) SELECT p_partkey AS key, start, coalesce(lead(start) OVER (PARTITION BY p_partkey ORDER BY start), whole) - start AS ms FROM moments")
+def cycle_frames(spark, sf_dir):
+    return colour_cycles.expanded(part_cycles(spark, sf_dir), "p_partkey", "cycles").select("key", "start", "ms")
 
-@query("sub_unfilter", "SELECT l_orderkey, l_linenumber, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING) % 256)::BIGINT AS byte FROM lineitem")
-def sub_unfilter(spark, sf_dir):
-    from pyspark.sql import Window
 
-    upto = Window.partitionBy("l_orderkey").orderBy(*_LINES).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.sum(F.col("l_quantity").cast("long")).over(upto) % 256).alias("byte"))
+@query("metadata_rows", f"WITH {_MEMBERS} SELECT source_id, path, 'data.length' AS key, bytes::VARCHAR AS value FROM tree WHERE kind = 'file'")
+def metadata_rows_query(spark, sf_dir):
+    return metadata_rows(page_tree(spark, sf_dir)).where("key = 'data.length'").select("source_id", "path", "key", "value")
 
 
-@query("pcm_deinterleave", "SELECT user_id, event_id % 2 AS channel, count(*) AS samples, min(floor(value))::BIGINT AS low, max(floor(value))::BIGINT AS high FROM events GROUP BY 1, 2")
-def pcm_deinterleave(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 2).alias("channel"), F.floor("value").alias("v"))
-    return rows.groupBy("user_id", "channel").agg(F.count("*").alias("samples"), F.min("v").alias("low"), F.max("v").alias("high"))
+@query("doc_markdown_escape", r"SELECT doc_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '`', '\`'), '*', '\*'), '_', '\_'), '[', '\['), ']', '\]'), '<', '\<'), '>', '\>'), '|', '\|')) AS escaped_sha256 FROM documents")
+def doc_markdown_escape(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(paths.markdown_escaped(F.col("text")).cast("binary"), 256).alias("escaped_sha256"))
 
 
-# Codecs: what is packed comes back.
+# Codecs: what a library packs comes back; what has no library's writer is packed here, and the tests hold its reader against fixed bytes.
 
 
-def _codec(pack: Callable[[bytes], bytes], unpack: Callable[[bytes, int], bytes]) -> Query:
+def _codec(name: str, key: str, pack: Callable[[bytes], bytes], unpack: Callable[[bytes, int], bytes]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         def trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [t.encode() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpack(pack(t), len(t)).decode() for t in texts])], names=["item_id", "text"])
+                texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(unpack(pack(t), len(t))).hexdigest() for t in texts])], names=[key, "sha256"])
 
-        return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(trip, "item_id long, text string")
+        return table(spark, sf_dir, name).select(key, "text").mapInArrow(trip, f"{key} long, sha256 string")
 
     return run
 
@@ -343,14 +375,14 @@ def _deflate(data: bytes) -> bytes:
 
 
 _LZMA = [{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}]
-for _name, _pack, _unpack in (
-    ("codec_deflate", _deflate, lambda d, n: codecs.inflate(d)),
-    ("codec_lzma", lambda d: lzma.compress(d, lzma.FORMAT_RAW, filters=_LZMA), lambda d, n: codecs.unlzma(d)),
-    ("codec_byterun1", codecs.pack_runs, codecs.unpack_runs),
-    ("codec_lh5", codecs.pack_lh5, codecs.unpack_lh5),
-    ("codec_lzw", lambda d: codecs.lzw_encode(d, 8), lambda d, n: codecs.lzw_decode(d, 8)),
+for _name, _table, _key, _pack, _unpack in (
+    ("codec_deflate", "documents", "doc_id", _deflate, lambda d, n: codecs.inflate(d)),
+    ("codec_lzma", "documents", "doc_id", lambda d: lzma.compress(d, lzma.FORMAT_RAW, filters=_LZMA), lambda d, n: codecs.unlzma(d)),
+    ("codec_byterun1", "documents", "doc_id", codecs.pack_runs, codecs.unpack_runs),
+    ("codec_lh5", "benchmark", "item_id", codecs.pack_lh5, codecs.unpack_lh5),
+    ("codec_lzw", "benchmark", "item_id", lambda d: codecs.lzw_encode(d, 8), lambda d, n: codecs.lzw_decode(d, 8)),
 ):
-    query(_name, "SELECT item_id, text FROM benchmark")(_codec(_pack, _unpack))
+    query(_name, f"SELECT {_key}, sha256(text) AS sha256 FROM {_table}")(_codec(_table, _key, _pack, _unpack))
 
 
 # Scans: tables packed into a format, read back.
@@ -367,136 +399,158 @@ def packed(rows: DataFrame, group: str, columns: list[str], name: str, pack: Cal
     return rows.withColumn(group, F.col(group).cast("long")).groupBy(group).applyInArrow(run, "source_id long, filename string, content binary")
 
 
-def _database(rows: list[tuple]) -> bytes:
-    db = sqlite3.connect(":memory:")
-    db.execute("CREATE TABLE nation (k INTEGER, name TEXT, note TEXT)")
-    db.executemany("INSERT INTO nation VALUES (?, ?, ?)", [(k, n, n * 900) for k, n in rows])  # long enough for overflow pages
-    db.commit()
-    return db.serialize()
+# Pictures: a part's pixel is its key modulo 16, eight to a line, the last line filled up with zeros.
+_GRID = f"""WITH p AS (SELECT p_size AS source_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS i, (p_partkey % 16)::INT AS v FROM part),
+cells AS (SELECT source_id, unnest(range((count(*) + {packers.WIDE - 1}) // {packers.WIDE} * {packers.WIDE})) AS i FROM p GROUP BY 1)
+SELECT source_id, (i % {packers.WIDE})::INT AS x, (i // {packers.WIDE})::INT AS y, coalesce(v, 0) * 17 AS r, 255 - coalesce(v, 0) * 17 AS g, coalesce(v, 0) * 40 % 256 AS b FROM cells LEFT JOIN p USING (source_id, i)"""
 
 
-@query("scan_sqlite", "SELECT n_regionkey AS source_id, n_nationkey AS k, n_name AS name, length(n_name) * 900 AS note FROM nation")
-def scan_sqlite(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.db", _database)
-    v = F.col("values")
-    return database_rows(inspect(sources)).where("table = 'nation'").select("source_id", v[0].cast("int").alias("k"), v[1].alias("name"), F.char_length(v[2]).alias("note"))
+def _picture_scan(name: str, write: Callable, path: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], name, lambda rows: write(packers.grid([k % 16 for (k,) in rows])))
+        return pixels(inspect(sources).where(F.col("path") == path)).select("source_id", "x", "y", "r", "g", "b")
 
+    return run
+
+
+for _name, (_file, _write, _path) in packers.PICTURES.items():
+    query(f"scan_{_name}", _GRID)(_picture_scan(_file, _write, _path))
 
-def _zip(rows: list[tuple]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for k, name in rows:
-            z.writestr(zipfile.ZipInfo(f"region/{k}.txt"), name, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
-    return out.getvalue()
 
+# Files in files: addresses of pages as members. One query for each format: what is found where.
+
+
+def _member_scan(name: str, pack: Callable[[packers.Members], bytes], folders: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = inspect(page_files(spark, sf_dir, name, pack, folders)).where("data IS NOT NULL")
+        return found.select("source_id", "path", F.sha2("data", 256).alias("digest"))
 
-@query("scan_zip", "SELECT n_regionkey AS source_id, '/archive/region/' || n_nationkey || '.txt' AS path, n_name AS text FROM nation")
-def scan_zip(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.zip", _zip)
-    return inspect(sources).where("type_id = 'file'").select("source_id", "path", F.decode("data", "UTF-8").alias("text"))
+    return run
 
 
-def _wad(rows: list[tuple]) -> bytes:
-    bodies = [name.encode() for _, name in rows]
-    at, directory = 12, b""
-    for (k, _), body in zip(rows, bodies, strict=True):
-        directory += struct.pack("<II8s", at, len(body), f"N{k}".encode())
-        at += len(body)
-    return struct.pack("<4sII", b"PWAD", len(rows), at) + b"".join(bodies) + directory
+def _member_sql(path: str, where: str = "") -> str:
+    return f"WITH m AS (SELECT page_id // {PAGES} AS source_id, page_id, url, row_number() OVER (PARTITION BY page_id // {PAGES} ORDER BY page_id) - 1 AS i FROM pages) SELECT source_id, {path} AS path, sha256(url) AS digest FROM m{where}"
 
 
-@query("scan_wad", "SELECT n_regionkey AS source_id, 'N' || n_nationkey AS name, n_name AS text FROM nation")
-def scan_wad(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.wad", _wad)
-    name = F.filter("metadata", lambda m: m["key"] == "wad.name")[0]["value"]
-    return inspect(sources).where("type_id = 'doom.lump'").select("source_id", name.alias("name"), F.decode("data", "UTF-8").alias("text"))
+_WHOLE = f"SELECT page_id // {PAGES} AS source_id, '%s' AS path, sha256(string_agg(url, '' ORDER BY page_id)) AS digest FROM pages GROUP BY 1"
+query("scan_zip", _member_sql("'/archive/' || (page_id % 3) || '/' || (page_id % 2) || '/n' || page_id || '.txt'"))(_member_scan("a.zip", packers.zip_file, True))
+query("scan_asar", _member_sql("'/archive/n' || page_id"))(_member_scan("a.asar", packers.asar))
+query("scan_lha", _member_sql("'/archive/n' || page_id"))(_member_scan("a.lha", packers.lha))
+query("scan_adf", _member_sql("'/disk/n' || page_id"))(_member_scan("a.adf", packers.adf))
+query("scan_dms", _member_sql("'/disk/n' || page_id"))(_member_scan("a.dms", packers.dms))
+query("scan_fat", _member_sql("'/disk/N' || page_id || '.TXT'"))(_member_scan("a.img", packers.fat))
+query("scan_wad", _member_sql("'/wad/lumps/' || i || '-n' || page_id"))(_member_scan("a.wad", packers.wad))
+query("scan_iff", _member_sql("'/chunks/' || i || '-NAME'"))(_member_scan("a.iff", packers.iff))
+query("scan_tap", _member_sql("CASE WHEN count(*) OVER (PARTITION BY source_id) = 1 THEN '/code' ELSE '/code/' || (i + 1) END"))(_member_scan("a.tap", packers.tap))
+query("scan_tzx", _member_sql("CASE WHEN count(*) OVER (PARTITION BY source_id) = 1 THEN '/code' ELSE '/code/' || (i + 1) END"))(_member_scan("a.tzx", packers.tzx))
+query("scan_amos_bank", _WHOLE % "/bank")(_member_scan("a.abk", packers.bank))
+query("scan_amos_bank_set", _member_sql("'/banks/' || i"))(_member_scan("a.abs", packers.bank_set))
+query("scan_amos_program", _member_sql("'/banks/' || i") + " UNION ALL " + _WHOLE % "/listing")(_member_scan("a.amos", packers.program))
+query("scan_powerpacker", _WHOLE % "/content")(_member_scan("a.pp", packers.powerpacker))
 
 
-@query("scan_iff", "SELECT n_regionkey AS source_id, length(n_name) AS size, n_name AS text FROM nation")
-def scan_iff(spark, sf_dir):
-    def pack(rows: list[tuple]) -> bytes:
-        body = b"TEST" + b"".join(b"NAME" + struct.pack(">I", len(n)) + n.encode() + b"\0" * (len(n) & 1) for _, n in rows)
-        return b"FORM" + struct.pack(">I", len(body)) + body
+@query("scan_nested", _member_sql("'/archive/inner.zip/archive/n' || page_id"))
+def scan_nested(spark, sf_dir):
+    found = inspect(page_files(spark, sf_dir, "outer.zip", packers.nested_zip)).where("depth = 1 AND type_id = 'file'")
+    return found.select("source_id", "path", F.sha2("data", 256).alias("digest"))
 
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.iff", pack)
-    return inspect(sources).where("type_id = 'iff.chunk'").select("source_id", F.octet_length("data").alias("size"), F.decode("data", "UTF-8").alias("text"))
 
+@query("scan_lha_sfx", _member_sql("'/archive/n' || page_id"))
+def scan_lha_sfx(spark, sf_dir):
+    found = inspect(page_files(spark, sf_dir, "a", packers.lha_sfx)).where("type_id = 'file' AND path LIKE '/archive/%'")
+    return found.select("source_id", "path", F.sha2("data", 256).alias("digest"))
 
-@query("scan_wav", "SELECT o_custkey AS source_id, count(*) AS samples, min(o_orderkey % 65536 - 32768) AS low, max(o_orderkey % 65536 - 32768) AS high FROM orders GROUP BY 1")
-def scan_wav(spark, sf_dir):
-    pack = lambda rows: export.wav(8000, 16, [[k % 65536 - 32768 for (k,) in rows]])
-    sources = packed(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"], "orders.wav", pack)
-    pcm = F.col("pcm")[0]
-    return inspect(sources).where("kind = 'audio'").select("source_id", F.size(pcm).cast("long").alias("samples"), F.array_min(pcm).cast("long").alias("low"), F.array_max(pcm).cast("long").alias("high"))
 
+# Documents: a line for each page; their text as a whole.
+_LINES = f"SELECT page_id // {PAGES} AS source_id, sha256(string_agg(url, chr(10) ORDER BY page_id){{}}) AS digest FROM pages GROUP BY 1"
 
-_PIXELS = "SELECT p_size AS source_id, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS x, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM part"
 
+def _document_scan(name: str, pack: Callable[[packers.Members], bytes]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return inspect(page_files(spark, sf_dir, name, pack)).where("text IS NOT NULL").select("source_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
-def _pixel_sources(spark: SparkSession, sf_dir: str, name: str, pack: Callable[[bytes, int], bytes]) -> DataFrame:
-    own = lambda rows: pack(bytes(v for (k,) in rows for v in (k % 256, k // 256 % 256, k % 251)), len(rows))
-    sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], name, own)
-    return pixels(inspect(sources)).select("source_id", "x", "r", "g", "b")
+    return run
 
 
-@query("scan_png", _PIXELS)
-def scan_png(spark, sf_dir):
-    return _pixel_sources(spark, sf_dir, "part.png", lambda rgb, n: export.png(n, 1, b"".join(rgb[i : i + 3] + b"\xff" for i in range(0, len(rgb), 3))))
+query("scan_wordstar", _LINES.format(" || chr(10)"))(_document_scan("a.ws", packers.wordstar))
+query("scan_write", _LINES.format(" || chr(10)"))(_document_scan("a.wri", packers.write_document))
 
 
-@query("scan_netpbm", _PIXELS)
-def scan_netpbm(spark, sf_dir):
-    return _pixel_sources(spark, sf_dir, "part.ppm", lambda rgb, n: b"P6\n%d 1\n255\n" % n + rgb)
+@query("scan_ansi", f"SELECT page_id // {PAGES} AS source_id, sha256(string_agg('page ' || page_id, chr(10) ORDER BY page_id)) AS digest FROM pages GROUP BY 1")
+def scan_ansi(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / PAGES).alias("source_id"), "page_id")
+    sources = packed(pages, "source_id", ["page_id"], "a.ans", lambda rows: packers.bank_text([("", b"page %d" % k) for (k,) in rows]))
+    return inspect(sources).where("text IS NOT NULL").select("source_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query("scan_qoi", _PIXELS)
-def scan_qoi(spark, sf_dir):
-    return _pixel_sources(spark, sf_dir, "part.qoi", lambda rgb, n: struct.pack(">4sIIBB", b"qoif", n, 1, 3, 0) + b"".join(b"\xfe" + rgb[i : i + 3] for i in range(0, len(rgb), 3)) + b"\0" * 7 + b"\1")
+# A database: whole texts of documents, with overflow pages, tabs and line breaks in them.
+@query("scan_sqlite", r"SELECT doc_id // 50 AS source_id, doc_id AS k, lang AS name, sha256(replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n')) AS note_sha256 FROM documents")
+def scan_sqlite(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("source_id"), "doc_id", "lang", "text")
+    v = F.col("values")
+    rows = database_rows(inspect(packed(docs, "source_id", ["doc_id", "lang", "text"], "docs.db", packers.database)))
+    return rows.where("table = 't'").select("source_id", v[0].cast("long").alias("k"), v[1].alias("name"), F.sha2(v[2].cast("binary"), 256).alias("note_sha256"))
 
 
-@query("scan_bmp", _PIXELS)
-def scan_bmp(spark, sf_dir):
-    def pack(rgb: bytes, n: int) -> bytes:
-        row = b"".join(rgb[i : i + 3][::-1] for i in range(0, len(rgb), 3))
-        row += b"\0" * (-len(row) % 4)
-        return struct.pack("<2sIHHI", b"BM", 54 + len(row), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, n, 1, 1, 24, 0, len(row), 0, 0, 0, 0) + row
+# Sounds: lines of an order as samples, one channel or two.
+def _sound_sql(count: int, value: str, key: str = "o_custkey % 97") -> str:
+    """The samples' number, least, greatest and sum by source and channel, and their sum weighted by place."""
+    channels = " UNION ALL ".join(f"SELECT {key} AS source_id, {c} AS channel, row_number() OVER (PARTITION BY {key} ORDER BY o_orderkey) AS i, {value.format(c=c)} AS v FROM orders" for c in range(count))
+    return f"SELECT source_id::BIGINT AS source_id, channel::INT AS channel, count(*) AS samples, min(v)::BIGINT AS low, max(v)::BIGINT AS high, sum(i * v)::BIGINT AS weighted FROM ({channels}) x GROUP BY 1, 2"
 
-    return _pixel_sources(spark, sf_dir, "part.bmp", pack)
 
+def _sound_scan(name: str, count: int, value: Callable[[int, int], int], pack: Callable[[list[list[int]]], bytes]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("source_id"), "o_orderkey")
+        sources = packed(orders, "source_id", ["o_orderkey"], name, lambda rows: pack([[value(k, c) for (k,) in rows] for c in range(count)]))
+        channels = inspect(sources).where("kind = 'audio'").select("source_id", F.posexplode("pcm").alias("channel", "v"))
+        return channels.select(
+            "source_id", "channel", F.size("v").cast("long").alias("samples"), F.array_min("v").cast("long").alias("low"), F.array_max("v").cast("long").alias("high"),
+            F.aggregate(F.transform("v", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"),
+        )
 
-@query("scan_tga", _PIXELS)
-def scan_tga(spark, sf_dir):
-    return _pixel_sources(spark, sf_dir, "part.tga", lambda rgb, n: struct.pack("<BBBHHBHHHHBB", 0, 0, 2, 0, 0, 0, 0, 0, n, 1, 24, 32) + b"".join(rgb[i : i + 3][::-1] for i in range(0, len(rgb), 3)))
+    return run
 
 
-def _opaque(rgb: bytes) -> bytes:
-    return b"".join(rgb[i : i + 3] + b"\xff" for i in range(0, len(rgb), 3))
+_WORD, _BYTE = lambda k, c: (k * (c + 3)) % 65536 - 32768, lambda k, c: (k * (c + 3)) % 256 - 128
+query("scan_wav", _sound_sql(2, "o_orderkey * ({c} + 3) % 65536 - 32768"))(_sound_scan("a.wav", 2, _WORD, lambda chs: packers.wav(8000, 16, chs)))
+query("scan_wav8", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.wav", 1, _BYTE, lambda chs: packers.wav(8000, 8, chs)))
+query("scan_8svx", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.8svx", 1, _BYTE, lambda chs: packers.svx(8000, chs)))
+query("scan_voice", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.voc", 1, _BYTE, lambda chs: packers.voice(8000, chs)))
 
 
-@query("scan_apng", _PIXELS)
-def scan_apng(spark, sf_dir):
-    return _pixel_sources(spark, sf_dir, "part.png", lambda rgb, n: export.apng(n, 1, [(10, _opaque(rgb))]))
+# Palettes.
+_COLOURS = "SELECT p_size AS source_id, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM part"
 
 
-@query("scan_deep", _PIXELS)
-def scan_deep(spark, sf_dir):
-    def pack(rgb: bytes, n: int) -> bytes:
-        parts = ((b"DGBL", struct.pack(">HHHBB", n, 1, 0, 1, 1)), (b"DPEL", struct.pack(">I6H", 3, 1, 8, 2, 8, 3, 8)), (b"DBOD", rgb))
-        body = b"DEEP" + b"".join(k + struct.pack(">I", len(v)) + v + b"\0" * (len(v) & 1) for k, v in parts)
-        return b"FORM" + struct.pack(">I", len(body)) + body
+def _palette_scan(name: str, pack: Callable[[list[tuple]], bytes], most: int = 0) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = lambda rows: pack([(k % 256, k // 256 % 256, k % 251) for (k,) in rows])
+        sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], name, own)
+        return inspect(sources).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
 
-    return _pixel_sources(spark, sf_dir, "part.iff", pack)
+    return run
 
 
-@query("scan_aseprite", _PIXELS)
-def scan_aseprite(spark, sf_dir):
-    def pack(rgb: bytes, n: int) -> bytes:
-        chunk = lambda kind, body: struct.pack("<IH", len(body) + 6, kind) + body
-        parts = chunk(0x2004, struct.pack("<HHHHHHB3xH", 1, 0, 0, 0, 0, 0, 255, 0)) + chunk(0x2005, struct.pack("<HhhBHh5xHH", 0, 0, 0, 255, 2, 0, n, 1) + zlib.compress(_opaque(rgb)))
-        frame = struct.pack("<IHHH2xI", 16 + len(parts), 0xF1FA, 2, 100, 2) + parts
-        return struct.pack("<IHHHHHIH", 128 + len(frame), 0xA5E0, 1, n, 1, 32, 1, 100).ljust(128, b"\0") + frame
+query("scan_jasc_palette", _COLOURS)(_palette_scan("p.pal", lambda cs: ("JASC-PAL\r\n0100\r\n%d\r\n" % len(cs) + "".join("%d %d %d\r\n" % c for c in cs)).encode()))
+query("scan_gimp_palette", _COLOURS)(_palette_scan("p.gpl", lambda cs: export.gpl([dict(zip("rgba", (*c, 255), strict=True)) for c in cs])))
+query("scan_rgba8_palette", _COLOURS)(_palette_scan("p.pal", lambda cs: struct.pack("<I", len(cs)) + b"".join(bytes((*c, 255)) for c in cs)))
+query("scan_swatch_exchange", _COLOURS)(_palette_scan("p.ase", packers.swatches))
 
-    return _pixel_sources(spark, sf_dir, "part.aseprite", pack)
+
+@query("scan_color_table", "SELECT p_size AS source_id, ((p_size * i) % 256)::INT AS r, ((p_size + i) % 256)::INT AS g, (i * 3 % 256)::INT AS b FROM (SELECT DISTINCT p_size FROM part) p, range(256) t(i)")
+def scan_color_table(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct().withColumn("k", F.col("p_size"))
+    sources = packed(sizes, "p_size", ["k"], "p.act", lambda rows: packers.act([(rows[0][0] * i % 256, (rows[0][0] + i) % 256, i * 3 % 256) for i in range(256)]))
+    return inspect(sources).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
+
+
+@query("scan_paint_net_palette", "SELECT p_size AS source_id, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part) p WHERE i <= 96")
+def scan_paint_net_palette(spark, sf_dir):
+    """The format holds 96 colours, so that is what each file has."""
+    own = lambda rows: packers.paint_net([(k % 256, k // 256 % 256, k % 251) for (k,) in rows[:96]])
+    sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "p.txt", own)
+    return inspect(sources).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
 
 
 @query(
@@ -515,92 +569,35 @@ def scan_gif(spark, sf_dir):
     return frames.select("source_id", "frame", "ms", "start_ms", channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
 
 
-def _lha(rows: list[tuple]) -> bytes:
-    out = b""
-    for k, text in rows:
-        plain, label = text.encode(), b"n%d.txt" % k
-        body = codecs.pack_lh5(plain)
-        head = b"-lh5-" + struct.pack("<IIIBBB", len(body), len(plain), 0, 0, 0, len(label)) + label + struct.pack("<H", codecs.crc16(plain))
-        out += bytes([len(head), sum(head) & 255]) + head + body
-    return out + b"\0"
-
-
-@query("scan_lha", "SELECT n_regionkey AS source_id, '/archive/n' || n_nationkey || '.txt' AS path, n_name AS text FROM nation")
-def scan_lha(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.lha", _lha)
-    return inspect(sources).where("type_id = 'file'").select("source_id", "path", F.decode("data", "UTF-8").alias("text"))
-
-
-def _adf(rows: list[tuple]) -> bytes:
-    """An old file system with a file of one block for each row."""
-    out = bytearray(901120)
-    out[:4] = b"DOS\0"
-
-    def put(at: int, words: list[int]) -> None:
-        words[5] = -sum(words) & 0xFFFFFFFF
-        out[at * 512 : at * 512 + 512] = struct.pack(">128I", *words)
-
-    def named(name: bytes) -> tuple[int, ...]:
-        return struct.unpack(">8I", (bytes([len(name)]) + name).ljust(32, b"\0"))
-
-    root = [0] * 128
-    root[0], root[127], root[108:116] = 2, 1, named(b"Nations")
-    for i, (k, text) in enumerate(rows):
-        body, file = text.encode(), [0] * 128
-        file[0], file[2], file[77], file[81], file[108:116], file[127] = 2, 1, 1000 + i, len(body), named(b"n%d" % k), 0xFFFFFFFD
-        file[124], root[6 + i % 72] = root[6 + i % 72], 900 + i
-        put(900 + i, file)
-        put(1000 + i, [8, 900 + i, 1, len(body), 0, 0, *struct.unpack(">122I", body.ljust(488, b"\0"))])
-    put(880, root)
-    return bytes(out)
-
+# Sinks: what is exported is scanned again.
+def _exported(form: str, ending: str, kinds: str) -> Callable[[DataFrame], DataFrame]:
+    """Resources exported to a format, as sources."""
 
-@query("scan_adf", "SELECT n_regionkey AS source_id, '/disk/n' || n_nationkey AS path, n_name AS text FROM nation")
-def scan_adf(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.adf", _adf)
-    return inspect(sources).where("type_id = 'file'").select("source_id", "path", F.decode("data", "UTF-8").alias("text"))
+    def run(resources: DataFrame) -> DataFrame:
+        made = export.artifacts(resources.where(f"kind = '{kinds}'"), form).where(F.col("filename").endswith(ending))
+        return made.select("source_id", F.regexp_extract("filename", r"([^/]+)$", 1).alias("filename"), F.col("data").alias("content"))
 
-
-_COLOURS = "SELECT p_size AS source_id, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM part"
-
-
-def _palette_sources(spark: SparkSession, sf_dir: str, name: str, pack: Callable[[list[tuple]], bytes]) -> DataFrame:
-    own = lambda rows: pack([(k % 256, k // 256 % 256, k % 251) for (k,) in rows])
-    sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], name, own)
-    return inspect(sources).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
-
-
-@query("scan_jasc_palette", _COLOURS)
-def scan_jasc_palette(spark, sf_dir):
-    return _palette_sources(spark, sf_dir, "p.pal", lambda cs: ("JASC-PAL\r\n0100\r\n%d\r\n" % len(cs) + "".join("%d %d %d\r\n" % c for c in cs)).encode())
-
-
-@query("scan_gimp_palette", _COLOURS)
-def scan_gimp_palette(spark, sf_dir):
-    return _palette_sources(spark, sf_dir, "p.gpl", lambda cs: export.gpl([dict(zip("rgba", (*c, 255), strict=True)) for c in cs]))
+    return run
 
 
-@query("scan_rgba8_palette", _COLOURS)
-def scan_rgba8_palette(spark, sf_dir):
-    return _palette_sources(spark, sf_dir, "p.pal", lambda cs: struct.pack("<I", len(cs)) + b"".join(bytes((*c, 255)) for c in cs))
+for _form, _ending in (("png", ".png"), ("apng", ".png"), ("gif", ".gif")):
 
+    @query(f"export_{_form}", _GRID)
+    def _export_pictures(spark, sf_dir, again=_exported(_form, _ending, "raster")):
+        sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.pcx", lambda rows: packers.pcx(packers.grid([k % 16 for (k,) in rows])))
+        return pixels(inspect(again(inspect(sources)))).select("source_id", "x", "y", "r", "g", "b")
 
-@query("scan_nested", "SELECT n_regionkey AS source_id, '/archive/inner.zip/archive/region/' || n_nationkey || '.txt' AS path, n_name AS text FROM nation")
-def scan_nested(spark, sf_dir):
-    def pack(rows: list[tuple]) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as z:
-            z.writestr("inner.zip", _zip(rows))
-        return out.getvalue()
 
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "outer.zip", pack)
-    return inspect(sources).where("depth = 1 AND type_id = 'file'").select("source_id", "path", F.decode("data", "UTF-8").alias("text"))
+@query("export_gpl", _COLOURS)
+def export_gpl(spark, sf_dir):
+    own = lambda rows: packers.swatches([(k % 256, k // 256 % 256, k % 251) for (k,) in rows])
+    again = _exported("gpl", ".gpl", "palette")(inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "p.ase", own)))
+    return inspect(again).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
 
 
-@query("export_artifacts", "SELECT n_regionkey AS source_id, 'archive_region_' || n_nationkey || '.txt.bin' AS filename, 'application/octet-stream' AS media_type, sha256(n_name) AS digest FROM nation")
-def export_artifacts(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey", "n_name"], "nation.zip", _zip)
-    return export.artifacts(inspect(sources)).select("source_id", "filename", "media_type", F.sha2("data", 256).alias("digest"))
+@query("export_wav", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))
+def export_wav(spark, sf_dir):
+    return _sound_scan("a.8svx", 1, _BYTE, lambda chs: packers.svx(8000, chs))(spark, sf_dir)
 
 
 @query("failure_isolation", "SELECT n_nationkey AS source_id, 'unknown' AS type_id, 'gif: 13 bytes at 0 are outside of 9' AS failure FROM nation")

@@ -248,7 +248,7 @@ def _picture(type_id: str, head: tuple, colours: np.ndarray, pixels: np.ndarray)
     width, height, x, y, planes, masking, packing, _, transparent, ax, ay = head
     metadata = [("colours", len(colours)), ("planes", planes), ("masking", masking), ("compression", packing), ("transparent-colour", transparent), ("position.x", x), ("position.y", y), ("aspect.x", ax), ("aspect.y", ay)]
     rgba = _indexed(pixels, colours, transparent if masking == 2 else None)
-    return [Node("/", type_id, "raster", metadata, raster=Raster(width, height, rgba), palette=[(*map(int, c), 255) for c in colours])]
+    return [Node("/image", type_id, "raster", metadata, raster=Raster(width, height, rgba), palette=[(*map(int, c), 255) for c in colours])]
 
 
 def acbm(data: bytes, name: str) -> list[Node]:
@@ -290,7 +290,7 @@ def deep(data: bytes, name: str) -> list[Node]:
         if 1 <= what <= 4:
             rgba[:, :, what - 1] = raw[:, :, i]
     metadata = [("display.width", width), ("display.height", height), ("compression", packing), ("aspect.x", ax), ("aspect.y", ay), ("components", len(parts)), ("component-layout", ",".join(f"{a}:{b}" for a, b in parts))]
-    return [Node("/", "amiga.deep", "raster", metadata, raster=Raster(width, height, rgba.tobytes()))]
+    return [Node("/image", "amiga.deep", "raster", metadata, raster=Raster(width, height, rgba.tobytes()))]
 
 
 def picture_bank(data: bytes, name: str) -> list[Node]:

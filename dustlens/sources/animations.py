@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import numpy as np
 from dustlens.sources.codecs import lzw_decode
 from dustlens.sources.images import _indexed, _over, zx_screen
 from dustlens.sources.jpeg import decode as decode_jpeg
+from dustlens.sources.jpeg import exif_fields, oriented
 from dustlens.sources.model import Node, Raster, Reader, need
 from dustlens.sources.palettes_audio import next_palette
 
@@ -17,7 +19,7 @@ from dustlens.sources.palettes_audio import next_palette
 MOST_FRAMES, MOST_PIXELS = 10_000, 1 << 26
 
 
-def _animation(type_id: str, metadata: list, width: int, height: int, frames: list[tuple[int, bytes]], path: str = "/", palette: list | None = None) -> Node:
+def _animation(type_id: str, metadata: list, width: int, height: int, frames: list[tuple[int, bytes]], path: str = "/image", palette: list | None = None) -> Node:
     need(bool(frames), "no frame")
     return Node(path, type_id, "raster", metadata, raster=Raster(width, height, frames[0][1]), palette=palette, frames=frames if len(frames) > 1 else None)
 
@@ -164,7 +166,7 @@ def flic(data: bytes, name: str) -> list[Node]:
             frames.append((ms, _indexed(screen, colours)))
         at += length
     metadata = [("file-type", f"{magic:04x}"), ("frames", count), ("depth", depth), ("speed", speed), ("flags", flags)]
-    return [_animation("flic", metadata, width, height, frames)]
+    return [_animation("flic", metadata, width, height, frames, "/animation")]
 
 
 def aseprite(data: bytes, name: str) -> list[Node]:
@@ -264,7 +266,7 @@ def layer2(data: bytes, name: str) -> list[Node]:
     pixels = np.frombuffer(data, np.uint8)
     pixels = pixels.reshape(320, 256).T if tall else pixels.reshape(192, 256)
     rgba = np.array(colours, np.uint8)[pixels]
-    return [Node("/", "zx-spectrum-next.layer2-image", "raster", [("column-major", int(tall))], raster=Raster(pixels.shape[1], pixels.shape[0], rgba.tobytes()))]
+    return [Node("/image", "zx-spectrum-next.layer2-image", "raster", [("column-major", int(tall))], raster=Raster(pixels.shape[1], pixels.shape[0], rgba.tobytes()))]
 
 
 def fzx(data: bytes, name: str) -> list[Node]:
@@ -320,8 +322,8 @@ def wordstar(data: bytes, name: str) -> list[Node]:
 
 
 def jpeg(data: bytes, name: str) -> list[Node]:
-    """Size and process from the markers; the pixels of baseline pictures, others stay as they are, with a warning."""
-    r, at, found, jfif, exif = Reader(data), 2, None, None, 0
+    """Size and process from the markers; the pixels of pictures with prefix codes, turned as Exif says. Others stay as they are, with a warning."""
+    r, at, found, jfif, exif, fields, wrong = Reader(data), 2, None, None, 0, {}, None
     need(data[:2] == b"\xff\xd8", "no JPEG")
     while found is None:
         mark, size = r.unpack(">HH", at)
@@ -330,7 +332,12 @@ def jpeg(data: bytes, name: str) -> list[Node]:
         kind = mark & 255
         if kind == 0xE0 and body.data[:5] == b"JFIF\0":
             jfif = body.unpack(">BBBHH", 5)
-        exif |= int(kind == 0xE1 and body.data[:6] == b"Exif\0\0")
+        if kind == 0xE1 and body.data[:6] == b"Exif\0\0":
+            exif = 1
+            try:
+                fields = exif_fields(body.data)
+            except (ValueError, struct.error) as e:
+                wrong = str(e)
         if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             found = (kind, *body.unpack(">BHHB", 0))
         need(kind != 0xDA or found is not None, "no frame before the scan")
@@ -339,8 +346,10 @@ def jpeg(data: bytes, name: str) -> list[Node]:
     metadata = [("image.width", width), ("image.height", height), ("jpeg.precision", precision), ("jpeg.frame-marker", f"{kind:02x}"), ("jpeg.coding", "arithmetic" if kind >= 0xC9 else "huffman"), ("jpeg.progressive", int(kind in (0xC2, 0xCA))), ("jpeg.components", parts), ("exif.present", exif), ("jfif.present", int(jfif is not None))]
     if jfif:
         metadata += [("jfif.version", f"{jfif[0]}.{jfif[1]:02d}"), ("jfif.density-units", jfif[2]), ("jfif.density.x", jfif[3]), ("jfif.density.y", jfif[4])]
+    turn = fields.get("orientation", 1) if fields.get("orientation", 1) in range(1, 9) else 1
+    metadata += [("exif.orientation", turn), *[(f"exif.{k}", v) for k, v in fields.items() if k != "orientation"], *([("exif.error", wrong)] if wrong else [])]
     try:
-        picture = Raster(*decode_jpeg(data))
+        picture = Raster(*oriented(*decode_jpeg(data), turn))
     except (ValueError, KeyError, IndexError) as e:
         return [Node("/image", "jpeg", "opaque", [*metadata, ("decode.warning", str(e))], data=data)]
     return [Node("/image", "jpeg", "raster", metadata, raster=picture)]

@@ -180,7 +180,7 @@ def sqlite(data: bytes, name: str) -> list[Node]:
         return out + (rows(r.unpack(">I", top + 8)[0], seen, depth + 1) if inner else [])
 
     tables = [v for _, v in rows(1, set()) if v[0] == "table" and v[3]]
-    out = [Node("/database", "database.sqlite3", "group", [("page-size", page), ("usable-page-size", usable), ("schema-format", schema_format), ("text-encoding", "UTF-8"), ("user-version", version), ("application-id", application), ("tables", len(tables))])]
+    out = [Node("/table", "database.sqlite3", "group", [("page-size", page), ("usable-page-size", usable), ("schema-format", schema_format), ("text-encoding", "UTF-8"), ("user-version", version), ("application-id", application), ("tables", len(tables))])]
     for _, table, _, root, text in tables:
         found = rows(root, set())
         out.append(Node(f"/table/{table}", "database.table", "group", [("table.name", table), ("table.root-page", root), ("table.without-rowid", int("WITHOUT ROWID" in (text or "").upper())), ("table.rows", len(found))]))
@@ -502,9 +502,9 @@ def icon(data: bytes, name: str) -> list[Node]:
                         if mask[(height - 1 - y) * line + x // 8] >> (7 - x % 8) & 1:
                             rgba[(y * width + x) * 4 + 3] = 0
                 node = node._replace(raster=node.raster._replace(rgba=bytes(rgba)), metadata=[*node.metadata, ("bits-per-pixel", bits)])
-            out.append(node._replace(path=f"/{word}/{i + 1}", metadata=metadata + node.metadata))
+            out.append(node._replace(path=f"/{word}/{i}", metadata=metadata + node.metadata))
         except (ValueError, struct.error, IndexError) as e:
-            out.append(Node(f"/{word}/{i + 1}", "opaque", "opaque", [*metadata, ("failure", str(e))], data=body))
+            out.append(Node(f"/{word}/{i}", "opaque", "opaque", [*metadata, ("failure", str(e))], data=body))
     return out
 
 
@@ -525,7 +525,7 @@ def module(data: bytes, name: str) -> list[Node]:
         body = r.take(at, words * 2)
         at += words * 2
         if words:
-            samples.append(Node(f"/samples/{i + 1}", "protracker.sample", "audio", [("name", title.split(b"\0")[0].decode("latin-1")), ("volume", volume), ("finetune", tune), ("loop.start", loop * 2), ("loop.length", loop_size * 2), ("samples", words * 2)], audio=Audio(8287, 8, [[b - 256 if b > 127 else b for b in body]])))
+            samples.append(Node(f"/module/samples/{i + 1}", "protracker.sample", "audio", [("name", title.split(b"\0")[0].decode("latin-1")), ("volume", volume), ("finetune", tune), ("loop.start", loop * 2), ("loop.length", loop_size * 2), ("samples", words * 2)], audio=Audio(8287, 8, [[b - 256 if b > 127 else b for b in body]])))
     need(at == len(data), "the samples do not end the data")
     cells = []
     for p in range(patterns):
@@ -533,8 +533,8 @@ def module(data: bytes, name: str) -> list[Node]:
         for row in range(64):
             raw = r.take(1084 + (p * 64 + row) * channels * 4, channels * 4)
             rows.append(" ".join(f"{(raw[c] & 15) << 8 | raw[c + 1]:03x}:{raw[c] & 0xF0 | raw[c + 2] >> 4:02x}:{raw[c + 2] & 15:x}{raw[c + 3]:02x}" for c in range(0, channels * 4, 4)))
-        cells.append(Node(f"/patterns/{p}", "protracker.pattern", "tracker", [("rows", 64)], text="\n".join(rows)))
-    return [Node("/", "protracker.mod", "tracker", [("title", r.take(0, 20).split(b"\0")[0].decode("latin-1")), ("channels", channels), ("orders", length), ("restart", restart), ("patterns", patterns), ("order", ",".join(map(str, order[:length])))]), *cells, *samples]
+        cells.append(Node(f"/module/patterns/{p}", "protracker.pattern", "tracker", [("rows", 64)], text="\n".join(rows)))
+    return [Node("/module", "protracker.mod", "tracker", [("title", r.take(0, 20).split(b"\0")[0].decode("latin-1")), ("channels", channels), ("orders", length), ("restart", restart), ("patterns", patterns), ("order", ",".join(map(str, order[:length])))]), *cells, *samples]
 
 
 def bank(data: bytes, name: str) -> list[Node]:
@@ -546,7 +546,7 @@ def bank(data: bytes, name: str) -> list[Node]:
 
 
 def pdf(data: bytes, name: str) -> list[Node]:
-    return [Node("/", "adobe.pdf", "opaque", [("pdf.version", data[5:8].decode("latin-1"))], data=data)]
+    return [Node("/file", "adobe.pdf", "opaque", [("pdf.version", data[5:8].decode("latin-1"))], data=data)]
 
 
 def powerpacker(data: bytes, name: str) -> list[Node]:

@@ -12,7 +12,9 @@ from dustlens.sources.model import Node, Raster, Reader, need
 #: Lumps that follow a map's marker (fixed values).
 MAP_LUMPS = ("THINGS", "LINEDEFS", "SIDEDEFS", "VERTEXES", "SEGS", "SSECTORS", "NODES", "SECTORS", "REJECT", "BLOCKMAP", "BEHAVIOR")
 #: The longer side of a drawn map, and the colours of one-sided and of two-sided lines.
-MAP_PIXELS, SOLID, OPEN = 1024, (255, 255, 255), (128, 128, 128)
+MAP_PIXELS, MARGIN = 1024, 8
+#: Colours of lines (fixed values).
+ONE_SIDED, CEILING, FLOOR, SAME = (255, 0, 0), (255, 255, 0), (160, 80, 0), (128, 128, 128)
 
 Lump = tuple[str, bytes]
 
@@ -39,7 +41,7 @@ def _raster(index: np.ndarray, colours: np.ndarray) -> Raster:
     return Raster(index.shape[1], index.shape[0], rgba.tobytes())
 
 
-def _textures(label: str, body: bytes, names: list[str], latest: dict[str, int], lumps: list[Lump], colours: np.ndarray) -> list[Node]:
+def _textures(lump: int, label: str, body: bytes, names: list[str], latest: dict[str, int], lumps: list[Lump], colours: np.ndarray) -> list[Node]:
     r, out, known = Reader(body), [], {}
     for i, at in enumerate(r.unpack(f"<{r.unpack('<I', 0)[0]}I", 4)):
         raw, masked, width, height, _, count = r.unpack("<8sIHHIH", at)
@@ -61,31 +63,59 @@ def _textures(label: str, body: bytes, names: list[str], latest: dict[str, int],
                 part[:] = np.where(seen < 0, part, seen)
         name = raw.split(b"\0")[0].decode("latin-1")
         metadata = [("texture.directory", label), ("texture.index", i), ("texture.name", name), ("texture.width", width), ("texture.height", height), ("texture.masked", masked), ("texture.patches", count), *parts]
-        out.append(Node(f"/wad/textures/{label}-{i}-{name}", "doom.texture", "raster", metadata, raster=_raster(wall, colours)))
+        out.append(Node(f"/wad/textures/{lump}-{label}/{i}-{name}", "doom.texture", "raster", metadata, raster=_raster(wall, colours)))
     return out
 
 
+def _line(canvas: np.ndarray, x: int, y: int, x1: int, y1: int, colour: tuple[int, int, int]) -> None:
+    """A line of single pixels from one place to another, both included; the longer way goes by ones."""
+    dx, dy = abs(x1 - x), -abs(y1 - y)
+    sx, sy, rest = 1 if x < x1 else -1, 1 if y < y1 else -1, dx + dy
+    while True:
+        canvas[y, x, :3] = colour
+        if (x, y) == (x1, y1):
+            return
+        twice = 2 * rest
+        if twice >= dy:
+            rest, x = rest + dy, x + sx
+        if twice <= dx:
+            rest, y = rest + dx, y + sy
+
+
 def _map(marker: str, at: int, own: dict[str, bytes]) -> list[Node]:
-    """The lines of a map, north up; hidden lines are counted and not drawn."""
+    """The lines of a map, north up, with a margin. Lines with one side, or secret ones, are red; others tell by colour whether ceilings or floors differ; hidden lines are counted and not drawn."""
     points = np.frombuffer(own["VERTEXES"], "<i2").reshape(-1, 2).astype(int)
-    size = 16 if "BEHAVIOR" in own else 14
+    wide = "BEHAVIOR" in own
+    size = 16 if wide else 14
     need(len(own["LINEDEFS"]) % size == 0 and len(points) > 0, "odd records")
-    lines = [struct.unpack_from("<HHH", own["LINEDEFS"], i) for i in range(0, len(own["LINEDEFS"]), size)]
-    need(all(a < len(points) and b < len(points) for a, b, _ in lines), "a line has no end")
+    records = [struct.unpack_from("<HHH6xHH" if wide else "<HHHHHHH", own["LINEDEFS"], i) for i in range(0, len(own["LINEDEFS"]), size)]
+    lines = [(r[0], r[1], r[2], r[-2], r[-1]) for r in records]
+    need(bool(lines) and all(a < len(points) and b < len(points) for a, b, *_ in lines), "no lines, or a line without an end")
+    sides = [struct.unpack_from("<H", own.get("SIDEDEFS", b""), i + 28)[0] for i in range(0, len(own.get("SIDEDEFS", b"")) // 30 * 30, 30)]
+    sectors = [struct.unpack_from("<hh", own.get("SECTORS", b""), i) for i in range(0, len(own.get("SECTORS", b"")) // 26 * 26, 26)]
+    known = bool(sides) and bool(sectors)
+    if known:
+        need(all(s < len(sides) for *_, r, left in lines for s in (r, left) if s != 0xFFFF) and all(s < len(sectors) for s in sides), "a side or sector is missing")
     low, high = points.min(axis=0), points.max(axis=0)
-    scale = min(1.0, (MAP_PIXELS - 1) / max(1, int((high - low).max())))
-    width, height = (np.floor((high - low) * scale).astype(int) + 1).tolist()
+    span = np.maximum(1, high - low)
+    scale = min(1.0, *((MAP_PIXELS - 2 * MARGIN) / span))
+    width, height = (np.floor(span * scale).astype(int) + 2 * MARGIN + 1).tolist()
     canvas = np.zeros((height, width, 4), np.uint8)
     canvas[..., 3] = 255
-    for colour, wanted in ((OPEN, 4), (SOLID, 0)):
-        for a, b, flags in lines:
-            if flags & 4 == wanted and not flags & 128:
-                (x0, y0), (x1, y1) = (points[a] - low) * scale, (points[b] - low) * scale
-                n = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
-                xs, ys = np.floor(np.linspace(x0, x1, n + 1)).astype(int), np.floor(np.linspace(y0, y1, n + 1)).astype(int)
-                canvas[height - 1 - ys, xs, :3] = colour
-    metadata = [("map.name", marker), ("map.marker-index", at), ("map.lumps", len(own)), ("map.bounds.minimum-x", low[0]), ("map.bounds.maximum-x", high[0]), ("map.bounds.minimum-y", low[1]), ("map.bounds.maximum-y", high[1]), ("map.hidden-linedefs", sum(f & 128 > 0 for *_, f in lines))]
-    return [Node(f"/wad/maps/{marker}", "doom.map", "group", metadata), Node(f"/wad/maps/{marker}/automap", "doom.automap", "raster", [("map.linedefs", len(lines))], raster=Raster(width, height, canvas.tobytes()))]
+    for a, b, flags, right, left in lines:
+        if flags & 128:
+            continue
+        colour = SAME
+        if left == 0xFFFF or flags & 32:
+            colour = ONE_SIDED
+        elif known and right != 0xFFFF:
+            (floor0, ceiling0), (floor1, ceiling1) = sectors[sides[right]], sectors[sides[left]]
+            colour = CEILING if ceiling0 != ceiling1 else FLOOR if floor0 != floor1 else SAME
+        (x0, y0), (x1, y1) = ((MARGIN + np.floor((points[k] - low) * scale).astype(int)).tolist() for k in (a, b))
+        _line(canvas, x0, height - 1 - y0, x1, height - 1 - y1, colour)
+    metadata = [("map.name", marker), ("map.marker-index", at), ("map.lumps", len(own)), ("map.bounds.minimum-x", low[0]), ("map.bounds.maximum-x", high[0]), ("map.bounds.minimum-y", low[1]), ("map.bounds.maximum-y", high[1]), ("map.hidden-linedefs", sum(f & 128 > 0 for _, _, f, *_ in lines))]
+    path = f"/wad/maps/{at}-{marker}"
+    return [Node(path, "doom.map", "group", metadata), Node(f"{path}/automap", "doom.automap", "raster", [("map.linedefs", len(lines))], raster=Raster(width, height, canvas.tobytes()))]
 
 
 def scenery(lumps: list[Lump]) -> list[Node]:
@@ -117,7 +147,7 @@ def scenery(lumps: list[Lump]) -> list[Node]:
                     break
                 own[label] = part
             if own:
-                attempt("maps", f"/wad/maps/{name}", lambda own=own, i=i, name=name: _map(name, i, own))
+                attempt("maps", f"/wad/maps/{i}-{name}", lambda own=own, i=i, name=name: _map(name, i, own))
     if colours is not None and "PNAMES" in latest:
         def names() -> list[str]:
             r = Reader(lumps[latest["PNAMES"]][1])
@@ -125,7 +155,7 @@ def scenery(lumps: list[Lump]) -> list[Node]:
 
         for label in ("TEXTURE1", "TEXTURE2"):
             if label in latest:
-                attempt("textures", f"/wad/textures/{label}", lambda label=label: _textures(label, lumps[latest[label]][1], names(), latest, lumps, colours))
+                attempt("textures", f"/wad/textures/{latest[label]}-{label}", lambda label=label: [Node(f"/wad/textures/{latest[label]}-{label}", "doom.texture-directory", "group", [("wad.index", latest[label])]), *_textures(latest[label], label, lumps[latest[label]][1], names(), latest, lumps, colours)])
     for group, nodes in groups.items():
         if nodes:
             out += [Node(f"/wad/{group}", "folder", "group", []), *nodes]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
 
 from dustlens.sources.codecs import unpack_runs
+from dustlens.operators.colour_cycles import Cycle
 from dustlens.sources.model import Node, Raster, Reader, need
 
 
@@ -71,7 +73,7 @@ def png(data: bytes, name: str) -> list[Node]:
         elif disposal == 2:
             canvas = before
     rgba = frames[0][1] if frames else still.tobytes()
-    return [Node("/", "png", "raster", [("bit-depth", depth), ("colour-type", colour), ("interlace-method", interlace), ("chunks", len(chunks)), *[(f"chunk.{i}", c) for i, c in enumerate(chunks)]], raster=Raster(width, height, rgba), frames=frames if len(frames) > 1 else None)]
+    return [Node("/image", "png", "raster", [("bit-depth", depth), ("colour-type", colour), ("interlace-method", interlace), ("chunks", len(chunks)), *[(f"chunk.{i}", c) for i, c in enumerate(chunks)]], raster=Raster(width, height, rgba), frames=frames if len(frames) > 1 else None)]
 
 
 def _over(below: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -152,7 +154,7 @@ def qoi(data: bytes, name: str) -> list[Node]:
         seen[(pixel[0] * 3 + pixel[1] * 5 + pixel[2] * 7 + pixel[3] * 11) % 64] = pixel
         out += bytes(pixel) * run
     need(len(out) == width * height * 4 and at == end, "pixels do not cover the image")
-    return [Node("/", "qoi", "raster", [("channels", channels), ("colour-space", space)], raster=Raster(width, height, bytes(out)))]
+    return [Node("/image", "qoi", "raster", [("channels", channels), ("colour-space", space)], raster=Raster(width, height, bytes(out)))]
 
 
 def pcx(data: bytes, name: str) -> list[Node]:
@@ -186,7 +188,44 @@ def pcx(data: bytes, name: str) -> list[Node]:
         pixels = (values << (np.arange(planes) * bits)[None, :, None]).sum(axis=1)
         colours = np.frombuffer(data[16:64], np.uint8).reshape(-1, 3) if bits * planes > 1 else np.array([[0, 0, 0], [255, 255, 255]], np.uint8)
         rgba = _indexed(pixels, colours)
-    return [Node("/", "pcx", "raster", [("bits-per-pixel", bits), ("planes", planes), ("position.x", x0), ("position.y", y0), ("dpi.x", dx), ("dpi.y", dy)], raster=Raster(width, height, rgba))]
+    return [Node("/image", "pcx", "raster", [("bits-per-pixel", bits), ("planes", planes), ("position.x", x0), ("position.y", y0), ("dpi.x", dx), ("dpi.y", dy)], raster=Raster(width, height, rgba))]
+
+
+#: Pixels of a picture that are decoded at most; larger ones are refused.
+MOST_PIXELS = 1 << 26
+
+
+def unpack_bitmap_runs(data: bytes, width: int, height: int, bits: int) -> np.ndarray:
+    """Pixel numbers of run-length coded lines, the first one at the bottom; those that no run reaches are 0. A code is a count and a value (two values of four bits in turn), or 0 and: an end, a jump, or a count of plain values."""
+    out = np.zeros((height, width), np.uint8)
+    x = y = at = 0
+
+    def put(values: list[int]) -> None:
+        nonlocal x
+        need(y < height and x + len(values) <= width, "a run leaves the picture")
+        out[y, x : x + len(values)] = values
+        x += len(values)
+
+    while at < len(data):
+        need(at + 2 <= len(data), "a code ends early")
+        count, value = data[at], data[at + 1]
+        at += 2
+        if count:
+            put([value] * count if bits == 8 else [value >> 4, value & 15] * (count // 2) + [value >> 4] * (count % 2))
+        elif value == 0:
+            x, y = 0, y + 1
+        elif value == 1:
+            break
+        elif value == 2:
+            need(at + 2 <= len(data), "a jump ends early")
+            x, y, at = x + data[at], y + data[at + 1], at + 2
+        else:
+            size = value if bits == 8 else (value + 1) // 2
+            need(at + size <= len(data), "plain values end early")
+            plain = data[at : at + size]
+            put(list(plain) if bits == 8 else [v for b in plain for v in (b >> 4, b & 15)][:value])
+            at += size + (size & 1)
+    return out
 
 
 def bmp(data: bytes, name: str, offset: int = 14) -> list[Node]:
@@ -200,15 +239,20 @@ def bmp(data: bytes, name: str, offset: int = 14) -> list[Node]:
     else:
         need(size in (40, 52, 56, 108, 124), "unknown header")
         width, height, _, bits, packing, _, *dpm, used, _ = r.unpack("<iiHHIIiiII", offset + 4)
-    need(width > 0 and height != 0 and bits in (1, 4, 8, 16, 24, 32) and packing in (0, 3), "unsupported bitmap")
+    need(width > 0 and height != 0 and bits in (1, 4, 8, 16, 24, 32) and (packing in (0, 3) or (packing, bits) in ((1, 8), (2, 4)) and height > 0) and width * abs(height) <= MOST_PIXELS, "unsupported bitmap")
     entry, colours = (3 if size == 12 else 4), (used or 1 << bits) if bits <= 8 else 0
     at = offset + size + (12 if packing == 3 and size == 40 else 0)
     palette = np.frombuffer(r.take(at, colours * entry), np.uint8).reshape(-1, entry)[:, 2::-1]
     at = start if start is not None else at + colours * entry
     line = (width * bits + 31) // 32 * 4
-    rows = np.frombuffer(r.take(at, line * abs(height)), np.uint8).reshape(abs(height), line)
-    rows = rows[::-1] if height > 0 else rows
-    if bits <= 8:
+    if packing in (1, 2):
+        rgba, rows = _indexed(unpack_bitmap_runs(data[at:], width, height, bits)[::-1], palette), None
+    else:
+        rows = np.frombuffer(r.take(at, line * abs(height)), np.uint8).reshape(abs(height), line)
+        rows = rows[::-1] if height > 0 else rows
+    if rows is None:
+        pass
+    elif bits <= 8:
         pixels = rows[:, :width] if bits == 8 else (np.unpackbits(rows, axis=1).reshape(abs(height), -1, bits) @ (1 << np.arange(bits - 1, -1, -1)))[:, :width]
         rgba = _indexed(pixels, palette)
     elif bits == 24 or bits == 32 and packing == 0:
@@ -217,14 +261,34 @@ def bmp(data: bytes, name: str, offset: int = 14) -> list[Node]:
         masks = r.unpack("<III", offset + 40) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
         words = rows[:, : width * bits // 8].copy().view("<u2" if bits == 16 else "<u4").astype(np.uint64)
         need(all(masks), "empty mask")
-        rgb = [((words & np.uint64(m)) >> np.uint64((m & -m).bit_length() - 1)) * np.uint64(255) // np.uint64(m // (m & -m)) for m in masks]
+        rgb = [(((words & np.uint64(m)) >> np.uint64((m & -m).bit_length() - 1)) * np.uint64(255) + np.uint64(m // (m & -m) // 2)) // np.uint64(m // (m & -m)) for m in masks]
         rgba = _rgba(np.stack(rgb, axis=2).astype(np.uint8))
     kind = "windows.bmp" if offset else "windows.dib"
-    return [Node("/", kind, "raster", [("bits-per-pixel", bits), ("compression", packing), ("colours-used", used), ("pixels-per-metre.x", dpm[0]), ("pixels-per-metre.y", dpm[1])], raster=Raster(width, abs(height), rgba))]
+    return [Node("/image", kind, "raster", [("bits-per-pixel", bits), ("compression", packing), ("colours-used", used), ("pixels-per-metre.x", dpm[0]), ("pixels-per-metre.y", dpm[1])], raster=Raster(width, abs(height), rgba))]
+
+
+def pam(data: bytes) -> list[Node]:
+    """The variant with a header of lines: one to four values a pixel."""
+    end = data.find(b"ENDHDR\n")
+    need(end > 0, "the header does not end")
+    own = dict(line.split(None, 1) for line in data[3:end].split(b"\n") if line and not line.startswith(b"#") and b" " in line.strip())
+    need(all(own.get(k, b"").strip().isdigit() for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL")), "bad header")
+    width, height, depth, most = (int(own[k]) for k in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+    need(0 < width * height <= MOST_PIXELS and 1 <= depth <= 4 and 0 < most < 65536, "bad header")
+    values = np.frombuffer(Reader(data).take(end + 7, width * height * depth * (1 + (most > 255))), ">u2" if most > 255 else np.uint8).astype(np.uint32).reshape(height, width, depth)
+    need(int(values.max()) <= most, "a value is over the maximum")
+    values = (values * 255 // most).astype(np.uint8)
+    rgba = np.full((height, width, 4), 255, np.uint8)
+    rgba[..., :3] = values[..., :3] if depth >= 3 else values[..., :1]
+    if depth in (2, 4):
+        rgba[..., 3] = values[..., -1]
+    return [Node("/image", "netpbm", "raster", [("images", 1), ("variant", "P7"), ("depth", depth), ("maxval", most), ("tuple-type", own.get(b"TUPLTYPE", b"").decode("latin-1").strip())], raster=Raster(width, height, rgba.tobytes()))]
 
 
 def netpbm(data: bytes, name: str) -> list[Node]:
     variant, at, fields = data[:2].decode("latin-1"), 2, []
+    if variant == "P7":
+        return pam(data)
     need(variant in ("P1", "P2", "P3", "P4", "P5", "P6"), "no Netpbm variant that is known")
     token = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([0-9]+)")
     for _ in range(2 if variant in ("P1", "P4") else 3):
@@ -248,7 +312,7 @@ def netpbm(data: bytes, name: str) -> list[Node]:
     values = values.astype(np.uint32).reshape(height, width, depth)
     need(int(values.max()) <= most, "a value is over the maximum")
     values = (1 - values if variant in ("P1", "P4") else values) * 255 // most
-    return [Node("/", "netpbm", "raster", [("images", 1), ("variant", variant), ("depth", depth), ("maxval", most)], raster=Raster(width, height, _rgba(np.broadcast_to(values, (height, width, 3)).astype(np.uint8))))]
+    return [Node("/image", "netpbm", "raster", [("images", 1), ("variant", variant), ("depth", depth), ("maxval", most)], raster=Raster(width, height, _rgba(np.broadcast_to(values, (height, width, 3)).astype(np.uint8))))]
 
 
 def tga(data: bytes, name: str) -> list[Node]:
@@ -290,7 +354,7 @@ def tga(data: bytes, name: str) -> list[Node]:
     pixels = pixels.reshape(height, width, 4)
     pixels = pixels if flags & 32 else pixels[::-1]
     pixels = pixels[:, ::-1] if flags & 16 else pixels
-    return [Node("/", "tga", "raster", [("image-type", kind), ("bits-per-pixel", bits), ("attribute-bits", flags & 15), ("position.x", x), ("position.y", y)], raster=Raster(width, height, np.ascontiguousarray(pixels).tobytes()))]
+    return [Node("/image", "tga", "raster", [("image-type", kind), ("bits-per-pixel", bits), ("attribute-bits", flags & 15), ("position.x", x), ("position.y", y)], raster=Raster(width, height, np.ascontiguousarray(pixels).tobytes()))]
 
 
 #: The display's colours: bit 0 blue, bit 1 red, bit 2 green, at 215 or, bright, 255 (fixed values).
@@ -307,7 +371,7 @@ def zx_screen(data: bytes, name: str) -> list[Node]:
     ink, flash, front, back = np.unpackbits(rows, axis=1), cells >> 7, cells & 7 | bright, cells >> 3 & 7 | bright
     shown = [_rgba(ZX[np.where(ink ^ flash & turn, front, back)]) for turn in (0, 1)]
     frames = [(320, v) for v in shown] if flash.any() else None  # flashing cells swap their colours every 16 fields
-    return [Node("/", "zx-spectrum.screen", "raster", [("flash", int(flash.any()))], raster=Raster(256, 192, shown[0]), frames=frames)]
+    return [Node("/screen", "zx-spectrum.screen", "raster", [("flash", int(flash.any()))], raster=Raster(256, 192, shown[0]), frames=frames)]
 
 
 def zx_snapshot(data: bytes, name: str) -> list[Node]:
@@ -322,7 +386,7 @@ def koala(data: bytes, name: str) -> list[Node]:
     two = (np.unpackbits(raw[2:8002]).reshape(25, 40, 8, 4, 2) @ np.array([2, 1])).transpose(0, 2, 1, 3).reshape(200, 160)
     screen, colour = (x.reshape(25, 40).repeat(8, axis=0).repeat(4, axis=1) for x in (raw[8002:9002], raw[9002:10002]))
     pixels = np.choose(two, [raw[10002] & 15, screen >> 4, screen & 15, colour & 15])
-    return [Node("/", "commodore64.koala-painter", "raster", [("load-address", int(raw[0]) | int(raw[1]) << 8), ("background-byte", int(raw[10002])), ("background-colour", int(raw[10002]) & 15), ("trailing-bytes", len(data) - 10003)], raster=Raster(160, 200, _rgba(C64[pixels])))]
+    return [Node("/image", "commodore64.koala-painter", "raster", [("load-address", int(raw[0]) | int(raw[1]) << 8), ("background-byte", int(raw[10002])), ("background-colour", int(raw[10002]) & 15), ("trailing-bytes", len(data) - 10003)], raster=Raster(160, 200, _rgba(C64[pixels])))]
 
 
 #: A widely used rendering of the computer's 16 colours (fixed values).
@@ -343,6 +407,27 @@ def iff_chunks(data: bytes) -> tuple[str, list[tuple[str, bytes]]]:
     return kind.decode("latin-1"), out
 
 
+def colour_ranges(chunks: list[tuple[str, bytes]], colours: int) -> list[Cycle]:
+    """The active ranges of CRNG and CCRT chunks, in order; ranges outside of the palette are refused."""
+    out = []
+    for kind, body in chunks:
+        if kind == "CRNG":
+            need(len(body) == 8, "a colour range has 8 bytes")
+            rate, flags, low, high = struct.unpack(">2xHHBB", body)
+            # 16384 is 60 steps a second.
+            cycle = Cycle(low, high, max(1, (16_384_000 + rate * 30) // (rate * 60)), -1 if flags & 2 else 1) if flags & 1 and rate else None
+        elif kind == "CCRT":
+            need(len(body) == 14, "a timed colour range has 14 bytes")
+            way, low, high, seconds, micros = struct.unpack(">hBBII2x", body)
+            cycle = Cycle(low, high, max(1, seconds * 1000 + (micros + 500) // 1000), way) if way else None
+        else:
+            continue
+        if cycle and low < high:
+            need(high < colours, "a colour range is outside of the palette")
+            out.append(cycle)
+    return out
+
+
 def ilbm(data: bytes, name: str) -> list[Node]:
     kind, chunks = iff_chunks(data)
     need(kind == "ILBM", "no ILBM")
@@ -354,16 +439,17 @@ def ilbm(data: bytes, name: str) -> list[Node]:
     cmap = np.frombuffer(own.get("CMAP", b"")[: len(own.get("CMAP", b"")) // 3 * 3], np.uint8).reshape(-1, 3)
     metadata = [("colours", len(cmap)), ("camg", mode), ("planes", planes), ("masking", masking), ("transparent-colour", transparent), ("position.x", x), ("position.y", y), ("aspect.x", ax), ("aspect.y", ay)]
     palette = [(*map(int, c), 255) for c in cmap]
+    cycles = colour_ranges(chunks, len(cmap))
     if "BODY" not in own:
-        return [Node("/palette", "amiga.ilbm", "palette", metadata, palette=palette)]
+        return [Node("/palette", "amiga.ilbm", "palette", [*metadata, ("colour-cycle-ranges", len(cycles))], palette=palette, cycles=cycles or None)]
     need(1 <= planes <= 8, "unsupported mode")
     rows = line_rows(own["BODY"], width, height, planes + (masking == 1), packing)
     pixels = plane_pixels(rows[:, :planes], width)
     if mode & 0x800 and planes >= 5:
-        rgba = _rgba(held_colours(pixels, 4 if planes < 7 else 6, cmap))
-    else:
-        rgba = _indexed(pixels, shades(cmap, mode), transparent if masking == 2 else None)
-    return [Node("/", "amiga.ilbm", "raster", metadata, raster=Raster(width, height, rgba), palette=palette)]
+        return [Node("/image", "amiga.ilbm", "raster", [*metadata, ("colour-cycle-ranges", 0)], raster=Raster(width, height, _rgba(held_colours(pixels, 4 if planes < 7 else 6, cmap))), palette=palette)]
+    rgba = _indexed(pixels, shades(cmap, mode), transparent if masking == 2 else None)
+    turning = bool(cycles) and int(pixels.max(initial=0)) < len(cmap)
+    return [Node("/image", "amiga.ilbm", "raster", [*metadata, ("colour-cycle-ranges", len(cycles))], raster=Raster(width, height, rgba), palette=palette, index=pixels.astype(np.uint8).tobytes() if turning else None, cycles=cycles if turning else None)]
 
 
 def line_rows(body: bytes, width: int, height: int, total: int, packing: int) -> np.ndarray:

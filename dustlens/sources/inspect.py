@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustlens.operators.detection import PROBES
+from dustlens.operators import detection
 from dustlens.sources import amiga, animations, containers, images, palettes_audio
 from dustlens.sources.model import Node
 
 Parser = Callable[[bytes, str], list[Node]]
 
-#: Parsers by type. Those behind a signature are tried by ``PROBES``; the others by name and size, see ``GATED``.
+#: Parsers by type; ``detection.PROBES`` tells which to try, and in which order.
 PARSERS: dict[str, Parser] = {
     "adobe.pdf": containers.pdf, "database.sqlite3": containers.sqlite, "doom.wad": containers.wad, "gif": animations.gif, "jpeg": animations.jpeg, "png": images.png, "qoi": images.qoi,
     "netpbm": images.netpbm, "windows.bmp": images.bmp, "pcx": images.pcx, "wav": palettes_audio.wav, "paint-net.palette": palettes_audio.paint_net,
@@ -38,99 +35,96 @@ PARSERS: dict[str, Parser] = {
     "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
 }
 
-#: Types that are tried before the registry's, as they refine one of its signatures.
-REFINED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
-    ("amiga.acbm", lambda d, e: d[:4] == b"FORM" and d[8:12] == b"ACBM"),
-    ("amiga.pbm", lambda d, e: d[:4] == b"FORM" and d[8:12] == b"PBM "),
-    ("amiga.deep", lambda d, e: d[:4] == b"FORM" and d[8:12] == b"DEEP"),
-    ("amiga.bitmap-diskfont", lambda d, e: d[:4] == b"\0\0\3\xf3" and d[50:52] == b"\x0f\x80"),
-    ("amiga.lha-sfx", lambda d, e: d[:4] == b"\0\0\3\xf3" and b"-lh" in d),
-    ("amiga.hunk-executable", lambda d, e: d[:4] == b"\0\0\3\xf3"),
-    ("executable.appimage-type1", lambda d, e: d[:4] == b"\x7fELF" and d[8:11] == b"AI\1"),
-    ("executable.appimage-type2", lambda d, e: d[:4] == b"\x7fELF" and d[8:11] == b"AI\2"),
-    ("amiga.dms", lambda d, e: d[:4] == b"DMS!"),
-    ("bitmap-font.bmfont", lambda d, e: d[:4] == b"BMF\3" or d[:5] in (b"info ", b"<?xml", b"<font") and e in ("fnt", "xml")),
+SCHEMA = (
+    "source_id long, ordinal int, path string, depth int, type_id string, kind string, failure string, metadata array<struct<key:string,value:string>>, "
+    "data binary, width int, height int, rgba binary, rate int, bits int, pcm array<array<int>>, colours array<struct<r:int,g:int,b:int,a:int>>, text string, frames array<struct<ms:int,rgba:binary>>, index binary, cycles array<struct<low:int,high:int,step:int,direction:int>>"
 )
 
-#: Types without a signature in the first bytes: when to try them.
-GATED: tuple[tuple[str, Callable[[bytes, str], bool]], ...] = (
-    ("filesystem.iso9660", lambda d, e: d[32769:32774] == b"CD001"),
-    ("filesystem.fat-disk-image", lambda d, e: len(d) >= 512 and d[510:512] == b"\x55\xaa" and d[11:13] != b"\0\0"),
-    ("commodore.d64", lambda d, e: len(d) in (174848, 175531, 196608, 197376)),
-    ("windows.ico", lambda d, e: d[:4] == b"\0\0\1\0"),
-    ("windows.cur", lambda d, e: d[:4] == b"\0\0\2\0"),
-    ("creative.voice", lambda d, e: d[:19] == b"Creative Voice File"),
-    ("protracker.mod", lambda d, e: d[1080:1084] in (b"M.K.", b"M!K!", b"FLT4", b"FLT8", b"4CHN", b"6CHN", b"8CHN")),
-    ("amos.bank-set", lambda d, e: d[:4] == b"AmBs"),
-    ("archive.electron-asar", lambda d, e: d[:4] == b"\4\0\0\0"),
-    ("zx-spectrum.tzx", lambda d, e: d[:7] == b"ZXTape!"),
-    ("amiga.adf", lambda d, e: d[:3] == b"DOS" and len(d) in (901120, 1802240)),
-    ("amiga.workbench-icon", lambda d, e: d[:2] == b"\xe3\x10"),
-    ("amiga.bitmap-diskfont-index", lambda d, e: d[:2] == b"\x0f\0" or d[:2] == b"\x0f\2"),
-    ("amos.sprite-bank", lambda d, e: d[:4] == b"AmSp"),
-    ("amos.icon-bank", lambda d, e: d[:4] == b"AmIc"),
-    ("flic", lambda d, e: d[4:6] in (b"\x11\xaf", b"\x12\xaf")),
-    ("aseprite.sprite", lambda d, e: d[4:6] == b"\xe0\xa5"),
-    ("windows.write", lambda d, e: d[:4] in (b"\x31\xbe\0\0", b"\x32\xbe\0\0")),
-    ("wordstar.document", lambda d, e: d[:3] == b"\x1d\x7d\0"),
-    ("amos.program", lambda d, e: d[:11] == b"AMOS Basic " or d[:8] == b"AMOS Pro"),
-    ("ansi.art", lambda d, e: b"\x1b[" in d and (e in ("ans", "ansi") or d[-128:-123] == b"SAUCE")),
-    ("zx-spectrum.gigascreen", lambda d, e: len(d) == 7680 and e == "scr"),
-    ("zx-spectrum-next.layer2-image", lambda d, e: len(d) in (49152, 49664, 81920) and e == "nxi" or len(d) in (49152, 49280) and e == "sl2"),
-    ("zx-spectrum.fzx-font", lambda d, e: e == "fzx"),
-    ("zx-spectrum.screen", lambda d, e: len(d) == 6912),
-    ("zx-spectrum.snapshot", lambda d, e: len(d) in (49179, 131103, 147487) and e == "sna"),
-    ("commodore64.koala-painter", lambda d, e: len(d) == 10003 or len(d) > 10003 and e == "koala"),
-    ("zx-spectrum.tap", lambda d, e: e == "tap"),
-    ("tga", lambda d, e: e == "tga"),
-    ("windows.dib", lambda d, e: e == "dib"),
-    ("rgba8.palette", lambda d, e: e == "pal"),
-    ("zx-spectrum-next.palette", lambda d, e: e in ("nxp", "npl", "pal")),
-)
 
-_HEADS = [(p, re.compile(p.head.encode("latin-1"), re.S)) for p in PROBES if not p.carrier]
+#: Types that the registry lists but nothing reads.
+UNREAD = frozenset({"windows.inno-setup"})
 
-SCHEMA = (
-    "source_id long, ordinal int, path string, depth int, type_id string, kind string, failure string, metadata array<struct<key:string,value:string>>, "
-    "data binary, width int, height int, rgba binary, rate int, bits int, pcm array<array<int>>, colours array<struct<r:int,g:int,b:int,a:int>>, text string, frames array<struct<ms:int,rgba:binary>>"
-)
 
+def detect_bytes(data: bytes, name: str, type_id: str | None = None) -> list[tuple[detection.Probe, tuple[str, ...], list[Node], str | None]]:
+    """The candidates of a source, by rank, each with its resources and, where the parser refuses, why.
 
-def candidate_types(data: bytes, name: str) -> list[str]:
-    """Types to try, strongest evidence first by place in the registry, refiners before what they refine."""
-    ending = name.rpartition(".")[2].lower() if "." in name else ""
-    out = [t for t, fits in REFINED if fits(data, ending)]
-    for p, head in _HEADS:
-        if (not p.head or head.match(data[:64])) and (not p.extension or re.fullmatch(p.extension.strip("^$"), ending)):
-            out += [q.type_id for q in PROBES if q.carrier == p.type_id and re.match(q.head.encode("latin-1"), data[:64], re.S)] + [p.type_id]
-            if p.terminal:
-                return out
-    return out + [t for t, fits in GATED if fits(data, ending)]
+    Where a terminal candidate's structure holds it is the only one. ``type_id`` forces a type,
+    which then is the only candidate, "selected by the caller"; its parser still judges the data.
+    Whatever a parser raises is its refusal of this source, and no other's business.
+    """
+    if type_id:
+        known = [(p, d) for p, d in detection.ordered() if p.type_id == type_id][:1]
+        if not known:
+            raise ValueError(f"not a type: {type_id!r}")
+        tried = [(known[0][0]._replace(evidence="format selected by the caller", confidence="probable", terminal=True), known[0][1])]
+    else:
+        tried = detection.candidates_of(data, name)
+    out = []
+    for probe, derivation in tried:
+        if probe.type_id not in PARSERS:
+            out.append((probe, derivation, [], f"{probe.type_id} is not read"))
+            continue
+        try:
+            nodes, why = PARSERS[probe.type_id](data, name), None
+        except Exception as e:  # noqa: BLE001 - the data are untrusted, and a source's failure is a row
+            nodes, why = [], f"{probe.type_id}: {e}" if isinstance(e, ValueError) else f"{probe.type_id}: {type(e).__name__}: {e}"
+        if probe.terminal and nodes:
+            return [(probe, derivation, nodes, None)]
+        out.append((probe, derivation, nodes, why))
+    return out
 
 
 def inspect_bytes(data: bytes, name: str, type_id: str | None = None) -> tuple[list[Node], str | None]:
-    """The resources of a source, and why candidates failed. ``type_id`` forces a type; its parser still judges the data."""
-    failure = None
-    for t in [type_id] if type_id else candidate_types(data, name):
-        if t in PARSERS:
-            try:
-                return PARSERS[t](data, name), None
-            except (ValueError, struct.error, zlib.error, IndexError, KeyError, TypeError, OverflowError) as e:
-                failure = failure or f"{t}: {e}"
-    return [], failure
+    """The resources of a source by its first candidate that holds, and why the first one failed if none does."""
+    first = None
+    for _, _, nodes, why in detect_bytes(data, name, type_id):
+        if nodes:
+            return nodes, None
+        first = first or why
+    return [], first
+
+
+def detect(sources: DataFrame) -> DataFrame:
+    """(source_id, rank, type_id, support, confidence, evidence, derivation) of each candidate whose whole structure its parser accepts.
+
+    ``sources`` has source_id, filename and content. What ``detection.candidates`` finds by a few
+    bytes is confirmed by parsing; where a terminal candidate holds it is alone, a type that
+    comes twice counts once, and types that are only recognised have support "detection-only".
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        schema = pa.schema([("source_id", pa.int64()), ("rank", pa.int32()), ("type_id", text), ("support", text), ("confidence", text), ("evidence", pa.list_(text)), ("derivation", pa.list_(text))])
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                source, name, content = (batch.column(c)[i].as_py() for c in range(3))
+                name, seen = name or "", set()
+                for probe, derivation, nodes, _ in detect_bytes(content or b"", name):
+                    if (nodes or probe.type_id in UNREAD) and probe.type_id not in seen:
+                        ending = name.rpartition(".")[2].lower() if "." in name else ""
+                        named = ending in probe.extensions
+                        rows.append({
+                            "source_id": source, "rank": len(seen) + 1, "type_id": probe.type_id, "support": "detection-only" if probe.type_id in UNREAD or probe.type_id == "adobe.pdf" else "inspectable",
+                            "confidence": probe.with_extension if named and probe.with_extension else probe.confidence, "evidence": [probe.evidence] + [f"file extension is .{ending}"] * named, "derivation": list(derivation),
+                        })
+                        seen.add(probe.type_id)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return sources.select("source_id", "filename", "content").mapInArrow(run, "source_id long, rank int, type_id string, support string, confidence string, evidence array<string>, derivation array<string>")
 
 
 def _walk(data: bytes, name: str, prefix: str, depth: int, most_depth: int, type_id: str | None) -> Iterator[tuple[str, int, Node, str | None]]:
     nodes, failure = inspect_bytes(data, name, type_id)
     if not nodes:
         if not depth:
-            yield "/", 0, Node("/", "unknown", "opaque", [], data=data), failure
+            yield "/file", 0, Node("/file", "unknown", "opaque", [], data=data), failure
         return
     for node in nodes:
         path = (prefix + node.path).rstrip("/") or "/"
-        nested = list(_walk(node.data, node.path, path, depth + 1, most_depth, None)) if node.data and depth + 1 < most_depth and node.type_id != "adobe.pdf" else []
         yield path, depth, node, None
-        yield from nested
+        if node.data and depth + 1 < most_depth and node.type_id != "adobe.pdf":
+            yield from _walk(node.data, node.path, path, depth + 1, most_depth, None)
 
 
 def inspect(sources: DataFrame, type_id: str | None = None, most_depth: int = 8, most_resources: int = 200_000) -> DataFrame:
@@ -145,18 +139,19 @@ def inspect(sources: DataFrame, type_id: str | None = None, most_depth: int = 8,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema()
         for batch in batches:
-            for source, name, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):  # one source at a time is held besides the batch
+                source, name, content = (batch.column(c)[i].as_py() for c in range(3))
                 rows = []
                 for path, depth, n, failure in _walk(content or b"", name or "", "", 0, most_depth, type_id):
                     if len(rows) >= most_resources:
-                        rows = [{"source_id": source, "ordinal": 0, "path": "/", "depth": 0, "type_id": "unknown", "kind": "opaque", "failure": f"more than {most_resources} resources", "metadata": []}]
+                        rows = [{"source_id": source, "ordinal": 0, "path": "/file", "depth": 0, "type_id": "unknown", "kind": "opaque", "failure": f"more than {most_resources} resources", "metadata": []}]
                         break
                     rows.append({
                         "source_id": source, "ordinal": len(rows), "path": path, "depth": depth, "type_id": n.type_id, "kind": n.kind, "failure": failure,
                         "metadata": [{"key": k, "value": str(v)} for k, v in n.metadata], "data": n.data,
                         "width": n.raster and n.raster.width, "height": n.raster and n.raster.height, "rgba": n.raster and n.raster.rgba,
                         "rate": n.audio and n.audio.rate, "bits": n.audio and n.audio.bits, "pcm": n.audio and n.audio.channels,
-                        "colours": n.palette and [dict(zip("rgba", c, strict=True)) for c in n.palette], "text": n.text, "frames": n.frames and [{"ms": ms, "rgba": v} for ms, v in n.frames],
+                        "colours": n.palette and [dict(zip("rgba", c, strict=True)) for c in n.palette], "text": n.text, "frames": n.frames and [{"ms": ms, "rgba": v} for ms, v in n.frames], "index": n.index, "cycles": n.cycles and [c._asdict() for c in n.cycles],
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -169,6 +164,7 @@ def arrow_schema() -> pa.Schema:
         ("source_id", pa.int64()), ("ordinal", number), ("path", text), ("depth", number), ("type_id", text), ("kind", text), ("failure", text),
         ("metadata", pa.list_(pa.struct([("key", text), ("value", text)]))), ("data", pa.binary()), ("width", number), ("height", number), ("rgba", pa.binary()),
         ("rate", number), ("bits", number), ("pcm", pa.list_(pa.list_(number))), ("colours", pa.list_(pa.struct([(c, number) for c in "rgba"]))), ("text", text), ("frames", pa.list_(pa.struct([("ms", number), ("rgba", pa.binary())]))),
+        ("index", pa.binary()), ("cycles", pa.list_(pa.struct([(c, number) for c in ("low", "high", "step", "direction")]))),
     ])
 
 
@@ -185,6 +181,11 @@ def database_rows(resources: DataFrame) -> DataFrame:
     return lines.select("source_id", "table", F.get(parts, 0).cast("long").alias("rowid"), F.transform(F.slice(parts, 2, F.size(parts)), lambda v: F.when(v != "NULL", v)).alias("values"))
 
 
+def metadata_rows(resources: DataFrame) -> DataFrame:
+    """(source_id, path, place, key, value): metadata as rows, in order; keys may repeat."""
+    return resources.select("source_id", "path", F.posexplode("metadata").alias("place", "m")).select("source_id", "path", "place", "m.key", "m.value")
+
+
 def pixels(resources: DataFrame) -> DataFrame:
     """(source_id, path, x, y, r, g, b, a): a row for each pixel."""
 

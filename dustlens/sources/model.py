@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 from typing import NamedTuple
 
+from dustlens.operators.colour_cycles import Cycle
+
 
 class Raster(NamedTuple):
     width: int
@@ -31,6 +33,8 @@ class Node(NamedTuple):
     palette: list[tuple[int, int, int, int]] | None = None
     text: str | None = None
     frames: list[tuple[int, bytes]] | None = None  # milliseconds and pixels, where there is more than one
+    index: bytes | None = None  # a byte for each pixel, its place in the palette, where colours turn
+    cycles: list[Cycle] | None = None  # ranges of the palette that turn in time
 
 
 class Reader:

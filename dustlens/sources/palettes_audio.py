@@ -16,13 +16,13 @@ def _lines(data: bytes) -> list[str]:
 
 def adobe_table(data: bytes, name: str) -> list[Node]:
     need(len(data) == 768, "a table has 768 bytes")
-    return [Node("/", "adobe.color-table", "palette", [("colours", 256)], palette=[(*data[i : i + 3], 255) for i in range(0, 768, 3)])]
+    return [Node("/palette", "adobe.color-table", "palette", [("colours", 256)], palette=[(*data[i : i + 3], 255) for i in range(0, 768, 3)])]
 
 
 def rgba8(data: bytes, name: str) -> list[Node]:
     (count,) = Reader(data).unpack("<I", 0)
     need(1 <= count <= 65536 and count * 4 + 4 == len(data), "the count is not that of the colours")
-    return [Node("/", "rgba8.palette", "palette", [("colours", count)], palette=[tuple(data[i : i + 4]) for i in range(4, len(data), 4)])]
+    return [Node("/palette", "rgba8.palette", "palette", [("colours", count)], palette=[tuple(data[i : i + 4]) for i in range(4, len(data), 4)])]
 
 
 def jasc(data: bytes, name: str) -> list[Node]:
@@ -32,7 +32,7 @@ def jasc(data: bytes, name: str) -> list[Node]:
     need(1 <= count <= 65536 and len(lines) >= 3 + count and not any(lines[3 + count :]), "the count is not that of the colours")
     colours = [tuple(map(int, x.split(" "))) for x in lines[3 : 3 + count]]
     need(all(len(c) == 3 and max(c) < 256 and min(c) >= 0 for c in colours), "a colour is no triple of bytes")
-    return [Node("/", "jasc.palette", "palette", [("colours", count), ("version", "0100")], palette=[(*c, 255) for c in colours])]
+    return [Node("/palette", "jasc.palette", "palette", [("colours", count), ("version", "0100")], palette=[(*c, 255) for c in colours])]
 
 
 def gimp(data: bytes, name: str) -> list[Node]:
@@ -53,7 +53,7 @@ def gimp(data: bytes, name: str) -> list[Node]:
             need(all(0 <= v < 256 for v in c), "a colour is out of range")
             colours.append(c if alpha else (*c, 255))
     need(bool(colours) and 0 <= columns < 256, "no colours")
-    return [Node("/", "gimp.palette", "palette", [("colours", len(colours)), ("columns", columns), ("name", title or ""), ("channels", "RGBA" if alpha else "RGB")], palette=colours)]
+    return [Node("/palette", "gimp.palette", "palette", [("colours", len(colours)), ("columns", columns), ("name", title or ""), ("channels", "RGBA" if alpha else "RGB")], palette=colours)]
 
 
 def paint_net(data: bytes, name: str) -> list[Node]:
@@ -65,7 +65,7 @@ def paint_net(data: bytes, name: str) -> list[Node]:
             need(re.fullmatch(r"[0-9A-Fa-f]{8}", line.strip()) is not None, "a colour is not eight hex digits")
             a, r, g, b = bytes.fromhex(line.strip())
             colours.append((r, g, b, a))
-    return [Node("/", "paint-net.palette", "palette", [("colours", len(colours))], palette=colours)]
+    return [Node("/palette", "paint-net.palette", "palette", [("colours", len(colours))], palette=colours)]
 
 
 def swatches(data: bytes, name: str) -> list[Node]:
@@ -84,7 +84,7 @@ def swatches(data: bytes, name: str) -> list[Node]:
                 other += 1
         at += 6 + size
     need(at == len(data), "data behind the blocks")
-    return [Node("/swatches", "adobe.swatch-exchange", "palette", [("version.major", major), ("version.minor", minor), ("blocks", blocks), ("rgb-colours", len(colours)), ("unsupported-colours", other)], palette=colours)]
+    return [Node("/palette", "adobe.swatch-exchange", "palette", [("version.major", major), ("version.minor", minor), ("blocks", blocks), ("rgb-colours", len(colours)), ("unsupported-colours", other)], palette=colours)]
 
 
 #: The eight levels of a three-bit channel (fixed values).
@@ -103,7 +103,7 @@ def next_palette(data: bytes, name: str) -> list[Node]:
     if len(data) == 513:
         colours[data[512]] = (*colours[data[512]][:3], 0)
         metadata.append(("transparent-index", data[512]))
-    return [Node("/", "zx-spectrum-next.palette", "palette", metadata, palette=colours)]
+    return [Node("/palette", "zx-spectrum-next.palette", "palette", metadata, palette=colours)]
 
 
 def wav(data: bytes, name: str) -> list[Node]:
@@ -125,7 +125,7 @@ def wav(data: bytes, name: str) -> list[Node]:
     values = values - 128 if bits == 8 else np.where(values >= 1 << bits - 1, values - (1 << bits), values)
     count = len(values)
     metadata = [("channels", channels), ("sample-rate", rate), ("bits-per-sample", bits), ("samples", count), ("duration-ms", count * 1000 // rate if rate else 0), *[(f"chunk.{i}", k.decode("latin-1")) for i, k in enumerate(kinds)]]
-    return [Node("/", "wav", "audio", metadata, audio=Audio(rate, bits, values.T.tolist()))]
+    return [Node("/audio", "wav", "audio", metadata, audio=Audio(rate, bits, values.T.tolist()))]
 
 
 def svx(data: bytes, name: str) -> list[Node]:
@@ -157,7 +157,7 @@ def svx(data: bytes, name: str) -> list[Node]:
     for key, label in (("NAME", "name"), ("ANNO", "annotation")):
         if key in own:
             metadata.append((label, own[key].rstrip(b"\0").decode("latin-1")))
-    return [Node("/", "amiga.16sv" if bits == 16 else "amiga.8svx", "audio", metadata, audio=Audio(rate, bits, pcm.tolist()))]
+    return [Node("/instrument", "amiga.16sv" if bits == 16 else "amiga.8svx", "audio", metadata, audio=Audio(rate, bits, pcm.tolist()))]
 
 
 def voice(data: bytes, name: str) -> list[Node]:
@@ -185,4 +185,4 @@ def voice(data: bytes, name: str) -> list[Node]:
             pcm += [b - 128 for b in body[12:]] if bits == 8 else np.frombuffer(body[12:], "<i2").tolist()
         at += 4 + size
     need(bool(rate) and channels in (1, 2) and len(pcm) % channels == 0, "no sound")
-    return [Node("/", "creative.voice", "audio", [("version.major", version >> 8), ("version.minor", version & 255), ("blocks", blocks), ("channels", channels), ("sample-rate", rate), ("bits-per-sample", bits), ("samples", len(pcm) // channels)], audio=Audio(rate, bits, [pcm[c::channels] for c in range(channels)]))]
+    return [Node("/audio", "creative.voice", "audio", [("version.major", version >> 8), ("version.minor", version & 255), ("blocks", blocks), ("channels", channels), ("sample-rate", rate), ("bits-per-sample", bits), ("samples", len(pcm) // channels)], audio=Audio(rate, bits, [pcm[c::channels] for c in range(channels)]))]

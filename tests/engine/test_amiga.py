@@ -219,6 +219,7 @@ def test_documents_and_photographs():
     assert ws.text == "Hello world!\n" and dict(ws.metadata)["wordstar.dot-commands"] == 1
     jpeg = b"\xff\xd8\xff\xe0\0\x10JFIF\0\1\2\0\0\1\0\1\0\0" + b"\xff\xc2\0\x0b\x08\0\x05\0\x07\1\0\0\0"
     found = dict(nodes_of(jpeg)[0].metadata)
+    assert nodes_of(jpeg)[0].kind == "opaque" and found["decode.warning"]
     assert (found["image.width"], found["image.height"], found["jpeg.progressive"]) == (7, 5, 1)
 
 
@@ -307,12 +308,24 @@ def test_scenery_of_a_wad():
     lumps = [("PLAYPAL", bytes(range(256)) * 3), ("PNAMES", struct.pack("<I8s", 1, b"p1")), ("P1", b""), ("P1", picture), ("TEXTURE1", texture), ("S_START", b""), ("TROO", picture), ("S_END", b"")]
     lumps += [("E1M1", b""), ("THINGS", b""), ("LINEDEFS", lines), ("SIDEDEFS", b""), ("VERTEXES", struct.pack("<6h", 0, 0, 9, 0, 9, 5)), ("BAD", b"")]
     found = {n.path: n for n in nodes_of(wad(lumps))}
-    wall = found["/wad/textures/TEXTURE1-0-WALL"].raster
+    wall = found["/wad/textures/4-TEXTURE1/0-WALL"].raster
     assert (wall.width, wall.height) == (4, 2) and wall.rgba[:8] == bytes([3, 4, 5, 255, 0, 0, 0, 0]) and wall.rgba[8:12] == wall.rgba[:4]
     assert ("position.left-offset", 5) in found["/wad/sprites/6-TROO"].metadata
-    area = found["/wad/maps/E1M1/automap"].raster
-    assert (area.width, area.height) == (10, 6) and area.rgba[5 * 40 : 5 * 40 + 4] == b"\xff" * 4 and area.rgba[:3] == b"\0\0\0"
-    assert dict(found["/wad/maps/E1M1"].metadata)["map.hidden-linedefs"] == 1
+    area = found["/wad/maps/8-E1M1/automap"].raster
+    pixels = np.frombuffer(area.rgba, np.uint8).reshape(area.height, area.width, 4)
+    assert (area.width, area.height) == (9 + 17, 5 + 17) and (pixels[13, 8:18, :3] == (128, 128, 128)).all() and not pixels[:13, :, :3].any()
+    assert dict(found["/wad/maps/8-E1M1"].metadata)["map.hidden-linedefs"] == 1
+
+
+def test_lines_of_a_map_have_colours():
+    line = lambda a, b, flags, right, left: struct.pack("<HHHHHHH", a, b, flags, 0, 0, right, left)
+    side = lambda sector: bytes(28) + struct.pack("<H", sector)
+    sector = lambda floor, ceiling: struct.pack("<hh", floor, ceiling) + bytes(22)
+    lines = line(0, 1, 0, 0, 0xFFFF) + line(2, 3, 0, 0, 1) + line(4, 5, 0, 0, 2) + line(6, 7, 32, 0, 0)
+    lumps = [("E1M1", b""), ("LINEDEFS", lines), ("SIDEDEFS", side(0) + side(1) + side(2)), ("VERTEXES", struct.pack("<16h", *(v for y in range(4) for x in (0, 9) for v in (x, y * 2)))), ("SECTORS", sector(0, 100) + sector(0, 90) + sector(5, 100)), ("PLAYPAL", bytes(768))]
+    area = {n.path: n for n in nodes_of(wad(lumps))}["/wad/maps/0-E1M1/automap"].raster
+    pixels = np.frombuffer(area.rgba, np.uint8).reshape(area.height, area.width, 4)
+    assert [tuple(pixels[area.height - 9 - 2 * k, 12, :3].tolist()) for k in range(4)] == [(255, 0, 0), (255, 255, 0), (160, 80, 0), (255, 0, 0)]
 
 
 def baseline(values, width, height, restart=0):
@@ -368,3 +381,127 @@ def test_program_with_banks():
     data = b"AMOS Basic V134 " + struct.pack(">I", 6) + b"tokens" + b"AmBs" + struct.pack(">H", 1) + bank
     found = {n.path: n for n in nodes_of(data)}
     assert found["/listing"].data == b"tokens" and "/banks/0" in found
+
+
+def test_progressive_photograph_equals_the_sequential_one():
+    """The same coefficients, written at once and in six scans: approximations, then the bits that lack."""
+    rng = np.random.default_rng(4)
+    count, width, height = 6, 20, 13
+    blocks = np.zeros((count, 64), int)
+    blocks[:, 0] = rng.integers(-100, 100, count)
+    for b in blocks:
+        b[1 + rng.choice(63, 12, replace=False)] = rng.integers(-9, 10, 12)
+    blocks[2, 1:] = 0
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    symbols = bytes(range(256))
+    table = lambda head: part(0xC4, bytes([head]) + bytes([0] * 7 + [255, 1] + [0] * 7) + symbols)  # noqa: E731 - 255 codes of 8 bits, one of 9
+    head = lambda kind: part(0xDB, b"\0" + bytes([1] * 64)) + part(kind, struct.pack(">BHHB", 8, height, width, 1) + bytes([1, 0x11, 0])) + table(0) + table(16)
+    stuffed = lambda w: w.done_ones().replace(b"\xff", b"\xff\0")
+
+    class Bits(Writer):
+        def symbol(self, v):
+            self.put(v if v < 255 else 510, 8 if v < 255 else 9)
+
+        def signed(self, v):
+            n = abs(int(v)).bit_length()
+            self.put(int(v) if v >= 0 else int(v) + (1 << n) - 1, n)
+
+        def done_ones(self):
+            self.bits += "1" * (-len(self.bits) % 8)
+            return self.done()
+
+    def scan(start, end, high, low, w):
+        return part(0xDA, bytes([1, 1, 0, start, end, high << 4 | low])) + stuffed(w)
+
+    w, last = Bits(), 0
+    for b in blocks:
+        d, last = int(b[0]) - last, int(b[0])
+        w.symbol(abs(d).bit_length()), w.signed(d)
+        zeros = 0
+        for v in b[1:]:
+            if not v:
+                zeros += 1
+                continue
+            while zeros > 15:
+                w.symbol(0xF0)
+                zeros -= 16
+            w.symbol(zeros << 4 | abs(int(v)).bit_length()), w.signed(v)
+            zeros = 0
+        if zeros:
+            w.symbol(0)
+    sequential = b"\xff\xd8" + head(0xC0) + scan(0, 63, 0, 0, w) + b"\xff\xd9"
+    out, low = head(0xC2), 1
+    w, last = Bits(), 0
+    for b in blocks:  # the first place without its lowest bit
+        v = int(b[0]) >> low
+        w.symbol(abs(v - last).bit_length()), w.signed(v - last)
+        last = v
+    out += scan(0, 0, 0, low, w)
+    for start, end in ((1, 5), (6, 63)):
+        w, ended = Bits(), 0
+
+        def flush():
+            nonlocal ended
+            if ended:
+                n = ended.bit_length() - 1
+                w.symbol(n << 4), w.put(ended - (1 << n), n)
+                ended = 0
+
+        for b in blocks:
+            shifted = [int(v) // 2 if v >= 0 else -(int(-v) // 2) for v in b[start : end + 1]]
+            zeros = 0
+            for v in shifted:
+                if not v:
+                    zeros += 1
+                    continue
+                flush()
+                while zeros > 15:
+                    w.symbol(0xF0)
+                    zeros -= 16
+                w.symbol(zeros << 4 | abs(v).bit_length()), w.signed(v)
+                zeros = 0
+            ended += zeros > 0
+        flush()
+        out += scan(start, end, 0, low, w)
+    w = Bits()
+    for b in blocks:
+        w.put(int(b[0]) & 1, 1)
+    out += scan(0, 0, 1, 0, w)
+    for start, end in ((1, 5), (6, 63)):
+        w = Bits()
+        for b in blocks:
+            band = [int(v) for v in b[start : end + 1]]
+            fresh = [i for i, v in enumerate(band) if abs(v) == 1]
+            at = 0
+            for i in fresh:
+                zeros, held = 0, ""
+                for v in band[at:i]:
+                    if abs(v) > 1:
+                        held += str(abs(v) & 1)
+                    else:
+                        zeros += 1
+                        if zeros == 16:
+                            w.symbol(0xF0)
+                            w.bits += held
+                            zeros, held = 0, ""
+                w.symbol(zeros << 4 | 1), w.put(int(band[i] > 0), 1)
+                w.bits += held
+                at = i + 1
+            if at < len(band):
+                w.symbol(0)
+                w.bits += "".join(str(abs(v) & 1) for v in band[at:] if abs(v) > 1)
+        out += scan(start, end, 1, 0, w)
+    got, want = (nodes_of(d)[0].raster for d in (b"\xff\xd8" + out + b"\xff\xd9", sequential))
+    assert got == want and len(set(got.rgba)) > 20
+
+
+@pytest.mark.parametrize("way", range(1, 9))
+def test_orientation(way):
+    values = [-128, 127, 0, 60, -5, 100]
+    exif = b"Exif\0\0MM\0\x2a\0\0\0\x08" + struct.pack(">HHHIHH", 1, 0x112, 3, 1, way, 0) + bytes(4)
+    data = baseline(values, 20, 13)
+    node = nodes_of(data[:2] + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + data[2:])[0]
+    plain = np.frombuffer(nodes_of(data)[0].raster.rgba, np.uint8).reshape(13, 20, 4)
+    turned = {1: plain, 2: plain[:, ::-1], 3: np.rot90(plain, 2), 4: plain[::-1], 5: plain.transpose(1, 0, 2), 6: np.rot90(plain, -1), 7: np.rot90(plain, 2).transpose(1, 0, 2), 8: np.rot90(plain)}[way]
+    assert (node.raster.width, node.raster.height) == (turned.shape[1], turned.shape[0]) and node.raster.rgba == np.ascontiguousarray(turned).tobytes()
+    assert dict(node.metadata)["exif.orientation"] == way

@@ -9,10 +9,14 @@ import wave
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 
+from dustlens.operators.detection import PROBES, Probe, candidates_of, ordered
+from dustlens.plans import packers
 from dustlens.sources import codecs, export
-from dustlens.sources.inspect import GATED, PARSERS, candidate_types, inspect_bytes
+from dustlens.sources.images import unpack_bitmap_runs
+from dustlens.sources.inspect import PARSERS, UNREAD, detect_bytes, inspect_bytes
 from dustlens.sources.model import Raster, safe_name
 
 rng = random.Random(1)
@@ -201,6 +205,69 @@ def test_codecs_refuse_bad_data():
 
 
 def test_order_of_candidates():
-    assert candidate_types(b"PK\x03\x04" + bytes(26) + b"mimetypeimage/openraster", "x.ora")[:2] == ["image.openraster", "archive.zip"]
-    assert candidate_types(b"%PDF-1.4", "x.act") == ["adobe.pdf"]
-    assert {t for t, _ in GATED} <= set(PARSERS)
+    types = lambda data, name: [p.type_id for p, _ in candidates_of(data, name)]
+    assert types(b"PK\x03\x04" + bytes(26) + b"mimetypeimage/openraster", "x.ora")[:2] == ["image.openraster", "archive.zip"]
+    assert types(b"%PDF-1.4", "x.act") == ["adobe.pdf"]
+    assert {p.type_id for p in PROBES} - UNREAD <= set(PARSERS) | {"archive.xpk", "amiga.dr2d"} and len({p.type_id for p in PROBES}) == 71
+    derivations = dict((p.type_id, d) for p, d in ordered())
+    assert derivations["image.openraster"] == ("archive.zip", "image.openraster")
+
+
+def test_refiners_nest_and_do_not_repeat():
+    chain = (Probe("a", "a", "^x"), Probe("b", "b", "^x", carrier="a"), Probe("c", "c", "^x", carrier="b"), Probe("a", "again", "^x", carrier="c"))
+    assert [(p.type_id, d) for p, d in ordered(chain)] == [("c", ("a", "b", "c")), ("b", ("a", "b")), ("a", ("a",))]
+
+
+def test_whatever_a_parser_raises_stays_with_its_source():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "image/openraster")
+        z.writestr("stack.xml", "<image><broken")
+    nodes, failure = inspect_bytes(out.getvalue(), "x.ora")
+    assert nodes[0].type_id == "archive.zip" and failure is None  # the archive still holds
+    nodes, failure = inspect_bytes(out.getvalue(), "x.ora", "image.openraster")
+    assert nodes == [] and "image.openraster" in failure
+    with pytest.raises(ValueError):
+        inspect_bytes(b"", "x", "no.such-type")
+
+
+@pytest.mark.parametrize("data", [b"", b"\0", b"\xff", b"-lh5-", bytes(range(256)), b"\0\xff" * 2048, b"GIF89a", b"PK\3\4", b"BM" + bytes(60), b"FORM\0\0\0\4ILBM", b"\x7fELF" + bytes(60)])
+def test_hostile_bytes(data):
+    assert detect_bytes(data, "x.pal") == detect_bytes(data, "x.pal")
+    assert all(nodes == [] or why is None for _, _, nodes, why in detect_bytes(data, "x"))
+
+
+@pytest.mark.parametrize("size", [6911, 6913, 7679, 7681, 49178, 49180, 131102, 131104, 147486, 147488])
+def test_sizes_next_to_the_right_ones(size):
+    assert not {p.type_id for p, _, nodes, _ in detect_bytes(bytes(size), "x.scr") if nodes} & {"zx-spectrum.screen", "zx-spectrum.gigascreen", "zx-spectrum.snapshot"}
+
+
+@pytest.mark.parametrize("name", packers.PICTURES)
+def test_pictures_of_several_lines(name):
+    file, write, path = packers.PICTURES[name]
+    g = packers.grid([i * i % 16 for i in range(75)] + [0] * 20)
+    found = {n.path: n.raster for n in inspect_bytes(write(g), file)[0] if n.raster}
+    assert np.array_equal(np.frombuffer(found[path].rgba, np.uint8).reshape(-1, 8, 4)[..., :3], packers.COLOURS[g])
+
+
+def test_bitmap_runs_leave_gaps_and_refuse_overruns():
+    pixels = unpack_bitmap_runs(bytes([2, 5, 0, 2, 1, 1, 1, 7, 0, 1]), 4, 2, 8)
+    assert pixels.tolist() == [[5, 5, 0, 0], [0, 0, 0, 7]]
+    with pytest.raises(ValueError):
+        unpack_bitmap_runs(bytes([5, 1, 0, 1]), 4, 2, 8)
+    with pytest.raises(ValueError):
+        unpack_bitmap_runs(bytes([1]), 4, 2, 8)
+
+
+def test_lzw_of_a_published_picture():
+    """The ten by ten pixels of three colours that descriptions of the format take as their example."""
+    packed = bytes.fromhex("8C2D99872A1CDC33A00275EC95FAA8DE608C04914C01")
+    pixels = codecs.lzw_decode(packed, 2)
+    rows = [pixels[i : i + 10] for i in range(0, 100, 10)]
+    top, mixed, bottom = bytes([1] * 5 + [2] * 5), bytes([1, 1, 1, 0, 0, 0, 0, 2, 2, 2]), bytes([2] * 5 + [1] * 5)
+    assert rows[:3] == [top] * 3 and rows[3:5] == [mixed] * 2 and rows[5:7] == [bytes([2, 2, 2, 0, 0, 0, 0, 1, 1, 1])] * 2 and rows[7:] == [bottom] * 3
+
+
+def test_runs_of_a_published_example():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert codecs.unpack_runs(packed, 24) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
