@@ -71,7 +71,7 @@ SAMPLES = (
     _one(b"screen", "scr", "zx-spectrum.screen", "probable", size=6912), _one(b"snap", "sna", "zx-spectrum.snapshot", "probable", size=49179), _one(b"\x13\0\0", "tap", "zx-spectrum.tap", "probable"),
     _one(b"ZXTape!\x1a", "tzx", "zx-spectrum.tzx"), _one(b"\x1d\x7d\0", "ws", "wordstar.document"), Sample(b"\0\0\3\xf3", "bin", (("amiga.lha-sfx", "certain", "certain"), ("amiga.hunk-executable", "certain", "certain"))),
     Sample(b"screens", "scr", (("zx-spectrum.gigascreen", "", "probable"),), 7680), Sample(b"layer", "nxi", (("zx-spectrum-next.layer2-image", "", "probable"),), 49152), Sample(b"table", "act", (("adobe.color-table", "", "probable"),), 768),
-    Sample(b"text", "ws", (("wordstar.document", "", "probable"),)), Sample(b"\2\0\0\0", "pal", (("rgba8.palette", "", "possible"),)), Sample(b"colours", "nxp", (("zx-spectrum-next.palette", "", "probable"),), 512),
+    Sample(b"text", "ws", (("wordstar.document", "", "probable"),)), Sample(b"\2\0\0\0", "pal", (("rgba8.palette", "", "possible"),), 12), Sample(b"colours", "nxp", (("zx-spectrum-next.palette", "", "probable"),), 512),
     Sample(b"%PDF-3.0", "txt", ()), Sample(b"plain text", "txt", ()),
     Sample(b"PK\3\4".ljust(30, b"\0") + b"mimetypeimage/openraster", "ora", (("image.openraster", "certain", "certain"), ("archive.zip", "certain", "certain"))),
 )
