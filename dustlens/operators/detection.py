@@ -115,8 +115,9 @@ PROBES = (
 )
 
 
-def ordered(probes: tuple[Probe, ...] = PROBES) -> list[tuple[Probe, tuple[str, ...]]]:
+def ordered(probes: tuple[Probe, ...] | None = None) -> list[tuple[Probe, tuple[str, ...]]]:
     """Probes by rank, each with its derivation: what refines a type comes before it, to any depth (eight at most), and no type refines itself."""
+    probes = PROBES if probes is None else probes
 
     def with_refiners(p: Probe, chain: tuple[str, ...]) -> list[tuple[Probe, tuple[str, ...]]]:
         chain = (*chain, p.type_id)
@@ -148,7 +149,7 @@ def _fits(p: Probe) -> Column:
     return out
 
 
-def candidates(sources: DataFrame, probes: tuple[Probe, ...] = PROBES) -> DataFrame:
+def candidates(sources: DataFrame, probes: tuple[Probe, ...] | None = None) -> DataFrame:
     """(source_id, rank, type_id, confidence, evidence, derivation), a row for each candidate, by rank from 1.
 
     ``sources`` has source_id, filename and content. A candidate that refines another comes
@@ -173,7 +174,18 @@ def candidates(sources: DataFrame, probes: tuple[Probe, ...] = PROBES) -> DataFr
     return each.select("source_id", (F.col("at") + 1).alias("rank"), "c.type_id", "c.confidence", "c.evidence", "c.derivation")
 
 
-_COMPILED = [(p, d, re.compile(p.head.encode("latin-1"), re.S), p.at and re.compile(p.at[1].encode("latin-1"), re.S)) for p, d in ordered()]
+def _compiled() -> list[tuple]:
+    return [(p, d, re.compile(p.head.encode("latin-1"), re.S), p.at and re.compile(p.at[1].encode("latin-1"), re.S)) for p, d in ordered(PROBES)]
+
+
+_COMPILED = _compiled()
+
+
+def add(probe: Probe) -> None:
+    """Appends a probe to the registry of this process."""
+    global PROBES, _COMPILED
+    PROBES = (*PROBES, probe)
+    _COMPILED = _compiled()
 
 
 def candidates_of(data: bytes, filename: str) -> list[tuple[Probe, tuple[str, ...]]]:

@@ -49,6 +49,36 @@ def ordinal_paths(rows: DataFrame, group: str, order: str, path: Column) -> Data
     return rows.withColumn("path", F.when(F.count("*").over(window) == 1, path).otherwise(F.concat(path, F.lit("/"), number)))
 
 
+def member_totals(resources: DataFrame, packed: str = "compressed-length", unpacked: str = "data.length") -> DataFrame:
+    """(source_id, members, packed, unpacked): the number of members with sizes in their metadata, and their sums."""
+    size = lambda key: F.get(F.filter("metadata", lambda m: m["key"].endswith(key)), 0)["value"].cast("long")
+    rows = resources.select("source_id", size(packed).alias("p"), size(unpacked).alias("u")).where("u IS NOT NULL")
+    return rows.groupBy("source_id").agg(F.count("*").alias("members"), F.sum("p").alias("packed"), F.sum("u").alias("unpacked"))
+
+
+def last_ends(rows: DataFrame, group: str, offset: str, size: str) -> DataFrame:
+    """(group, end): the greatest end of each group's stretches."""
+    return rows.groupBy(group).agg(F.max(F.col(offset) + F.col(size)).alias("end"))
+
+
+def best_generation(rows: DataFrame, group: str, generation: str, tie: str, value: str) -> DataFrame:
+    """(group, generation, value) of the highest generation; of equals the smallest ``tie``."""
+    best = F.max_by(F.struct(generation, value), F.struct(F.col(generation), -F.col(tie)))
+    return rows.groupBy(group).agg(best.alias("b")).select(group, f"b.{generation}", F.col(f"b.{value}").alias("value"))
+
+
+def first_by_path(rows: DataFrame, group: str, path: str, order: str) -> DataFrame:
+    """Of resources with one path the first."""
+    rank = F.row_number().over(Window.partitionBy(group, path).orderBy(order))
+    return rows.withColumn("_k", rank).where("_k = 1").drop("_k")
+
+
+def copy_names(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``rows`` and copy_name: of equal names later ones get -copy-1, -copy-2 and so on."""
+    number = F.row_number().over(Window.partitionBy(group, name).orderBy(order)) - 1
+    return rows.withColumn("copy_name", F.when(number == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-copy-"), number)))
+
+
 def suffixed(name: str, number: int) -> str:
     """A later name: -2, -3 and so on before the ending of the last segment."""
     folder, slash, last = name.rpartition("/")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import lzma
 import struct
 import zlib
 
+import numpy as np
+
 from dustlens.sources.codecs import crc16, inflate, unpack_lh5
 from dustlens.sources.doom import scenery
 from dustlens.sources.images import bmp, iff_chunks, png
+from dustlens.sources.listings import spectrum_basic
 from dustlens.sources.model import Audio, Node, Reader, need, safe_name
 
 
@@ -274,7 +278,13 @@ def tap(data: bytes, name: str) -> list[Node]:
             label = {0: "basic", 1: "array", 2: "array", 3: "code"}.get(kind, "block")
             metadata += [("tap.name", title.decode("latin-1").rstrip())]
             metadata += [("code.start-address", a), ("code.length", size), ("code.parameter-2", b)] if kind == 3 else [("basic.variable-area-offset", b), *([("basic.autostart-line", a)] if a < 32768 else [])] if kind == 0 else []
-        out.append(Node(f"/{label}/{number}", f"zx-spectrum.{label}", "opaque", metadata, data=block[1:-1]))
+        if label == "basic":
+            try:
+                out.append(Node(f"/listing/{number}", "zx-spectrum.basic", "text", metadata, text=spectrum_basic(block[1 : 1 + b if b <= len(block) - 2 else len(block) - 1])))
+            except ValueError as e:
+                out.append(Node(f"/listing/{number}", "zx-spectrum.basic", "opaque", [*metadata, ("failure", str(e))], data=block[1:-1]))
+        else:
+            out.append(Node(f"/{label}/{number}", f"zx-spectrum.{label}", "opaque", metadata, data=block[1:-1]))
         head = None
     return [Node("/", "zx-spectrum.tap", "group", [("blocks", len(blocks))]), *out]
 
@@ -508,6 +518,63 @@ def icon(data: bytes, name: str) -> list[Node]:
     return out
 
 
+#: Rows of a module that are followed at most.
+MOST_TRANSITIONS = 1_000_000
+
+
+def control_flow(raw: bytes, channels: int, orders: list[int], restart: int | None) -> tuple[str, int, tuple[int, int] | None, int]:
+    """(status, rows followed, entry, length) of a module's playback: "terminates", "cycles" (then the place where the cycle is entered, and its rows) or "analysis-limit".
+
+    Jumps to an order (command 11), breaks to a row of the next (13) and loops within a pattern
+    (14, 6) are followed; the state of every channel's loop is part of the place.
+    """
+    cells = np.frombuffer(raw, np.uint8).reshape(-1, 64, channels, 4)
+    command, value = cells[..., 2] & 15, cells[..., 3]
+    # Only these commands matter; most rows have none.
+    matters = ((command == 11) | (command == 13) | ((command == 14) & (value >> 4 == 6))).any(axis=2)
+    order, row = 0, 0
+    starts, left = [0] * channels, [0] * channels
+    seen: dict[tuple, int] = {}
+    for step in range(MOST_TRANSITIONS):
+        if order >= len(orders):
+            return "terminates", step, None, 0
+        if row >= 64 or orders[order] >= len(cells):
+            return "analysis-limit", step, None, 0
+        place = (order, row, *starts, *left)
+        if place in seen:
+            return "cycles", step, (order, row), step - seen[place]
+        seen[place] = step
+        pattern, jump, leave, back = orders[order], None, None, None
+        if matters[pattern, row]:
+            for c in range(channels):
+                what, arg = int(command[pattern, row, c]), int(value[pattern, row, c])
+                if what == 11:
+                    jump = arg
+                elif what == 13:
+                    leave = (arg >> 4) * 10 + (arg & 15)
+                elif what == 14 and arg >> 4 == 6:
+                    times = arg & 15
+                    if not times:
+                        starts[c] = row
+                    else:
+                        left[c] = times if not left[c] else left[c] - 1
+                        back = starts[c] if left[c] else back
+        if jump is not None or leave is not None:
+            order, row = order + 1 if jump is None else jump, leave or 0
+        elif back is not None:
+            row = back
+            continue
+        elif row < 63:
+            row += 1
+            continue
+        else:
+            order, row = order + 1, 0
+            if order >= len(orders) and restart is not None:
+                order = restart
+        starts, left = [0] * channels, [0] * channels
+    return "analysis-limit", MOST_TRANSITIONS, None, 0
+
+
 def module(data: bytes, name: str) -> list[Node]:
     """A 31-sample tracker module: its order, patterns as text, and samples as sounds."""
     r = Reader(data)
@@ -534,7 +601,10 @@ def module(data: bytes, name: str) -> list[Node]:
             raw = r.take(1084 + (p * 64 + row) * channels * 4, channels * 4)
             rows.append(" ".join(f"{(raw[c] & 15) << 8 | raw[c + 1]:03x}:{raw[c] & 0xF0 | raw[c + 2] >> 4:02x}:{raw[c + 2] & 15:x}{raw[c + 3]:02x}" for c in range(0, channels * 4, 4)))
         cells.append(Node(f"/module/patterns/{p}", "protracker.pattern", "tracker", [("rows", 64)], text="\n".join(rows)))
-    return [Node("/module", "protracker.mod", "tracker", [("title", r.take(0, 20).split(b"\0")[0].decode("latin-1")), ("channels", channels), ("orders", length), ("restart", restart), ("patterns", patterns), ("order", ",".join(map(str, order[:length])))]), *cells, *samples]
+    raw = r.take(1084, patterns * 64 * channels * 4)
+    status, steps, entry, length_of = control_flow(raw, channels, order[:length], restart if restart != 127 and restart < length else None)
+    flow = [("loop.status", status), ("loop.transitions", steps), *([("loop.entry-order", entry[0]), ("loop.entry-row", entry[1]), ("loop.length", length_of)] if entry else [])]
+    return [Node("/module", "protracker.mod", "tracker", [("title", r.take(0, 20).split(b"\0")[0].decode("latin-1")), ("channels", channels), ("orders", length), ("restart", restart), ("patterns", patterns), ("order", ",".join(map(str, order[:length]))), *flow]), *cells, *samples]
 
 
 def bank(data: bytes, name: str) -> list[Node]:
@@ -601,6 +671,46 @@ def powerpacker(data: bytes, name: str) -> list[Node]:
     return [Node("/content", "archive.powerpacker", "opaque", [("powerpacker.version", "PP20"), ("powerpacker.compressed-length", len(data)), ("powerpacker.uncompressed-length", size)], data=bytes(out))]
 
 
+def xpk(data: bytes, name: str) -> list[Node]:
+    """Chunks behind a checked header. Chunks that are stored come back; those of packers are listed, with a warning that says which packer."""
+    r = Reader(data)
+    tag, size, packer, plain = r.unpack(">4sI4sI", 0)
+    need(tag == b"XPKF" and size + 8 <= len(data) and size >= 28, "no packed file of this size")
+    total = 0
+    for b in r.take(0, 36):
+        total ^= b
+    need(total == 0, "the header's checksum is wrong")
+    flags, at, out, chunks, known = data[32], 36, [], 0, True
+    need(not flags & 2, "the file has a password")
+    if flags & 4:
+        at += 2 + r.unpack(">H", at)[0]
+    while True:
+        kind = r.take(at, 1)[0]
+        if flags & 1:
+            packed, own = r.unpack(">II", at + 4)
+            at += 12
+        else:
+            packed, own = r.unpack(">HH", at + 4)
+            at += 8
+        if kind == 15:
+            break
+        chunks += 1
+        need(kind in (0, 1), "a chunk of no known kind")
+        known &= kind == 0
+        body = r.take(at, packed)
+        if kind == 0:
+            need(packed == own, "a stored chunk has two sizes")
+        out.append(body)
+        at += packed + (-packed % 4)
+        need(chunks < 1 << 20 and sum(map(len, out)) <= 1 << 29, "too much data")
+    metadata = [("xpk.packer", packer.decode("latin-1")), ("xpk.compressed-length", size + 8), ("xpk.uncompressed-length", plain), ("xpk.chunks", chunks)]
+    if not known:
+        return [Node("/content", "archive.xpk", "opaque", [*metadata, ("decode.warning", f"chunks of {packer.decode('latin-1')} are not unpacked")], data=data[36 : size + 8])]
+    body = b"".join(out)
+    need(len(body) == plain, "the chunks do not make up the file")
+    return [Node("/content", "archive.xpk", "opaque", metadata, data=body)]
+
+
 def appimage(data: bytes, name: str) -> list[Node]:
     """The first kind: a program that is a disc image as well."""
     need(data[:4] == b"\x7fELF" and data[8:11] == b"AI\x01", "no program of this kind")
@@ -608,23 +718,35 @@ def appimage(data: bytes, name: str) -> list[Node]:
     return [n._replace(path="/appimage" + n.path.removeprefix("/disc"), type_id="executable.appimage-type1" if n is disc else n.type_id) for n in (disc, *files)]
 
 
-def _unzip(data: bytes, most: int) -> bytes:
-    """A zlib stream of less than ``most`` bytes."""
+def _unzip(data: bytes, most: int, packing: int = 1) -> bytes:
+    """A packed block of less than ``most`` bytes, by the image's number of its coding: 1 zlib, 2 LZMA, 4 xz, 6 Zstandard."""
     try:
-        out = zlib.decompressobj().decompress(data, most)
-    except zlib.error as e:
+        if packing == 1:
+            out = zlib.decompressobj().decompress(data, most)
+        elif packing in (2, 4):
+            out = lzma.LZMADecompressor(lzma.FORMAT_ALONE if packing == 2 else lzma.FORMAT_XZ, memlimit=1 << 28).decompress(data, most)
+        else:
+            import zstandard
+
+            try:
+                with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as stream:
+                    out = stream.read(most)
+            except zstandard.ZstdError as e:
+                raise ValueError(str(e)) from e
+    except (zlib.error, lzma.LZMAError, EOFError) as e:
         raise ValueError(str(e)) from e
     need(len(out) < most, "a block is too large")
     return out
 
 
 class _Squash:
-    """Inodes, folders and blocks of a SquashFS 4 image with deflated or plain blocks."""
+    """Inodes, folders and blocks of a SquashFS 4 image."""
 
     def __init__(self, data: bytes):
         self.r = Reader(data)
         magic, _, _, self.block, self.fragments, packing, _, flags, _, major, _, self.root, used, _, _, self.inodes, self.folders, self.fragment_table, _ = self.r.unpack("<IIIIIHHHHHHQQQQQQQQ", 0)
-        need(magic == 0x73717368 and major == 4 and packing == 1 and 4096 <= self.block <= 1 << 20 and used <= len(data), "no image, or packed otherwise")
+        self.packing = packing
+        need(magic == 0x73717368 and major == 4 and packing in (1, 2, 4, 6) and 4096 <= self.block <= 1 << 20 and used <= len(data), "no image, or packed otherwise")
         self.cache: dict[int, tuple[bytes, int]] = {}
 
     def meta(self, at: int) -> tuple[bytes, int]:
@@ -632,7 +754,7 @@ class _Squash:
         if at not in self.cache:
             (head,) = self.r.unpack("<H", at)
             raw = self.r.take(at + 2, head & 0x7FFF)
-            self.cache[at] = (raw if head & 0x8000 else _unzip(raw, 8193), at + 2 + (head & 0x7FFF))
+            self.cache[at] = (raw if head & 0x8000 else _unzip(raw, 8193, self.packing), at + 2 + (head & 0x7FFF))
         return self.cache[at]
 
     def span(self, start: int, offset: int, size: int) -> bytes:
@@ -649,13 +771,13 @@ class _Squash:
             raw = self.r.take(start, size & 0xFFFFFF)
             start += size & 0xFFFFFF
             plain = min(self.block, total - i * self.block)
-            out.append(bytes(plain) if not size else raw if size & 1 << 24 else _unzip(raw, plain + 1))
+            out.append(bytes(plain) if not size else raw if size & 1 << 24 else _unzip(raw, plain + 1, self.packing))
         if fragment != 0xFFFFFFFF:
             need(fragment < self.fragments, "no such fragment")
             (index,) = self.r.unpack("<Q", self.fragment_table + fragment // 512 * 8)
             at, size, _ = struct.unpack("<QII", self.span(index, fragment % 512 * 16, 16))
             raw = self.r.take(at, size & 0xFFFFFF)
-            out.append((raw if size & 1 << 24 else _unzip(raw, self.block + 1))[offset : offset + total % self.block])
+            out.append((raw if size & 1 << 24 else _unzip(raw, self.block + 1, self.packing))[offset : offset + total % self.block])
         body = b"".join(out)
         need(len(body) == total, "a file ends early")
         return body

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dustlens.functions.paths import MARKDOWN_SIGNS, portable_path
 from dustlens.operators.colour_cycles import Cycle, cycled_frames
+from dustlens.operators.fonts import font_of, glyph_grid, preview_text, rendered
 from dustlens.operators.lookups import deduped_names
 from dustlens.sources.codecs import lzw_encode
 
@@ -162,6 +163,12 @@ def metadata_json(row: dict) -> bytes:
     return (json.dumps(document, ensure_ascii=False, indent=2) + "\n").encode()
 
 
+def palette_of(rgba: bytes) -> list[tuple[int, int, int, int]]:
+    """The distinct colours of a picture, in order of first appearance."""
+    colours, first = np.unique(np.frombuffer(rgba, np.uint8).reshape(-1, 4), axis=0, return_index=True)
+    return [tuple(map(int, c)) for c in colours[np.argsort(first)]]
+
+
 def _image(label: str, media: str, data: bytes) -> str:
     return f'<section><h2>{label}</h2><img src="data:{media};base64,{base64.b64encode(data).decode()}" alt="{label}"></section>'
 
@@ -170,9 +177,13 @@ def html_report(row: dict) -> bytes:
     """A page without outer parts: title, type, what the resource looks or sounds like, and its metadata."""
     esc = html.escape
     kind, body = row["kind"], ""
-    if kind in ("raster", "font") and row["rgba"] is not None:
+    if kind == "font" and row["rgba"] is not None:
+        font = font_of(row)
+        sample, every = rendered(font, preview_text(font)), glyph_grid(font)
+        body = "".join(_image(label, "image/png", png(p.shape[1], p.shape[0], p.tobytes())) for label, p in (("Sample text", sample), ("Glyph grid", every)))
+    elif kind == "raster" and row["rgba"] is not None:
         moving = row.get("frames")
-        body = _image("Preview" if kind == "raster" else "Glyphs", "image/png", apng(row["width"], row["height"], [(f["ms"], f["rgba"]) for f in moving]) if moving else png(row["width"], row["height"], row["rgba"]))
+        body = _image("Preview", "image/png", apng(row["width"], row["height"], [(f["ms"], f["rgba"]) for f in moving]) if moving else png(row["width"], row["height"], row["rgba"]))
     elif kind == "palette" and row["colours"]:
         body = _image("Palette swatch", "image/png", swatch(row["colours"]))
     elif kind == "audio" and row["pcm"] is not None:
@@ -221,13 +232,21 @@ def _tracker(row: dict) -> bytes | None:
     return json.dumps({"schema": 1, "type": row["type_id"], "path": row["path"], "text": row["text"], "metadata": {m["key"]: m["value"] for m in row["metadata"]}}, ensure_ascii=False).encode()
 
 
+def _colours(row: dict) -> list[dict]:
+    """A resource's palette; of a picture without one its own colours, if they are at most 256."""
+    if row["colours"] or row["rgba"] is None or row["kind"] != "raster":
+        return row["colours"] or []
+    own = palette_of(row["rgba"])
+    return [dict(zip("rgba", c, strict=True)) for c in own] if len(own) <= 256 else []
+
+
 #: Encoders by format: a resource's row to bytes, or None where the format cannot hold it. ``register`` adds to them.
 ENCODERS: dict[str, Callable[[dict], bytes | None]] = {
     "png": _png, "apng": _apng, "gif": _gif, "gif-cycled": _turning(gif), "apng-cycled": _turning(apng), "tracker-json": _tracker,
     "bmfont": lambda row: bmfont(row["path"], row["width"], row["height"], row["metadata"]) if row["kind"] == "font" and row["rgba"] is not None else None,
     "wav": lambda row: wav(row["rate"], row["bits"], row["pcm"]) if row["pcm"] is not None else None,
-    "gpl": lambda row: gpl(row["colours"]) if row["colours"] else None,
-    "palette-swatch": lambda row: swatch(row["colours"]) if row["colours"] else None,
+    "gpl": lambda row: gpl(own) if (own := _colours(row)) else None,
+    "palette-swatch": lambda row: swatch(own) if (own := _colours(row)) else None,
     "txt": lambda row: row["text"].encode() if row["text"] is not None else None,
     "md": lambda row: markdown(row["text"]) if row["text"] is not None else None,
     "bin": lambda row: row["data"],

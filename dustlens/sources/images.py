@@ -10,6 +10,7 @@ import numpy as np
 
 from dustlens.sources.codecs import unpack_runs
 from dustlens.operators.colour_cycles import Cycle
+from dustlens.sources.listings import spectrum_basic
 from dustlens.sources.model import Node, Raster, Reader, need
 
 
@@ -375,8 +376,15 @@ def zx_screen(data: bytes, name: str) -> list[Node]:
 
 
 def zx_snapshot(data: bytes, name: str) -> list[Node]:
-    need(len(data) in (49179, 131103, 147487), "not the size of a snapshot")
-    return [Node("/", "zx-spectrum.snapshot", "group", []), *[n._replace(path="/screen") for n in zx_screen(data[27 : 27 + 6912], name)]]
+    """The screen, and the program that lies between two addresses that the machine keeps."""
+    out = [Node("/", "zx-spectrum.snapshot", "group", [])] + [n._replace(path="/screen") for n in zx_screen(data[27 : 27 + 6912], name)]
+    start, end = (struct.unpack_from("<H", data, 27 + at - 16384)[0] for at in (23635, 23627))
+    if 16384 <= start < end <= 65535:
+        try:
+            out.append(Node("/listing", "zx-spectrum.basic", "text", [("basic.start", start), ("basic.length", end - start)], text=spectrum_basic(data[27 + start - 16384 : 27 + end - 16384])))
+        except ValueError:
+            pass  # a machine without a program
+    return out
 
 
 def koala(data: bytes, name: str) -> list[Node]:

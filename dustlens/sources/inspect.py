@@ -32,7 +32,7 @@ PARSERS: dict[str, Parser] = {
     "amiga.anim": amiga.anim, "amiga.dms": amiga.dms, "executable.appimage-type1": containers.appimage, "executable.appimage-type2": containers.appimage2, "bitmap-font.bmfont": animations.bmfont,
     "ansi.art": animations.ansi, "amos.program": amiga.program,
     "flic": animations.flic, "aseprite.sprite": animations.aseprite, "zx-spectrum.gigascreen": animations.gigascreen, "zx-spectrum-next.layer2-image": animations.layer2,
-    "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
+    "archive.xpk": containers.xpk, "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
 }
 
 SCHEMA = (
@@ -42,7 +42,13 @@ SCHEMA = (
 
 
 #: Types that the registry lists but nothing reads.
-UNREAD = frozenset({"windows.inno-setup"})
+UNREAD = frozenset({"windows.inno-setup", "amiga.dr2d"})
+
+
+def register(probe: detection.Probe, parser: Parser) -> None:
+    """Adds a type, or a refiner of one (``probe.carrier``), behind those there are. Tasks see what was added before their function was sent."""
+    detection.add(probe)
+    PARSERS[probe.type_id] = parser
 
 
 def detect_bytes(data: bytes, name: str, type_id: str | None = None) -> list[tuple[detection.Probe, tuple[str, ...], list[Node], str | None]]:

@@ -160,29 +160,112 @@ def svx(data: bytes, name: str) -> list[Node]:
     return [Node("/instrument", "amiga.16sv" if bits == 16 else "amiga.8svx", "audio", metadata, audio=Audio(rate, bits, pcm.tolist()))]
 
 
+#: Bits of each code of a packed byte, the first one highest, by coding: how far differences are shifted, and from which value on the step grows (fixed values).
+VOICE_CODES = {1: ((4, 4), 0, 5), 2: ((3, 3, 2), 0, 3), 3: ((2, 2, 2, 2), 2, 1)}
+
+
+class _VoiceState:
+    """Differences of samples in steps that grow and shrink."""
+
+    def __init__(self) -> None:
+        self.level, self.step = 128, 0
+
+    def samples(self, body: bytes, coding: int, begins: bool) -> list[int]:
+        """Signed 8-bit samples; a stream's first byte is a sample as it is."""
+        sizes, shift, limit = VOICE_CODES[coding]
+        out = []
+        if begins:
+            need(len(body) > 0, "no first sample")
+            self.level, self.step, body = body[0], 0, body[1:]
+            out.append(self.level - 128)
+        for packed in body:
+            left = 8
+            for size in sizes:
+                left -= size
+                code = packed >> left & (1 << size) - 1
+                value, down = code & (1 << size - 1) - 1, code >> size - 1
+                way = value << self.step + shift
+                self.level = max(0, self.level - way) if down else min(255, self.level + way)
+                out.append(self.level - 128)
+                self.step = min(3, self.step + 1) if value >= limit else max(0, self.step - 1) if value == 0 else self.step
+        return out
+
+
 def voice(data: bytes, name: str) -> list[Node]:
-    """8-bit and 16-bit PCM blocks; silence is kept as zeros."""
+    """PCM of 8 and 16 bits, and packed samples of 4, 2.6 and 2 bits, in blocks that may repeat; silence is kept as zeros."""
     r = Reader(data)
     need(r.take(0, 20) == b"Creative Voice File\x1a", "no voice file")
     at, version, check = r.unpack("<HHH", 20)
-    need(check == (~version + 0x1234) & 0xFFFF, "the check word is wrong")
-    rate, bits, channels, pcm, blocks = 0, 8, 1, [], 0
-    while at < len(data) and (kind := data[at]):
+    need(check == (~version + 0x1234) & 0xFFFF and 26 <= at <= len(data), "the check word is wrong")
+    form: tuple[int, int, int] | None = None
+    steps: list[tuple[str, bytes | int, int, bool]] = []  # what makes samples: coding and data, or a silence
+    loops: list[tuple[int, int]] = []
+    extended, coding, blocks = None, None, 0
+
+    def agreed(rate: int, bits: int, channels: int) -> None:
+        nonlocal form
+        need(rate > 0 and bits in (8, 16) and channels in (1, 2) and form in (None, (rate, bits, channels)), "the sound changes its format")
+        form = rate, bits, channels
+
+    while at < len(data):
+        kind, blocks = data[at], blocks + 1
+        need(blocks <= 1 << 20 and len(steps) <= 1 << 20, "too many blocks")
+        if kind == 0:
+            need(at + 1 == len(data), "data behind the end")
+            break
+        if kind == 7:
+            need(bool(loops), "a repeat ends that did not begin")
+            first, count = loops.pop()
+            steps += steps[first:] * (count - 1)
+            at += 1
+            continue
         size = int.from_bytes(r.take(at + 1, 3), "little")
         body = r.take(at + 4, size)
-        blocks += 1
+        need(extended is None or kind == 1, "an extension without sound")
         if kind == 1:
-            need(body[1] == 0, "unsupported coding")
-            rate = rate or 1000000 // (256 - body[0])
-            pcm += [b - 128 for b in body[2:]]
+            need(size >= 2, "no sound")
+            if extended:
+                constant, coding, mode = extended
+                agreed(256_000_000 // ((mode + 1) * (65536 - constant)), 8, mode + 1)
+            else:
+                coding = body[1]
+                agreed(1_000_000 // (256 - body[0]), 8, 1)
+            steps.append(("data", body[2:], coding, True))
+            extended = None
         elif kind == 2:
-            pcm += [b - 128 for b in body]
+            need(coding is not None, "sound goes on that did not begin")
+            steps.append(("data", body, coding, False))
         elif kind == 3:
-            pcm += [0] * (int.from_bytes(body[:2], "little") + 1)
+            need(size == 3, "odd silence")
+            agreed(*(form or (1_000_000 // (256 - body[2]), 8, 1)))
+            steps.append(("silence", int.from_bytes(body[:2], "little") + 1, 0, False))
+        elif kind == 6:
+            count = int.from_bytes(body[:2], "little") + 1
+            need(count < 65536, "a repeat without end")
+            loops.append((len(steps), count))
+        elif kind == 8:
+            extended = Reader(body).unpack("<HBB", 0)
+            need(extended[2] in (0, 1), "odd channels")
         elif kind == 9:
             rate, bits, channels, coding = Reader(body).unpack("<IBBH", 0)
-            need((bits, coding) in ((8, 0), (16, 4)), "unsupported coding")
-            pcm += [b - 128 for b in body[12:]] if bits == 8 else np.frombuffer(body[12:], "<i2").tolist()
+            agreed(rate, bits, channels)
+            steps.append(("data", body[12:], coding, True))
         at += 4 + size
-    need(bool(rate) and channels in (1, 2) and len(pcm) % channels == 0, "no sound")
+    need(form is not None and not loops, "no sound, or a repeat without end")
+    rate, bits, channels = form
+    pcm: list[int] = []
+    state = _VoiceState()
+    for what, body, how, begins in steps:
+        if what == "silence":
+            pcm += [0] * (body * channels)
+        elif how == 0 and bits == 8:
+            pcm += [b - 128 for b in body]
+        elif how == 4 and bits == 16:
+            need(len(body) % 2 == 0, "half a sample")
+            pcm += np.frombuffer(body, "<i2").tolist()
+        else:
+            need(how in VOICE_CODES and bits == 8 and channels == 1, "unsupported coding")
+            pcm += state.samples(body, how, begins)
+        need(len(pcm) <= 1 << 26, "too many samples")
+    need(len(pcm) % channels == 0, "odd channels")
     return [Node("/audio", "creative.voice", "audio", [("version.major", version >> 8), ("version.minor", version & 255), ("blocks", blocks), ("channels", channels), ("sample-rate", rate), ("bits-per-sample", bits), ("samples", len(pcm) // channels)], audio=Audio(rate, bits, [pcm[c::channels] for c in range(channels)]))]
