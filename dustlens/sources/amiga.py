@@ -273,8 +273,24 @@ def pbm(data: bytes, name: str) -> list[Node]:
     return _picture("amiga.pbm", head, _colours(own), pixels.astype(int))
 
 
+def _pixel_runs(data: bytes, width: int, height: int, size: int) -> bytes:
+    """Pixels of ``size`` bytes: a count and as many pixels, or a negative count and one pixel to repeat."""
+    r, out, at = Reader(data), bytearray(), 0
+    for row in range(1, height + 1):
+        while len(out) < row * width * size:
+            (n,) = r.unpack("b", at)
+            at += 1
+            if n == -128:
+                continue
+            pixels = r.take(at, size * (n + 1 if n >= 0 else 1))
+            at += len(pixels)
+            out += pixels * (1 if n >= 0 else 1 - n)
+        need(len(out) == row * width * size, "a run leaves its row")
+    return bytes(out)
+
+
 def deep(data: bytes, name: str) -> list[Node]:
-    """True-colour pixels of whole bytes, not packed."""
+    """True-colour pixels of whole bytes, as they are or in runs of pixels that end with their row."""
     kind, chunks = iff_chunks(data)
     own = dict(reversed(chunks))
     need(kind == "DEEP" and {"DGBL", "DPEL", "DBOD"} <= set(own), "no deep bitmap")
@@ -283,8 +299,9 @@ def deep(data: bytes, name: str) -> list[Node]:
     parts = [layout.unpack(">HH", 4 + 4 * i) for i in range(min(16, layout.unpack(">I", 0)[0]))]
     if "DLOC" in own:
         width, height = Reader(own["DLOC"]).unpack(">HH", 0)
-    need(packing == 0 and width > 0 and height > 0 and bool(parts) and all(bits == 8 for _, bits in parts), "unsupported packing or depth")
-    raw = np.frombuffer(Reader(own["DBOD"]).take(0, width * height * len(parts)), np.uint8).reshape(height, width, len(parts))
+    need(packing in (0, 1) and 0 < width * height <= 1 << 26 and bool(parts) and all(bits == 8 for _, bits in parts), "unsupported packing or depth")
+    body = own["DBOD"] if packing == 0 else _pixel_runs(own["DBOD"], width, height, len(parts))
+    raw = np.frombuffer(Reader(body).take(0, width * height * len(parts)), np.uint8).reshape(height, width, len(parts))
     rgba = np.full((height, width, 4), 255, np.uint8)
     for i, (what, _) in enumerate(parts):
         if 1 <= what <= 4:
@@ -367,8 +384,75 @@ def _bytes_down(delta: bytes, rows: np.ndarray) -> None:
                 y += size
 
 
+def _units_along(delta: bytes, rows: np.ndarray, size: int) -> None:
+    """Runs of words of two or four bytes along a plane: an offset from the last word and one word, or a negative offset, a count and as many; -1 ends a plane."""
+    r, (height, planes, line) = Reader(delta), rows.shape
+    need(height * line % size == 0, "a plane is no whole number of words")
+    for plane in range(planes):
+        (at,) = r.unpack(">I", 4 * plane)
+        if not at:
+            continue
+        need(at >= 32, "a plane begins among the pointers")
+        flat, place = rows[:, plane].reshape(-1).copy(), 0
+        while True:
+            (step,) = r.unpack(">h", at)
+            at += 2
+            if step == -1:
+                break
+            count = 1
+            if step < 0:
+                (count,) = r.unpack(">H", at)
+                at, step = at + 2, -step - 1
+            place += step
+            need(count > 0 and 0 <= place and (place + count) * size <= len(flat), "a run leaves the picture")
+            flat[place * size : (place + count) * size] = np.frombuffer(r.take(at, count * size), np.uint8)
+            at, place = at + count * size, place + count - 1
+        rows[:, plane] = flat.reshape(height, line)
+
+
+def _units_by_list(delta: bytes, rows: np.ndarray, bits: int) -> None:
+    """Words and, apart from them, a list of places and counts (a negative count repeats one word), along the rows or down a column, put or mixed in."""
+    r, (height, planes, line) = Reader(delta), rows.shape
+    size, info = 4 if bits & 1 else 2, ">i" if bits & 0x20 else ">h"
+    wide = 4 if bits & 0x20 else 2
+    need(bits < 0x40 and line % size == 0, "unknown options")
+    stride = line // size if bits & 0x10 else 1
+    for plane in range(planes):
+        words, places = (2 * r.unpack(">I", 4 * (plane + 8 * k))[0] for k in (0, 1))
+        if not words:
+            continue
+        need(words >= 64 and places >= 64, "a plane begins among the pointers")
+        flat = rows[:, plane].reshape(-1, size).copy()
+        while True:
+            (place,) = r.unpack(info, places)
+            places += wide
+            if place == -1:
+                break
+            (count,) = r.unpack(info, places)
+            places += wide
+            n = abs(count)
+            need(place >= 0 and (count >= 0 or bits & 8) and (not n or place + (n - 1) * stride < len(flat)), "a run leaves the picture")
+            if n:
+                own = np.frombuffer(r.take(words, size * (1 if count < 0 else n)), np.uint8).reshape(-1, size)
+                words += own.size
+                spots = place + stride * np.arange(n)
+                flat[spots] = flat[spots] ^ own if bits & 2 else own
+        rows[:, plane] = flat.reshape(height, line)
+
+
+def _mixed_in(body: bytes, rows: np.ndarray, mask: int, width: int, height: int, x: int, y: int, packing: int) -> None:
+    """A rectangle of some planes whose bits turn those of the picture."""
+    planes = [p for p in range(rows.shape[1]) if mask >> p & 1]
+    need(bool(planes) and width > 0 and height > 0 and x >= 0 and y >= 0 and x + width <= rows.shape[2] * 8 and y + height <= rows.shape[0], "a rectangle leaves the picture")
+    own = np.unpackbits(line_rows(body, width, height, len(planes), packing), axis=2)[:, :, :width]
+    for k, plane in enumerate(planes):
+        bits = np.unpackbits(rows[y : y + height, plane], axis=1)
+        bits[:, x : x + width] ^= own[:, k]
+        rows[y : y + height, plane] = np.packbits(bits, axis=1)
+
+
 def anim(data: bytes, name: str) -> list[Node]:
-    """A first picture, and vertical byte deltas against the frame two, or as many as it says, before."""
+    """A first picture, then whole pictures (method 0), mixed-in rectangles (1), or deltas of words (2, 3, 4) or bytes (5) against the frame two, or as many as it says, before."""
     kind, forms = iff_chunks(data)
     need(kind == "ANIM" and bool(forms) and all(n == "FORM" and v[:4] == b"ILBM" for n, v in forms) and len(forms) <= 10_000, "no animation of bitmaps")
     parts = [dict(reversed(iff_chunks(b"FORM" + len(v).to_bytes(4, "big") + v)[1])) for _, v in forms]
@@ -380,11 +464,22 @@ def anim(data: bytes, name: str) -> list[Node]:
     kept, frames = [line_rows(parts[0]["BODY"], width, height, planes, packing)], [(0, still.raster.rgba)]
     colours = _colours(parts[0])
     for own in parts[1:]:
-        op, _, _, _, _, _, _, jiffies, back = Reader(own.get("ANHD", b"")).unpack(">BBHHhhIIB", 0)
-        need(op == 5, f"unsupported method {op}")
+        told = Reader(own.get("ANHD", b""))
+        op, mask, w, h, x, y, _, jiffies, back = told.unpack(">BBHHhhIIB", 0)
+        bits = told.unpack(">I", 20)[0] if len(told.data) >= 24 else 0
+        need(op in (0, 1, 2, 3, 4, 5), f"unsupported method {op}")
         rows = kept[max(0, len(kept) - (back or 2))].copy()
-        if "DLTA" in own:
-            _bytes_down(own["DLTA"], rows)
+        if op == 0 and "BODY" in own:
+            rows = line_rows(own["BODY"], width, height, planes, _bitmap_head(own)[6] if "BMHD" in own else packing)
+        elif op == 1 and "BODY" in own:
+            _mixed_in(own["BODY"], rows, mask, w, h, x, y, packing)
+        elif "DLTA" in own:
+            if op == 5:
+                _bytes_down(own["DLTA"], rows)
+            elif op == 4:
+                _units_by_list(own["DLTA"], rows, bits)
+            else:
+                _units_along(own["DLTA"], rows, 4 if op == 2 else 2)
         colours = _colours(own) if "CMAP" in own else colours
         kept.append(rows)
         kept = kept[-256:]

@@ -13,7 +13,7 @@ from dustlens.sources.codecs import crc16, inflate, unpack_lh5
 from dustlens.sources.doom import scenery
 from dustlens.sources.images import bmp, iff_chunks, png
 from dustlens.sources.listings import spectrum_basic
-from dustlens.sources.model import Audio, Node, Reader, need, safe_name
+from dustlens.sources.model import Audio, Node, Raster, Reader, need, safe_name
 
 
 def _tree(root: str, type_id: str, metadata: list, files: list[tuple[str, list, bytes | None]]) -> list[Node]:
@@ -607,12 +607,91 @@ def module(data: bytes, name: str) -> list[Node]:
     return [Node("/module", "protracker.mod", "tracker", [("title", r.take(0, 20).split(b"\0")[0].decode("latin-1")), ("channels", channels), ("orders", length), ("restart", restart), ("patterns", patterns), ("order", ",".join(map(str, order[:length]))), *flow]), *cells, *samples]
 
 
+def _bank_samples(payload: bytes) -> list[Node]:
+    """Sounds of a name, a rate and signed bytes each, one behind the other."""
+    r = Reader(payload)
+    (count,) = r.unpack(">H", 0)
+    need(count <= 4096, "too many samples")
+    at, out = 2 + 4 * count, []
+    for i in range(count):
+        (place,) = r.unpack(">I", 2 + 4 * i)
+        title, rate, size = r.unpack(">8sHI", place)
+        need(place == at and rate > 0 and size > 0, "samples do not follow each other")
+        body = np.frombuffer(r.take(place + 14, size), np.int8)
+        label = title.split(b"\0")[0].decode("ascii").rstrip()
+        out.append(Node(f"/bank/samples/{i + 1}", "amos.sample", "audio", [("sample.name", label), ("sample-rate", rate), ("samples", size)], audio=Audio(rate, 8, [body.tolist()])))
+        at = place + 14 + size
+    need(at == len(payload), "data behind the samples")
+    return out
+
+
+def packed_picture(payload: bytes) -> tuple[int, int, bytes, list[tuple[int, int, int, int]]]:
+    """Width, height, RGBA and palette of a picture whose bytes change only where a bit of a second stream says so, whose own bytes change only where a bit of a third one does."""
+    r = Reader(payload)
+    need(r.unpack(">I", 0)[0] in (0x12031990, 0x00031990, 0x12030090), "no screen, so no colours")
+    count, planes = r.unpack(">HH", 22)
+    words = r.unpack(">32H", 26)
+    magic, _, _, line, lumps, high, own, bits_at, points_at = r.unpack(">IHHHHHHII", 90)
+    need(magic == 0x06071963 and own == planes and line > 0 and lumps > 0 and high > 0 and 1 <= planes <= 6 and line * lumps * high * planes <= 1 << 26, "no picture")
+    needed = 32 if planes == 6 else 1 << planes
+    need(needed <= count <= 32, "too few colours")
+    values, flags, points = 90 + 24, 90 + bits_at, 90 + points_at
+    end = min(flags, points)
+    need(values < end and flags < len(payload) and points < len(payload), "streams are outside of the picture")
+
+    def bits(at: int):
+        """The bits of a stream from a place on, highest first."""
+        while True:
+            need(at < len(payload), "a stream ends early")
+            for k in range(7, -1, -1):
+                yield payload[at] >> k & 1
+            at += 1
+
+    change, flag, again = payload[values], payload[flags], bits(points)
+    values, flags = values + 1, flags + 1
+    if next(again):
+        flag = r.take(flags, 1)[0]
+        flags += 1
+    height, left = lumps * high, 7
+    out = np.zeros((planes, height, line), np.uint8)
+    for plane in range(planes):
+        for lump in range(lumps):
+            for column in range(line):
+                for row in range(lump * high, lump * high + high):
+                    if flag >> left & 1:
+                        need(values < end, "a stream ends early")
+                        change, values = payload[values], values + 1
+                    out[plane, row, column] = change
+                    left -= 1
+                    if left < 0:
+                        left = 7
+                        if next(again, 0):
+                            flag = r.take(flags, 1)[0]
+                            flags += 1
+    pixels = (np.unpackbits(out, axis=2).astype(np.uint8) << np.arange(planes, dtype=np.uint8)[:, None, None]).sum(axis=0)
+    palette = [tuple((w >> k & 15) * 17 for k in (8, 4, 0)) for w in words[:count]]
+    if planes == 6:
+        palette = palette[:32] + [tuple(v >> 1 for v in c) for c in palette[:32]]
+    colours = np.array([(*c, 255) for c in palette], np.uint8)
+    return line * 8, height, colours[pixels].tobytes(), [(*c, 255) for c in palette]
+
+
 def bank(data: bytes, name: str) -> list[Node]:
+    """A bank's bytes or, of the kinds that are known, its sounds or its picture; what does not hold stays as it is."""
     r = Reader(data)
     tag, number, _, size, label = r.unpack(">4sHHI8s", 0)
     need(tag == b"AmBk" and (size & 0x0FFFFFFF) - 8 == len(data) - 20, "no bank of this size")
-    title = label.decode("latin-1").strip()
-    return [Node("/bank", f"amos.bank.{title.lower() or 'data'}", "opaque", [("bank.number", number), ("bank.label", title), ("data.length", len(data) - 20)], data=data[20:])]
+    title, payload = label.decode("latin-1").strip(), data[20:]
+    metadata: list[tuple[str, str | int]] = [("bank.number", number), ("bank.label", title), ("data.length", len(payload))]
+    try:
+        if title == "Samples":
+            return [Node("/bank", "amos.bank.samples", "group", metadata), *_bank_samples(payload)]
+        if title == "Pac.Pic.":
+            width, height, rgba, palette = packed_picture(payload)
+            return [Node("/picture", "amos.packed-picture", "raster", metadata, raster=Raster(width, height, rgba), palette=palette)]
+    except (ValueError, struct.error, UnicodeDecodeError) as e:
+        metadata.append(("failure", str(e)))
+    return [Node("/bank", f"amos.bank.{title.lower() or 'data'}", "opaque", metadata, data=payload)]
 
 
 def pdf(data: bytes, name: str) -> list[Node]:

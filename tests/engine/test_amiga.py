@@ -505,3 +505,84 @@ def test_orientation(way):
     turned = {1: plain, 2: plain[:, ::-1], 3: np.rot90(plain, 2), 4: plain[::-1], 5: plain.transpose(1, 0, 2), 6: np.rot90(plain, -1), 7: np.rot90(plain, 2).transpose(1, 0, 2), 8: np.rot90(plain)}[way]
     assert (node.raster.width, node.raster.height) == (turned.shape[1], turned.shape[0]) and node.raster.rgba == np.ascontiguousarray(turned).tobytes()
     assert dict(node.metadata)["exif.orientation"] == way
+
+
+def moving(op, parts, first=b"\xf0\0\x0f\0", bits=0, box=(8, 2, 0, 0), mask=1):
+    """An animation of 8 by 2 pixels in one plane: the lines of its frames."""
+    head = struct.pack(">HHhhBBBBHBB", 8, 2, 0, 0, 1, 0, 0, 0, 0, 1, 1)
+    still = chunks(b"ILBM", (b"BMHD", head), (b"CMAP", bytes([0, 0, 0, 255, 255, 255])), (b"BODY", first))
+    body = still
+    for part in parts:
+        anhd = struct.pack(">BBHHhhIIBBI", op, mask, *box, 0, 6, 1, 0, bits).ljust(40, b"\0")
+        body += chunks(b"ILBM", (b"ANHD", anhd), (b"BODY" if op < 2 else b"DLTA", part))
+    node = nodes_of(b"FORM" + struct.pack(">I", len(body) + 4) + b"ANIM" + body)[0]
+    return [[int("".join(str(v & 1) for v in rgba[y * 32 : y * 32 + 32 : 4]), 2) for y in (0, 1)] for _, rgba in node.frames]
+
+
+def test_animations_by_other_methods():
+    pointers = lambda at, n=8: struct.pack(f">{n}I", at, *[0] * (n - 1))
+    assert moving(0, [b"\1\0\2\0"])[1] == [1, 2]
+    assert moving(1, [b"\xff\0\xff\0"])[1] == [0x0F, 0xF0]
+    assert moving(1, [b"\xf0\0"], box=(4, 1, 2, 1))[1] == [0xF0, 0x0F ^ 0b00111100]
+    # Words of two bytes: the second word is set, by itself and by a run of one.
+    assert moving(3, [pointers(32) + struct.pack(">hHh", 1, 0xAA00, -1)])[1] == [0xF0, 0xAA]
+    assert moving(3, [pointers(32) + struct.pack(">hHHh", -2, 1, 0x0200, -1)])[1] == [0xF0, 2]
+    assert moving(2, [pointers(32) + struct.pack(">hIh", 0, 0x03000400, -1)])[1] == [3, 4]
+    lists = struct.pack(">16I", 32, *[0] * 7, 34, *[0] * 7)
+    assert moving(4, [lists + struct.pack(">HHhhh", 0x1100, 0, 1, 1, -1)])[1] == [0xF0, 0x11]
+    assert moving(4, [lists + struct.pack(">HHhhh", 0xFF00, 0, 0, -2, -1)], bits=8 | 2)[1] == [0x0F, 0xF0]
+    assert moving(4, [lists + struct.pack(">HHhhh", 0x1200, 0x3400, 0, 2, -1)[:4] + struct.pack(">hhh", 0, 2, -1)], bits=0x10)[1] == [0x12, 0x34]
+
+
+def test_deep_runs():
+    body = bytes([1, 1, 2, 3, 4, 5, 6, 0xFF, 7, 8, 9]) + b"\0"
+    deep = chunks(b"DEEP", (b"DGBL", struct.pack(">HHHBB", 2, 2, 1, 1, 1)), (b"DPEL", struct.pack(">I6H", 3, 1, 8, 2, 8, 3, 8)), (b"DBOD", body))
+    assert nodes_of(deep)[0].raster.rgba == bytes([1, 2, 3, 255, 4, 5, 6, 255, 7, 8, 9, 255, 7, 8, 9, 255])
+
+
+def test_bank_of_samples():
+    sounds = [b"\1\xff", b"\x80\x7f\0"]
+    at, table, body = 2 + 8, b"", b""
+    for i, sound in enumerate(sounds):
+        table += struct.pack(">I", at)
+        body += struct.pack(">8sHI", b"s%d" % i, 8000 + i, len(sound)) + sound
+        at += 14 + len(sound)
+    payload = struct.pack(">H", 2) + table + body
+    make = lambda p: b"AmBk" + struct.pack(">HHI", 5, 0, 8 + len(p)) + b"Samples " + p
+    group, *own = nodes_of(make(payload))
+    assert group.kind == "group" and [(n.path, n.audio.rate, n.audio.channels) for n in own] == [("/bank/samples/1", 8000, [[1, -1]]), ("/bank/samples/2", 8001, [[-128, 127, 0]])]
+    damaged = nodes_of(make(payload + b"x"))
+    assert damaged[0].kind == "opaque" and dict(damaged[0].metadata)["failure"]
+
+
+def test_packed_picture():
+    """Packed here by the rule that the reader follows backwards: bytes, bits that tell where they change, bits that tell where those change."""
+    rng = np.random.default_rng(6)
+    planes, lumps, high, line = 2, 3, 4, 3
+    want = rng.integers(0, 3, (planes, lumps * high, line)).astype(np.uint8) * 85
+    order = [(p, lump * high + row, c) for p in range(planes) for lump in range(lumps) for c in range(line) for row in range(high)]
+    values, flags, last = [0], [], 0
+    for place in order:
+        v = int(want[place])
+        flags.append(int(v != last))
+        if v != last:
+            values.append(v)
+        last = v
+    flags += [0] * (-len(flags) % 8)
+    bytes_ = [int("".join(map(str, flags[i : i + 8])), 2) for i in range(0, len(flags), 8)]
+    stored, points, last = [0], [], 0
+    for b in bytes_ + [bytes_[-1]]:
+        points.append(int(b != last))
+        if b != last:
+            stored.append(b)
+        last = b
+    points += [0] * (-len(points) % 8)
+    picture = bytes(values) + bytes(stored) + bytes(int("".join(map(str, points[i : i + 8])), 2) for i in range(0, len(points), 8))
+    head = struct.pack(">IHHHHHHII", 0x06071963, 0, 0, line, lumps, high, planes, 24 + len(values), 24 + len(values) + len(stored))
+    colours = [0x000, 0xF00, 0x0F0, 0x12F]
+    screen = struct.pack(">I11H32H", 0x12031990, 24, 12, 0, 0, 24, 12, 0, 0, 0, 4, planes, *colours, *[0] * 28)
+    payload = screen + head + picture
+    node = nodes_of(b"AmBk" + struct.pack(">HHI", 1, 0, 8 + len(payload)) + b"Pac.Pic." + payload)[0]
+    numbers = (np.unpackbits(want, axis=2).astype(int) << np.arange(planes)[:, None, None]).sum(axis=0)
+    table = np.array([[(c >> k & 15) * 17 for k in (8, 4, 0)] + [255] for c in colours], np.uint8)
+    assert node.path == "/picture" and node.raster.rgba == table[numbers].tobytes()
