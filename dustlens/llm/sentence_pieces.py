@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +20,14 @@ from dustlens.llm.common import table, texts_of
 #: The vocabulary file, by the name under which the installed package of public tokenizers knows it.
 MODEL = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers, and pairs of pieces of which it remembers whether they stay apart, at most.
-REMEMBERED, REMEMBERED_PAIRS = 400_000, 2_000_000
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 1_500_000
 #: Words from this length on are walked through one by one.
 LONG = 256
 #: Places of a long word whose pieces are looked up at once.
 STRETCH = 1 << 15
 
-#: Rows that are encoded together.
-ROWS = 1000
+#: Bytes of text that are encoded together, or one longer text.
+BATCH_BYTES = 3 << 20
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -133,7 +134,7 @@ class Pieces:
         pieces, self.merges = model.pieces, model.merges
         self.size = len(pieces)
         normal = [(i, t) for i, (t, _, k) in enumerate(pieces) if k == NORMAL]
-        of = {t: i for i, t in normal}
+        self.named = of = {t: i for i, t in normal}
         self.score = np.array([s for _, s, _ in pieces])
         self.byte = np.zeros(256, np.int64)
         for i, (t, _, k) in enumerate(pieces):
@@ -161,7 +162,7 @@ class Pieces:
             joins += [(of[t[:j]], of[t[j:]], i) for j in range(1, len(t)) if t[:j] in of and t[j:] in of]
         left, right, whole = np.array(joins, np.int64).reshape(-1, 3).T
         self.joins = SortedKeys(_pair_key(left, right), whole)
-        self.join_of = {(a, b): i for a, b, i in joins}
+        self.join_of: dict[tuple[int, int], int] | None = None  # the same by both numbers, for long words
         # Pairs of pieces of which it is known whether merging leaves them apart; the fresh ones are sorted in later.
         self.pairs, self.fresh = SortedKeys(np.zeros(1, np.uint64), np.zeros(1, bool)), {}
         self.single: dict[int, bool] = {}  # the same for long words, by both numbers
@@ -294,6 +295,9 @@ class Pieces:
 
     def _joined(self, left: int, right: int) -> int:
         """The piece that two neighbours merge to; -1 if none."""
+        if self.join_of is None:
+            of = self.named
+            self.join_of = {(of[t[:j]], of[t[j:]]): i for t, i in of.items() for j in range(1, len(t)) if t[:j] in of and t[j:] in of}
         return self.join_of.get((left, right), -1) if left >= 0 and right >= 0 else -1
 
     def _walk(self, word: np.ndarray) -> np.ndarray:
@@ -438,20 +442,35 @@ def pieces(model: str = MODEL) -> Pieces:
         return Pieces(f.read())
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _parts(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which ``column`` has some ``BATCH_BYTES`` of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """(doc_id, text, ids), a row for each row of ``docs``, without a shuffle: ids equal to those of the library for the model file.
 
     A null is the empty text, which has no ids. Whole texts are encoded, however long. Repeated
     rows are encoded each; other columns are not read; an empty table gives an empty result.
+    ``with_decoded`` adds what the same worker decodes from the ids (see ``decode_documents``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+            for part in _parts(batch, batch.column(1)):
                 ids, ends = pieces(model).encode_flat(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "text", "ids"])
+                own = [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if with_decoded:
+                    own.append(pa.array(pieces(model).decode([ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]), pa.string()))
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "text", "ids", "decoded"][: len(own)])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>" + (", decoded string" if with_decoded else ""))
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -460,7 +479,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 own = part.column(place)
                 texts = pieces(model).decode([np.zeros(0, np.int64) if x is None else x for x in own.to_numpy(zero_copy_only=False)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t if ok else None for t, ok in zip(texts, own.is_valid().to_pylist(), strict=True)], pa.string())], names=[*part.schema.names, "decoded"])
@@ -472,6 +491,6 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, round_trip) of all ``documents``; see ``encode_documents`` for nulls, empty texts and repeated rows."""
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    both = encode_documents(table(spark, sf_dir, "documents"), with_decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))

@@ -37,14 +37,15 @@ def awkward(spark):
 OPERATORS = {
     "repeats": repeats.cut_repeats,
     "tokens": token_counts.count_tokens,
-    "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.ToxicityModel([b"bad clown", b"good day"] * 8, [1, 0] * 8, {b"bad": 4.0, b"clown": 5.0, b"day": 9.0, b"good": 8.0}, 20.0)),
+    "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.ToxicityModel([b"bad clown", b"good day"] * 8, [1, 0] * 8, toxicity.Vocabulary([b"bad", b"clown", b"day", b"good"], [[], []]), np.array([4.0, 5.0, 9.0, 8.0, 20.0]))),
     "simhash": simhash.near_groups,
     "pii": pii.find_pii,
     "quality": quality.judge_quality,
     "packing": packing.pack_documents,
     "exact": exact_dedup.exact_dedup,
     "pieces": lambda d: sentence_pieces.decode_documents(sentence_pieces.encode_documents(d)),
-    "without_toxic": lambda d: toxicity.without_toxic(d, toxicity.ToxicityModel([], [], {}, 0.0)),
+    "both ways": lambda d: sentence_pieces.encode_documents(d, with_decoded=True),
+    "without_toxic": lambda d: toxicity.without_toxic(d, toxicity.ToxicityModel([], [], toxicity.Vocabulary([], [[], []]), np.ones(1))),
     "without_copies": exact_dedup.without_copies,
     "without_near": simhash.without_near_copies,
     "redact": pii.redact,
@@ -145,6 +146,13 @@ def test_pieces_equal_the_library():
     assert sentence_pieces.pieces().decode([np.array(x, int) for x in own]) == [library.decode(x) for x in own]
 
 
+def test_both_ways_at_once_and_one_by_one(awkward, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "BATCH_BYTES", 400)
+    once = sorted(map(str, sentence_pieces.encode_documents(awkward, with_decoded=True).collect()))
+    assert once == sorted(map(str, sentence_pieces.decode_documents(sentence_pieces.encode_documents(awkward)).collect()))
+    assert all(r["text"] == r["decoded"] for r in sentence_pieces.encode_documents(awkward, with_decoded=True).collect())
+
+
 def test_long_words_equal_the_library():
     import public_tokenizers
     import sentencepiece
