@@ -397,6 +397,29 @@ def tzx(members: Members) -> bytes:
     return out
 
 
+def basic(rows: list[tuple]) -> bytes:
+    """A program on tape: LET n = a number, in letters and in the machine's own form, and PRINT of a string."""
+    program = b""
+    for (k,) in rows:
+        body = b"\xf1n=%d\x0e\0\0\0\0\0:\xf5\"x\"\r" % k
+        program += struct.pack(">H", k % 9000) + struct.pack("<H", len(body)) + body
+
+    def block(body: bytes) -> bytes:
+        x = 0
+        for b in body:
+            x ^= b
+        return struct.pack("<H", len(body) + 1) + body + bytes([x])
+
+    return block(b"\0" + struct.pack("<B10sHHH", 0, b"program   ", len(program), 32768, len(program))) + block(b"\xff" + program)
+
+
+def drawing(rows: list[tuple]) -> bytes:
+    """Squares, those of even numbers in groups."""
+    square = struct.pack(">H8f", 4, 1, 1, 5, 1, 5, 5, 1, 5)
+    parts = [(b"CPLY", square) if k % 2 else (b"FORM", form(b"DR2D", (b"GRUP", b"\0\1"), (b"CPLY", square))[8:]) for (k,) in rows]
+    return form(b"DR2D", (b"DRHD", struct.pack(">4f", 0, 0, 8, 8)), (b"CMAP", bytes(3)), (b"ATTR", struct.pack(">BBBBHHHf", 1, 0, 0, 0, 0, 0, 0, 0)), *parts)
+
+
 def bank(members: Members) -> bytes:
     body = b"".join(b for _, b in members)
     return struct.pack(">4sHHI8s", b"AmBk", 1, 0, 8 + len(body), b"Data    ") + body

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustlens.functions import binary, paths
+from dustlens.functions import binary, paths, text
 from dustlens.operators import colour_cycles, detection, extraction, lookups
 from dustlens.plans import packers
-from dustlens.sources import codecs, export
+from dustlens.sources import codecs, export, session
 from dustlens.sources.inspect import animation_frames, database_rows, inspect, metadata_rows, pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,6 +230,26 @@ def export_metadata_json(spark, sf_dir):
     return made.select("source_id", F.get_json_object(text, "$.path").alias("path"), F.get_json_object(text, "$.kind").alias("kind"), F.coalesce(F.json_array_length(F.get_json_object(text, "$.children")), F.lit(0)).cast("long").alias("children"))
 
 
+# Sessions: descriptions first, then what is asked for.
+
+
+@query("session_expand", f"WITH {_MEMBERS} SELECT source_id, path, kind = 'group' AS is_group, bytes AS estimated_bytes FROM tree WHERE len(string_split(path, '/')) = 4 AND path LIKE '/archive/1/%'")
+def session_expand(spark, sf_dir):
+    opened = session.open_session(page_files(spark, sf_dir, "pages.zip", packers.zip_file, folders=True))
+    return session.expand(opened, "/archive/1").select("source_id", "path", (F.col("kind") == "group").alias("is_group"), "estimated_bytes")
+
+
+@query("session_payload_chunks", f"WITH {_MEMBERS} SELECT source_id, path, k::INT AS chunk, (k * 16)::BIGINT AS \"offset\", substr(url, k * 16 + 1, 16) AS text FROM (SELECT *, unnest(range((strlen(url) + 15) // 16)) AS k FROM members) x")
+def session_payload_chunks(spark, sf_dir):
+    return session.stream_payload(page_tree(spark, sf_dir), 16).select("source_id", "path", "chunk", "offset", F.decode("data", "UTF-8").alias("text"))
+
+
+@query("session_projection", f"WITH {_MEMBERS} SELECT source_id, path, CASE kind WHEN 'file' THEN 'opaque' ELSE kind END AS kind FROM tree")
+def session_projection(spark, sf_dir):
+    rows = session.projection(page_tree(spark, sf_dir))
+    return rows.select("source_id", F.get_json_object("json", "$.path").alias("path"), F.get_json_object("json", "$.kind").alias("kind"))
+
+
 # Lookups.
 
 
@@ -257,6 +277,33 @@ def chunk_extent(spark, sf_dir):
     return lookups.extents(rows, "l_orderkey", "offset", F.lit(100)).select("l_orderkey", "l_linenumber", F.col("extent").cast("long").alias("extent"))
 
 
+@query("copy_names", "SELECT p_partkey, CASE WHEN k = 1 THEN p_type ELSE p_type || '-copy-' || (k - 1) END AS copy_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k FROM part) p")
+def copy_names(spark, sf_dir):
+    return lookups.copy_names(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_type").select("p_partkey", "copy_name")
+
+
+@query("best_generation", "SELECT p_brand, p_size, p_partkey AS value FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) p WHERE k = 1")
+def best_generation(spark, sf_dir):
+    return lookups.best_generation(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_partkey", "p_partkey")
+
+
+@query("last_ends", "SELECT l_orderkey, max(l_quantity::BIGINT + l_linenumber) AS \"end\" FROM lineitem GROUP BY 1")
+def last_ends(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("offset"), F.col("l_linenumber").cast("long").alias("size"))
+    return lookups.last_ends(rows, "l_orderkey", "offset", "size")
+
+
+@query("first_by_path", "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2")
+def first_by_path(spark, sf_dir):
+    return lookups.first_by_path(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn").select("conv_id", "role", "turn")
+
+
+@query("member_totals", f"SELECT page_id // {PAGES} AS source_id, count(*) AS members, sum(strlen(url))::BIGINT AS unpacked FROM pages GROUP BY 1")
+def member_totals(spark, sf_dir):
+    found = inspect(page_files(spark, sf_dir, "a.lha", packers.lha))
+    return lookups.member_totals(found).select("source_id", "members", "unpacked")
+
+
 # Ordered state.
 
 @query("namespace_markers", "SELECT event_id, nullif(last_value(CASE WHEN event_type = 'signup' THEN 'S' || event_id WHEN event_type = 'purchase' THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS namespace FROM events")
@@ -297,6 +344,17 @@ def checksum_sum256(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", binary.sum_checksum(F.col("p_name").cast("binary")).alias("checksum"))
 
 
+# A disc's dates: seven bytes, the last a quarter of an hour's offset from Greenwich.
+@query("disc_dates", "SELECT o_orderkey, strftime(date_trunc('second', o_orderdate) - to_minutes((((o_orderkey % 9) - 4) * 15)::INTEGER), '%Y-%m-%d %H:%M:%S') AS moment FROM orders WHERE year(o_orderdate) BETWEEN 1901 AND 2155")
+def disc_dates(spark, sf_dir):
+    d = F.col("o_orderdate")
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    quarter = F.pmod((F.col("o_orderkey") % 9 - 4), F.lit(256))
+    raw = F.unhex(F.concat(two(F.year(d) - 1900), two(F.month(d)), two(F.dayofmonth(d)), two(F.hour(d)), two(F.minute(d)), two(F.second(d)), two(quarter)))
+    rows = table(spark, sf_dir, "orders").where(F.year(d).between(1901, 2155)).select("o_orderkey", text.disc_date(raw).alias("t"))
+    return rows.select("o_orderkey", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
+
 # The table of the checksum's remainders, and the fold over an address's bytes.
 _CRC = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, list_transform(range(8), lambda k: 0::BIGINT)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
 b AS (SELECT page_id, list_prepend(4294967295, list_transform(string_split(url, ''), lambda x: ord(x)::BIGINT)) AS bytes FROM pages)
@@ -483,6 +541,21 @@ def scan_ansi(spark, sf_dir):
     return inspect(sources).where("text IS NOT NULL").select("source_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+# Programs: a line for each page, LET n = the page's number.
+@query("scan_basic", f"SELECT page_id // {PAGES} AS source_id, string_agg(lpad((page_id % 9000)::VARCHAR, greatest(3, length((page_id % 9000)::VARCHAR))::INT, ' ') || ' LET n=' || page_id || ': PRINT \"x\"', chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1")
+def scan_basic(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / PAGES).alias("source_id"), "page_id")
+    return inspect(packed(pages, "source_id", ["page_id"], "a.tap", packers.basic)).where("text IS NOT NULL").select("source_id", "text")
+
+
+# Drawings: a square for each part, in a group by itself if its key is even.
+@query("scan_drawing", "SELECT p_size AS source_id, count(*) AS paths, count(*) FILTER (p_partkey % 2 = 0) AS groups FROM part GROUP BY 1")
+def scan_drawing(spark, sf_dir):
+    found = inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.dr2d", packers.drawing)).where("kind = 'vector'")
+    value = lambda key: F.get(F.filter("metadata", lambda m: m["key"] == key), 0)["value"].cast("long")
+    return found.select("source_id", value("vector.paths").alias("paths"), value("vector.groups").alias("groups"))
+
+
 # A database: whole texts of documents, with overflow pages, tabs and line breaks in them.
 @query("scan_sqlite", r"SELECT doc_id // 50 AS source_id, doc_id AS k, lang AS name, sha256(replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n')) AS note_sha256 FROM documents")
 def scan_sqlite(spark, sf_dir):
@@ -499,11 +572,11 @@ def _sound_sql(count: int, value: str, key: str = "o_custkey % 97") -> str:
     return f"SELECT source_id::BIGINT AS source_id, channel::INT AS channel, count(*) AS samples, min(v)::BIGINT AS low, max(v)::BIGINT AS high, sum(i * v)::BIGINT AS weighted FROM ({channels}) x GROUP BY 1, 2"
 
 
-def _sound_scan(name: str, count: int, value: Callable[[int, int], int], pack: Callable[[list[list[int]]], bytes]) -> Query:
+def _sound_scan(name: str, count: int, value: Callable[[int, int], int], pack: Callable[[list[list[int]]], bytes], through: Callable[[DataFrame], DataFrame] = lambda found: found) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("source_id"), "o_orderkey")
         sources = packed(orders, "source_id", ["o_orderkey"], name, lambda rows: pack([[value(k, c) for (k,) in rows] for c in range(count)]))
-        channels = inspect(sources).where("kind = 'audio'").select("source_id", F.posexplode("pcm").alias("channel", "v"))
+        channels = through(inspect(sources)).where("kind = 'audio'").select("source_id", F.posexplode("pcm").alias("channel", "v"))
         return channels.select(
             "source_id", "channel", F.size("v").cast("long").alias("samples"), F.array_min("v").cast("long").alias("low"), F.array_max("v").cast("long").alias("high"),
             F.aggregate(F.transform("v", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"),
@@ -597,7 +670,8 @@ def export_gpl(spark, sf_dir):
 
 @query("export_wav", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))
 def export_wav(spark, sf_dir):
-    return _sound_scan("a.8svx", 1, _BYTE, lambda chs: packers.svx(8000, chs))(spark, sf_dir)
+    again = _exported("wav", ".wav", "audio")
+    return _sound_scan("a.8svx", 1, _BYTE, lambda chs: packers.svx(8000, chs), lambda found: inspect(again(found)))(spark, sf_dir)
 
 
 @query("failure_isolation", "SELECT n_nationkey AS source_id, 'unknown' AS type_id, 'gif: 13 bytes at 0 are outside of 9' AS failure FROM nation")

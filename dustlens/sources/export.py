@@ -24,8 +24,8 @@ from dustlens.operators.lookups import deduped_names
 from dustlens.sources.codecs import lzw_encode
 
 #: Formats for each kind, the default one first.
-FORMATS = {"raster": ("png", "apng", "gif", "gif-cycled", "apng-cycled", "palette-swatch"), "font": ("bmfont", "png"), "audio": ("wav",), "palette": ("gpl", "palette-swatch"), "text": ("txt", "md"), "document": ("md", "txt"), "tracker": ("tracker-json",), "opaque": ("bin",)}
-MEDIA = {"png": "image/png", "palette-swatch": "image/png", "apng": "image/apng", "gif": "image/gif", "gif-cycled": "image/gif", "apng-cycled": "image/apng", "bmfont": "text/plain", "tracker-json": "application/json", "wav": "audio/wav", "gpl": "text/plain", "txt": "text/plain", "md": "text/markdown", "bin": "application/octet-stream", "metadata-json": "application/json", "html-report": "text/html"}
+FORMATS = {"raster": ("png", "apng", "gif", "gif-cycled", "apng-cycled", "palette-swatch"), "font": ("bmfont", "png"), "audio": ("wav",), "palette": ("gpl", "palette-swatch"), "text": ("txt", "md"), "document": ("md", "txt"), "tracker": ("tracker-json",), "vector": ("png", "svg"), "opaque": ("bin",)}
+MEDIA = {"png": "image/png", "palette-swatch": "image/png", "apng": "image/apng", "gif": "image/gif", "gif-cycled": "image/gif", "apng-cycled": "image/apng", "bmfont": "text/plain", "tracker-json": "application/json", "wav": "audio/wav", "gpl": "text/plain", "svg": "image/svg+xml", "txt": "text/plain", "md": "text/markdown", "bin": "application/octet-stream", "metadata-json": "application/json", "html-report": "text/html"}
 ENDINGS = {"palette-swatch": "png", "apng": "png", "gif-cycled": "gif", "apng-cycled": "png", "bmfont": "fnt", "tracker-json": "json", "metadata-json": "json", "html-report": "html"}
 
 
@@ -181,7 +181,7 @@ def html_report(row: dict) -> bytes:
         font = font_of(row)
         sample, every = rendered(font, preview_text(font)), glyph_grid(font)
         body = "".join(_image(label, "image/png", png(p.shape[1], p.shape[0], p.tobytes())) for label, p in (("Sample text", sample), ("Glyph grid", every)))
-    elif kind == "raster" and row["rgba"] is not None:
+    elif kind in ("raster", "vector") and row["rgba"] is not None:
         moving = row.get("frames")
         body = _image("Preview", "image/png", apng(row["width"], row["height"], [(f["ms"], f["rgba"]) for f in moving]) if moving else png(row["width"], row["height"], row["rgba"]))
     elif kind == "palette" and row["colours"]:
@@ -250,6 +250,7 @@ ENCODERS: dict[str, Callable[[dict], bytes | None]] = {
     "txt": lambda row: row["text"].encode() if row["text"] is not None else None,
     "md": lambda row: markdown(row["text"]) if row["text"] is not None else None,
     "bin": lambda row: row["data"],
+    "svg": lambda row: row["text"].encode() if row["kind"] == "vector" else None,
     "metadata-json": metadata_json, "html-report": html_report,
 }
 

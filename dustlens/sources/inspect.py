@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustlens.operators import detection
-from dustlens.sources import amiga, animations, containers, images, palettes_audio
+from dustlens.sources import amiga, animations, containers, images, palettes_audio, vector
 from dustlens.sources.model import Node
 
 Parser = Callable[[bytes, str], list[Node]]
@@ -32,7 +32,7 @@ PARSERS: dict[str, Parser] = {
     "amiga.anim": amiga.anim, "amiga.dms": amiga.dms, "executable.appimage-type1": containers.appimage, "executable.appimage-type2": containers.appimage2, "bitmap-font.bmfont": animations.bmfont,
     "ansi.art": animations.ansi, "amos.program": amiga.program,
     "flic": animations.flic, "aseprite.sprite": animations.aseprite, "zx-spectrum.gigascreen": animations.gigascreen, "zx-spectrum-next.layer2-image": animations.layer2,
-    "archive.xpk": containers.xpk, "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
+    "archive.xpk": containers.xpk, "amiga.dr2d": vector.dr2d, "zx-spectrum.fzx-font": animations.fzx, "windows.write": animations.write_document, "wordstar.document": animations.wordstar,
 }
 
 SCHEMA = (
@@ -42,7 +42,7 @@ SCHEMA = (
 
 
 #: Types that the registry lists but nothing reads.
-UNREAD = frozenset({"windows.inno-setup", "amiga.dr2d"})
+UNREAD = frozenset({"windows.inno-setup"})
 
 
 def register(probe: detection.Probe, parser: Parser) -> None:
