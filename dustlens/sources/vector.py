@@ -242,17 +242,19 @@ def rendered(drawing: Drawing, size: int = PREVIEW) -> Raster:
     at = lambda p: ((p[0] - left) * sx, (p[1] - top) * sy)
 
     def fill(parts: list[list[Point]], colour: tuple[int, int, int]) -> None:
-        edges = [(p, q) for own in parts for p, q in zip(own, own[1:] + own[:1], strict=True) if p[1] != q[1]]
-        if not edges:
+        edges = np.array([(p, q) for own in parts for p, q in zip(own, own[1:] + own[:1], strict=True) if p[1] != q[1]])
+        if not len(edges):
             return
-        lines = np.array(edges)
-        low, high = lines[:, :, 1].min(axis=1), lines[:, :, 1].max(axis=1)
-        for y in range(max(0, math.floor(low.min())), min(height, math.ceil(high.max()) + 1)):
-            cut = (low <= y + 0.5) & (high > y + 0.5)
-            (x0, y0), (x1, y1) = lines[cut, 0].T, lines[cut, 1].T
-            xs = np.sort(x0 + (y + 0.5 - y0) * (x1 - x0) / (y1 - y0))
-            for a, b in zip(xs[::2], xs[1::2], strict=False):
-                canvas[y, max(0, math.ceil(a - 0.5)) : max(0, min(width, math.ceil(b - 0.5))), :3] = colour
+        y0, y1 = (max(0, min(height, f(edges[:, :, 1]))) for f in (lambda v: math.floor(v.min()), lambda v: math.ceil(v.max()) + 1))
+        x0, x1 = (max(0, min(width, f(edges[:, :, 0]))) for f in (lambda v: math.floor(v.min()), lambda v: math.ceil(v.max()) + 1))
+        crossed = np.zeros((y1 - y0, x1 - x0 + 1), np.int32)  # at each pixel, the edges that its line of pixels crosses there
+        for (ax, ay), (bx, by) in edges.tolist():
+            rows = np.arange(max(y0, math.ceil(min(ay, by) - 0.5)), min(y1, math.ceil(max(ay, by) - 0.5)))
+            columns = np.ceil(ax + (rows + 0.5 - ay) * (bx - ax) / (by - ay) - 0.5)
+            crossed[rows - y0, np.clip(columns - x0, 0, x1 - x0).astype(int)] += 1
+        inside = np.cumsum(crossed, axis=1)[:, :-1] & 1 == 1
+        whole = canvas.view(np.uint32)[..., 0]  # a number for each pixel
+        whole[y0:y1, x0:x1][inside] = np.array([*colour, 255], np.uint8).view(np.uint32)[0]
 
     def line(a: Point, b: Point, wide: float, colour: tuple[int, int, int]) -> None:
         half = max(0.5, wide / 2)
