@@ -261,7 +261,7 @@ PICTURES: dict[str, tuple[str, Callable[[np.ndarray], bytes], str]] = {
     "bmp8": ("a.bmp", bmp8, "/image"), "bmp4": ("a.bmp", bmp4, "/image"), "bmp_rle8": ("a.bmp", bmp_rle8, "/image"), "bmp_rle4": ("a.bmp", bmp_rle4, "/image"), "dib": ("a.dib", dib, "/image"),
     "ico": ("a.ico", icon, "/icon/0"), "cur": ("a.cur", cursor, "/cursor/0"), "netpbm": ("a.ppm", ppm, "/image"), "netpbm_text": ("a.ppm", ppm_text, "/image"), "pam": ("a.pam", pam, "/image"),
     "pcx": ("a.pcx", pcx, "/image"), "tga": ("a.tga", tga, "/image"), "tga_mapped": ("a.tga", tga_mapped, "/image"), "ilbm": ("a.iff", ilbm, "/image"), "acbm": ("a.iff", acbm, "/image"),
-    "pbm": ("a.lbm", pbm, "/image"), "deep": ("a.iff", deep, "/image"), "anim": ("a.anim", anim, "/animation"), "aseprite": ("a.aseprite", aseprite, "/sprite"), "flic": ("a.flc", flic, "/animation"),
+    "pbm": ("a.lbm", pbm, "/image"), "deep": ("a.iff", deep, "/image"), "anim": ("a.anim", anim, "/animation"), "aseprite": ("a.aseprite", aseprite, "/sprite"), "flic": ("a.flc", flic, "/animation"), "openraster": ("a.ora", lambda g: openraster(g), "/image"),
 }
 
 
@@ -445,6 +445,54 @@ def powerpacker(members: Members) -> bytes:
     return b"PP20" + bytes([9, 10, 12, 13]) + stream + struct.pack(">I", len(plain))[1:] + b"\0"
 
 
+def xpk(members: Members) -> bytes:
+    """Stored chunks, one for each member."""
+    plain = b"".join(b for _, b in members)
+    chunk = lambda kind, body: struct.pack(">BBHII", kind, 0, 0, len(body), len(body)) + body + b"\0" * (-len(body) % 4)
+    chunks = b"".join(chunk(0, b) for _, b in members) + chunk(15, b"")
+    head = bytearray(b"XPKF" + struct.pack(">I4sI", len(chunks) + 28, b"NONE", len(plain)) + plain[:16].ljust(16, b"\0") + b"\1\0\0\0")
+    for b in bytes(head):
+        head[33] ^= b
+    return bytes(head) + chunks
+
+
+def openraster(g: np.ndarray) -> bytes:
+    """One layer, which is the merged picture too."""
+    stack = f'<image w="{WIDE}" h="{len(g)}" version="0.0.3"><stack><layer name="only" src="data/layer0.png" x="0" y="0"/></stack></image>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "image/openraster")
+        z.writestr("stack.xml", stack)
+        z.writestr("data/layer0.png", png(g))
+        z.writestr("mergedimage.png", png(g))
+    return out.getvalue()
+
+
+def font_index(rows: list[tuple]) -> bytes:
+    return struct.pack(">HH", 0x0F00, len(rows)) + b"".join((b"f/%d" % k).ljust(256, b"\0") + struct.pack(">HBB", k % 200, 0, 0) for (k,) in rows)
+
+
+def font_descriptor(rows: list[tuple]) -> bytes:
+    lines = ['info face="F" size=8', "common lineHeight=9 base=7 scaleW=256 scaleH=256 pages=1", 'page id=0 file="f.png"', f"chars count={len(rows)}"]
+    lines += [f"char id={k} x={k % 250} y=2 width={k % 7} height=4 xoffset=0 yoffset=-1 xadvance=5 page=0 chnl=15" for (k,) in rows]
+    return ("\n".join(lines) + "\n").encode()
+
+
+def jpeg(values: list[int]) -> bytes:
+    """A grey row of flat blocks of eight by eight: differences of 0 to 15 bits, each size's code five bits long, and one code of one bit for a block's end."""
+    bits, last = "", 0
+    for v in values:
+        d, last = v - last, v
+        n = abs(d).bit_length()
+        bits += f"{n:05b}" + (f"{d if d >= 0 else d + (1 << n) - 1:0{n}b}" if n else "") + "0"
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    part = lambda kind, body: bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+    head = part(0xDB, b"\0" + bytes([8] * 64)) + part(0xC0, struct.pack(">BHHB", 8, 8, 8 * len(values), 1) + bytes([1, 0x11, 0]))
+    head += part(0xC4, b"\0" + bytes([0, 0, 0, 0, 16]) + bytes(11) + bytes(range(16))) + part(0xC4, b"\x10" + bytes([1]) + bytes(15) + b"\0")
+    return b"\xff\xd8" + head + part(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
 def database(rows: list[tuple]) -> bytes:
     """A table t of (k, name, note)."""
     db = sqlite3.connect(":memory:")
@@ -490,6 +538,11 @@ def svx(rate: int, channels: list[list[int]]) -> bytes:
     return form(b"8SVX", (b"VHDR", struct.pack(">IIIHBBI", len(channels[0]), 0, 0, rate, 1, 0, 65536)), (b"BODY", body))
 
 
+def svx16(rate: int, channels: list[list[int]]) -> bytes:
+    body = np.array(channels, ">i2").tobytes()
+    return form(b"16SV", (b"VHDR", struct.pack(">IIIHBBI", len(channels[0]), 0, 0, rate, 1, 0, 65536)), (b"BODY", body))
+
+
 def voice(rate: int, channels: list[list[int]]) -> bytes:
     body = bytes([256 - 1_000_000 // rate, 0]) + bytes(v + 128 for v in channels[0])
     return b"Creative Voice File\x1a" + struct.pack("<HHH", 26, 0x010A, 0x1129) + b"\1" + struct.pack("<I", len(body))[:3] + body + b"\0"

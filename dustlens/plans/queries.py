@@ -504,6 +504,7 @@ query("scan_tzx", _member_sql("CASE WHEN count(*) OVER (PARTITION BY source_id)
 query("scan_amos_bank", _WHOLE % "/bank")(_member_scan("a.abk", packers.bank))
 query("scan_amos_bank_set", _member_sql("'/banks/' || i"))(_member_scan("a.abs", packers.bank_set))
 query("scan_amos_program", _member_sql("'/banks/' || i") + " UNION ALL " + _WHOLE % "/listing")(_member_scan("a.amos", packers.program))
+query("scan_xpk", _WHOLE % "/content")(_member_scan("a.xpk", packers.xpk))
 query("scan_powerpacker", _WHOLE % "/content")(_member_scan("a.pp", packers.powerpacker))
 
 
@@ -589,9 +590,41 @@ _WORD, _BYTE = lambda k, c: (k * (c + 3)) % 65536 - 32768, lambda k, c: (k * (c
 query("scan_wav", _sound_sql(2, "o_orderkey * ({c} + 3) % 65536 - 32768"))(_sound_scan("a.wav", 2, _WORD, lambda chs: packers.wav(8000, 16, chs)))
 query("scan_wav8", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.wav", 1, _BYTE, lambda chs: packers.wav(8000, 8, chs)))
 query("scan_8svx", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.8svx", 1, _BYTE, lambda chs: packers.svx(8000, chs)))
+query("scan_16sv", _sound_sql(1, "o_orderkey * ({c} + 3) % 65536 - 32768"))(_sound_scan("a.16sv", 1, _WORD, lambda chs: packers.svx16(8000, chs)))
 query("scan_voice", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.voc", 1, _BYTE, lambda chs: packers.voice(8000, chs)))
 
 
+# A tracker module's first sample: every number twice, so that it is a whole number of words.
+@query("scan_mod", "SELECT source_id, (2 * count(*))::BIGINT AS samples, sum((4 * i - 1) * v)::BIGINT AS weighted, 'terminates' AS status FROM (SELECT (o_custkey % 97)::BIGINT AS source_id, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_orderkey) AS i, o_orderkey * 3 % 256 - 128 AS v FROM orders) x GROUP BY 1")
+def scan_mod(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("source_id"), "o_orderkey")
+    found = inspect(packed(orders, "source_id", ["o_orderkey"], "a.mod", lambda rows: packers.module(8000, [[_BYTE(k, 0) for (k,) in rows for _ in (0, 1)]])))
+    status = found.where("kind = 'tracker' AND path = '/module'").select("source_id", F.get(F.filter("metadata", lambda m: m["key"] == "loop.status"), 0)["value"].alias("status"))
+    sounds = found.where("kind = 'audio'").select("source_id", F.col("pcm")[0].alias("v"))
+    return sounds.select("source_id", F.size("v").cast("long").alias("samples"), F.aggregate(F.transform("v", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted")).join(status, "source_id")
+
+
+# Photographs: a flat block of eight by eight for each part, its grey the key modulo 256.
+@query("scan_jpeg", "SELECT p_size AS source_id, (p_partkey % 256)::INT AS grey, (64 * count(*))::BIGINT AS n FROM part GROUP BY 1, 2")
+def scan_jpeg(spark, sf_dir):
+    sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.jpg", lambda rows: packers.jpeg([k % 256 - 128 for (k,) in rows]))
+    return pixels(inspect(sources)).where("r = g AND g = b AND a = 255").groupBy("source_id", F.col("r").alias("grey")).agg(F.count("*").alias("n"))
+
+
+# Fonts: entries of an index, glyphs of a descriptor.
+@query("scan_font_index", "SELECT p_size AS source_id, 'f/' || p_partkey AS filename, (p_partkey % 200)::INT AS height FROM part")
+def scan_font_index(spark, sf_dir):
+    value = lambda key: F.get(F.filter("metadata", lambda m: m["key"] == key), 0)["value"]
+    found = inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.font", packers.font_index)).where("path != '/font'")
+    return found.select("source_id", value("index.filename").alias("filename"), value("height").cast("int").alias("height"))
+
+
+@query("scan_bmfont", "SELECT p_size AS source_id, 'glyph.' || p_partkey AS key, (p_partkey % 250) || ',2,' || (p_partkey % 7) || ',4,0,-1,5,0' AS value FROM part")
+def scan_bmfont(spark, sf_dir):
+    found = inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.fnt", packers.font_descriptor))
+    return metadata_rows(found).where("key LIKE 'glyph.%'").select("source_id", "key", "value")
+
+
 # Palettes.
 _COLOURS = "SELECT p_size AS source_id, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM part"
 
@@ -618,6 +651,14 @@ def scan_color_table(spark, sf_dir):
     return inspect(sources).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
 
 
+# Three, three and two bits a colour, in levels that the machine has; blue's third bit is set where any of its two is.
+@query("scan_next_palette", "SELECT p_size AS source_id, lv[((p_size + i) % 256 >> 5) + 1] AS r, lv[((p_size + i) % 256 >> 2 & 7) + 1] AS g, ([0, 109, 182, 255])[((p_size + i) % 4) + 1] AS b FROM (SELECT DISTINCT p_size, [0, 36, 73, 109, 146, 182, 219, 255] AS lv FROM part) p, range(256) t(i)")
+def scan_next_palette(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct().withColumn("k", F.col("p_size"))
+    sources = packed(sizes, "p_size", ["k"], "p.npl", lambda rows: bytes((rows[0][0] + i) % 256 for i in range(256)))
+    return inspect(sources).select("source_id", F.explode("colours").alias("c")).select("source_id", "c.r", "c.g", "c.b")
+
+
 @query("scan_paint_net_palette", "SELECT p_size AS source_id, (p_partkey % 256)::INT AS r, (p_partkey // 256 % 256)::INT AS g, (p_partkey % 251)::INT AS b FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part) p WHERE i <= 96")
 def scan_paint_net_palette(spark, sf_dir):
     """The format holds 96 colours, so that is what each file has."""

@@ -75,14 +75,19 @@ def openraster(data: bytes, name: str) -> list[Node]:
 
     need("stack.xml" in own and b"<!" not in own["stack.xml"].data, "no plain layer stack")
     image = tree.fromstring(own["stack.xml"].data)
-    out = [Node("/image", "image.openraster", "group", [("canvas.width", int(image.get("w", 0))), ("canvas.height", int(image.get("h", 0))), ("openraster.version", image.get("version", ""))])]
-    for place, path in (("/merged", "mergedimage.png"), ("/thumbnail", "Thumbnails/thumbnail.png")):
+    width, height, out = int(image.get("w", 0)), int(image.get("h", 0)), []
+    for place, path, role in (("/image", "mergedimage.png", "canonical merged image"), ("/thumbnail", "Thumbnails/thumbnail.png", "document thumbnail")):
         if path in own:
-            out.append(png(own[path].data, path)[0]._replace(path=place))
-    for i, layer in enumerate(image.iter("layer"), 1):
+            picture = png(own[path].data, path)[0]
+            size = [("canvas.width", width), ("canvas.height", height)] if place == "/image" else []
+            out.append(picture._replace(path=place, type_id="image.openraster", metadata=[("role", role), *size]))
+    layers = list(image.iter("layer"))
+    out.append(Node("/layers", "image.openraster-layers", "group", [("openraster.version", image.get("version", "")), ("layers", len(layers))]))
+    for i, layer in enumerate(layers, 1):
         src = layer.get("src", "")
         need(src in own, f"no member {src!r}")
-        out.append(png(own[src].data, src)[0]._replace(path=f"/layers/{i}"))
+        told = [(f"layer.{k}", v) for k, v in layer.attrib.items()]
+        out.append(png(own[src].data, src)[0]._replace(path=f"/layers/{i}", type_id="image.openraster-layer", metadata=told))
     return out
 
 
