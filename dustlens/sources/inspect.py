@@ -133,35 +133,57 @@ def _walk(data: bytes, name: str, prefix: str, depth: int, most_depth: int, type
             yield from _walk(node.data, node.path, path, depth + 1, most_depth, None)
 
 
-def inspect(sources: DataFrame, type_id: str | None = None, most_depth: int = 8, most_resources: int = 200_000) -> DataFrame:
+def _row(source: int | None, ordinal: int, path: str, depth: int, n: Node, failure: str | None) -> dict:
+    return {
+        "source_id": source, "ordinal": ordinal, "path": path, "depth": depth, "type_id": n.type_id, "kind": n.kind, "failure": failure,
+        "metadata": [{"key": k, "value": str(v)} for k, v in n.metadata], "data": n.data,
+        "width": n.raster and n.raster.width, "height": n.raster and n.raster.height, "rgba": n.raster and n.raster.rgba,
+        "rate": n.audio and n.audio.rate, "bits": n.audio and n.audio.bits, "pcm": n.audio and n.audio.channels,
+        "colours": n.palette and [dict(zip("rgba", c, strict=True)) for c in n.palette], "text": n.text, "frames": n.frames and [{"ms": ms, "rgba": v} for ms, v in n.frames], "index": n.index, "cycles": n.cycles and [c._asdict() for c in n.cycles],
+        "estimated_bytes": next((len(v) for v in (n.data, n.raster and n.raster.rgba, n.text and n.text.encode()) if v is not None), 0),
+    }
+
+
+def inspect(sources: DataFrame, type_id: str | None = None, most_depth: int = 8, most_resources: int = 200_000, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The resources of ``sources`` (source_id, filename, content), in pre-order by ordinal.
 
-    Content is read once where it lies, whole trees are expanded within a task, and nothing is
-    shuffled; columns that a query does not select are still built, so narrow ``sources`` first
-    (see ``detection.candidates``). A source that no parser takes gives one opaque row with the
-    first failure; one with more than ``most_resources`` resources gives one failed row.
+    Content is read once where it lies, whole trees are expanded within a task, one source at a
+    time, and nothing is shuffled. ``columns`` names those that are wanted (of ``SCHEMA``, or
+    estimated_bytes, the payload's size); others never leave the task. A source that no parser
+    takes gives one opaque row with the first failure; one with more than ``most_resources``
+    resources gives one failed row. How many sources a worker is sent at once, and how many
+    bytes, is bounded by the session (spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch).
     """
+    kinds = dict(zip((f.name for f in arrow_schema()), _typed(SCHEMA), strict=True)) | {"estimated_bytes": "estimated_bytes long"}
+    wanted = columns or tuple(f.name for f in arrow_schema())
+    fields = {f.name: f for f in arrow_schema()} | {"estimated_bytes": pa.field("estimated_bytes", pa.int64())}
+    schema = pa.schema([fields[c] for c in wanted])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema()
         for batch in batches:
             for i in range(batch.num_rows):  # one source at a time is held besides the batch
                 source, name, content = (batch.column(c)[i].as_py() for c in range(3))
                 rows = []
                 for path, depth, n, failure in _walk(content or b"", name or "", "", 0, most_depth, type_id):
                     if len(rows) >= most_resources:
-                        rows = [{"source_id": source, "ordinal": 0, "path": "/file", "depth": 0, "type_id": "unknown", "kind": "opaque", "failure": f"more than {most_resources} resources", "metadata": []}]
+                        node = Node("/file", "unknown", "opaque", [])
+                        rows = [{k: v for k, v in _row(source, 0, "/file", 0, node, f"more than {most_resources} resources").items() if k in wanted}]
                         break
-                    rows.append({
-                        "source_id": source, "ordinal": len(rows), "path": path, "depth": depth, "type_id": n.type_id, "kind": n.kind, "failure": failure,
-                        "metadata": [{"key": k, "value": str(v)} for k, v in n.metadata], "data": n.data,
-                        "width": n.raster and n.raster.width, "height": n.raster and n.raster.height, "rgba": n.raster and n.raster.rgba,
-                        "rate": n.audio and n.audio.rate, "bits": n.audio and n.audio.bits, "pcm": n.audio and n.audio.channels,
-                        "colours": n.palette and [dict(zip("rgba", c, strict=True)) for c in n.palette], "text": n.text, "frames": n.frames and [{"ms": ms, "rgba": v} for ms, v in n.frames], "index": n.index, "cycles": n.cycles and [c._asdict() for c in n.cycles],
-                    })
+                    rows.append({k: v for k, v in _row(source, len(rows), path, depth, n, failure).items() if k in wanted})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return sources.select("source_id", "filename", "content").mapInArrow(run, SCHEMA)
+    return sources.select("source_id", "filename", "content").mapInArrow(run, ", ".join(kinds[c] for c in wanted))
+
+
+def _typed(schema: str) -> list[str]:
+    """The columns of a schema's text, each with its type."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(schema[start:i].strip())
+            start = i + 1
+    return [*out, schema[start:].strip()]
 
 
 def arrow_schema() -> pa.Schema:

@@ -16,9 +16,7 @@ DESCRIPTION = ("source_id", "ordinal", "path", "depth", "type_id", "kind", "fail
 
 def open_session(sources: DataFrame, most_depth: int = 8, most_resources: int = 200_000) -> DataFrame:
     """Descriptions of all resources, with estimated bytes of their payloads; payloads themselves do not leave the tasks."""
-    out = inspect(sources, None, most_depth, most_resources)
-    held = F.coalesce(F.octet_length("data"), F.octet_length("rgba"), F.octet_length(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    return out.select(*DESCRIPTION, held.alias("estimated_bytes"))
+    return inspect(sources, None, most_depth, most_resources, (*DESCRIPTION, "estimated_bytes"))
 
 
 def expand(session: DataFrame, path: str | None = None) -> DataFrame:
