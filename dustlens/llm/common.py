@@ -77,6 +77,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: The most keys that are sent to every task because they are hot (8 bytes each).
+MOST_HOT_KEYS = 50_000
+
+
+def hot_limit(rows: int, least: int) -> int:
+    """The number of rows from which on a key is hot: so many that at most ``MOST_HOT_KEYS`` keys of a table can be."""
+    return max(least, rows // MOST_HOT_KEYS + 1)
+
+
+def join_by_hot_keys(rows: DataFrame, side: DataFrame, key: str, hot: str) -> DataFrame:
+    """``rows`` and the columns of ``side``, which has each key once and says by the column ``hot`` which are hot.
+
+    Rows with hot keys are not brought together: these keys, whose number ``hot_limit`` bounds,
+    are sent to all tasks, and only the other rows are joined by a shuffle.
+    """
+    few = F.broadcast(side.where(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(side.where(f"NOT {hot}"), key))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustlens.llm.common import Scratch, as_bytes, table, texts_of
+from dustlens.llm.common import Scratch, as_bytes, hot_limit, join_by_hot_keys, table, texts_of
 
 PASSAGE = 100
 TRIGGER = 32
@@ -35,6 +35,8 @@ TRIGGER = 32
 BLOCK, SORTED_BYTES = 1 << 19, 1 << 20
 #: Bytes of distinct phrases with one trigger up to which one task sorts them; the suffixes of the rest are sorted by all tasks together.
 HOT_BYTES = 1 << 20
+#: Places of a trigger from which on they are not brought together; more where a table is so long that too many triggers would have as many.
+HOT_ROWS = 1000
 #: Up to so many ids (8 bytes each) that name several texts are sent to every task.
 BROADCAST_IDS = 500_000
 
@@ -258,9 +260,11 @@ def _hot_spans(cut: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, stop): spans, in bytes, whose every ``PASSAGE`` bytes also begin earlier. They overlap, and cover all there are."""
     runs = scratch.save(parse(docs), "parse")
-    live = runs.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select("trigger")
-    found = scratch.save(runs.join(live, "trigger", "left_semi"), "phrases")
-    scratch.drop("parse")
+    limit = hot_limit(runs.count(), HOT_ROWS)
+    live = runs.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select("trigger", (F.col("n") > limit).alias("common"))
+    live = scratch.save(live, "triggers")
+    found = scratch.save(join_by_hot_keys(runs, live, "trigger", "common").drop("common"), "phrases")
+    scratch.drop("parse", "triggers")
     entries = found.groupBy("trigger", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("size").alias("size"), F.max("own").alias("own"), F.count("*").alias("n"))
     entries = scratch.save(entries, "dictionary")
     # The parse: all but a phrase's first place are repeated whole.
@@ -268,11 +272,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     whole = found.join(again, ["trigger", "phrase"]).where("struct(doc_id, start) != first").select("doc_id", "start", (F.col("start") + F.col("size") + (PASSAGE - 1)).alias("stop"))
     # The dictionary: triggers with several phrases, or phrases that hold their trigger twice.
     weight = F.sum(F.col("size") + (PASSAGE - 1))
-    several = entries.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own"), weight.alias("bytes")).where("n > 1 OR own").select("trigger", (F.col("bytes") > HOT_BYTES).alias("hot"))
-    several = scratch.save(entries.drop("own", "n").join(several, "trigger").select("trigger", "hot", "first.doc_id", "first.start", "size"), "several")
+    several = entries.groupBy("trigger").agg(F.count("*").alias("n"), F.max("own").alias("own"), weight.alias("bytes")).where("n > 1 OR own").select("trigger", (F.col("bytes") > HOT_BYTES).alias("hot"), (F.col("n") > limit).alias("common"))
+    several = scratch.save(several, "dealt")
+    several = scratch.save(join_by_hot_keys(entries.drop("own", "n"), several, "trigger", "common").select("trigger", "hot", "first.doc_id", "first.start", "size"), "several")
     by_doc = several.groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "hot", "start", "size")).alias("entries"))
     cut = scratch.save(docs.join(by_doc, "doc_id").select("doc_id", "text", "entries").mapInArrow(_slices, "trigger long, hot boolean, doc_id long, start long, size int, content binary"), "contents")
-    scratch.drop("several")
+    scratch.drop("several", "dealt")
     sorted_spans = cut.where("NOT hot").drop("hot").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sort_dictionary, "doc_id long, start long, stop long")
     return scratch.save(whole.union(sorted_spans).union(_hot_spans(cut, scratch)), "spans")
 
