@@ -493,6 +493,19 @@ def jpeg(values: list[int]) -> bytes:
     return b"\xff\xd8" + head + part(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
 
 
+def game_volume(members: Members) -> bytes:
+    return b"".join(b"\x12\x34\0" + struct.pack("<H", len(b)) + b for _, b in members)
+
+
+def game_map(members: Members) -> bytes:
+    """Places in the volume, each followed by an entry that is none."""
+    at, out = 0, b""
+    for _, body in members:
+        out += at.to_bytes(3, "big") + b"\xff\xff\xff"
+        at += 5 + len(body)
+    return out
+
+
 def database(rows: list[tuple]) -> bytes:
     """A table t of (k, name, note)."""
     db = sqlite3.connect(":memory:")

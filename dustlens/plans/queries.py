@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dustlens.functions import binary, paths, text
-from dustlens.operators import colour_cycles, detection, extraction, lookups
+from dustlens.operators import colour_cycles, companions, detection, extraction, lookups
 from dustlens.plans import packers
-from dustlens.sources import codecs, export, session
+from dustlens.sources import codecs, export, packages, session
 from dustlens.sources.inspect import animation_frames, database_rows, inspect, metadata_rows, pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,6 +520,25 @@ def scan_lha_sfx(spark, sf_dir):
     return found.select("source_id", "path", F.sha2("data", 256).alias("digest"))
 
 
+# Packages of a map and a volume beside it, in different cases.
+@query("package_resources", f"WITH m AS (SELECT page_id // {PAGES} AS source_id, url, row_number() OVER (PARTITION BY page_id // {PAGES} ORDER BY page_id) - 1 AS i FROM pages) SELECT source_id::VARCHAR AS collection, (2 * i)::INT AS number, sha256(url) AS digest FROM m")
+def package_resources(spark, sf_dir):
+    files = [page_files(spark, sf_dir, name, pack).select(F.col("source_id").cast("string").alias("collection"), F.concat(F.lit("game/"), "filename").alias("rel_path"), "content") for name, pack in (("LogDir", packers.game_map), ("vol.0", packers.game_volume))]
+    found = packages.unpacked(packages.resources(files[0].union(files[1])))
+    return found.where("warning IS NULL AND failure IS NULL").select("collection", "number", F.sha2("data", 256).alias("digest"))
+
+
+# Companions: a font's descriptor and its page in other cases; where two files have the name there is none.
+@query("companion_pages", f"SELECT (page_id // {PAGES})::VARCHAR AS collection, 0 AS page, page_id // {PAGES} % 2 = 1 AS missing FROM pages GROUP BY page_id // {PAGES}")
+def companion_pages(spark, sf_dir):
+    own = page_files(spark, sf_dir, "x", lambda members: b"page").select(F.col("source_id").cast("string").alias("collection"), "source_id", "content")
+    descriptor = own.select("collection", F.lit("fonts/a.fnt").alias("rel_path"), F.lit(bytearray(packers.font_descriptor([(65,)]))).alias("content"))
+    pages = own.select("collection", F.lit("Fonts/F.PNG").alias("rel_path"), "content")
+    twice = own.where("source_id % 2 = 1").select("collection", F.lit("fonts/f.png").alias("rel_path"), "content")
+    files = descriptor.union(pages).union(twice)
+    return companions.font_pages(companions.inspect_files(files), files).select("collection", "page", "missing")
+
+
 # Documents: a line for each page; their text as a whole.
 _LINES = f"SELECT page_id // {PAGES} AS source_id, sha256(string_agg(url, chr(10) ORDER BY page_id){{}}) AS digest FROM pages GROUP BY 1"
 
