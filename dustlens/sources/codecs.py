@@ -18,6 +18,14 @@ def inflate(data: bytes, most: int = 1 << 29) -> bytes:
     return out
 
 
+def unlzma2(data: bytes, dictionary: int = 1 << 23, most: int = 1 << 31) -> bytes:
+    """Chunks of LZMA, each plain or packed, without a header."""
+    try:
+        return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": dictionary}]).decompress(data, most)
+    except (lzma.LZMAError, EOFError) as e:
+        raise ValueError(str(e)) from e
+
+
 def unlzma(data: bytes, dict_size: int = 1 << 20, lc: int = 3, lp: int = 0, pb: int = 2) -> bytes:
     try:
         return lzma.decompress(data, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": dict_size, "lc": lc, "lp": lp, "pb": pb}])

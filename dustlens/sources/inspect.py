@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -202,6 +203,24 @@ def read_sources(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("source_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "content")
 
 
+def read_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """(collection, rel_path, content): a folder's files and those one level down, as what belongs together (see ``operators.companions`` and ``packages``).
+
+    Names that come twice but for case stay; looking them up finds none of them.
+    """
+    root = folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [path, *[s.getPath() for s in store.listStatus(path) if s.isDirectory()]]
+    named = [f.toString() for f in folders if any(s.isFile() for s in store.listStatus(f))]
+    if not named:
+        return spark.createDataFrame([], "collection string, rel_path string, content binary")
+    plain = re.sub("^[a-z]+:/+", "/", root)
+    files = spark.read.format("binaryFile").load(named)  # a folder's own files, not those below
+    whole = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    return files.select(F.lit(plain).alias("collection"), F.substr(whole, F.lit(len(plain) + 2)).alias("rel_path"), "content")
+
+
 def database_rows(resources: DataFrame) -> DataFrame:
     """(source_id, table, rowid, values): the rows of embedded databases, as escaped text; NULL is null."""
     lines = resources.where("kind = 'text' AND path RLIKE '/rows$'").select("source_id", F.regexp_extract("path", r"/table/([^/]+)/rows$", 1).alias("table"), F.explode(F.split("text", "\n")).alias("line")).where("line != ''")

@@ -11,7 +11,7 @@ from dustlens.functions import text
 from dustlens.operators import companions, detection, fonts, lookups
 from dustlens.plans import packers
 from dustlens.sources import containers, session
-from dustlens.sources.inspect import PARSERS, inspect, inspect_bytes, register
+from dustlens.sources.inspect import PARSERS, inspect, inspect_bytes, read_collection, register
 from dustlens.sources.listings import spectrum_basic
 from dustlens.sources.model import Node
 
@@ -70,6 +70,14 @@ def test_companions(spark):
     assert [(r["palette"], bytes(r["content"])) for r in palettes] == [("s/a.npl", b"better")]
 
 
+def test_a_folder_is_a_collection(spark, tmp_path):
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    for name in ("a.fnt", "sub/B.png", "sub/deep/c"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = read_collection(spark, str(tmp_path)).collect()
+    assert {r["rel_path"]: bytes(r["content"]) for r in rows} == {"a.fnt": b"a.fnt", "sub/B.png": b"sub/B.png"} and {r["collection"] for r in rows} == {str(tmp_path)}
+
+
 def line(number, body):
     return struct.pack(">H", number) + struct.pack("<H", len(body) + 1) + body + b"\r"
 
