@@ -121,16 +121,35 @@ def detect(sources: DataFrame) -> DataFrame:
     return sources.select("source_id", "filename", "content").mapInArrow(run, "source_id long, rank int, type_id string, support string, confidence string, evidence array<string>, derivation array<string>")
 
 
+#: Of a disc's files so many are looked into without being asked for, each of at most so many bytes, and all together; a disc with more files is not looked into at all (fixed values).
+DISC_FILES, DISC_FILE_BYTES, DISC_BYTES = 512, 64 << 20, 128 << 20
+
+
+def looked_into(nodes: list[Node]) -> list[bool]:
+    """Which resources' payloads are inspected in turn. Discs have a budget; what does not fit stays as it is."""
+    wanted = [bool(n.data) and n.type_id != "adobe.pdf" for n in nodes]
+    if not nodes or nodes[0].type_id not in ("filesystem.iso9660", "executable.appimage-type1"):
+        return wanted
+    if sum(n.data is not None for n in nodes) > DISC_FILES:
+        return [False] * len(nodes)
+    held, out = 0, []
+    for n, w in zip(nodes, wanted, strict=True):
+        fits = w and len(n.data) <= DISC_FILE_BYTES and held + len(n.data) <= DISC_BYTES
+        held += len(n.data) if fits else 0
+        out.append(fits)
+    return out
+
+
 def _walk(data: bytes, name: str, prefix: str, depth: int, most_depth: int, type_id: str | None) -> Iterator[tuple[str, int, Node, str | None]]:
     nodes, failure = inspect_bytes(data, name, type_id)
     if not nodes:
         if not depth:
             yield "/file", 0, Node("/file", "unknown", "opaque", [], data=data), failure
         return
-    for node in nodes:
+    for node, inner in zip(nodes, looked_into(nodes), strict=True):
         path = (prefix + node.path).rstrip("/") or "/"
         yield path, depth, node, None
-        if node.data and depth + 1 < most_depth and node.type_id != "adobe.pdf":
+        if inner and depth + 1 < most_depth:
             yield from _walk(node.data, node.path, path, depth + 1, most_depth, None)
 
 

@@ -16,7 +16,9 @@ from dustlens.operators.detection import PROBES, Probe, candidates_of, ordered
 from dustlens.plans import packers
 from dustlens.sources import codecs, export
 from dustlens.sources.images import unpack_bitmap_runs
+from dustlens.sources import inspect as scan
 from dustlens.sources.inspect import PARSERS, UNREAD, detect_bytes, inspect_bytes
+from dustlens.sources.model import Node
 from dustlens.sources.model import Raster, safe_name
 
 rng = random.Random(1)
@@ -213,6 +215,16 @@ def test_order_of_candidates():
     assert derivations["image.openraster"] == ("archive.zip", "image.openraster")
 
 
+def test_discs_have_a_budget(monkeypatch):
+    disc = lambda *sizes: [Node("/disc", "filesystem.iso9660", "group", []), *[Node(f"/disc/{i}", "file", "opaque", [], data=bytes(n)) for i, n in enumerate(sizes)]]
+    monkeypatch.setattr(scan, "DISC_FILE_BYTES", 10)
+    monkeypatch.setattr(scan, "DISC_BYTES", 16)
+    assert scan.looked_into(disc(8, 11, 9, 8, 0)) == [False, True, False, False, True, False]
+    monkeypatch.setattr(scan, "DISC_FILES", 2)
+    assert not any(scan.looked_into(disc(1, 1, 1))) and any(scan.looked_into(disc(1, 1)))
+    assert scan.looked_into([n._replace(type_id="archive.zip") for n in disc(99)])[1]
+
+
 def test_refiners_nest_and_do_not_repeat():
     chain = (Probe("a", "a", "^x"), Probe("b", "b", "^x", carrier="a"), Probe("c", "c", "^x", carrier="b"), Probe("a", "again", "^x", carrier="c"))
     assert [(p.type_id, d) for p, d in ordered(chain)] == [("c", ("a", "b", "c")), ("b", ("a", "b")), ("a", ("a",))]
