@@ -13,11 +13,14 @@ _K = np.arange(8)
 COSINES = np.where(_K == 0, np.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16)
 
 
-def _table(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    out, code, at = {}, 0, 0
+def _table(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits that may come next the size of their first code and its symbol, 256 * size + symbol; 0 where there is no code."""
+    out, code, at = [0] * 65536, 0, 0
     for size, n in enumerate(counts, 1):
         for _ in range(n):
-            out[size, code] = symbols[at]
+            need(code < 1 << size, "more codes than there are")
+            span = 1 << 16 - size
+            out[code * span : (code + 1) * span] = [size << 8 | symbols[at]] * span
             code, at = code + 1, at + 1
         code <<= 1
     return out
@@ -27,23 +30,34 @@ class _Scan:
     """Bits of a scan's data; 0xFF00 stands for 0xFF."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.n = data.replace(b"\xff\0", b"\xff"), 0, 0, 0
+        self.data, self.at, self.held, self.n, self.beyond = data.replace(b"\xff\0", b"\xff"), 0, 0, 0, 0
+
+    def _next(self) -> int:
+        """The next 16 bits; zeros behind the end, which may be looked at but not taken."""
+        while self.n < 16:
+            if self.at < len(self.data):
+                self.held = (self.held & (1 << self.n) - 1) << 8 | self.data[self.at]
+                self.at += 1
+            else:
+                self.held = (self.held & (1 << self.n) - 1) << 8
+                self.beyond += 8
+            self.n += 8
+        return self.held >> self.n - 16 & 0xFFFF
 
     def take(self, n: int) -> int:
-        while self.n < n:
-            need(self.at < len(self.data), "a scan ends early")
-            self.held = (self.held & (1 << self.n) - 1) << 8 | self.data[self.at]
-            self.at, self.n = self.at + 1, self.n + 8
+        if not n:
+            return 0
+        out = self._next() >> 16 - n
         self.n -= n
-        return self.held >> self.n & (1 << n) - 1
+        need(self.n >= self.beyond, "a scan ends early")
+        return out
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for size in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (size, code) in table:
-                return table[size, code]
-        raise ValueError("no such code")
+    def symbol(self, table: list[int]) -> int:
+        found = table[self._next()]
+        need(found > 0, "no such code")
+        self.n -= found >> 8
+        need(self.n >= self.beyond, "a scan ends early")
+        return found & 255
 
     def signed(self, n: int) -> int:
         if not n:
@@ -61,7 +75,7 @@ class _Component:
         self.last, self.quant = 0, None
 
 
-def _sequential(scan: _Scan, own: _Component, block: np.ndarray, dc: dict, ac: dict) -> None:
+def _sequential(scan: _Scan, own: _Component, block: np.ndarray, dc: list[int], ac: list[int]) -> None:
     own.last += scan.signed(scan.symbol(dc))
     block[0], k = own.last, 1
     while k < 64:
@@ -83,7 +97,7 @@ class _Progress:
     def __init__(self, start: int, end: int, high: int, low: int):
         self.start, self.end, self.high, self.low, self.run = start, end, high, low, 0
 
-    def block(self, scan: _Scan, own: _Component, block: np.ndarray, dc: dict | None, ac: dict | None) -> None:
+    def block(self, scan: _Scan, own: _Component, block: np.ndarray, dc: list[int] | None, ac: list[int] | None) -> None:
         if self.start == 0:
             if self.high:
                 block[0] |= scan.take(1) << self.low
@@ -95,7 +109,7 @@ class _Progress:
         else:
             self._first(scan, block, ac)
 
-    def _first(self, scan: _Scan, block: np.ndarray, ac: dict) -> None:
+    def _first(self, scan: _Scan, block: np.ndarray, ac: list[int]) -> None:
         if self.run:
             self.run -= 1
             return
@@ -114,7 +128,7 @@ class _Progress:
                 self.run = (1 << zeros) - 1 + scan.take(zeros)
                 return
 
-    def _refine(self, scan: _Scan, block: np.ndarray, ac: dict) -> None:
+    def _refine(self, scan: _Scan, block: np.ndarray, ac: list[int]) -> None:
         step, k = 1 << self.low, self.start
 
         def again(at: int) -> None:
