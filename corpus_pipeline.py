@@ -11,22 +11,22 @@ from dustlens.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity models do not reject."""
+    """The documents that the toxicity models do not reject, with all their columns. A null text is judged as the empty one; repeated rows all stay or all go."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the largest id."""
+    """One document of each text, the one with the largest id, with all its columns. Null and empty texts are one text; of rows that repeat an id and a text one stays; a null id loses to any other."""
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One document of each near-duplicate group, the one with the smallest id, with all its columns. Texts without words are one group; rows with a null id stay."""
     return simhash.without_near_copies(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents and columns, with personal data replaced by its kind; a null text stays null."""
     return pii.redact(docs)
 
 
