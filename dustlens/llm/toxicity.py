@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 
 from dustlens.llm.common import as_bytes, held_out, table, texts_of
 
-#: The bounded sample that the class counts are taken from: so many labelled documents of each class, none longer than so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 15
+#: The bounded sample that the class counts are taken from: so many labelled documents of each class, none longer than so many bytes, and so many bytes together.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 1 << 15, 1 << 23
 #: Absolute discounts, and what the orders below weigh besides; folds of the training sample choose among them.
-DISCOUNTS, STRENGTHS = (2.0, 3.0, 4.0), (2.0, 8.0, 32.0)
+DISCOUNTS, STRENGTHS = (2.0, 4.0, 6.0), (8.0, 32.0, 128.0)
 FOLDS = 3
-#: Bits of a sketch's register number: 256 registers count distinct contexts within some 7 percent.
-REGISTER_BITS = 8
+#: Bytes of the beginnings of words that the models tell apart, the shortest first.
+LENGTHS = (4, 6)
+#: Bits of a sketch's register number: 128 registers count distinct contexts within some 9 percent.
+REGISTER_BITS = 7
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.7
 
@@ -62,30 +65,80 @@ class Kinds:
         return self._nearest(self._shares(texts))
 
 
+class Vocabulary:
+    """The entries that the models tell apart: words, then all other words that begin alike, then the rest.
+
+    ``beginnings`` lists known beginnings by length (``LENGTHS`` bytes); a word that is none of
+    ``words`` is of the longest known beginning that it has.
+    """
+
+    def __init__(self, words: list[bytes], beginnings: list[list[bytes]]):
+        self.words = {w: i for i, w in enumerate(words)}
+        self.groups: list[dict[bytes, int]] = []
+        n = len(words)
+        for own in beginnings:
+            self.groups.append({b: n + i for i, b in enumerate(own)})
+            n += len(own)
+        self.rest, self.size = n, n + 1
+        # Kinds of each order: each known beginning, then all else that has a known beginning of the order below, then the rest (0).
+        self.kinds: list[dict[tuple[int, bytes], int]] = []
+        for order in range(len(LENGTHS)):
+            named = [(order, b) for b in self.groups[order]] + [key for key in (self.kinds[-1] if order else {})]
+            self.kinds.append({key: i + 1 for i, key in enumerate(named)})
+
+    @staticmethod
+    def of(texts: list[list[bytes]], fewest: int) -> Vocabulary:
+        """Words, and beginnings, that come so often in several of the texts."""
+        counts, spread = Counter(w for t in texts for w in t), Counter(w for t in texts for w in set(t))
+        begun = [Counter() for _ in LENGTHS]
+        for w, n in counts.items():
+            for own, length in zip(begun, LENGTHS, strict=True):
+                own[w[:length]] += n
+        return Vocabulary(sorted(w for w, n in counts.items() if n >= fewest and spread[w] > 1), [sorted(b for b, n in own.items() if n >= fewest) for own in begun])
+
+    def entry(self, word: bytes) -> int:
+        i = self.words.get(word)
+        if i is None:
+            for own, length in zip(reversed(self.groups), reversed(LENGTHS), strict=True):
+                i = own.get(word[:length])
+                if i is not None:
+                    return i
+            return self.rest
+        return i
+
+    def kind(self, order: int, word: bytes) -> int:
+        """The kind of a word in an order: its beginning's, or the longest shorter known one's."""
+        for k in range(order, -1, -1):
+            found = self.kinds[order].get((k, word[: LENGTHS[k]])) if word[: LENGTHS[k]] in self.groups[k] else None
+            if found is not None:
+                return found
+        return 0
+
+    def kinds_of_entries(self, order: int) -> np.ndarray:
+        out = [self.kind(order, w) for w in self.words]
+        for k, own in enumerate(self.groups):
+            out += [self.kinds[order][k, b] if k <= order else self.kind(order, b) for b in own]
+        return np.array([*out, 0])
+
+
 class Counts:
     """Distinct contexts by class, from lists of words and their classes: all that the models need, whatever their discount.
 
     Every order counts distinct contexts, as Kneser-Ney's lower orders do, so that a copied or
-    repeated passage counts once. ``shared`` is a number
-    of distinct contexts for each word of the vocabulary in the whole corpus, ``others`` that for
-    all other words together, which are one further entry of the vocabulary.
+    repeated passage counts once. ``shared`` is a number of distinct contexts in the whole corpus
+    for each entry of the vocabulary.
     """
 
-    #: Bytes of a word's beginnings, the shortest first.
-    beginnings = (4, 6)
-
-    def __init__(self, texts: list[list[bytes]], labels: list[int], shared: dict[bytes, float], others: float):
-        self.names = names = [*shared, None]  # None: all other words
-        ids = {w: i for i, w in enumerate(shared)}
-        self.unknown = unknown = len(ids)
-        below = np.append(np.fromiter(shared.values(), float, unknown), max(1.0, others))
-        self.below = below / below.sum()
-        # Words outside of the vocabulary are told apart as contexts, by further numbers; 0 is a text's beginning.
+    def __init__(self, texts: list[list[bytes]], labels: list[int], vocabulary: Vocabulary, shared: np.ndarray):
+        self.size = vocabulary.size
+        self.below = np.maximum(shared, 1.0) / np.maximum(shared, 1.0).sum()
+        # All words are told apart as contexts; 0 is a text's beginning.
         every: dict[bytes, int] = {b"": 0}
         coded = [np.array([0, 0] + [every.setdefault(w, len(every)) for w in words], np.int64) for words in texts]
         coded = [(y, x) for x, y in zip(coded, labels, strict=True) if len(x) > 2]
         n, spelled = len(every), list(every)
-        self.entry = np.array([ids.get(w, unknown) for w in spelled])
+        self.entry = np.array([vocabulary.entry(w) for w in spelled])
+        known = np.array([w in vocabulary.words for w in spelled])
         join = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
         klass = np.repeat([y for y, _ in coded], [len(x) - 2 for _, x in coded]).astype(np.int64)
         earlier, before, word = (join([x[k : len(x) - 2 + k] for _, x in coded]) for k in range(3))
@@ -97,20 +150,22 @@ class Counts:
             return np.bincount(np.unique(context * (2 * size) + klass * size + item) % (2 * size), minlength=2 * size).reshape(2, size).astype(float)
 
         self.words = counted(n, before, word)
-        self.orders = []  # of each length of beginnings: counts, the beginning of each entry, its probability in the corpus
-        for length in self.beginnings:
-            known: dict[bytes | None, int] = {None: 0}
-            of = np.array([known.setdefault(w and w[:length], len(known)) for w in names])
-            whole = np.array([known.get(w[:length], 0) for w in spelled])
-            self.orders.append((counted(len(known), number, whole[word]), of, np.bincount(of, weights=self.below, minlength=len(known))))
+        self.orders = []  # of each length of beginnings: counts by kind, the kind of each entry, its probability in the corpus, its kind in the order below
+        for order, kinds in enumerate(vocabulary.kinds):
+            of = vocabulary.kinds_of_entries(order)
+            whole = np.array([vocabulary.kind(order, w) for w in spelled])
+            above = np.zeros(len(kinds) + 1, np.int64)
+            for (k, b), i in kinds.items():
+                above[i] = vocabulary.kinds[order - 1][k, b] if order and k < order else vocabulary.kind(order - 1, b) if order else 0
+            self.orders.append((counted(len(kinds) + 1, number, whole[word]), of, np.bincount(of, weights=self.below, minlength=len(kinds) + 1), above))
         k = counted(len(numbers), earlier, number)
         v, w = numbers // n, self.entry[numbers % n]
-        inside = (self.entry[v] < unknown) | (v == 0)
-        self.pair_v, self.pair_w, self.pair_k = np.where(v == 0, unknown, self.entry[v])[inside], w[inside], k[:, inside]
+        inside = known[v] | (v == 0)
+        self.pair_v, self.pair_w, self.pair_k = np.where(v == 0, self.size, self.entry[v])[inside], w[inside], k[:, inside]
 
 
 class KneserNey:
-    """Interpolated models of words after words, one for each class, over the vocabulary and one entry for all other words.
+    """Interpolated models of words after words, one for each class, over the entries of a vocabulary.
 
     As in modified Kneser-Ney the absolute discount D(k) grows with the count: min(k, ``discount``
     standard deviations of it, which is its square root). S is the strength of the orders below;
@@ -119,8 +174,8 @@ class KneserNey:
     to its base.)
 
     - P(w) of the corpus is proportional to shared contexts; both classes have it in common.
-    - P_c(b) of the beginnings b of words is (k - D(k) + R P_c(a) P(b | a)) / ((1 + S) K),
-      where a is the next shorter beginning, at last none, and P(b | a) the corpus's.
+    - P_c(b) of the beginnings b of words is (k - D(k) + R P_c(a) P(b | a)) / ((1 + S) K), where
+      a is the next shorter beginning, at last none, and P(b | a) the corpus's.
     - P_c(w) of words likewise, below which their longest beginnings are.
     - Q_c(w | v) likewise from the pairs with v of both classes together, with P_c(w) below.
     - P_c(w | v) likewise from the pairs with v of class c, with Q_c(w | v) below. Where there is
@@ -131,7 +186,7 @@ class KneserNey:
     """
 
     def __init__(self, counts: Counts, discount: float, strength: float):
-        self.unknown, one = counts.unknown, 1 + strength
+        self.size, one = counts.size, 1 + strength
         gone = lambda k: np.minimum(k, discount * np.sqrt(k))
 
         def share(k: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,43 +194,41 @@ class KneserNey:
             kept = np.stack([np.bincount(of, weights=x, minlength=size) for x in k - gone(k)]) / np.maximum(total, 1) / one
             return kept, np.where(total > 0, (gone(k).sum(axis=1, keepdims=True) / np.maximum(total, 1) + strength) / one, 1.0)
 
-        lower, parents, up = np.ones((2, 1)), np.ones(1), np.zeros(self.unknown + 1, np.int64)
-        for k, of, p in counts.orders:
-            above = np.zeros(len(p), np.int64)
-            above[of] = up
+        lower, parents, up = np.ones((2, 1)), np.ones(1), np.zeros(self.size, np.int64)
+        for k, of, p, above in counts.orders:
             kept, rest = share(k, np.arange(len(p)), len(p))
-            lower, parents, up = kept + rest * lower[:, above] * p / parents[above], p, of
-        kept, rest = share(counts.words, counts.entry, self.unknown + 1)
-        #: P_c of each word of the vocabulary, and of all others together.
+            lower, parents, up = kept + rest * lower[:, above] * p / np.maximum(parents[above], 1e-300), p, of
+        kept, rest = share(counts.words, counts.entry, self.size)
+        #: P_c of each entry.
         self.single = kept + rest * lower[:, up] * counts.below / parents[up]
-        # Rows of pairs: the ordinary and the toxic class's, and both together.
+        # Rows of pairs: the ordinary and the toxic class's, and both together. The context after the last entry is a text's beginning.
         every = np.concatenate([counts.pair_k, counts.pair_k.sum(axis=0, keepdims=True)])
-        totals = [np.stack([np.bincount(counts.pair_v, weights=x, minlength=self.unknown + 1) for x in y]) for y in (every, gone(every))]
-        self.pair_total = totals[0] * one
+        totals = [np.stack([np.bincount(counts.pair_v, weights=x, minlength=self.size + 1) for x in y]) for y in (every, gone(every))]
+        total = totals[0] * one
         #: What a pair with v that is not kept has of the order below.
-        self.pair_rest = np.where(totals[0] > 0, (totals[1] + totals[0] * strength) / np.maximum(self.pair_total, 1e-12), 1.0)
+        self.pair_rest = np.where(totals[0] > 0, (totals[1] + totals[0] * strength) / np.maximum(total, 1e-12), 1.0)
         some = (gone(every) < every).any(axis=0)
-        self.pairs, at = np.unique(counts.pair_v[some] * (self.unknown + 1) + counts.pair_w[some], return_inverse=True)
+        self.pairs, at = np.unique(counts.pair_v[some] * self.size + counts.pair_w[some], return_inverse=True)
         kept = np.stack([np.bincount(at, weights=x, minlength=len(self.pairs)) for x in (every - gone(every))[:, some]])
-        self.pair_kept = kept / np.maximum(self.pair_total[:, self.pairs // (self.unknown + 1)], 1e-12)
+        self.pair_kept = kept / np.maximum(total[:, self.pairs // self.size], 1e-12)
 
     def _paired(self, c: int, v: np.ndarray, kept: np.ndarray, below: np.ndarray) -> np.ndarray:
         """P_c(w | v) from what is kept of pairs (a row for each class and one for both) and P_c(w)."""
         return kept[c] + self.pair_rest[c, v] * (kept[2] + self.pair_rest[2, v] * below)
 
     def following(self, c: int, v: int) -> np.ndarray:
-        """P_c(. | v) over the vocabulary and all others together; v is a place in the vocabulary, or its length at a text's beginning."""
-        kept = np.zeros((3, self.unknown + 1))
-        own = self.pairs // (self.unknown + 1) == v
-        kept[:, self.pairs[own] % (self.unknown + 1)] = self.pair_kept[:, own]
+        """P_c(. | v) over all entries; v is an entry, or their number at a text's beginning."""
+        kept = np.zeros((3, self.size))
+        own = self.pairs // self.size == v
+        kept[:, self.pairs[own] % self.size] = self.pair_kept[:, own]
         return self._paired(c, np.array(v), kept, self.single[c])
 
     def odds(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log P_toxic(w | v) / P_ordinary(w | v) of pairs of places in the vocabulary. What the corpus alone decides, such as which of all other words it is, cancels out."""
+        """log P_toxic(w | v) / P_ordinary(w | v) of pairs of entries. What the corpus alone decides, such as which word of an entry it is, cancels out."""
         kept = np.zeros((3, len(v)))
-        at = np.searchsorted(self.pairs, v * (self.unknown + 1) + w)
+        at = np.searchsorted(self.pairs, v * self.size + w)
         here = np.flatnonzero(at < len(self.pairs))
-        here = here[self.pairs[at[here]] == (v * (self.unknown + 1) + w)[here]]
+        here = here[self.pairs[at[here]] == (v * self.size + w)[here]]
         kept[:, here] = self.pair_kept[:, at[here]]
         p = [self._paired(c, v, kept, self.single[c, w]) for c in (0, 1)]
         return np.log(p[1]) - np.log(p[0])
@@ -184,28 +237,34 @@ class KneserNey:
 class Odds:
     """Log ratios of the toxic to the ordinary models, the mean of several models', so that scoring a word is a few look-ups."""
 
-    def __init__(self, models: list[KneserNey], names: list[bytes | None]):
-        word = np.mean([np.log(m.single[1]) - np.log(m.single[0]) for m in models], axis=0)
+    def __init__(self, models: list[KneserNey], vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.single = np.mean([np.log(m.single[1]) - np.log(m.single[0]) for m in models], axis=0).tolist()
         shift = np.mean([np.log(m.pair_rest[1]) - np.log(m.pair_rest[0]) for m in models], axis=0)
-        self.word, self.other = dict(zip(names[:-1], word[:-1].tolist(), strict=True)), float(word[-1])
-        label = [*names[:-1], b""]
-        self.context = {label[v]: float(shift[v]) for v in np.flatnonzero(shift).tolist()}
-        self.pair: dict[bytes, dict[bytes | None, float]] = {}
-        v, w = np.divmod(np.unique(np.concatenate([m.pairs for m in models])), len(names))
+        self.context = {v: float(shift[v]) for v in np.flatnonzero(shift).tolist()}
+        self.pair: dict[int, dict[int, float]] = {}
+        size = vocabulary.size
+        v, w = np.divmod(np.unique(np.concatenate([m.pairs for m in models])), size)
         for a, b, x in zip(v.tolist(), w.tolist(), np.mean([m.odds(v, w) for m in models], axis=0).tolist(), strict=True):
-            self.pair.setdefault(label[a], {})[names[b]] = x
+            self.pair.setdefault(a, {})[b] = x
+        self.seen: dict[bytes, int] = {}
 
     def mean(self, words: list[bytes]) -> float:
         """The difference of the two log-likelihoods, divided by the number of words; 0 without words."""
-        word, other, context, pair = self.word, self.other, self.context, self.pair
-        total, last = 0.0, b""
-        for w in words:
-            x = word.get(w)
-            if last in pair and (y := pair[last].get(w if x is not None else None)) is not None:
-                total += y
+        single, context, pair, seen, entry = self.single, self.context, self.pair, self.seen, self.vocabulary.entry
+        known = len(self.vocabulary.words)
+        if len(seen) > 100_000:
+            seen.clear()
+        total, last = 0.0, len(single)
+        for word in words:
+            w = seen.get(word)
+            if w is None:
+                seen[word] = w = entry(word)
+            if last in pair and w in pair[last]:
+                total += pair[last][w]
             else:
-                total += (other if x is None else x) + context.get(last, 0.0)
-            last = w
+                total += single[w] + context.get(last, 0.0)
+            last = w if w < known else -1
         return total / max(1, len(words))
 
 
@@ -237,10 +296,11 @@ class ToxicityModel:
     speak in every word.
     """
 
-    def __init__(self, texts: list[bytes], labels: list[int], shared: dict[bytes, float], others: float):
-        words = [words_of(t) for t in texts]
+    def __init__(self, texts: list[bytes], labels: list[int], vocabulary: Vocabulary, shared: np.ndarray):
+        same: dict[bytes, bytes] = {}
+        words = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]  # each word is held once
         y = np.array(labels, np.int64)
-        self.kinds = Kinds(words, shared)
+        self.kinds = Kinds(words, dict(zip(vocabulary.words, shared.tolist(), strict=False)))
         kind = self.kinds.of(words)
         fold = np.zeros(len(y), np.int64)
         for c in (0, 1):
@@ -248,13 +308,12 @@ class ToxicityModel:
         grid = list(product(DISCOUNTS, STRENGTHS))
         models: dict[tuple[float, float], list[KneserNey]] = {p: [] for p in grid}
         usual, odds = {p: [] for p in grid}, {p: np.zeros(len(y)) for p in grid}
-        names: list[bytes | None] = [*shared, None]
         for k in range(FOLDS):
             own, out = self._balanced(np.flatnonzero(fold != k), words, y, kind), np.flatnonzero(fold == k)
-            seen = Counts([words[i] for i in own], y[own].tolist(), shared, others)
+            seen = Counts([words[i] for i in own], y[own].tolist(), vocabulary, shared)
             for p in grid:
                 models[p].append(KneserNey(seen, *p))
-                one = Odds(models[p][-1:], names)
+                one = Odds(models[p][-1:], vocabulary)
                 x = np.array([one.mean(words[i]) for i in out.tolist()], float)
                 usual[p].append(self._usual(x, y[out], kind[out]))
                 odds[p][out] = (x - usual[p][-1][0][kind[out]]) / usual[p][-1][1][kind[out]]
@@ -262,7 +321,7 @@ class ToxicityModel:
         if FOLDS <= y.sum() <= len(y) - FOLDS:
             self.tried = sorted((*_logistic(x, y), p) for p, x in odds.items())
             _, self.slope, self.intercept, chosen = self.tried[0]
-        self.usual, self.odds = np.mean(usual[chosen], axis=0), Odds(models[chosen], names)
+        self.usual, self.odds = np.mean(usual[chosen], axis=0), Odds(models[chosen], vocabulary)
 
     @staticmethod
     def _balanced(texts: np.ndarray, words: list[list[bytes]], y: np.ndarray, kind: np.ndarray) -> list[int]:
@@ -288,69 +347,94 @@ class ToxicityModel:
         return np.array([middle(x if len(x) >= fewest else odds[y == 0]) for x in own]).T
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        words = [words_of(t) for t in texts]
-        centre, spread = self.usual[:, self.kinds.of(words)]
-        x = (np.array([self.odds.mean(w) for w in words], float) - centre) / spread
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
+        """Of each text, from 0 to 1. One text's words are held at a time."""
+        out = np.empty(len(texts))
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            centre, spread = self.usual[:, int(self.kinds.of([words])[0])]
+            out[i] = (self.odds.mean(words) - centre) / spread
+        return 1 / (1 + np.exp(-np.clip(self.slope * out + self.intercept, -30, 30)))
 
 
-def shared_contexts(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[bytes, float], float]:
-    """The number of distinct words before each word of ``vocabulary`` in all of ``docs``, and that before all other words.
+def shared_contexts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The number of distinct contexts of each entry of ``vocabulary`` in all of ``docs``: words before a word, or pairs of words where an entry has several.
 
-    Sketches of ``1 << REGISTER_BITS`` registers for each word (and for sixteen classes of the
-    others) are filled within tasks and merged by their greatest ranks; a task returns them
-    sparsely, and what comes to the driver is bounded by the vocabulary.
+    Sketches of ``1 << REGISTER_BITS`` registers for each entry are filled within tasks and
+    merged by their greatest ranks, so that a task sends one sketch for each entry it has seen;
+    what comes to the driver is a number for each entry of the vocabulary.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kinds, registers = 16, 1 << REGISTER_BITS
+    registers = 1 << REGISTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        ids = {w: i for i, w in enumerate(sent.value)}
-        n = len(ids)
-        ranks = np.zeros((n + kinds, registers), np.uint8)
-        hashes: dict[bytes, int] = {}
+        entry, n_words = sent.value.entry, len(sent.value.words)
+        ranks = np.zeros((sent.value.size, registers), np.uint8)
+        known: dict[bytes, tuple[int, int]] = {}
         for batch in batches:
             for text in as_bytes(batch.column(1)):
                 words = words_of(text)
                 if len(words) < 2:
                     continue
-                if len(hashes) > 300_000:
-                    hashes.clear()
+                if len(known) > 100_000:
+                    known.clear()
                 for w in words:
-                    if w not in hashes:
-                        hashes[w] = xxh3_64_intdigest(w)
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                at = np.fromiter((ids.get(w, -1) for w in words[1:]), np.int64, len(words) - 1)
-                other = at < 0
-                at[other] = n + (h[1:][other] >> np.uint64(60)).astype(np.int64)
-                # The hash of the context, of the whole pair for words outside of the vocabulary.
-                key = (h[:-1] ^ np.where(other, h[1:], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+                    if w not in known:
+                        known[w] = xxh3_64_intdigest(w), entry(w)
+                pairs = [known[w] for w in words]
+                h = np.array([p[0] for p in pairs], np.uint64)
+                at = np.array([p[1] for p in pairs[1:]], np.int64)
+                # The hash of the context, of the whole pair for entries of several words.
+                key = (h[:-1] ^ np.where(at >= n_words, h[1:] * np.uint64(3), np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(32)
                 key *= np.uint64(0xD6E8FEB86659FD93)
-                low = (key >> np.uint64(REGISTER_BITS)).astype(np.float64) + 1  # the leading zeros of 56 bits
-                rank = (64 - REGISTER_BITS + 1 - np.floor(np.log2(low))).astype(np.uint8)
+                low = (key >> np.uint64(REGISTER_BITS)).astype(np.float64) + 1
+                rank = (64 - REGISTER_BITS - np.floor(np.log2(low))).astype(np.uint8)
                 np.maximum.at(ranks, (at, (key & np.uint64(registers - 1)).astype(np.int64)), rank)
-        at, register = np.nonzero(ranks)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(register.astype(np.int32)), pa.array(ranks[at, register].astype(np.int32))], names=["word", "register", "rank"])
-
-    rows = texts_of(docs, id_col, text_col).mapInArrow(run, "word int, register int, rank int").groupBy("word", "register").agg(F.max("rank").alias("rank"))
-    sums = {r[0]: (r[1], r[2]) for r in rows.groupBy("word").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.count("*")).collect()}
-
-    def estimate(word: int) -> float:
-        total, filled = sums.get(word, (0.0, 0))
-        empty = registers - filled
-        raw = 0.7213 / (1 + 1.079 / registers) * registers**2 / (total + empty)
-        return registers * math.log(registers / empty) if empty and raw <= 2.5 * registers else raw
-
-    return {w: max(1.0, estimate(i)) for i, w in enumerate(vocabulary)}, sum(estimate(len(vocabulary) + k) for k in range(kinds))
+        filled = np.flatnonzero(ranks.any(axis=1))
+        for start in range(0, len(filled), 1 << 12):  # in parts, so that no batch is large
+            own = filled[start : start + (1 << 12)]
+            column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(registers), len(own), [None, pa.py_buffer(ranks[own].tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), column], names=["entry", "ranks"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The estimates of a partition's entries; what is held is a sketch for each of them."""
+        place: dict[int, int] = {}
+        held = np.zeros((0, registers), np.uint8)
+        for batch in batches:
+            at = np.array([place.setdefault(e, len(place)) for e in batch.column(0).to_pylist()], np.int64)
+            if len(place) > len(held):
+                held = np.concatenate([held, np.zeros((2 * len(place) - len(held), registers), np.uint8)])
+            np.maximum.at(held, at, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, registers))
+        held = held[: len(place)]
+        empty = (held == 0).sum(axis=1)
+        raw = 0.7213 / (1 + 1.079 / registers) * registers**2 / np.exp2(-held.astype(float)).sum(axis=1)
+        linear = registers * np.log(registers / np.maximum(empty, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(place, np.int32, len(place))), pa.array(np.where((empty > 0) & (raw <= 2.5 * registers), linear, raw))], names=["entry", "contexts"])
+
+    sketches = texts_of(docs, id_col, text_col).mapInArrow(run, "entry int, ranks binary")
+    out = np.ones(vocabulary.size)
+    for entry, contexts in sketches.repartition("entry").mapInArrow(merge, "entry int, contexts double").collect():
+        out[entry] = max(1.0, contexts)
+    return out
+
+
+def _sampled(ids: DataFrame, sample: int, most_total: int) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of the first of a class's documents by a hash of the id, as many as both bounds allow."""
+    out, held = [], 0
+    for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
+        held += r["bytes"]
+        if held > most_total and out:
+            break
+        out.append((r["doc_id"], r["toxic"]))
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Learns class counts from at most ``sample`` labelled documents of each class, chosen by a hash of the id, that the held-out fold does not hold.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, most_total: int = SAMPLE_TOTAL) -> ToxicityModel:
+    """Learns class counts from at most ``sample`` labelled documents of each class, of ``most_total`` bytes together, chosen by a hash of the id, that the held-out fold does not hold.
 
-    What comes to the driver is bounded by 2 * sample * most_bytes, whatever the corpus; the
+    What one task holds of it is bounded by 2 * most_total bytes, whatever the corpus; the
     counts that both classes back off to are taken over all of ``docs``, without labels. Labels
     that are null, or of documents with no text, are passed over; of several labels of one
     document the highest counts.
@@ -359,14 +443,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most_byte
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fitting = texts_of(docs).where(F.octet_length("text").between(1, most_bytes))
     # Ids first, so that texts of the sample alone are sorted out.
-    ids = known.join(fitting.select("doc_id").distinct(), "doc_id", "left_semi")
-    picked = [ids.where((F.col("toxic") > 0) == (c > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    rows = fitting.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    texts, classes = [r["text"].encode() for r in rows], [int(r["toxic"] > 0) for r in rows]
-    seen = Counter(w for t in texts for w in set(words_of(t)))
-    vocabulary = sorted(w for w, n in seen.items() if n > 1)  # the discount uses up what one text has
-    return ToxicityModel(texts, classes, *shared_contexts(docs, vocabulary))
+    ids = known.join(fitting.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes")), "doc_id")
+    picked = [r for c in (0, 1) for r in _sampled(ids.where((F.col("toxic") > 0) == (c > 0)), sample, most_total)]
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
+    rows = fitting.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    fewest = math.floor(min(DISCOUNTS) ** 2) + 1  # the discount uses up what comes more seldom
+    vocabulary = _in_one_task(rows, lambda texts, classes: Vocabulary.of([words_of(t) for t in texts], fewest))
+    shared = shared_contexts(docs, vocabulary)
+    return _in_one_task(rows, lambda texts, classes: ToxicityModel(texts, classes, vocabulary, shared))
+
+
+def _in_one_task(rows: DataFrame, work: Callable[[list[bytes], list[int]], object]) -> object:
+    """What ``work`` makes of the sample's texts and classes, in order of ids. The sample is bounded, so one task holds it; only the result comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r["doc_id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        out = pickle.dumps(work([t.encode() for _, t, _ in held], [int(c > 0) for *_, c in held]))
+        parts = [out[i : i + (1 << 22)] for i in range(0, len(out), 1 << 22)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["place", "part"])
+
+    parts = rows.repartition(1).mapInArrow(run, "place int, part binary").collect()
+    return pickle.loads(b"".join(bytes(p["part"]) for p in sorted(parts, key=lambda p: p["place"])))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -13,15 +13,16 @@ rng = random.Random(6)
 WORDS = [b"the", b"of", b"and", b"clown", b"clowns", b"clownish", b"tree", b"trees", b"treetop", b"red", b"blue", b"idiotic"]
 TEXTS = [[rng.choice(WORDS + [b"rare%d" % rng.randint(0, 30)]) for _ in range(rng.randint(0, 60))] for _ in range(24)]
 LABELS = [i % 2 for i in range(24)]
-SHARED = {w: float(3 + i) for i, w in enumerate(WORDS)}
+VOCABULARY = toxicity.Vocabulary(WORDS, [[b"blue", b"clow", b"rare", b"tree"], [b"clowni", b"rare1", b"treeto"]])
+SHARED = np.arange(3.0, 3 + VOCABULARY.size)
 
 
 @pytest.mark.parametrize("discount, strength", [(0.5, 0.0), (2.0, 0.0), (1.0, 8.0)])
 def test_probabilities_sum_to_one(discount, strength):
-    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, SHARED, 40.0), discount, strength)
+    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, VOCABULARY, SHARED), discount, strength)
     for c in (0, 1):
         assert lm.single[c].sum() == pytest.approx(1)
-        for v in range(lm.unknown + 1):
+        for v in range(lm.size + 1):
             p = lm.following(c, v)
             assert p.sum() == pytest.approx(1) and (p > 0).all()
 
@@ -29,14 +30,26 @@ def test_probabilities_sum_to_one(discount, strength):
 @pytest.mark.parametrize("discount, strength", [(0.5, 0.0), (1.5, 2.0)])
 def test_models_against_plain_counting(discount, strength):
     """Sets of contexts and recursion by the formulas of the docstring."""
-    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, SHARED, 40.0), discount, strength)
-    names = [*WORDS, None]
-    total = sum(SHARED.values()) + 40.0
-    shared = {w: SHARED.get(w, 40.0) / total for w in names}
-    entry = lambda w: w if w in SHARED else None
-    begin = lambda w, n: None if w is None else w[:n]
+    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, VOCABULARY, SHARED), discount, strength)
+    total = SHARED.sum()
+    entries = [*WORDS, *((4, b) for b in VOCABULARY.groups[0]), *((6, b) for b in VOCABULARY.groups[1]), None]
+    shared = dict(zip(entries, SHARED / total))
     gone = lambda k: min(k, discount * math.sqrt(k))
-    known = {n: {w[:n] for w in WORDS} for n in (4, 6)}
+
+    def entry(w):
+        if w in WORDS:
+            return w
+        return (6, w[:6]) if w[:6] in VOCABULARY.groups[1] else (4, w[:4]) if w[:4] in VOCABULARY.groups[0] else None
+
+    def start_of(e, n):
+        """The kind of an entry in the order of n bytes: its longest known beginning of at most n."""
+        w = e if isinstance(e, bytes) else e[1] if e else b""
+        short = e[0] if isinstance(e, tuple) else 99
+        for k, own in ((6, VOCABULARY.groups[1]), (4, VOCABULARY.groups[0])):
+            if k <= n and k <= short and w[:k] in own:
+                return (k, w[:k])
+        return None
+
     words, pairs, starts = ([defaultdict(set) for _ in (0, 1)] for _ in range(3))
     for text, c in zip(TEXTS, LABELS):
         padded = [b"", b"", *text]
@@ -44,56 +57,59 @@ def test_models_against_plain_counting(discount, strength):
             words[c][w].add(b)
             pairs[c][b, w].add(a)
             for n in (4, 6):
-                starts[c][n, w[:n] if w[:n] in known[n] else None].add((b, w))
+                starts[c][n, start_of(w, n)].add((b, w))
 
     def start(c, n, b):
         """P_c of a beginning."""
         counts = {k[1]: len(s) for k, s in starts[c].items() if k[0] == n}
         whole = sum(counts.values())
-        p = lambda m, x: sum(q for w, q in shared.items() if begin(w, m) == x)
-        below = start(c, 4, begin(b, 4)) / p(4, begin(b, 4)) if n == 6 else 1.0
+        p = lambda m, x: sum(q for e, q in shared.items() if start_of(e, m) == x)
+        shorter = start_of(b, 4)
+        below = start(c, 4, shorter) / p(4, shorter) if n == 6 else 1.0
         rest = sum(map(gone, counts.values())) / whole + strength
         own = counts.get(b, 0)
         return ((own - gone(own)) / whole + rest * below * p(n, b)) / (1 + strength)
 
-    def one(c, w):
+    def one(c, e):
         counts = {k: len(s) for k, s in words[c].items()}
         whole = sum(counts.values())
-        kept = sum(k - gone(k) for x, k in counts.items() if entry(x) == w)
-        mates = sum(q for x, q in shared.items() if begin(x, 6) == begin(w, 6))
-        return (kept / whole + (sum(map(gone, counts.values())) / whole + strength) * start(c, 6, begin(w, 6)) * shared[w] / mates) / (1 + strength)
+        kept = sum(k - gone(k) for x, k in counts.items() if entry(x) == e)
+        mates = sum(q for x, q in shared.items() if start_of(x, 6) == start_of(e, 6))
+        return (kept / whole + (sum(map(gone, counts.values())) / whole + strength) * start(c, 6, start_of(e, 6)) * shared[e] / mates) / (1 + strength)
 
-    def after(c, v, w):
+    def after(c, v, e):
         def level(counts, below):
             counts = {k: n for k, n in counts.items() if k[0] == v}
             whole = sum(counts.values())
             if not whole:
                 return below
-            kept = sum(n - gone(n) for k, n in counts.items() if entry(k[1]) == w)
+            kept = sum(n - gone(n) for k, n in counts.items() if entry(k[1]) == e)
             return (kept + (sum(map(gone, counts.values())) + strength * whole) * below) / whole / (1 + strength)
 
         both = {k: len(pairs[0][k]) + len(pairs[1][k]) for k in set(pairs[0]) | set(pairs[1])}
-        return level({k: len(s) for k, s in pairs[c].items() if s}, level(both, one(c, w)))
+        return level({k: len(s) for k, s in pairs[c].items() if s}, level(both, one(c, e)))
 
     for c in (0, 1):
-        assert lm.single[c].tolist() == pytest.approx([one(c, w) for w in names])
-        for i, v in [(0, b"the"), (3, b"clown"), (len(WORDS), b"")]:
-            assert lm.following(c, i).tolist() == pytest.approx([after(c, v, w) for w in names])
-    # Scoring is the difference of the two log-likelihoods, by word, but for what all other words share in both.
-    odds = toxicity.Odds([lm], names)
-    text = [b"clown", b"the", b"the", b"unseen", b"tree"]
-    want = sum(math.log(after(1, v, entry(w)) / after(0, v, entry(w))) if entry(v) or v == b"" else math.log(one(1, entry(w)) / one(0, entry(w))) for v, w in zip([b"", *text], text))
+        assert lm.single[c].tolist() == pytest.approx([one(c, e) for e in entries])
+        for i, v in [(0, b"the"), (3, b"clown"), (VOCABULARY.size, b"")]:
+            assert lm.following(c, i).tolist() == pytest.approx([after(c, v, e) for e in entries])
+    # Scoring is the difference of the two log-likelihoods, by word, but for what the words of an entry share in both.
+    odds = toxicity.Odds([lm], VOCABULARY)
+    text = [b"clown", b"the", b"the", b"unseen", b"clowning", b"treeline", b"tree"]
+    want = sum(math.log(after(1, v, entry(w)) / after(0, v, entry(w))) if v in WORDS or v == b"" else math.log(one(1, entry(w)) / one(0, entry(w))) for v, w in zip([b"", *text], text))
     assert odds.mean(text) == pytest.approx(want / len(text))
 
 
 def test_sketches_count_distinct_contexts(spark):
     texts = [" ".join(f"w{rng.randint(0, 400)} bad" if rng.random() < 0.5 else "the good" for _ in range(200)) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    shared, others = toxicity.shared_contexts(docs, [b"bad", b"good", b"never"])
-    contexts = {a for t in texts for a, b in zip(t.split(), t.split()[1:]) if b == "bad"}
-    assert shared[b"bad"] == pytest.approx(len(contexts), rel=0.25) and shared[b"good"] == pytest.approx(1, abs=0.1) and shared[b"never"] == 1
-    pairs = {(a, b) for t in texts for a, b in zip(t.split(), t.split()[1:]) if b not in ("bad", "good")}
-    assert others == pytest.approx(len(pairs), rel=0.25)
+    vocabulary = toxicity.Vocabulary([b"bad", b"good", b"never"], [[b"the"], []])
+    got = dict(zip(["bad", "good", "never", "the*", "rest"], toxicity.shared_contexts(docs, vocabulary)))
+    split = [t.split() for t in texts]
+    contexts = {a for t in split for a, b in zip(t, t[1:]) if b == "bad"}
+    assert got["bad"] == pytest.approx(len(contexts), rel=0.25) and got["good"] == pytest.approx(1, abs=0.1) and got["never"] == 1
+    assert got["the*"] == pytest.approx(len({a for t in split for a, b in zip(t, t[1:]) if b == "the"}), rel=0.25)
+    assert got["rest"] == pytest.approx(len({(a, b) for t in split for a, b in zip(t, t[1:]) if b[0] == "w"}), rel=0.25)
 
 
 def test_nothing_but_the_training_folds_is_learned_from(spark):
