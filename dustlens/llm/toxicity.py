@@ -17,8 +17,8 @@ from dustlens.llm.common import as_bytes, held_out, table, texts_of
 
 #: The bounded sample that the class counts are taken from: so many labelled documents of each class, none longer than so many bytes, and so many bytes together.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOTAL = 1500, 1 << 15, 1 << 23
-#: Absolute discounts, and what the orders below weigh besides; folds of the training sample choose among them.
-DISCOUNTS, STRENGTHS = (2.0, 4.0, 6.0), (8.0, 32.0, 128.0)
+#: Discounts, what the orders below weigh besides, and powers of the shared counts; folds of the training sample choose among them.
+DISCOUNTS, STRENGTHS, POWERS = (2.0, 4.0, 6.0), (32.0, 128.0), (1.0, 1.5)
 FOLDS = 3
 #: Bytes of the beginnings of words that the models tell apart, the shortest first.
 LENGTHS = (4, 6)
@@ -131,7 +131,7 @@ class Counts:
 
     def __init__(self, texts: list[list[bytes]], labels: list[int], vocabulary: Vocabulary, shared: np.ndarray):
         self.size = vocabulary.size
-        self.below = np.maximum(shared, 1.0) / np.maximum(shared, 1.0).sum()
+        self.shared = np.maximum(shared, 1.0)
         # All words are told apart as contexts; 0 is a text's beginning.
         every: dict[bytes, int] = {b"": 0}
         coded = [np.array([0, 0] + [every.setdefault(w, len(every)) for w in words], np.int64) for words in texts]
@@ -150,14 +150,14 @@ class Counts:
             return np.bincount(np.unique(context * (2 * size) + klass * size + item) % (2 * size), minlength=2 * size).reshape(2, size).astype(float)
 
         self.words = counted(n, before, word)
-        self.orders = []  # of each length of beginnings: counts by kind, the kind of each entry, its probability in the corpus, its kind in the order below
+        self.orders = []  # of each length of beginnings: counts by kind, the kind of each entry, and of each kind that in the order below
         for order, kinds in enumerate(vocabulary.kinds):
             of = vocabulary.kinds_of_entries(order)
             whole = np.array([vocabulary.kind(order, w) for w in spelled])
             above = np.zeros(len(kinds) + 1, np.int64)
             for (k, b), i in kinds.items():
                 above[i] = vocabulary.kinds[order - 1][k, b] if order and k < order else vocabulary.kind(order - 1, b) if order else 0
-            self.orders.append((counted(len(kinds) + 1, number, whole[word]), of, np.bincount(of, weights=self.below, minlength=len(kinds) + 1), above))
+            self.orders.append((counted(len(kinds) + 1, number, whole[word]), of, above))
         k = counted(len(numbers), earlier, number)
         v, w = numbers // n, self.entry[numbers % n]
         inside = known[v] | (v == 0)
@@ -173,7 +173,9 @@ class KneserNey:
     S = 0 that is interpolated Kneser-Ney; S is the further share that a Pitman-Yor process gives
     to its base.)
 
-    - P(w) of the corpus is proportional to shared contexts; both classes have it in common.
+    - P(w) of the corpus is proportional to shared contexts to the power of ``power``; both classes
+      have it in common. (Contexts of common words run out sooner in a corpus than in a sample
+      of it, which a power above 1 makes up for.)
     - P_c(b) of the beginnings b of words is (k - D(k) + R P_c(a) P(b | a)) / ((1 + S) K), where
       a is the next shorter beginning, at last none, and P(b | a) the corpus's.
     - P_c(w) of words likewise, below which their longest beginnings are.
@@ -185,8 +187,9 @@ class KneserNey:
     the class and, if that is rare too, the shared probability, and so says nothing.
     """
 
-    def __init__(self, counts: Counts, discount: float, strength: float):
+    def __init__(self, counts: Counts, discount: float, strength: float, power: float = 1.0):
         self.size, one = counts.size, 1 + strength
+        below = counts.shared**power / (counts.shared**power).sum()
         gone = lambda k: np.minimum(k, discount * np.sqrt(k))
 
         def share(k: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +198,13 @@ class KneserNey:
             return kept, np.where(total > 0, (gone(k).sum(axis=1, keepdims=True) / np.maximum(total, 1) + strength) / one, 1.0)
 
         lower, parents, up = np.ones((2, 1)), np.ones(1), np.zeros(self.size, np.int64)
-        for k, of, p, above in counts.orders:
+        for k, of, above in counts.orders:
+            p = np.bincount(of, weights=below, minlength=len(above))
             kept, rest = share(k, np.arange(len(p)), len(p))
             lower, parents, up = kept + rest * lower[:, above] * p / np.maximum(parents[above], 1e-300), p, of
         kept, rest = share(counts.words, counts.entry, self.size)
         #: P_c of each entry.
-        self.single = kept + rest * lower[:, up] * counts.below / parents[up]
+        self.single = kept + rest * lower[:, up] * below / parents[up]
         # Rows of pairs: the ordinary and the toxic class's, and both together. The context after the last entry is a text's beginning.
         every = np.concatenate([counts.pair_k, counts.pair_k.sum(axis=0, keepdims=True)])
         totals = [np.stack([np.bincount(counts.pair_v, weights=x, minlength=self.size + 1) for x in y]) for y in (every, gone(every))]
@@ -305,8 +309,8 @@ class ToxicityModel:
         fold = np.zeros(len(y), np.int64)
         for c in (0, 1):
             fold[y == c] = np.arange(int((y == c).sum())) % FOLDS
-        grid = list(product(DISCOUNTS, STRENGTHS))
-        models: dict[tuple[float, float], list[KneserNey]] = {p: [] for p in grid}
+        grid = list(product(DISCOUNTS, STRENGTHS, POWERS))
+        models: dict[tuple[float, float, float], list[KneserNey]] = {p: [] for p in grid}
         usual, odds = {p: [] for p in grid}, {p: np.zeros(len(y)) for p in grid}
         for k in range(FOLDS):
             own, out = self._balanced(np.flatnonzero(fold != k), words, y, kind), np.flatnonzero(fold == k)
@@ -463,6 +467,8 @@ def _in_one_task(rows: DataFrame, work: Callable[[list[bytes], list[int]], objec
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["place", "part"])
 
     parts = rows.repartition(1).mapInArrow(run, "place int, part binary").collect()
+    if not parts:  # an empty sample may have no task
+        return work([], [])
     return pickle.loads(b"".join(bytes(p["part"]) for p in sorted(parts, key=lambda p: p["place"])))
 
 

@@ -17,9 +17,9 @@ VOCABULARY = toxicity.Vocabulary(WORDS, [[b"blue", b"clow", b"rare", b"tree"], [
 SHARED = np.arange(3.0, 3 + VOCABULARY.size)
 
 
-@pytest.mark.parametrize("discount, strength", [(0.5, 0.0), (2.0, 0.0), (1.0, 8.0)])
-def test_probabilities_sum_to_one(discount, strength):
-    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, VOCABULARY, SHARED), discount, strength)
+@pytest.mark.parametrize("discount, strength, power", [(0.5, 0.0, 1.0), (2.0, 0.0, 1.5), (1.0, 8.0, 1.0)])
+def test_probabilities_sum_to_one(discount, strength, power):
+    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, VOCABULARY, SHARED), discount, strength, power)
     for c in (0, 1):
         assert lm.single[c].sum() == pytest.approx(1)
         for v in range(lm.size + 1):
@@ -27,13 +27,13 @@ def test_probabilities_sum_to_one(discount, strength):
             assert p.sum() == pytest.approx(1) and (p > 0).all()
 
 
-@pytest.mark.parametrize("discount, strength", [(0.5, 0.0), (1.5, 2.0)])
-def test_models_against_plain_counting(discount, strength):
+@pytest.mark.parametrize("discount, strength, power", [(0.5, 0.0, 1.0), (1.5, 2.0, 1.5)])
+def test_models_against_plain_counting(discount, strength, power):
     """Sets of contexts and recursion by the formulas of the docstring."""
-    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, VOCABULARY, SHARED), discount, strength)
-    total = SHARED.sum()
+    lm = toxicity.KneserNey(toxicity.Counts(TEXTS, LABELS, VOCABULARY, SHARED), discount, strength, power)
+    total = (SHARED**power).sum()
     entries = [*WORDS, *((4, b) for b in VOCABULARY.groups[0]), *((6, b) for b in VOCABULARY.groups[1]), None]
-    shared = dict(zip(entries, SHARED / total))
+    shared = dict(zip(entries, SHARED**power / total))
     gone = lambda k: min(k, discount * math.sqrt(k))
 
     def entry(w):
@@ -125,6 +125,15 @@ def test_nothing_but_the_training_folds_is_learned_from(spark):
     assert scores[0] == scores[1] and scores[0][0] > 0.7 > scores[0][1]
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(None, 1)], [(1, 1)], [(1, 0), (1, 1), (2, 0)]])
+def test_few_or_no_labels(spark, rows):
+    docs = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (None, "d")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+    assert len(toxicity.score_toxicity(docs.limit(0), toxicity.fit(docs.limit(0), spark.createDataFrame(rows, "doc_id long, toxic int"))).collect()) == 0
+
+
 # The field.
 
 def full_viterbi(model, words):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dustlens.llm import exact_dedup, graph, packing, pii, quality, repeats, sentence_pieces, simhash, token_counts, toxicity, url_filters
+from dustlens.llm import common, exact_dedup, graph, packing, pii, quality, repeats, sentence_pieces, simhash, token_counts, toxicity, url_filters
 from dustlens.llm.common import Scratch, held_out
 
 SF = "/root/testdata/sf0.001"
@@ -134,6 +134,15 @@ def test_token_counts_equal_the_library(spark):
     assert json[0] > 0
 
 
+def test_joins_by_hot_keys(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(None, 5)], "key long, v long")
+    side = rows.groupBy("key").agg(F.count("*").alias("n")).where("key != 4").select("key", (F.col("n") > 60).alias("hot"), F.col("n").alias("extra"))
+    got = common.join_by_hot_keys(rows, side, "key", "hot")
+    want = rows.join(side, "key")
+    assert sorted(map(tuple, got.select("key", "v", "hot", "extra").collect())) == sorted(map(tuple, want.select("key", "v", "hot", "extra").collect())) and {r["hot"] for r in got.collect()} == {True, False}
+    assert common.hot_limit(100, 7) == 7 and common.hot_limit(10**9, 7) == 20001
+
+
 def test_pieces_equal_the_library():
     import public_tokenizers
     import sentencepiece
