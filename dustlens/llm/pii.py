@@ -420,7 +420,7 @@ def field_spans(model: ChainField, texts: list[str], base: list[list[tuple[int,
     return found
 
 
-def whole_spans(model: ChainField, texts: list[str], base: list[list[tuple[int, int, int]]], most: int = 1 << 20) -> list[list[tuple[int, int, int]]]:
+def whole_spans(model: ChainField, texts: list[str], base: list[list[tuple[int, int, int]]], most: int = 1 << 18) -> list[list[tuple[int, int, int]]]:
     """``field_spans`` of some ``most`` characters, or one longer text, at a time."""
     out, start, held = [], 0, 0
     for i, text in enumerate(texts):
