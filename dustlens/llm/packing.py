@@ -17,6 +17,8 @@ LENGTHS = (2048, 4096, 8192, 16384, 32768)
 FIXED_COST = 64
 #: Pieces, and bytes of text, that are packed together; enough that bins fill, and what one task holds.
 SHARD_PIECES, SHARD_BYTES = 20_000, 1 << 25
+#: Partitions that shards are dealt over, at most.
+MOST_PARTITIONS = 1 << 16
 
 
 def _fill(falling: np.ndarray, i: int, capacity: int) -> int:
@@ -146,7 +148,8 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col:
         return pa.table(out).take(pa.array(np.lexsort((size, offset, b))))
 
     shard = F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int")
-    return items.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "shard int, bin long, capacity long, used long, offset long, doc_id long, piece int, start long, length long" + (", text string" if with_text else ""))
+    dealt = items.withColumn("shard", shard).repartitionByRange(min(shards, MOST_PARTITIONS), "shard")  # a shard to a task, however many there are
+    return dealt.groupBy("shard").applyInArrow(run, "shard int, bin long, capacity long, used long, offset long, doc_id long, piece int, start long, length long" + (", text string" if with_text else ""))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
