@@ -20,14 +20,14 @@ from dustlens.llm.common import table, texts_of
 #: The vocabulary file, by the name under which the installed package of public tokenizers knows it.
 MODEL = "piece_bpe_32k.model"
 #: Words whose ids a worker remembers, and pairs of pieces of which it remembers whether they stay apart, at most.
-REMEMBERED, REMEMBERED_PAIRS = 300_000, 1_500_000
+REMEMBERED, REMEMBERED_PAIRS = 500_000, 2_500_000
 #: Words from this length on are walked through one by one.
 LONG = 256
 #: Places of a long word whose pieces are looked up at once.
 STRETCH = 1 << 15
 
 #: Bytes of text that are encoded together, or one longer text.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 6 << 20
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
