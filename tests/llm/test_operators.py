@@ -488,6 +488,14 @@ def test_alias_links_against_the_standard_library(spark):
     assert ("h.com/a/b/c?q", "h.com/a/x.html?x=1&y=2") in got
 
 
+def test_url_rules_of_the_contract(spark):
+    assert url_filters.RULES == (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+    pages = spark.createDataFrame([(1, "http://a.net/de/1", ""), (2, "http://example.net/de/7", ""), (3, "http://example.net/de/8", "")], "page_id long, url string, html string")
+    rules = spark.createDataFrame(list(url_filters.RULES), "rule string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.filter_urls(pages, rules).collect()}
+    assert got == {1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block")}
+
+
 def test_links_from_a_table_and_hubs(spark):
     pages = spark.createDataFrame([(i, f"http://s{i}.com/p", None) for i in range(400)] + [(400, "http://a.com/en/1", "")], "page_id long, url string, html string")
     links = spark.createDataFrame([(f"http://s{i}.com/p", "http://a.com/en/1") for i in range(0, 400, 2)] + [(None, "http://a.com/en/1")], "u string, v string")
