@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dustlens.functions import binary, paths, text
@@ -458,6 +458,25 @@ def packed(rows: DataFrame, group: str, columns: list[str], name: str, pack: Cal
     return rows.withColumn(group, F.col(group).cast("long")).groupBy(group).applyInArrow(run, "source_id long, filename string, content binary")
 
 
+#: A piece's source number is its group's, shifted by so many bits, and its own place in the group.
+PIECE_BITS = 24
+
+
+def packed_pieces(rows: DataFrame, group: str, column: str, name: str, pack: Callable[[list[tuple]], bytes], most: int) -> DataFrame:
+    """The same for groups that one file cannot hold: as many files as are needed, each of the next ``most`` rows. ``whole_of`` and ``piece_of`` read their numbers."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(column)) - 1
+    file = F.shiftleft(F.col(group).cast("long"), PIECE_BITS) + F.floor(place / most)
+    return packed(rows.select(file.alias("file"), column), "file", [column], name, pack)
+
+
+def whole_of(source: str) -> Column:
+    return F.shiftright(source, PIECE_BITS)
+
+
+def piece_of(source: str) -> Column:
+    return F.col(source).bitwiseAND(F.lit((1 << PIECE_BITS) - 1))
+
+
 # Pictures: a part's pixel is its key modulo 16, eight to a line, the last line filled up with zeros.
 _GRID = f"""WITH p AS (SELECT p_size AS source_id, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS i, (p_partkey % 16)::INT AS v FROM part),
 cells AS (SELECT source_id, unnest(range((count(*) + {packers.WIDE - 1}) // {packers.WIDE} * {packers.WIDE})) AS i FROM p GROUP BY 1)
@@ -624,11 +643,15 @@ def scan_mod(spark, sf_dir):
     return sounds.select("source_id", F.size("v").cast("long").alias("samples"), F.aggregate(F.transform("v", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted")).join(status, "source_id")
 
 
+#: Blocks that a row of a photograph has at most: its width is a number of 16 bits.
+JPEG_BLOCKS = 65535 // 8
+
+
 # Photographs: a flat block of eight by eight for each part, its grey the key modulo 256.
 @query("scan_jpeg", "SELECT p_size AS source_id, (p_partkey % 256)::INT AS grey, (64 * count(*))::BIGINT AS n FROM part GROUP BY 1, 2")
 def scan_jpeg(spark, sf_dir):
-    sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.jpg", lambda rows: packers.jpeg([k % 256 - 128 for (k,) in rows]))
-    return pixels(inspect(sources)).where("r = g AND g = b AND a = 255").groupBy("source_id", F.col("r").alias("grey")).agg(F.count("*").alias("n"))
+    sources = packed_pieces(table(spark, sf_dir, "part"), "p_size", "p_partkey", "a.jpg", lambda rows: packers.jpeg([k % 256 - 128 for (k,) in rows]), JPEG_BLOCKS)
+    return pixels(inspect(sources)).where("r = g AND g = b AND a = 255").groupBy(whole_of("source_id").alias("source_id"), F.col("r").alias("grey")).agg(F.count("*").alias("n"))
 
 
 # Fonts: entries of an index, glyphs of a descriptor.
