@@ -633,14 +633,25 @@ query("scan_16sv", _sound_sql(1, "o_orderkey * ({c} + 3) % 65536 - 32768"))(_sou
 query("scan_voice", _sound_sql(1, "o_orderkey * ({c} + 3) % 256 - 128"))(_sound_scan("a.voc", 1, _BYTE, lambda chs: packers.voice(8000, chs)))
 
 
+#: Words that a tracker module's sample has at most: its length is a number of 16 bits.
+SAMPLE_WORDS = 65535
+
+
 # A tracker module's first sample: every number twice, so that it is a whole number of words.
 @query("scan_mod", "SELECT source_id, (2 * count(*))::BIGINT AS samples, sum((4 * i - 1) * v)::BIGINT AS weighted, 'terminates' AS status FROM (SELECT (o_custkey % 97)::BIGINT AS source_id, row_number() OVER (PARTITION BY o_custkey % 97 ORDER BY o_orderkey) AS i, o_orderkey * 3 % 256 - 128 AS v FROM orders) x GROUP BY 1")
 def scan_mod(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("source_id"), "o_orderkey")
-    found = inspect(packed(orders, "source_id", ["o_orderkey"], "a.mod", lambda rows: packers.module(8000, [[_BYTE(k, 0) for (k,) in rows for _ in (0, 1)]])))
-    status = found.where("kind = 'tracker' AND path = '/module'").select("source_id", F.get(F.filter("metadata", lambda m: m["key"] == "loop.status"), 0)["value"].alias("status"))
-    sounds = found.where("kind = 'audio'").select("source_id", F.col("pcm")[0].alias("v"))
-    return sounds.select("source_id", F.size("v").cast("long").alias("samples"), F.aggregate(F.transform("v", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted")).join(status, "source_id")
+    pack = lambda rows: packers.module(8000, [[_BYTE(k, 0) for (k,) in rows for _ in (0, 1)]])
+    found = inspect(packed_pieces(orders, "source_id", "o_orderkey", "a.mod", pack, SAMPLE_WORDS), columns=("source_id", "path", "kind", "metadata", "pcm")).where("kind = 'audio' OR path = '/module'")
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x)
+    v = F.col("pcm")[0]
+    each = found.select(
+        whole_of("source_id").alias("source_id"), (piece_of("source_id") * (2 * SAMPLE_WORDS)).alias("before"), F.size(v).cast("long").alias("samples"),
+        total(F.transform(v, lambda x, i: x.cast("long") * (i + 1))).alias("weighted"), total(F.transform(v, lambda x: x.cast("long"))).alias("sum"),
+        F.when(F.col("path") == "/module", F.get(F.filter("metadata", lambda m: m["key"] == "loop.status"), 0)["value"]).alias("status"),
+    )
+    counted = F.sum(F.when(F.col("weighted").isNotNull(), F.col("samples"))).alias("samples")  # the size of no sample is -1 or null
+    return each.groupBy("source_id").agg(counted, F.sum(F.col("weighted") + F.col("before") * F.col("sum")).alias("weighted"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status"))
 
 
 #: Blocks that a row of a photograph has at most: its width is a number of 16 bits.
