@@ -732,7 +732,7 @@ def scan_paint_net_palette(spark, sf_dir):
 )
 def scan_gif(spark, sf_dir):
     pack = lambda rows: export.gif(1, 1, [(k % 90 * 10, bytes([k % 256, k // 256 % 256, k % 251, 255])) for (k,) in rows])
-    frames = animation_frames(inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "part.gif", pack)))
+    frames = animation_frames(inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "part.gif", pack), columns=("source_id", "path", "width", "height", "frames")))
     channel = lambda i: F.conv(F.hex(F.substr("rgba", F.lit(i), F.lit(1))), 16, 10).cast("int")
     return frames.select("source_id", "frame", "ms", "start_ms", channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
 

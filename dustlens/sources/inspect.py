@@ -252,6 +252,10 @@ def metadata_rows(resources: DataFrame) -> DataFrame:
     return resources.select("source_id", "path", F.posexplode("metadata").alias("place", "m")).select("source_id", "path", "place", "m.key", "m.value")
 
 
+#: Rows of frames that a task sends at once.
+FRAME_ROWS = 10_000
+
+
 def pixels(resources: DataFrame) -> DataFrame:
     """(source_id, path, x, y, r, g, b, a): a row for each pixel."""
 
@@ -267,6 +271,16 @@ def pixels(resources: DataFrame) -> DataFrame:
 
 def animation_frames(resources: DataFrame) -> DataFrame:
     """(source_id, path, frame, ms, start_ms, width, height, rgba): the frames of animations in order, from 0; a still picture has none."""
-    starts = F.aggregate("frames", F.array(F.lit(0).cast("long")), lambda t, f: F.concat(t, F.array(F.element_at(t, -1) + f["ms"])))
-    rows = resources.where("frames IS NOT NULL").select("source_id", "path", "width", "height", F.posexplode(F.zip_with("frames", F.slice(starts, F.lit(1), F.size("frames")), lambda f, t: F.struct(f["ms"].alias("ms"), t.alias("start_ms"), f["rgba"].alias("rgba")))).alias("frame", "own"))
-    return rows.select("source_id", "path", "frame", "own.ms", "own.start_ms", "width", "height", "own.rgba")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # linear in the frames, and of the frames only references are held
+                own = batch.column(4).slice(i, 1).flatten()
+                ms, rgba = own.flatten()
+                before = np.concatenate([[0], np.cumsum(ms.to_numpy(zero_copy_only=False).astype(np.int64))])
+                for at in range(0, len(own), FRAME_ROWS):
+                    n = min(FRAME_ROWS, len(own) - at)
+                    source, path, width, height = (pa.repeat(batch.column(c)[i], n) for c in range(4))
+                    yield pa.RecordBatch.from_arrays([source, path, pa.array(np.arange(at, at + n, dtype=np.int32)), ms.slice(at, n), pa.array(before[at : at + n]), width, height, rgba.slice(at, n)], names=["source_id", "path", "frame", "ms", "start_ms", "width", "height", "rgba"])
+
+    return resources.where("frames IS NOT NULL").select("source_id", "path", "width", "height", "frames").mapInArrow(run, "source_id long, path string, frame int, ms int, start_ms long, width int, height int, rgba binary")

@@ -189,13 +189,13 @@ def test_landing_folder(spark, tmp_path):
 
 
 def test_groups_that_one_file_cannot_hold(spark, con, tmp_path):
-    """A photograph's row has at most 8,191 blocks, a module's sample at most 65,535 words."""
+    """A photograph's row has at most 8,191 blocks, a module's sample at most 65,535 words; an animation may have any number of frames."""
     con2 = duckdb.connect()
     con2.execute(f"copy (select (7 + i % 2)::INT as p_size, i::BIGINT as p_partkey from range(40_001) t(i)) to '{tmp_path}/part.parquet'")
     con2.execute(f"copy (select (97 * (i % 3 // 2) + 5)::BIGINT as o_custkey, i::BIGINT as o_orderkey from range(131_073) t(i)) to '{tmp_path}/orders.parquet'")
     for t in ("part", "orders"):
         con2.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
-    for name in ("scan_jpeg", "scan_mod"):
+    for name in ("scan_jpeg", "scan_mod", "scan_gif"):
         got = queries.QUERIES[name](spark, str(tmp_path))
         want = con2.execute(f"select {', '.join(got.columns)} from ({queries.SQL[name]})").fetchall()
         assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want, name
