@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +95,14 @@ def boundary_of(cycles: Column, elapsed: Column) -> Column:
 
 def expanded(rows: DataFrame, key: str, cycles: str, most: int = MOST_FRAMES) -> DataFrame:
     """(key, frame, start, ms): the frames of each row's cycles over a full period; a row that would have more than ``most`` is an error, one without cycles has none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                frames = expand([Cycle(c["low"], c["high"], c["step"], c["direction"]) for c in own], most=most) if own else []
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(frames), pa.int64()), pa.array(range(len(frames)), pa.int32()), pa.array([f[1] for f in frames], pa.int64()), pa.array([f[2] for f in frames], pa.int64())], names=["key", "frame", "start", "ms"])
-
-    return rows.select(F.col(key).cast("long").alias("key"), cycles).mapInArrow(run, "key long, frame int, start long, ms long")
+    wrong = F.exists("cycles", lambda c: (c["step"] <= 0) | (c["high"] < c["low"]))
+    own = rows.select(F.col(key).cast("long").alias("key"), F.col(cycles).alias("cycles")).where("size(cycles) > 0")
+    own = own.select("key", "cycles", F.when(wrong, F.raise_error(F.lit("colour-cycle periods must be positive")).cast("long")).otherwise(period_of(F.col("cycles"))).alias("whole"))
+    # A range alone moves this often; where that is too much its moments are never listed.
+    often = F.array_max(F.transform("cycles", lambda c: F.call_function("div", F.col("whole"), c["step"].cast("long"))))
+    error = F.raise_error(F.lit(f"colour cycling would exceed {most} frames")).cast("array<bigint>")
+    moments = F.flatten(F.transform("cycles", lambda c: F.sequence(F.lit(0).cast("long"), F.col("whole") - 1, c["step"].cast("long"))))
+    starts = own.select("key", "whole", F.when(often > most, error).otherwise(F.sort_array(F.array_distinct(moments))).alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.lit(most)), F.array("whole"))
+    frames = F.when(F.size("starts") > most, F.raise_error(F.lit(f"colour cycling would exceed {most} frames")).cast("array<struct<start:bigint,end:bigint>>")).otherwise(F.arrays_zip(F.col("starts").alias("start"), ends.alias("end")))
+    return starts.select("key", F.posexplode(frames).alias("frame", "f")).select("key", "frame", F.col("f.start").alias("start"), (F.col("f.end") - F.col("f.start")).alias("ms"))

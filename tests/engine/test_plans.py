@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from dustlens.functions import paths
-from dustlens.operators import extraction, lookups
+from dustlens.operators import colour_cycles, extraction, lookups
 from dustlens.operators.colour_cycles import Cycle, expand, next_boundary, palette_at, period
 from dustlens.plans import packers, queries
 from dustlens.sources import export
@@ -199,3 +199,15 @@ def test_groups_that_one_file_cannot_hold(spark, con, tmp_path):
         got = queries.QUERIES[name](spark, str(tmp_path))
         want = con2.execute(f"select {', '.join(got.columns)} from ({queries.SQL[name]})").fetchall()
         assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want, name
+
+
+def test_expanded_cycles_stay_in_the_engine(spark):
+    rows = [(1, [(0, 3, 2, 1), (6, 8, 3, -1)]), (2, [(0, 1, 7, 1)]), (3, []), (4, None), (5, [(0, 499, 1, 1), (0, 1, 250, 1)])]
+    df = spark.createDataFrame(rows, "k long, cycles array<struct<low:int,high:int,step:int,direction:int>>")
+    found = colour_cycles.expanded(df, "k", "cycles")
+    want = [(k, i, start, ms) for k, own in rows if own for i, (_, start, ms) in enumerate(expand([Cycle(*c) for c in own]))]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    for bad, why in (([(0, 0, 1, 1), (0, 2000, 1 << 20, 1)], "would exceed"), ([(0, 1, 0, 1)], "must be positive")):
+        with pytest.raises(Exception, match=why):
+            colour_cycles.expanded(spark.createDataFrame([(1, bad)], df.schema), "k", "cycles").collect()
