@@ -591,7 +591,7 @@ def scan_basic(spark, sf_dir):
 # Drawings: a square for each part, in a group by itself if its key is even.
 @query("scan_drawing", "SELECT p_size AS source_id, count(*) AS paths, count(*) FILTER (p_partkey % 2 = 0) AS groups FROM part GROUP BY 1")
 def scan_drawing(spark, sf_dir):
-    found = inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.dr2d", packers.drawing)).where("kind = 'vector'")
+    found = inspect(packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], "a.dr2d", packers.drawing), columns=("source_id", "kind", "metadata")).where("kind = 'vector'")
     value = lambda key: F.get(F.filter("metadata", lambda m: m["key"] == key), 0)["value"].cast("long")
     return found.select("source_id", value("vector.paths").alias("paths"), value("vector.groups").alias("groups"))
 

@@ -60,3 +60,12 @@ def test_groups_texts_and_pictures():
 def test_what_does_not_hold_is_refused(part):
     nodes, why = inspect_bytes(drawing(part), "a.dr2d")
     assert not [n for n in nodes if n.kind == "vector"] and (nodes or why)
+
+
+def test_fills_behind_others_are_not_drawn_again(monkeypatch):
+    square = lambda a, b, colour: vector.Element("path", 0, True, [("M", (a, a)), ("L", (b, a)), ("L", (b, b)), ("L", (a, b)), ("Z",)], colour)
+    drawing = vector.Drawing((0, 0, 8, 8), "Inch", [], {}, [square(1, 5, (1, 2, 3)) for _ in range(50)] + [square(0, 4, (9, 9, 9)), square(1, 5, (4, 5, 6))])
+    summed, cumsum = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **k: summed.append(1) or cumsum(*a, **k))
+    pixels = np.frombuffer(vector.rendered(drawing, 8).rgba, np.uint8).reshape(8, 8, 4)
+    assert len(summed) == 2 and pixels[0, 0].tolist() == [9, 9, 9, 255] and pixels[3, 3].tolist() == [4, 5, 6, 255] and pixels[7, 7].tolist() == [255] * 4
