@@ -193,3 +193,15 @@ def test_squashed_blocks_of_other_packers():
             containers._unzip(packed, 100, packing)
         with pytest.raises(ValueError):
             containers._unzip(b"nonsense" * 4, 100, packing)
+
+
+def test_runs_are_found_without_a_step_for_each_byte():
+    import time
+
+    from dustlens.sources import codecs
+
+    text = b"The quick brown fox jumps over the lazy dog. " * 45_000
+    start = time.process_time()
+    packed = codecs.pack_runs(text)
+    assert time.process_time() - start < 1 and codecs.unpack_runs(packed, len(text)) == text
+    assert codecs.pack_runs(b"a" * 130 + b"bc") == b"\x81a\x03aabc"
