@@ -205,3 +205,16 @@ def test_runs_are_found_without_a_step_for_each_byte():
     packed = codecs.pack_runs(text)
     assert time.process_time() - start < 1 and codecs.unpack_runs(packed, len(text)) == text
     assert codecs.pack_runs(b"a" * 130 + b"bc") == b"\x81a\x03aabc"
+
+
+def test_lzma2_dictionaries_fit_their_texts():
+    import lzma
+    import time
+
+    from dustlens.plans import queries
+
+    plain, texts, took = [{"id": lzma.FILTER_LZMA2, "preset": 6}], [b"%d some short text of its own " % i * 20 for i in range(300)], []
+    for pack in (lambda d: lzma.compress(d, lzma.FORMAT_RAW, filters=plain), queries._lzma2):
+        start = time.process_time()
+        took.append((list(map(pack, texts)), time.process_time() - start))
+    assert took[0][0] == took[1][0] and took[1][1] < took[0][1] / 2
