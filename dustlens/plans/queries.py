@@ -491,7 +491,7 @@ SELECT source_id, (i % {packers.WIDE})::INT AS x, (i // {packers.WIDE})::INT AS
 def _picture_scan(name: str, write: Callable, path: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         sources = packed(table(spark, sf_dir, "part"), "p_size", ["p_partkey"], name, lambda rows: write(packers.grid([k % 16 for (k,) in rows])))
-        return pixels(inspect(sources).where(F.col("path") == path)).select("source_id", "x", "y", "r", "g", "b")
+        return pixels(inspect(sources, columns=("source_id", "path", "width", "rgba")).where(F.col("path") == path)).select("source_id", "x", "y", "r", "g", "b")
 
     return run
 

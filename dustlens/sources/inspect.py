@@ -252,8 +252,8 @@ def metadata_rows(resources: DataFrame) -> DataFrame:
     return resources.select("source_id", "path", F.posexplode("metadata").alias("place", "m")).select("source_id", "path", "place", "m.key", "m.value")
 
 
-#: Rows of frames that a task sends at once.
-FRAME_ROWS = 10_000
+#: Rows of frames, and of pixels, that a task sends at once.
+FRAME_ROWS, PIXEL_ROWS = 10_000, 1 << 16
 
 
 def pixels(resources: DataFrame) -> DataFrame:
@@ -261,10 +261,13 @@ def pixels(resources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, path, width, rgba in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                v = np.frombuffer(rgba, np.uint8).reshape(-1, 4).astype(np.int32)
-                at = np.arange(len(v), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), source)), pa.array([path] * len(v)), pa.array(at % width), pa.array(at // width), *[pa.array(v[:, c]) for c in range(4)]], names=["source_id", "path", "x", "y", "r", "g", "b", "a"])
+            for k in range(batch.num_rows):  # one picture at a time, and of it PIXEL_ROWS pixels
+                width, rgba = batch.column(2)[k].as_py(), np.frombuffer(batch.column(3)[k].as_buffer(), np.uint8).reshape(-1, 4)
+                for start in range(0, len(rgba), PIXEL_ROWS):
+                    v = rgba[start : start + PIXEL_ROWS].astype(np.int32)
+                    at = np.arange(start, start + len(v), dtype=np.int32)
+                    source, path = (pa.repeat(batch.column(c)[k], len(v)) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([source, path, pa.array(at % width), pa.array(at // width), *[pa.array(v[:, c]) for c in range(4)]], names=["source_id", "path", "x", "y", "r", "g", "b", "a"])
 
     return resources.where("rgba IS NOT NULL").select("source_id", "path", "width", "rgba").mapInArrow(run, "source_id long, path string, x int, y int, r int, g int, b int, a int")
 

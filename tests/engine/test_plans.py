@@ -211,3 +211,13 @@ def test_expanded_cycles_stay_in_the_engine(spark):
     for bad, why in (([(0, 0, 1, 1), (0, 2000, 1 << 20, 1)], "would exceed"), ([(0, 1, 0, 1)], "must be positive")):
         with pytest.raises(Exception, match=why):
             colour_cycles.expanded(spark.createDataFrame([(1, bad)], df.schema), "k", "cycles").collect()
+
+
+def test_pixels_are_sent_in_bounded_pieces(spark):
+    from dustlens.sources import inspect as scan
+
+    rgba = np.random.default_rng(1).integers(0, 256, 4 * 300 * 500, np.uint8).tobytes()
+    found = scan.pixels(spark.createDataFrame([(3, "/image", 300, bytearray(rgba)), (4, "/other", 1, bytearray(b"\1\2\3\4"))], "source_id long, path string, width int, rgba binary"))
+    rows = found.where("source_id = 3").orderBy("y", "x").toPandas()
+    assert rows[list("rgba")].to_numpy().astype(np.uint8).tobytes() == rgba and len(rows) == 150_000 and found.where("source_id = 4").count() == 1
+    assert scan.PIXEL_ROWS < 150_000
